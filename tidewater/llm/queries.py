@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import secrets, sharding, urls
+from . import packing, quality, secrets, sharding, topk, urls
 from .shared import table
 
 
@@ -58,9 +58,47 @@ FROM page LEFT JOIN known ON page.host = known.host LEFT JOIN fits ON page.host
 """.replace("{fit}", "coalesce(CASE WHEN (sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0) > 0 THEN greatest(2.0, least(200.0, 1 / ((sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0)) - 1)) ELSE 200.0 END, 200.0)").replace("{two}", ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_topk(spark, sf_dir):
+    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.c, v.c), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)))::BIGINT AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
+def word_tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
 def queries():
-    return {"op2_sharding": op2_sharding, "op6_secret_scan": op6_secret_scan, "op8_url_filter": op8_url_filter}
+    return {
+        "op2_sharding": op2_sharding,
+        "op6_secret_scan": op6_secret_scan,
+        "op7_quality": op7_quality,
+        "op8_url_filter": op8_url_filter,
+        "op9_topk": op9_topk,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql():
-    return {"op8_url_filter": OP8_SQL}
+    return {"op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL}
