@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, sharding, topk, urls
+from . import packing, quality, secrets, sharding, simhash, topk, urls
 from .shared import table
 
 
@@ -12,6 +12,10 @@ def op2_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark, sf_dir):
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     many = lambda kind: F.size(F.filter("secrets_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -92,6 +96,7 @@ def op10_packing(spark, sf_dir):
 def queries():
     return {
         "op2_sharding": op2_sharding,
+        "op3_simhash": op3_simhash,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality": op7_quality,
         "op8_url_filter": op8_url_filter,
