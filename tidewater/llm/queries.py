@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, sharding, simhash, topk, urls
+from . import decontaminate, html_text, packing, quality, secrets, sharding, simhash, topk, urls
 from .shared import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op2_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,10 @@ def op3_simhash(spark, sf_dir):
     return simhash.group_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_secret_scan(spark, sf_dir):
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     many = lambda kind: F.size(F.filter("secrets_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -95,8 +103,10 @@ def op10_packing(spark, sf_dir):
 
 def queries():
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
+        "op4_html_text": op4_html_text,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality": op7_quality,
         "op8_url_filter": op8_url_filter,
