@@ -38,57 +38,67 @@ class CachedEncoder:
     Texts with special strings or rare control characters go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.words: dict[str, bytes] = {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.find = regex.compile(PRETOKEN).findall
-        self.odd = regex.compile("[\x1c-\x1f]|" + "|".join(map(regex.escape, SPECIAL))).search
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, new: set[str]) -> None:
         """Encodes unknown pretokens in one text; the last id of each carries the vocabulary's word end."""
-        parts = {s: self.find(s) for s in new}
-        words = self.words
-        fresh = list({w for p in parts.values() for w in p if w not in words})
+        known, parts, fresh = self.known, [], set()
+        for s in new:
+            if s.isalpha():
+                fresh.add(s)
+                continue
+            own = (s[:-1], s[-1]) if s[-1] in ".,;:!?" and s[:-1].isalpha() else self.find(s)
+            parts.append((s, own))
+            fresh.update(own)
+        fresh = list(fresh.difference(known))
         if fresh:
             ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             raw = ids.tobytes()
             if len(ends) == len(fresh):
-                words.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *ends], ends))
+                known.update(zip(fresh, map(raw.__getitem__, map(slice, [0, *ends], ends))))
             else:
-                words.update(zip(fresh, self.whole(fresh)))
-        self.known.update((s, b"".join([words[w] for w in p])) for s, p in parts.items())
+                known.update(zip(fresh, self.whole(fresh)))
+        for s, own in parts:
+            known[s] = b"".join([known[w] for w in own])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.words) > self.most:
-            self.known, self.words = {}, {}
+        if len(self.known) > self.most:
+            self.known = {}
         out: list = [None] * len(texts)
         later, new, known = [], set(), self.known
         for i, t in enumerate(texts):
-            if self.odd(t):
+            if "<|" in t and any(x in t for x in SPECIAL) or any(x in t for x in "\x1c\x1d\x1e\x1f"):
                 out[i] = self.whole([t])[0]
                 continue
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")  # the tokenizer lowers each character alone
             strings = t.lower().split()
-            try:
-                out[i] = b"".join([known[x] for x in strings])
-            except KeyError:
-                new.update(x for x in strings if x not in known)
-                later.append((i, strings))
+            ids = list(map(known.get, strings))
+            if None in ids:
+                missing = [k for k, v in enumerate(ids) if v is None]
+                new.update([strings[k] for k in missing])
+                later.append((i, strings, ids, missing))
+            else:
+                out[i] = b"".join(ids)
         self.learn(new)
-        for i, strings in later:
-            out[i] = b"".join([known[x] for x in strings])
+        for i, strings, ids, missing in later:
+            for k in missing:
+                ids[k] = known[strings[k]]
+            out[i] = b"".join(ids)
         return out
 
 
