@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, secrets, sharding, simhash, topk, urls
+from . import decontaminate, html_text, packing, quality, secrets, sharding, simhash, substrings, topk, urls
 from .shared import table
 
 
@@ -24,6 +24,10 @@ def op4_html_text(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_substrings(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_secret_scan(spark, sf_dir):
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     many = lambda kind: F.size(F.filter("secrets_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -107,6 +111,7 @@ def queries():
         "op2_sharding": op2_sharding,
         "op3_simhash": op3_simhash,
         "op4_html_text": op4_html_text,
+        "op5_substrings": op5_substrings,
         "op6_secret_scan": op6_secret_scan,
         "op7_quality": op7_quality,
         "op8_url_filter": op8_url_filter,
