@@ -77,7 +77,7 @@ def ema(n: int, column: str = "close", into: str | None = None):
 def _rma(x: Column, n: int, first: int) -> Column:
     """Wilder mean with normalised weights (1 - 1/n)^age; x is null before row ``first``, the mean before ``n`` values."""
     keep = 1 - 1.0 / n
-    return F.when(F.col("rn") >= first + n - 1, _decayed(x, keep) / _decayed(F.when(x.isNotNull(), F.lit(1.0)), keep))
+    return F.when(F.col("rn") >= first + n - 1, F.try_divide(_decayed(x, keep), _decayed(F.when(x.isNotNull(), F.lit(1.0)), keep)))
 
 
 def rsi(n: int = 14, column: str = "close", into: str = "rsi"):
