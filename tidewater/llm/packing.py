@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,14 @@ class CachedEncoder:
     def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
+        # pretokens are in normal form already and are told apart by a space
+        self.split = Tokenizer.from_file(path)
+        self.split.normalizer = None
+        self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -65,7 +70,7 @@ class CachedEncoder:
             fresh.update(own)
         fresh = list(fresh.difference(known))
         if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.split.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             raw = ids.tobytes()
             if len(ends) == len(fresh):
@@ -79,33 +84,40 @@ class CachedEncoder:
         if len(self.known) > self.most:
             self.known = {}
         out: list = [None] * len(texts)
-        later, new, known = [], set(), self.known
+        plain, lowered = [], []
         for i, t in enumerate(texts):
             if "<|" in t and any(x in t for x in SPECIAL) or any(x in t for x in "\x1c\x1d\x1e\x1f"):
                 out[i] = self.whole([t])[0]
                 continue
             if not t.isascii():
                 t = unicodedata.normalize("NFC", t).replace("Σ", "σ")  # the tokenizer lowers each character alone
-            strings = t.lower().split()
-            ids = list(map(known.get, strings))
-            if None in ids:
-                missing = [k for k, v in enumerate(ids) if v is None]
-                new.update([strings[k] for k in missing])
-                later.append((i, strings, ids, missing))
-            else:
-                out[i] = b"".join(ids)
-        self.learn(new)
-        for i, strings, ids, missing in later:
-            for k in missing:
-                ids[k] = known[strings[k]]
-            out[i] = b"".join(ids)
+            plain.append(i)
+            lowered.append(t.lower())
+        if not plain:
+            return out
+        # each different string of the portion is looked up once, all others are gathered by number
+        strings = pc.utf8_split_whitespace(pa.array(lowered, pa.large_string()))
+        different = strings.flatten().dictionary_encode()
+        names, number = different.dictionary.to_numpy(zero_copy_only=False).tolist(), different.indices.to_numpy()
+        known = self.known
+        self.learn({s for s in names if s and s not in known})
+        known.setdefault("", b"")
+        ids = [known[s] for s in names]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        many = sizes[number]
+        ends = np.cumsum(many)
+        found = pool[np.repeat(first[number] - (ends - many), many) + np.arange(int(many.sum()))]
+        bounds = np.concatenate([[0], ends])[strings.offsets.to_numpy()].tolist()
+        for i, a, b in zip(plain, bounds, bounds[1:]):
+            out[i] = found[a:b].tobytes()
         return out
 
 
 _encoders: dict[str, CachedEncoder] = {}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2_000_000) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 4_000_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: one row a piece of at most ``capacity`` ids.
 
     ``at_once``: characters that are encoded together, which bounds a task's memory.
