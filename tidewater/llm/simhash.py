@@ -77,19 +77,47 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: list) -> None:
+class Links:
+    """Pairs of rows of which only a spanning forest is held: never all pairs of a dense group."""
+
+    def __init__(self, rows: int, most: int = 500_000):
+        self.rows, self.most, self.held, self.count = rows, max(most, 2 * rows), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append((a, b))
+            self.count += len(a)
+            if self.count > self.most:
+                self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.empty(0, np.int64),) * 2
+        label = _forest(self.rows, a, b)
+        hung = np.flatnonzero(label != np.arange(self.rows))
+        self.held, self.count = [(hung, label[hung])], len(hung)
+        return self.held[0]
+
+
+def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: Links) -> None:
     """All pairs within a, or between a and b, in blocks of a bounded number of cells."""
-    step = max(1, 1_000_000 // max(1, len(a if b is None else b)))
+    step = max(1, 250_000 // max(1, len(a if b is None else b)))
     for at in range(0, len(a), step):
-        rows = a[at : at + step]
-        i, j = np.nonzero(distance(x[rows][:, None], x[a if b is None else b][None]) <= r)
-        left, right = rows[i], (a if b is None else b)[j]
-        keep = left < right if b is None else left != right
-        out.append((left[keep], right[keep]))
+        rows, them = a[at : at + step], a[at:] if b is None else b
+        d = np.zeros((len(rows), len(them)), np.uint16)
+        for lane in range(x.shape[1]):
+            d += np.bitwise_count(x[rows, lane][:, None] ^ x[them, lane][None])
+        i, j = np.nonzero(d <= r)
+        left, right = rows[i], them[j]
+        keep = left != right
+        out.add(left[keep], right[keep])
+
 
+def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: Links, leaf: int = 96) -> None:
+    """Links of ``rows`` at distance ``r`` or less, by a vantage-point tree.
 
-def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: list, leaf: int = 96) -> None:
-    """All pairs of ``rows`` at distance ``r`` or less, by a vantage-point tree."""
+    Where many rows lie within ``r`` of the vantage point, they are linked through it and not
+    compared with each other.
+    """
     todo = [rows]
     while todo:
         rows = todo.pop()
@@ -97,17 +125,24 @@ def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: list, leaf: int = 96)
             if len(rows) > 1:
                 _brute(x, rows, None, r, out)
             continue
-        d = distance(x[rows], x[rows[len(rows) // 2]])
-        radius = int(np.median(d))
+        vantage = rows[len(rows) // 2]
+        d = distance(x[rows], x[vantage])
+        ball = d <= r
+        dense = 8 * ball.sum() >= len(rows)
+        radius = r if dense else int(np.median(d))
         inside = d <= radius
-        if inside.all():
-            inside = d < radius
+        if inside.all() and not dense:
             radius -= 1
+            inside = d <= radius
         a, b = rows[inside], rows[~inside]
-        if not len(a) or not len(b):
+        if dense:
+            out.add(a[a != vantage], np.full(len(a) - 1, vantage))
+            todo += [b]
+        elif not len(a) or not len(b):
             _brute(x, rows, None, r, out)
             continue
-        todo += [a, b]
+        else:
+            todo += [a, b]
         # a pair across the boundary lies within r of it on both sides; inner rings meet outer ones up to r further
         near, far = d[inside] > radius - r, d[~inside] <= radius + r
         da, db = d[inside][near], d[~inside][far]
@@ -195,11 +230,11 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], m
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         order = np.lexsort((node, key))
         key, node, x = key[order], node[order], _lanes(t.column("fp"), width)[order]
-        out: list = []
+        out = Links(len(key))
         for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
             if len(rows) > 1:
                 vp_pairs(x, rows, r, out)
-        a, b = (np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ((), ())))
+        a, b = out.shrink()
         # a row that is in several shards of this task is one node
         ids, at = np.unique(node, return_inverse=True)
         label = _forest(len(ids), at[a], at[b])
