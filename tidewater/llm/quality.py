@@ -23,7 +23,7 @@ from .shared import settle
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 SYMBOLS = "#$%&*+/<=>@\\^_`{|}~"
-STATISTICS = ("log_words", "mean_word", "distinct_words", "short_words", "upper", "digits", "symbols", "marks", "stops", "pipes", "lines_per_word", "distinct_lines", "adjacent")
+STATISTICS = ("log_words", "mean_word", "distinct_words", "short_words", "upper", "digits", "symbols", "marks", "stops", "pipes", "lines_per_word", "distinct_lines")
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -34,13 +34,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumns({"_t": text, "_n": F.char_length(text)})
     out = out.withColumns({"_w": F.filter(F.split("_t", r"\s+"), lambda x: x != ""), "_l": F.filter(F.split("_t", "\n"), lambda x: x != "")})
     out = out.withColumn("_k", F.size("_w"))
-    letters = F.aggregate("_w", F.lit(0), lambda a, x: a + F.char_length(x))
-    same = F.size(F.filter(F.arrays_zip(F.slice("_w", 2, F.greatest(F.col("_k") - 1, F.lit(0))).alias("a"), F.slice("_w", 1, F.greatest(F.col("_k") - 1, F.lit(0))).alias("b")), lambda p: p["a"] == p["b"]))
     n, k = F.col("_n"), F.col("_k")
     return out.withColumns(
         {
             "log_words": F.log1p(k.cast("double")),
-            "mean_word": share(letters, k),
+            "mean_word": share(n - k + 1, k),
             "distinct_words": share(F.size(F.array_distinct("_w")), k),
             "short_words": share(F.size(F.filter("_w", lambda x: F.char_length(x) <= 3)), k),
             "upper": share(count(UPPER), n),
@@ -51,7 +49,6 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "pipes": share(count("|"), n),
             "lines_per_word": share(F.size("_l"), k),
             "distinct_lines": share(F.size(F.array_distinct("_l")), F.size("_l")),
-            "adjacent": share(same, k),
         }
     ).drop("_t", "_n", "_w", "_l", "_k")
 
@@ -131,19 +128,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray, names=STATISTICS, trees: int = 60, d
                 here = _holds(x, p)
                 z[here] += 0.3 * g[here].mean() / max(1e-3, (y[here].mean() * (1 - y[here].mean()))) if 0 < y[here].mean() < 1 else 0.3 * np.sign(g[here].mean() if here.any() else 0)
         z = np.clip(z, -6, 6)
-    r = np.stack([_holds(x, p) for p in paths], 1).astype(np.float64)
-    support = r.mean(0)
-    keep = np.flatnonzero((support > 0.002) & (support < 0.998))
-    _, first = np.unique(r[:, keep], axis=1, return_index=True)
-    keep = keep[np.sort(first)]
-    r, kept = r[:, keep], [list(paths)[i] for i in keep]
+    # rules that hold for (nearly) all or no rows, or for the same rows as one before, say nothing new
+    distinct: dict[bytes, tuple] = {}
+    for p in paths:
+        here = _holds(x, p)
+        if 0.002 < here.mean() < 0.998:
+            distinct.setdefault(np.packbits(here).tobytes(), p)
+    kept = list(distinct.values())
+    r = np.empty((len(y), len(kept)), np.float32)
+    for k, p in enumerate(kept):
+        r[:, k] = _holds(x, p)
     w, b = np.zeros(r.shape[1]), math.log(y.mean() / (1 - y.mean()))
     v, c, t = w.copy(), b, 1.0
     sample = r[rng.choice(len(r), min(len(r), 2000), replace=False)]
     rate = 1 / (0.25 * (np.linalg.norm(sample, 2) ** 2 / len(sample) + 1))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(r @ v + c)))
-        new = v - rate * (r.T @ (p - y) / len(y))
+        p = 1 / (1 + np.exp(-(r @ v.astype(np.float32) + c)))
+        new = v - rate * ((p - y).astype(np.float32) @ r / len(y))
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         at = c - rate * float((p - y).mean())
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -158,12 +159,27 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    return labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where(F.col("_y").isNotNull() & ~held_out(F.col("_id")))
+
+
+def _fit(sample: DataFrame, options: dict) -> RuleModel:
+    rows = sample.toPandas()
+    return fit_rules(rows[list(STATISTICS)].to_numpy(), rows["_y"].to_numpy(), **options)
+
+
 def train(measured: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", label_col: str = "quality", **options) -> RuleModel:
     """Fits the rules on at most ``sample_rows`` labelled rows (those of the smallest hash), never on held-out ones."""
-    marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where(F.col("_y").isNotNull() & ~held_out(F.col("_id")))
-    rows = measured.select(F.col(id_col).alias("_id"), *STATISTICS).join(marks, "_id")
-    sample = rows.orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id").toPandas()
-    return fit_rules(sample[list(STATISTICS)].to_numpy(), sample["_y"].to_numpy(), **options)
+    rows = measured.select(F.col(id_col).alias("_id"), *STATISTICS).join(_labelled(labels, id_col, label_col), "_id")
+    return _fit(rows.orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id"), options)
+
+
+def train_on_texts(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> RuleModel:
+    """Like :func:`train`, measuring only the documents of at most ``sample_rows`` labels, which are broadcast."""
+    some = _labelled(labels, id_col, label_col).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
+    measured = with_statistics(rows).select("_id", "_y", *STATISTICS)
+    return _fit(measured.orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id"), options)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> DataFrame:
@@ -176,7 +192,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their own columns."""
-    measured = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).drop("text")
-    model = train(measured, labels.withColumnRenamed(id_col, "doc_id"), sample_rows)
+    model = train_on_texts(docs, labels, sample_rows, id_col, text_col)
     plain = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
     return with_statistics(plain, "_text").where(F.round(model.score(), 9) >= threshold).select("_row.*")
