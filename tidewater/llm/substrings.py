@@ -51,13 +51,13 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
 
 
 def segments(x: np.ndarray, ends: np.ndarray, length: int):
-    """Segments of concatenated texts: ``(text number, first window, windows, anchor hash)`` arrays, windows counted in ``x``.
+    """Segments of concatenated texts: ``(text number, first window, windows, anchor hash, kind)`` arrays, windows counted in ``x``.
 
-    ``x`` holds fewer than 2**28 bytes.
+    Segments of one kind have the same anchor, size and K bytes at either end. ``x`` holds fewer than 2**28 bytes.
     """
     none = np.empty(0, np.int64)
     if len(x) < length:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = gram_hashes(x)
     key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
     width, span, low = length - K + 1, 1, key
@@ -71,11 +71,13 @@ def segments(x: np.ndarray, ends: np.ndarray, length: int):
     text = np.searchsorted(ends, start, side="right")
     inside = np.flatnonzero(start + length <= ends[np.minimum(text, len(ends) - 1)])
     if not inside.size:
-        return none, none, none, np.empty(0, np.uint64)
+        return none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
     place, text = place[inside], text[inside]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(text) != 0)]))
     many = np.diff(np.append(first, len(place)))
-    return text[first], inside[first], many, h[place[first]]
+    begin = inside[first]
+    kind = ((h[place[first]] * _N) ^ h[begin]) * _M ^ (h[begin + many - 1 + length - K] * _N) ^ many.astype(np.uint64)
+    return text[first], begin, many, h[place[first]], kind
 
 
 def _portions(batches, at_once: int = 1 << 18):
@@ -254,6 +256,7 @@ def _scan_shard(length: int):
         hit, first, x = repeated_windows(parts, windows, length)
         raw = x.tobytes()
         out: list[list] = [[], [], [], [], []]
+        told: set = set()
         for k, g in enumerate(row):
             mask = hit[first[k] : first[k] + windows[k]]
             whole = many[g] > 1
@@ -263,11 +266,13 @@ def _scan_shard(length: int):
                 a, b = _runs(mask)
                 for c, v in zip(out, (g, a, b, None, None)):
                     c.append(v)
-            if split[k]:  # other shards hold segments of this anchor: tell them this one's windows
+            if split[k]:  # other shards hold segments of this anchor: tell them this one's windows, each once
                 for o in range(int(windows[k])):
-                    w = raw[first[k] + o : first[k] + o + length]
-                    for c, v in zip(out, (g, None, None, xxh3_128_digest(w), o if not mask[o] else -1)):
-                        c.append(v)
+                    w = xxh3_128_digest(raw[first[k] + o : first[k] + o + length])
+                    if w not in told:
+                        told.add(w)
+                        for c, v in zip(out, (g, None, None, w, -1 if mask[o] else o)):
+                            c.append(v)
         return pa.table([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int32()))], names=["g", "a", "b", "w", "o"])
 
     return scan
@@ -292,23 +297,29 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, i
     texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
 
     def anchors(batches):
+        """Per anchor of a portion: how often it occurs, and in how many kinds of segments."""
         for keys, counts, raw in _portions(batches):
-            _, _, (text, _, _, h) = _cut(raw, length)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.array(counts, np.int64)[text])], names=["h", "c"])
-
-    often = settle(texts.mapInArrow(anchors, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
-    kinds, total = often.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+            _, _, (text, _, _, h, kind) = _cut(raw, length)
+            order = np.lexsort((kind, h))
+            h, kind, c = h[order], kind[order], np.array(counts, np.int64)[text][order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+            new = np.concatenate([[1], ((kind[1:] != kind[:-1]) | (h[1:] != h[:-1])).astype(np.int64)]) if len(h) else c
+            if first.size:
+                yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(c, first)), pa.array(np.add.reduceat(new, first))], names=["h", "c", "d"])
+
+    often = settle(texts.mapInArrow(anchors, "h long, c long, d long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where("c > 1"))
+    kinds, total = often.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
     filter_ = Bloom(kinds)
     known = sc.broadcast(filter_.build(often, "h"))
-    # anchors with a large share are dealt to several shards; there are at most total / limit of them
+    # anchors of many different segments are dealt to several shards; there are at most total / limit of them
     limit = max(shard_rows // 4, total // 200_000)
-    hot = sc.broadcast({r["h"]: -(-r["c"] // limit) for r in often.where(F.col("c") > limit).toLocalIterator()})
+    hot = sc.broadcast({r["h"]: -(-r["d"] // limit) for r in often.where(F.col("d") > limit).toLocalIterator()})
     shards = max(1, -(-total // shard_rows))
 
     def suspects(batches, each):
         bitmap = np.frombuffer(known.value, np.uint8)
         for keys, counts, raw in _portions(batches):
-            blob, ends, (text, first, many, h) = _cut(raw, length)
+            blob, ends, (text, first, many, h, _) = _cut(raw, length)
             ok = np.flatnonzero(filter_.holds(bitmap, h))
             if ok.size:
                 begin = ends - np.array([len(b) for b in raw])
