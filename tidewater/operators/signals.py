@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,11 @@ def sector_targets(moves: DataFrame, members: Mapping = rules.SECTORS, base=rule
     return hot.union(spark.createDataFrame([(s,) for s in base], "symbol string")).distinct()
 
 
+def watch_list(*lists: DataFrame) -> DataFrame:
+    """Symbols of all lists (core list, scouted targets, held shares), each once."""
+    return functools.reduce(DataFrame.union, (x.select("symbol") for x in lists)).distinct()
+
+
 def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, targets: DataFrame, market_regime: str = "UNKNOWN", allowed: bool = True, every: bool = False) -> DataFrame:
     """Cross signals per symbol at its last bar, or at ``every`` bar.
 

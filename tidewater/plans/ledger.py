@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import rules
-from ..operators import fleet, ledger, options
+from ..operators import fleet, ledger, options, signals
 from ..sources import documents, fixtures, scans, sinks
 
 #: Logs that the profit report reads, and those that the export does.
@@ -155,6 +155,11 @@ def target_list(s, d):
     return documents.targets(docs)
 
 
+def watch_list(s, d):
+    held = fixtures.positions(s, d).where("asset_class = 'US_EQUITY'").select("symbol")
+    return signals.watch_list(s.createDataFrame([(x,) for x in rules.REPORT_OWNERS["survivor_bot"]], "symbol string"), target_list(s, d), held)
+
+
 def line_protocol(s, d):
     rows = ledger.unrealized_by_owner(fixtures.positions(s, d)).select("bot", F.format_string("%.2f", F.round("allocation", 2)).alias("note"), F.lit(1).alias("n"))
     return sinks.line_protocol(rows, "bot_performance", ["bot"], ["note", "n"])
@@ -165,7 +170,7 @@ QUERIES = {
     "unrealized_by_owner": unrealized_by_owner, "bot_performance": bot_performance, "budget_check": budget_check, "position_lookup": position_lookup, "latest_quote": latest_quote,
     "contract_filter": contract_filter, "wheel_put": _wheel("PUT"), "wheel_call": _wheel("CALL"), "condor_legs": condor_legs, "leg_pricing": leg_pricing, "take_profit": take_profit, "option_root": option_root,
     "active_options": active_options, "wheel_buying_power": wheel_buying_power, "condor_candidate": condor_candidate, "fleet_reconcile": fleet_reconcile, "emergency_stop": emergency_stop,
-    "process_metrics": process_metrics, "config_bots": config_bots, "target_list": target_list, "line_protocol": line_protocol,
+    "process_metrics": process_metrics, "config_bots": config_bots, "target_list": target_list, "watch_list": watch_list, "line_protocol": line_protocol,
 }
 
 _LOG = "CASE l_linenumber % 7 WHEN 1 THEN 'trades' WHEN 2 THEN 'crypto_trades' WHEN 3 THEN 'survivor_trades' WHEN 4 THEN 'wheel_trades' WHEN 5 THEN 'condor_trades' ELSE 'breakout_trades' END"
@@ -190,7 +195,7 @@ real AS (SELECT CASE bot_type WHEN 'crypto_trades' THEN 'crypto_grid' WHEN 'surv
 _UNREAL = f"""{_P}, h AS (SELECT {_OR} AS bot, sum(unrealized_pl) AS u, sum(market_value) AS a FROM p GROUP BY 1), un AS (SELECT bot, coalesce(u, 0) AS unrealized_pl, coalesce(a, 0) AS allocation FROM (VALUES {_BOTS}) AS d(bot) LEFT JOIN h USING (bot))"""
 _C = """c AS (SELECT p_brand || '-' || p_partkey AS symbol, p_brand AS underlying, CASE WHEN p_partkey % 2 = 0 THEN 'PUT' ELSE 'CALL' END AS type, (DATE '2024-01-01' + p_size::INTEGER) AS expiration,
   round((p_retailprice - 900.0::DOUBLE) * 9 + 500.0, 2) AS strike, 'active' AS status, p_size, p_partkey FROM part)"""
-_CONFIG = "cfg(bot, script, status, strategy, allocation) AS (VALUES ('crypto_grid', 'crypto_grid.py', 'active', 'neutral', 0.2::DOUBLE), ('survivor_bot', 'survivor_bot.py', 'active', 'long_only', 0.5), ('wheel_bot', 'wheel_bot.py', 'paused', 'conservative', 0.0), ('trend_bot', 'trend_bot.py', 'active', 'aggressive', 9000.0), ('moon_bag', 'crypto_breakout.py', 'paused', 'breakout', 4000.0), ('condor_bot', 'condor_bot.py', 'active', 'iron_condor', 0.0))"
+_CONFIG = "cfg(bot, script, status, strategy, allocation) AS (VALUES ('crypto_grid', 'grid_job', 'active', 'neutral', 0.2::DOUBLE), ('survivor_bot', 'survivor_job', 'active', 'long_only', 0.5), ('wheel_bot', 'wheel_job', 'paused', 'conservative', 0.0), ('trend_bot', 'trend_job', 'active', 'aggressive', 9000.0), ('moon_bag', 'breakout_job', 'paused', 'breakout', 4000.0), ('condor_bot', 'condor_job', 'active', 'iron_condor', 0.0))"
 _PROC = "pr(name, status, memory, cpu, restarts, up) AS (VALUES ('crypto_grid', 'online', 1000::BIGINT, 1.5::DOUBLE, 2::BIGINT, 1700000000000), ('survivor_bot', 'stopped', 10, 0.0, 7, 1700000000000), ('wheel_bot', 'online', 0, 0.0, 0, 1700000500000), ('condor_bot', 'errored', 0, 0.0, 0, NULL), ('supervisor', 'online', 5, 0.5, 1, 1700000900000))"
 
 
@@ -237,5 +242,6 @@ SQL = {
     "process_metrics": f"WITH {_PROC} SELECT 'host1' AS host, name AS bot, CASE WHEN status = 'online' THEN 1 ELSE 0 END AS status_code, memory, cpu, restarts, CASE WHEN status = 'online' THEN {fixtures.NOW_MS} - up ELSE 0 END::BIGINT AS uptime FROM pr",
     "config_bots": f"WITH {_CONFIG} SELECT *, 'normal' AS market_condition, false AS emergency_stop FROM cfg",
     "target_list": "SELECT * FROM (VALUES ('AMD'), ('XOM')) AS t(symbol)",
+    "watch_list": f"WITH {_P} SELECT symbol FROM p WHERE asset_class = 'US_EQUITY' UNION SELECT * FROM (VALUES ('AMD'), ('XOM'), ('TQQQ'), ('SQQQ'), ('SOXL'), ('SOXS'), ('FNGU'), ('UPRO')) AS v(symbol)",
     "line_protocol": f"WITH {_UNREAL} SELECT printf('bot_performance,bot=%s note=\"%.2f\",n=1', bot, round(allocation, 2)) AS line FROM un",
 }
