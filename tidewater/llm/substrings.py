@@ -37,17 +37,21 @@ K = 32
 _PLACE = np.uint64((1 << 28) - 1)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xD6E8FEB86659FD93)
+#: One pseudo-random word for each byte.
+_BYTES = np.random.default_rng(2024).integers(0, 2**64, 256, dtype=np.uint64)
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
-    """64-bit hashes of all K-byte strings of ``x`` (uint8), by doubling."""
-    h, k = (x.astype(np.uint64) + np.uint64(1)) * _M, 1
+    """64-bit hashes of all K-byte strings of ``x`` (uint8): polynomials by doubling, then mixed."""
+    h, k, power = _BYTES[x], 1, _N
     while k < K:
-        h = ((h[:-k] * _N) ^ (h[k:] + (h[k:] >> np.uint64(29)))) * _M
-        k *= 2
+        left = h[:-k] * power
+        left += h[k:]
+        h, k, power = left, 2 * k, np.uint64(int(power) ** 2 % 2**64)
     h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h *= _M
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def segments(x: np.ndarray, ends: np.ndarray, length: int):
@@ -55,29 +59,28 @@ def segments(x: np.ndarray, ends: np.ndarray, length: int):
 
     Segments of one kind have the same anchor, size and K bytes at either end. ``x`` holds fewer than 2**28 bytes.
     """
-    none = np.empty(0, np.int64)
     if len(x) < length:
+        none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
     h = gram_hashes(x)
-    key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
-    width, span, low = length - K + 1, 1, key
+    low = h & ~_PLACE
+    low |= _PLACE - np.arange(len(h), dtype=np.uint64)
+    width, span = length - K + 1, 1
     while span * 2 <= width:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if width > span:
         low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    place = (_PLACE - (low & _PLACE)).astype(np.int64)
-    start = np.arange(len(place))
-    text = np.searchsorted(ends, start, side="right")
-    inside = np.flatnonzero(start + length <= ends[np.minimum(text, len(ends) - 1)])
-    if not inside.size:
-        return none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    place, text = place[inside], text[inside]
-    first = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(text) != 0)]))
-    many = np.diff(np.append(first, len(place)))
-    begin = inside[first]
-    kind = ((h[place[first]] * _N) ^ h[begin]) * _M ^ (h[begin + many - 1 + length - K] * _N) ^ many.astype(np.uint64)
-    return text[first], begin, many, h[place[first]], kind
+    # a segment begins where the anchor changes and where a text does, and ends with the text's last window
+    begins = ends[:-1][ends[:-1] < len(low)]
+    first = np.union1d(np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1]), begins)
+    text = np.searchsorted(ends, first, side="right")
+    last = np.minimum(np.append(first[1:], len(low)), ends[np.minimum(text, len(ends) - 1)] - (length - 1))
+    kept = np.flatnonzero(last > first)
+    text, first, many = text[kept], first[kept], (last - first)[kept]
+    anchor = h[(_PLACE - (low[first] & _PLACE)).astype(np.int64)]
+    kind = ((anchor * _N) ^ h[first]) * _M ^ (h[first + many - 1 + length - K] * _N) ^ many.astype(np.uint64)
+    return text, first, many, anchor, kind
 
 
 def _portions(batches, at_once: int = 1 << 18):
