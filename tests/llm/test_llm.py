@@ -122,11 +122,24 @@ def test_vp_pairs_connect_what_is_near():
     x = np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, (60, 3)).astype(np.uint64)).sum(1, dtype=np.uint64) for c in centre])[:, None]
     out = simhash.Links(len(x), most=50)
     simhash.vp_pairs(x, np.arange(len(x)), 4, out)
-    got = simhash._forest(len(x), *out.shrink())
+    got = simhash._forest(len(x), *out.shrink()[:2])
     near = [(i, j) for i in range(len(x)) for j in range(i) if int(x[i, 0] ^ x[j, 0]).bit_count() <= 4]
     assert got.tolist() == brute_components(len(x), near)
 
 
+def test_resemblance():
+    rng = random.Random(4)
+    a = words(rng, 200, 5000).split()
+    b = [w if i % 25 else "other" for i, w in enumerate(a)]
+    sets = [{" ".join(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b)]
+    want = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    x, y = (simhash.fingerprint_and_sketch(" ".join(t), 5, 1, k=256)[1] for t in (a, b))
+    assert simhash.resemblance(x, y, 256) == pytest.approx(want, abs=1e-9)
+    x, y = (simhash.fingerprint_and_sketch(" ".join(t), 5, 1, k=64)[1] for t in (a, b))
+    assert simhash.resemblance(x, y, 64) == pytest.approx(want, abs=0.25)
+    assert simhash.resemblance(b"", b"", 8) == 1.0
+
+
 def test_connected_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}
@@ -424,6 +437,21 @@ def test_leaks(spark, block):
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0
 
 
+# ---- shared tables
+
+
+def test_written_tables_are_removed(spark):
+    import pathlib
+
+    from tidewater.llm import shared
+
+    df = shared.settle(spark.range(3))
+    at = pathlib.Path(df.inputFiles()[0].removeprefix("file://")).parent
+    assert df.count() == 3 and at.exists()
+    shared.forget(spark)
+    assert not at.exists()
+
+
 # ---- queries and pipeline
 
 
