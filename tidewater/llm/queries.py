@@ -74,6 +74,32 @@ FROM page LEFT JOIN known ON page.host = known.host LEFT JOIN fits ON page.host
 """.replace("{fit}", "coalesce(CASE WHEN (sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0) > 0 THEN greatest(2.0, least(200.0, 1 / ((sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0)) - 1)) ELSE 200.0 END, 200.0)").replace("{two}", ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES))
 
 
+def _op6_sql() -> str:
+    """The same spans in SQL: DuckDB's entropy aggregate over every window; its patterns need no look-behind, as runs are taken whole."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [(k, p.replace("(?<![0-9a-f])", "")) for k, p, _, _ in secrets.BASE] + [("entropy", secrets.CANDIDATE.partition(")")[2])]
+    values = ", ".join(f"({r}, {quote(k)}, {quote(p)})" for r, (k, p) in enumerate(kinds))
+    allowed = " OR ".join(f"regexp_matches(word, {quote(a)})" for a in secrets.ALLOW)
+    least = " ".join(f"WHEN regexp_matches(word, {quote(c)}) THEN {bits}" for c, bits in secrets.CLASSES)
+    windows = "list_max(list_transform(range(1, length(word) - 18), lambda i: list_aggregate(string_split(substr(word, i, 20), ''), 'entropy')))"
+    text = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){where}, '')"
+    many = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""
+WITH k(rank, kind, pat) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+m AS (SELECT r, rank, kind, pat, regexp_extract_all(x, pat) AS w, string_split_regex(x, pat) AS b FROM d, k WHERE regexp_matches(x, pat)),
+i AS (SELECT *, unnest(range(1, len(w) + 1)) AS n FROM m),
+p AS (SELECT r, rank, kind, pat, w[n] AS word, (list_sum(list_transform(b[1:n], lambda v: length(v))) + coalesce(list_sum(list_transform(w[1:n - 1], lambda v: length(v))), 0))::BIGINT AS s FROM i),
+q AS (SELECT *, s + length(word) AS e FROM p WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(word, pat, 2)) >= 8 WHEN 'entropy' THEN NOT ({allowed}) AND {windows} >= CASE {least} END ELSE true END),
+f AS (SELECT * FROM q WHERE kind <> 'entropy' OR NOT EXISTS (SELECT 1 FROM q AS o WHERE o.r = q.r AND o.kind <> 'entropy' AND o.s <= q.s AND q.e <= o.e))
+SELECT doc_id, n_assign, n_access, n_hex, base_sha256, spans FROM (
+  SELECT d.r, any_value(doc_id) AS doc_id, {many}, sha256({text(" FILTER (kind <> 'entropy')")}) AS base_sha256, {text("")} AS spans FROM d LEFT JOIN f ON f.r = d.r GROUP BY d.r)
+"""
+
+
+OP6_SQL = _op6_sql()
+
+
 def op7_quality(spark, sf_dir):
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -121,4 +147,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL}
