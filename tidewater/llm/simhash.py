@@ -36,23 +36,43 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 def fingerprint(text: str | None, words: int = 4, lanes: int = 1, seed: int = 42) -> bytes:
     """Majority bits over the hashes of ``words``-word shingles; 8 bytes a lane, lane i hashed with ``seed + i``."""
+    return fingerprint_and_sketch(text, words, lanes, seed)[0]
+
+
+def fingerprint_and_sketch(text: str | None, words: int, lanes: int, seed: int = 42, k: int = 0) -> tuple[bytes, bytes]:
+    """The fingerprint, and the ``k`` smallest different shingle hashes: all of them for texts of up to k shingles."""
     from xxhash import xxh64_intdigest
 
     found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
     if not found:
-        return bytes(8 * lanes)
+        return bytes(8 * lanes), b""
     joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
     if len(found) <= words:
         shingles = [joined]
     else:
         starts = np.concatenate([[0], ends[:-words]]).tolist()
         shingles = [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
-    half, out = len(shingles), b""
+    half, out, sketch = len(shingles), b"", b""
     for lane in range(lanes):
-        h = np.array([xxh64_intdigest(s, seed + lane) for s in shingles], ">u8").view(np.uint8).reshape(-1, 8)
+        h = np.array([xxh64_intdigest(s, seed + lane) for s in shingles], ">u8")
+        if k and not lane:
+            sketch = np.unique((h.astype(np.uint64) >> np.uint64(32)).astype("<u4"))[:k].tobytes()
+        h = h.view(np.uint8).reshape(-1, 8)
         ones = sum(np.unpackbits(h[at : at + 65536], axis=1).sum(0, dtype=np.int64) for at in range(0, len(h), 65536))
         out += np.packbits(2 * ones > half).tobytes()
-    return out
+    return out, sketch
+
+
+def resemblance(a: bytes, b: bytes, k: int) -> float:
+    """Jaccard similarity from two sketches of the ``k`` smallest hashes; exact if both texts have up to k shingles.
+
+    Among the k smallest hashes of the union, the share that both hold; its error is sqrt(j (1 - j) / k).
+    """
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    either = np.union1d(x, y)
+    if len(x) == k or len(y) == k:
+        either = either[:k]
+    return float(np.isin(either, np.intersect1d(x, y)).mean()) if len(either) else 1.0
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,23 +98,37 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Links:
-    """Pairs of rows of which only a spanning forest is held: never all pairs of a dense group."""
+    """Pairs of rows of which only a spanning forest of the closest is held: never all pairs of a dense group."""
 
     def __init__(self, rows: int, most: int = 500_000):
         self.rows, self.most, self.held, self.count = rows, max(most, 2 * rows), [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         if len(a):
-            self.held.append((a, b))
+            self.held.append((a, b, d))
             self.count += len(a)
             if self.count > self.most:
                 self.shrink()
 
-    def shrink(self) -> tuple[np.ndarray, np.ndarray]:
-        a, b = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.empty(0, np.int64),) * 2
-        label = _forest(self.rows, a, b)
-        hung = np.flatnonzero(label != np.arange(self.rows))
-        self.held, self.count = [(hung, label[hung])], len(hung)
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every component takes its closest pair to another one, until none is left (Boruvka)."""
+        if not self.held:
+            return (np.empty(0, np.int64),) * 3
+        a, b, d = (np.concatenate(c) for c in zip(*self.held))
+        order = np.argsort(d, kind="stable")
+        a, b, d = a[order], b[order], d[order]
+        label, chosen = np.arange(self.rows), []
+        while len(a):
+            la, lb = label[a], label[b]
+            apart = la != lb
+            a, b, d, la, lb = a[apart], b[apart], d[apart], la[apart], lb[apart]
+            if not len(a):
+                break
+            pick = np.unique(np.maximum(la, lb), return_index=True)[1]
+            chosen.append((a[pick], b[pick], d[pick]))
+            label = _forest(self.rows, la[pick], lb[pick])[label]
+        self.held = [tuple(np.concatenate(c) for c in zip(*chosen))]
+        self.count = len(self.held[0][0])
         return self.held[0]
 
 
@@ -109,15 +143,16 @@ def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: Link
         i, j = np.nonzero(d <= r)
         left, right = rows[i], them[j]
         keep = left != right
-        out.add(left[keep], right[keep])
+        out.add(left[keep], right[keep], d[i, j][keep].astype(np.int64))
 
 
-def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: Links, leaf: int = 96) -> None:
+def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: Links, close: int | None = None, leaf: int = 96) -> None:
     """Links of ``rows`` at distance ``r`` or less, by a vantage-point tree.
 
-    Where many rows lie within ``r`` of the vantage point, they are linked through it and not
-    compared with each other.
+    Where many rows lie within ``close`` (or ``r``) of the vantage point, they are linked through it
+    and not compared with each other.
     """
+    close = r if close is None else close
     todo = [rows]
     while todo:
         rows = todo.pop()
@@ -127,16 +162,15 @@ def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: Links, leaf: int = 96
             continue
         vantage = rows[len(rows) // 2]
         d = distance(x[rows], x[vantage])
-        ball = d <= r
-        dense = 8 * ball.sum() >= len(rows)
-        radius = r if dense else int(np.median(d))
+        dense = 8 * (d <= close).sum() >= len(rows)
+        radius = close if dense else int(np.median(d))
         inside = d <= radius
         if inside.all() and not dense:
             radius -= 1
             inside = d <= radius
         a, b = rows[inside], rows[~inside]
         if dense:
-            out.add(a[a != vantage], np.full(len(a) - 1, vantage))
+            out.add(a[a != vantage], np.full(len(a) - 1, vantage), d[inside][a != vantage])
             todo += [b]
         elif not len(a) or not len(b):
             _brute(x, rows, None, r, out)
@@ -219,8 +253,8 @@ def _refine(members: DataFrame, width: int, r: int, most: int, levels: int = 10)
     raise AssertionError
 
 
-def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], most: int, shard_rows: int) -> DataFrame:
-    """A spanning forest of the links found in every shard, ``(a, b)`` with a > b."""
+def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], most: int, shard_rows: int, close: int | None = None) -> DataFrame:
+    """A spanning forest of the closest links found in every shard: ``(a, b, d)``, d the distance."""
     members = settle(nodes.mapInArrow(_shard_keys(width, bands), "key long, node long, fp binary"))
     total = members.count()
     members = _refine(members, width, r, most)
@@ -233,16 +267,12 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], m
         out = Links(len(key))
         for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
             if len(rows) > 1:
-                vp_pairs(x, rows, r, out)
-        a, b = out.shrink()
-        # a row that is in several shards of this task is one node
-        ids, at = np.unique(node, return_inverse=True)
-        label = _forest(len(ids), at[a], at[b])
-        hung = np.flatnonzero(label != np.arange(len(ids)))
-        return pa.table({"a": ids[hung], "b": ids[label[hung]]})
+                vp_pairs(x, rows, r, out, close)
+        a, b, d = out.shrink()
+        return pa.table({"a": node[a], "b": node[b], "d": d})
 
     dealt = members.withColumn("_g", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return dealt.groupBy("_g").applyInArrow(search, "a long, b long")
+    return dealt.groupBy("_g").applyInArrow(search, "a long, b long, d long")
 
 
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -291,43 +321,56 @@ def _grouped(marked: DataFrame, radius: int, lanes: int, bands: int | None, band
     return marked.join(known, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, lanes: int = 4, radius: int = 38, bands: int = 21, band_bits: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 48, close: int = 26, bands: int = 21, band_bits: int = 12, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row of each group stays, that of the smallest id (and, among rows of one id, the smallest hash).
 
-    Near means a similarity of 0.8 or more on ``words``-word shingles: at a resemblance of 0.8 the
-    angle between two texts makes 15 % of the bits differ, 38 of 256. Bands of 12 bits meet such a
-    pair in one of 21 with a chance of 0.96, closer pairs with more.
+    Near means a similarity of ``similarity`` or more on ``words``-word shingles. At a resemblance of
+    0.8 the angle between two texts makes 15 % of 256 bits differ, 38 give or take 6, so links reach to
+    48; bands of 12 bits meet such a pair in one of 21 with a chance of 0.96, closer pairs with more.
+    Up to ``close`` bits a link holds by itself (a resemblance of 0.9 differs in 27); beyond, the
+    sketches of the two texts must agree, which is exact up to ``sketch`` shingles. Of the links of a
+    shard only a spanning forest of the closest is looked at, so that no group is compared in pairs.
     """
+    from pyspark.sql import Window
+
     key = lambda: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
-    marked = settle(with_row_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key().alias("row")), words, lanes))
-    grouped = _grouped_rows(marked, radius, lanes, bands, band_bits)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key().alias("row"))
+    marked = settle(_row_marks(rows, words, lanes, sketch))
+    cuts = np.linspace(0, 64 * lanes, bands + 1).astype(int)
+    spans = [(int(a), int(min(b, a + band_bits))) for a, b in zip(cuts, cuts[1:])]
+    nodes = settle(marked.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
+    found = settle(_links(nodes.select("node", "fp"), 8 * lanes, radius, spans, 8192, 16_384, close))
+
+    @F.pandas_udf("boolean")
+    def alike(x, y):
+        return x.combine(y, lambda p, q: resemblance(p, q, sketch) >= similarity).astype(bool)
+
+    doubt = found.where(F.col("d") > close).select("a", "b").distinct()
+    asked = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = settle(marked.select(F.xxhash64("fp").alias("node"), "sketch").join(asked, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")))
+    doubt = doubt.join(known.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
+    sure = found.where(F.col("d") <= close).select("a", "b").unionAll(doubt.where(alike("x", "y")).select("a", "b"))
+    roots = connected(sure)
+    placed = nodes.select("node", "fp").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
+    grouped = marked.select("doc_id", "row", "fp").join(placed, "fp")
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row").alias("_row"))
     kept = docs.withColumn("_row", key()).join(best, "_row", "left_semi")
     # rows repeated in full are alike: one of them stays, found without another exchange
-    from pyspark.sql import Window
-
     return kept.withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).where("_k = 1").select(*docs.columns)
 
 
-def with_row_fingerprints(rows: DataFrame, words: int, lanes: int) -> DataFrame:
-    """``(doc_id, row, fp)`` from ``(doc_id, text, row struct<h, c>)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("fp", pa.binary())])
+def _row_marks(rows: DataFrame, words: int, lanes: int, sketch: int) -> DataFrame:
+    """``(doc_id, row, fp, sketch)`` from ``(doc_id, text, row struct<h, c>)``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for b in batches:
-            fps = [fingerprint(t.as_py(), words, lanes) for t in b.column(1)]
-            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(fps, pa.binary())], schema=schema)
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                found = [fingerprint_and_sketch(t.as_py(), words, lanes, k=sketch) for t in part.column(1)]
+                yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], schema=schema)
 
-    flat = rows.select("doc_id", "text", "row.h", "row.c").mapInArrow(run, "doc_id long, h long, c long, fp binary")
-    return flat.select("doc_id", F.struct("h", "c").alias("row"), "fp")
-
-
-def _grouped_rows(marked: DataFrame, radius: int, lanes: int, bands: int, band_bits: int) -> DataFrame:
-    """``(doc_id, row, component)``; the component is a fingerprint's node, never null."""
-    bits = 64 * lanes
-    cuts = np.linspace(0, bits, bands + 1).astype(int)
-    spans = [(int(a), int(min(b, a + band_bits))) for a, b in zip(cuts, cuts[1:])]
-    nodes = settle(marked.groupBy("fp").agg(F.count("*").alias("n")).withColumn("node", F.xxhash64("fp")))
-    roots = connected(_links(nodes.select("node", "fp"), 8 * lanes, radius, spans, 8192, 16_384))
-    known = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    return marked.join(known, "fp").select("doc_id", "row", "component")
+    flat = rows.select("doc_id", "text", "row.h", "row.c").mapInArrow(run, "doc_id long, h long, c long, fp binary, sketch binary")
+    return flat.select("doc_id", F.struct("h", "c").alias("row"), "fp", "sketch")
