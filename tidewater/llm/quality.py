@@ -159,8 +159,12 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    return labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where(F.col("_y").isNotNull() & ~held_out(F.col("_id")))
+def _labelled(labels: DataFrame, sample_rows: int, id_col: str, label_col: str) -> DataFrame:
+    """Labels that may be learnt from, thinned by hash to little more than ``sample_rows``: ``(_id, _y, _key)``."""
+    key = F.shiftrightunsigned(F.xxhash64("_id"), 1)
+    rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where(F.col("_y").isNotNull() & ~held_out(F.col("_id"))).withColumn("_key", key)
+    share = 1.3 * sample_rows / max(1, rows.count())
+    return rows if share >= 1 else rows.where(F.col("_key") < int(share * 2**63))
 
 
 def _fit(sample: DataFrame, options: dict) -> RuleModel:
@@ -170,16 +174,16 @@ def _fit(sample: DataFrame, options: dict) -> RuleModel:
 
 def train(measured: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", label_col: str = "quality", **options) -> RuleModel:
     """Fits the rules on at most ``sample_rows`` labelled rows (those of the smallest hash), never on held-out ones."""
-    rows = measured.select(F.col(id_col).alias("_id"), *STATISTICS).join(_labelled(labels, id_col, label_col), "_id")
-    return _fit(rows.orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id"), options)
+    rows = measured.select(F.col(id_col).alias("_id"), *STATISTICS).join(_labelled(labels, sample_rows, id_col, label_col), "_id")
+    return _fit(rows.orderBy("_key", "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id", "_key"), options)
 
 
 def train_on_texts(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> RuleModel:
     """Like :func:`train`, measuring only the documents of at most ``sample_rows`` labels, which are broadcast."""
-    some = _labelled(labels, id_col, label_col).orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows)
+    some = _labelled(labels, sample_rows, id_col, label_col).orderBy("_key", "_id", "_y").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(some), "_id")
-    measured = with_statistics(rows).select("_id", "_y", *STATISTICS)
-    return _fit(measured.orderBy(F.xxhash64("_id"), "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id"), options)
+    measured = with_statistics(rows).select("_id", "_y", "_key", *STATISTICS)
+    return _fit(measured.orderBy("_key", "_id", "_y", *STATISTICS).limit(sample_rows).drop("_id", "_key"), options)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000) -> DataFrame:
