@@ -39,7 +39,7 @@ class CachedEncoder:
     Texts with special strings or rare control characters go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -117,7 +117,7 @@ class CachedEncoder:
 _encoders: dict[str, CachedEncoder] = {}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 4_000_000) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2_000_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: one row a piece of at most ``capacity`` ids.
 
     ``at_once``: characters that are encoded together, which bounds a task's memory.

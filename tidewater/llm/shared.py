@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 2000
 #: Tables written by this driver, until :func:`forget` removes them.
 _written: list[str] = []
 
@@ -34,7 +36,15 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    # rows of text are long: fewer of them are handed to Python workers at a time
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        if not 0 < int(before) <= BATCH_ROWS:
+            spark.conf.set(batch, BATCH_ROWS)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(batch, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

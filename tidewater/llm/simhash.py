@@ -288,7 +288,7 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
             break
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
         links = settle(star.where("a <> b").distinct())
@@ -349,7 +349,8 @@ def drop_near_copies(
 
     doubt = found.where(F.col("d") > close).select("a", "b").distinct()
     asked = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = settle(marked.select(F.xxhash64("fp").alias("node"), "sketch").join(asked, "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch")))
+    sketches = marked.groupBy(F.xxhash64("fp").alias("node")).agg(F.min("sketch").alias("sketch"))  # exact copies meet before they are sent
+    known = settle(sketches.join(asked, "node", "left_semi"))
     doubt = doubt.join(known.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
     sure = found.where(F.col("d") <= close).select("a", "b").unionAll(doubt.where(alike("x", "y")).select("a", "b"))
     roots = connected(sure)
