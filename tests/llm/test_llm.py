@@ -158,6 +158,30 @@ def test_near_copies_leave_one(spark):
     assert sorted((r["doc_id"], bool(r["text"])) for r in got) == [(0, True), (3, False), (3, True), (4, True)]
 
 
+def test_forest_takes_the_closest_links_of_both_ends():
+    out = simhash.Links(3)
+    out.add(np.array([0, 1, 0]), np.array([1, 2, 2]), np.array([40, 30, 20]))
+    assert sorted(zip(*(c.tolist() for c in out.shrink()))) == [(0, 2, 20), (1, 2, 30)]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(14):
+        centre = words(rng, 400, 50_000).split()
+        for _ in range(12):
+            copy = list(centre)
+            for at in rng.sample(range(400), rng.randint(4, 16)):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    # bands of 2 bits meet nearly every pair, so that only the checks decide
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_copies(df, radius=80, bands=32, band_bits=2).collect())
+    assert kept == sorted(set(brute_components(len(rows), near)))
+
+
 # ---- html
 
 

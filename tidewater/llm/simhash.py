@@ -39,19 +39,29 @@ def fingerprint(text: str | None, words: int = 4, lanes: int = 1, seed: int = 42
     return fingerprint_and_sketch(text, words, lanes, seed)[0]
 
 
+def _shingles(text: str | None, words: int) -> list[bytes]:
+    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
+    if len(found) <= words:
+        return [b" ".join(found)] if found else []
+    joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
+    starts = np.concatenate([[0], ends[:-words]]).tolist()
+    return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
+
+
+def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """The different 64-bit hashes of all shingles."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(s, seed) for s in _shingles(text, words)], np.uint64)).view(np.int64)
+
+
 def fingerprint_and_sketch(text: str | None, words: int, lanes: int, seed: int = 42, k: int = 0) -> tuple[bytes, bytes]:
     """The fingerprint, and the ``k`` smallest different shingle hashes: all of them for texts of up to k shingles."""
     from xxhash import xxh64_intdigest
 
-    found = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if not found:
+    shingles = _shingles(text, words)
+    if not shingles:
         return bytes(8 * lanes), b""
-    joined, ends = b" ".join(found), np.cumsum([len(w) + 1 for w in found])
-    if len(found) <= words:
-        shingles = [joined]
-    else:
-        starts = np.concatenate([[0], ends[:-words]]).tolist()
-        shingles = [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
     half, out, sketch = len(shingles), b"", b""
     for lane in range(lanes):
         h = np.array([xxh64_intdigest(s, seed + lane) for s in shingles], ">u8")
@@ -124,7 +134,7 @@ class Links:
             a, b, d, la, lb = a[apart], b[apart], d[apart], la[apart], lb[apart]
             if not len(a):
                 break
-            pick = np.unique(np.maximum(la, lb), return_index=True)[1]
+            pick = np.unique(np.unique(np.stack([la, lb], 1).ravel(), return_index=True)[1] // 2)
             chosen.append((a[pick], b[pick], d[pick]))
             label = _forest(self.rows, la[pick], lb[pick])[label]
         self.held = [tuple(np.concatenate(c) for c in zip(*chosen))]
@@ -254,7 +264,7 @@ def _refine(members: DataFrame, width: int, r: int, most: int, levels: int = 10)
 
 
 def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], most: int, shard_rows: int, close: int | None = None) -> DataFrame:
-    """A spanning forest of the closest links found in every shard: ``(a, b, d)``, d the distance."""
+    """A spanning forest of the closest links found in every shard: ``(a, b, d, tree)``, d the distance."""
     members = settle(nodes.mapInArrow(_shard_keys(width, bands), "key long, node long, fp binary"))
     total = members.count()
     members = _refine(members, width, r, most)
@@ -269,10 +279,50 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], m
             if len(rows) > 1:
                 vp_pairs(x, rows, r, out, close)
         a, b, d = out.shrink()
-        return pa.table({"a": node[a], "b": node[b], "d": d})
+        root = _forest(len(key), a, b)[a]
+        return pa.table({"a": node[a], "b": node[b], "d": d, "tree": node[root] ^ (key[root] * np.int64(0x5851F42D4C957F2D))})
 
     dealt = members.withColumn("_g", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return dealt.groupBy("_g").applyInArrow(search, "a long, b long, d long")
+    return dealt.groupBy("_g").applyInArrow(search, "a long, b long, d long, tree long")
+
+
+def _cross_pairs(members: DataFrame, width: int, r: int, shard_rows: int) -> DataFrame:
+    """``(a, b)``, a < b: all pairs of ``members(tree, node, fp, root)`` of one tree within ``r`` whose roots differ."""
+
+    def pairs(node: np.ndarray, x: np.ndarray, root: np.ndarray):
+        step = max(1, 250_000 // len(node))
+        for at in range(0, len(node) if (root != root[0]).any() else 0, step):
+            d = np.zeros((len(node[at : at + step]), len(node) - at), np.uint16)
+            for lane in range(x.shape[1]):
+                d += np.bitwise_count(x[at : at + step, lane][:, None] ^ x[at:, lane][None])
+            i, j = np.nonzero((d <= r) & (root[at : at + step][:, None] != root[at:][None]))
+            keep = i < j
+            a, b = node[at + i[keep]], node[at + j[keep]]
+            for k in range(0, len(a), 50_000):
+                yield pa.record_batch([pa.array(np.minimum(a, b)[k : k + 50_000]), pa.array(np.maximum(a, b)[k : k + 50_000])], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            cuts = [0, *(np.flatnonzero(np.diff(t.column("tree").to_numpy())) + 1).tolist(), t.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                part = t.slice(a, b - a)
+                if held and held[0].column("tree")[0] != part.column("tree")[0]:
+                    yield from whole(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield from whole(held)
+
+    def whole(held: list[pa.Table]):
+        t = pa.concat_tables(held)
+        return pairs(t.column("node").to_numpy(), _lanes(t.column("fp"), width), t.column("root").to_numpy())
+
+    tasks = max(1, -(-members.count() // shard_rows))
+    return members.select("tree", "node", "fp", "root").repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long").distinct()
 
 
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -329,9 +379,10 @@ def drop_near_copies(
     Near means a similarity of ``similarity`` or more on ``words``-word shingles. At a resemblance of
     0.8 the angle between two texts makes 15 % of 256 bits differ, 38 give or take 6, so links reach to
     48; bands of 12 bits meet such a pair in one of 21 with a chance of 0.96, closer pairs with more.
-    Up to ``close`` bits a link holds by itself (a resemblance of 0.9 differs in 27); beyond, the
-    sketches of the two texts must agree, which is exact up to ``sketch`` shingles. Of the links of a
-    shard only a spanning forest of the closest is looked at, so that no group is compared in pairs.
+    No link holds by its bits. First the links of a spanning forest of each shard are checked; what
+    holds is merged, and in trees where one failed all pairs of different components are checked, too,
+    so that every link of a shard is checked or implied by checked ones. Texts of up to ``sketch``
+    shingles are compared by their sketches, others by all their shingles.
     """
     from pyspark.sql import Window
 
@@ -341,19 +392,20 @@ def drop_near_copies(
     cuts = np.linspace(0, 64 * lanes, bands + 1).astype(int)
     spans = [(int(a), int(min(b, a + band_bits))) for a, b in zip(cuts, cuts[1:])]
     nodes = settle(marked.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
-    found = settle(_links(nodes.select("node", "fp"), 8 * lanes, radius, spans, 8192, 16_384, close))
-
-    @F.pandas_udf("boolean")
-    def alike(x, y):
-        return x.combine(y, lambda p, q: resemblance(p, q, sketch) >= similarity).astype(bool)
-
-    doubt = found.where(F.col("d") > close).select("a", "b").distinct()
-    asked = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = marked.groupBy(F.xxhash64("fp").alias("node")).agg(F.min("sketch").alias("sketch"))  # exact copies meet before they are sent
-    known = settle(sketches.join(asked, "node", "left_semi"))
-    doubt = doubt.join(known.withColumnsRenamed({"node": "a", "sketch": "x"}), "a").join(known.withColumnsRenamed({"node": "b", "sketch": "y"}), "b")
-    sure = found.where(F.col("d") <= close).select("a", "b").unionAll(doubt.where(alike("x", "y")).select("a", "b"))
-    roots = connected(sure)
+    sketches = settle(marked.groupBy(F.xxhash64("fp").alias("node")).agg(F.min(F.struct("row", "sketch")).alias("m")).select("node", "m.row", "m.sketch"))
+
+    def hold(pairs: DataFrame) -> DataFrame:
+        return settle(_alike(pairs, sketches, docs, key(), text_col, words, similarity, sketch))
+
+    found = _links(nodes.select("node", "fp"), 8 * lanes, radius, spans, 8192, 16_384, close)
+    found = settle(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree"))
+    first = hold(found.select("a", "b").distinct())
+    # a tree all of whose links hold is one component; the others are searched for what their failed links stood for
+    broken = found.join(first, ["a", "b"], "left_anti").select("tree").distinct()
+    members = found.join(broken, "tree", "left_semi").select("tree", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    members = settle(members.join(connected(first), "node", "left").select("tree", "node", "fp", F.coalesce("root", "node").alias("root")))
+    rest = _cross_pairs(members, 8 * lanes, radius, 16_384).join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    roots = connected(first.unionAll(hold(rest)))
     placed = nodes.select("node", "fp").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     grouped = marked.select("doc_id", "row", "fp").join(placed, "fp")
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row").alias("_row"))
@@ -362,6 +414,37 @@ def drop_near_copies(
     return kept.withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).where("_k = 1").select(*docs.columns)
 
 
+def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col: str, words: int, similarity: float, k: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that are similar: by ``sketches(node, row, sketch)`` where both are whole, else by all shingles."""
+
+    @F.pandas_udf("boolean")
+    def same(x, y):
+        return x.combine(y, lambda p, q: resemblance(p, q, k) >= similarity).astype(bool)
+
+    def sets(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
+                yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), words) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    pairs = settle(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = settle(sketches.join(asked, "node", "left_semi"))
+    whole = F.octet_length("sketch") < 4 * k
+    long = known.where(~whole).select("node")
+    ends = lambda t, value, name: t.select(F.col("node").alias(name), F.col(value).alias(f"_{name}"))
+    short = known.where(whole)
+    by_sketch = pairs.join(ends(short, "sketch", "a"), "a").join(ends(short, "sketch", "b"), "b").where(same("_a", "_b")).select("a", "b")
+    doubt = settle(pairs.join(long.withColumnRenamed("node", "a"), "a", "left_semi").unionAll(pairs.join(long.withColumnRenamed("node", "b"), "b", "left_semi")).distinct())
+    wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node").select("node", F.col("row").alias("_row"))
+    texts = docs.select(key.alias("_row"), F.col(text_col).cast("string").alias("_text")).join(wanted, "_row").groupBy("node").agg(F.first("_text").alias("_text"))
+    sets_ = settle(texts.mapInArrow(sets, "node long, shingles array<long>"))
+    both = doubt.join(ends(sets_, "shingles", "a"), "a").join(ends(sets_, "shingles", "b"), "b")
+    both = both.withColumn("_i", F.size(F.array_intersect("_a", "_b")))
+    by_sets = both.where(F.col("_i") / (F.size("_a") + F.size("_b") - F.col("_i")) >= similarity).select("a", "b")
+    return by_sketch.unionAll(by_sets)
+
+
 def _row_marks(rows: DataFrame, words: int, lanes: int, sketch: int) -> DataFrame:
     """``(doc_id, row, fp, sketch)`` from ``(doc_id, text, row struct<h, c>)``."""
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
