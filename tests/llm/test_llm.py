@@ -461,6 +461,32 @@ def test_leaks(spark, block):
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.3])
+def test_leaks_equal_alignment_of_all(spark, share):
+    rng = random.Random(int(share * 100))
+    template = words(rng, 12, 300).split()
+    items = [words(rng, rng.choice([3, 8, 15, 25, 40]), 300).split() for _ in range(12)] + [template + words(rng, 6, 300).split() for _ in range(6)]
+    items.append([f"u{i}" for i in range(16)])
+    docs = [words(rng, 20, 300).split() + [w if i % 4 != 3 else "zz" for i, w in enumerate(items[-1])], [x for w in items[-1] for x in (w, "zz")][:-1]]
+    for item in items * 3:
+        copy = []
+        for w in item:
+            kind = rng.random() / share
+            copy += [w] if kind >= 1 else [f"e{rng.randrange(99)}"] if kind < 0.6 else [] if kind < 0.8 else [w, "zz"]
+        docs.append(words(rng, rng.randrange(30), 300).split() + copy + words(rng, rng.randrange(30), 300).split())
+    number: dict = {}
+    as_ids = lambda t: np.array([number.setdefault(w, len(number)) for w in t], np.int32)
+    sides = [(i, d) for d in range(len(docs)) for i in range(len(items)) if docs[d]]
+    scores = decontaminate.align([as_ids(items[i]) for i, _ in sides], [as_ids(docs[d]) for _, d in sides])
+    want = sorted((d, i, round(float(s) / (2 * len(items[i])), 6)) for (i, d), s in zip(sides, scores) if s >= len(items[i]))
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(docs)], DOCS)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find_leaks(df, bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in got) == want
+    whole = next(r for r in got if (r["doc_id"], r["item_id"]) == (0, len(items) - 1))
+    assert " ".join(docs[0])[whole["start"] : whole["end"]] == " ".join(docs[0][20:35])
+
+
 # ---- shared tables
 
 

@@ -1,20 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds that no leak can lack, then Smith-Waterman alignment.
 
-Every test item is cut into word n-grams. Those that few items share are its seeds; an item
-without any keeps its rarest ones. Documents meet items through seeds, and where seeds of
-one item lie close together the passage around them is aligned with the whole item, which
-scores edited and paraphrased copies, too. A score is the alignment's share of the best
-possible one.
+A score is the alignment's share of the best possible one, and the alignment alone decides.
+Seeds are pairs of words that follow each other with at most one word between, in item and
+document alike. An alignment of m matches and e errors leaves m - 1 - e / 2 or more pairs of
+neighbouring matches with at most one error between, so that a score of ``threshold`` in an
+item of w words takes p = threshold * w - 1 seeds from different places of the item at least.
+Of its w - 1 places all but p - 1 are thus enough to meet every leak, and those whose pairs
+the fewest items hold are taken. The passage around a seed is as wide as a leak can reach,
+and is aligned with the whole item if it holds enough of its words.
 
 The test set is taken in blocks of bounded text, one pass over the documents each, so that
 what is broadcast does not grow. Words are runs of letters and digits in lower case.
-Null and empty documents and items without words have no leaks. Items shorter than an
-n-gram are one seed. Repeated rows are reported each; an empty table gives no rows.
+Null and empty documents and items without words have no leaks. Items of one or two words
+are one seed. Repeated rows are reported each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 
 import numpy as np
@@ -47,40 +51,45 @@ def gram_keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return gram_keys(np.stack([left, right], 1).ravel(), np.arange(0, 2 * len(left), 2), 2)
+
+
 class Seeds:
     """A block of test items: word numbers, sorted seed keys and where each seed occurs."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, most_items: int):
+    def __init__(self, items: list[tuple[int, str]], threshold: float):
         self.item_ids = np.array([i for i, _ in items], np.int64)
         texts = [words_of(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t], np.int32) for t in texts]
-        self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
-        keys, item, offset = [], [], []
+        self.single = any(len(w) == 1 for w in self.words)
+        none = np.empty(0, np.int64)
+        keys, item, offset = [none.astype(np.uint64)], [none], [none]
         for i, w in enumerate(self.words):
-            if len(w):
-                k = min(n, len(w))
-                at = np.arange(len(w) - k + 1)
-                keys.append(gram_keys(w, at, k))
+            if len(w) == 1:
+                parts = [(gram_keys(w, np.arange(1), 1), np.zeros(1, np.int64))]
+            else:
+                parts = [(_pair_keys(w[:-gap], w[gap:]), np.arange(len(w) - gap)) for gap in (1, 2) if gap < len(w)]
+            for k, at in parts:
+                keys.append(k)
                 item.append(np.full(len(at), i))
                 offset.append(at)
-        if not keys:
-            self.keys = np.empty(0, np.uint64)
-            self.first = self.item = self.offset = np.empty(0, np.int64)
-            return
         keys, item, offset = map(np.concatenate, (keys, item, offset))
-        # rarity: in how many items of the test set an n-gram occurs
+        # rarity: in how many items of the test set the pairs that begin at a place occur
         pair = np.unique(np.stack([keys, item.astype(np.uint64)]), axis=1)
         distinct, spread = np.unique(pair[0], return_counts=True)
-        shared = spread[np.searchsorted(distinct, keys)]
-        rarest = np.full(len(items), 1 << 30)
-        np.minimum.at(rarest, item, shared)
-        keep = shared <= np.maximum(most_items, rarest[item])
+        first = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
+        cost = np.zeros(first[-1], np.int64)
+        np.add.at(cost, first[item] + offset, spread[np.searchsorted(distinct, keys)])
+        used = np.ones(first[-1], bool)
+        for i, w in enumerate(self.words):
+            if len(w) > 2:
+                needed = max(1, math.ceil(threshold * len(w) - 1 - 1e-9))
+                used[first[i] + np.argsort(cost[first[i] : first[i] + len(w) - 1], kind="stable")[len(w) - needed :]] = False
+        keep = used[first[item] + offset]
         order = np.argsort(keys[keep], kind="stable")
         self.keys, self.item, self.offset = keys[keep][order], item[keep][order], offset[keep][order]
-        per_item = np.zeros(len(items), np.int64)
-        np.add.at(per_item, self.item, 1)
-        self.needed = np.where(per_item >= 8, 2, 1)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -112,51 +121,73 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _near(seeds: Seeds, texts: list[list[str]], n: int):
-    """``(document, item, first word, last word, passage)`` for every place where seeds gather."""
+def extent(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+    """Where the first best alignment of ``item`` begins and ends in ``passage``."""
+
+    def end(a: np.ndarray, b: np.ndarray) -> int:
+        slope, h, best, at = np.arange(len(b) + 1) * -GAP, np.zeros(len(b) + 1, np.int64), 0, 0
+        for word in a:
+            new = np.zeros_like(h)
+            np.maximum(h[:-1] + np.where(b == word, MATCH, MISMATCH), h[1:] + GAP, out=new[1:])
+            h = np.maximum.accumulate(np.maximum(new, 0) + slope) - slope
+            top = int(h.argmax())
+            if h[top] > best or (h[top] == best and top < at):
+                best, at = h[top], top
+        return at
+
+    last = end(item, passage)
+    return last - end(item[::-1], passage[:last][::-1]), last
+
+
+def _near(seeds: Seeds, texts: list[list[str]], threshold: float):
+    """``(document, item, first word of the passage, passage)`` for every place that a seed points to."""
     get = seeds.vocabulary.get
     lengths = np.array([len(t) for t in texts])
     ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int32, int(lengths.sum()))
     ends = np.cumsum(lengths)
     known = np.flatnonzero(ids >= 0)
     hits = []
-    for k in seeds.sizes:
-        at = known[known <= len(ids) - k]
+    for gap in (0, 1, 2) if seeds.single else (1, 2):
+        at = known[known < len(ids) - gap]
         doc = np.searchsorted(ends, at, side="right")
-        ok = at + k <= ends[doc]
-        for step in range(1, k):
-            ok &= ids[np.minimum(at + step, len(ids) - 1)] >= 0
+        ok = (at + gap < ends[doc]) & (ids[at + gap] >= 0)
         at, doc = at[ok], doc[ok]
-        key = gram_keys(ids, at, k)
+        key = _pair_keys(ids[at], ids[at + gap]) if gap else gram_keys(ids, at, 1)
         lo, hi = np.searchsorted(seeds.keys, key, "left"), np.searchsorted(seeds.keys, key, "right")
         found = hi > lo
         at, doc, lo, many = at[found], doc[found], lo[found], (hi - lo)[found]
         post = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.empty(0, np.int64)
-        hits.append((np.repeat(doc, many), seeds.item[post], np.repeat(at, many) - seeds.offset[post], seeds.offset[post]))
-    doc, item, origin, offset = (np.concatenate(c) for c in zip(*hits)) if hits else (np.empty(0, np.int64),) * 4
+        hits.append((np.repeat(doc, many), seeds.item[post], np.repeat(at, many) - seeds.offset[post]))
+    doc, item, origin = (np.concatenate(c) for c in zip(*hits))
     if not len(doc):
         return
-    order = np.lexsort((offset, origin, item, doc))
-    doc, item, origin, offset = doc[order], item[order], origin[order], offset[order]
+    order = np.lexsort((origin, item, doc))
+    doc, item, origin = doc[order], item[order], origin[order]
     sizes = np.array([len(w) for w in seeds.words])
-    slack = np.maximum(4, sizes[item] // 3)
-    cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(origin) > slack[1:])) + 1
-    for rows in np.split(np.arange(len(doc)), cut):
-        d, i = int(doc[rows[0]]), int(item[rows[0]])
-        size, begin, end = int(sizes[i]), int(ends[doc[rows[0]]] - lengths[doc[rows[0]]]), int(ends[doc[rows[0]]])
-        lows = origin[rows]
-        # long chains of places are taken apart, so that a passage is never much longer than its item
-        for own in np.split(rows, np.flatnonzero(np.diff((lows - lows[0]) // max(8, size)) > 0) + 1):
-            if len(np.unique(offset[own])) < seeds.needed[i]:
-                continue
-            pad = size // 4 + 4
-            lo, hi = max(begin, int(origin[own].min()) - pad), min(end, int(origin[own].max()) + size + pad)
-            first, last = int((origin[own] + offset[own]).min()) - begin, int((origin[own] + offset[own]).max()) - begin
-            yield d, i, first, last, ids[lo:hi]
-
-
-def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n: int, most_items: int, threshold: float) -> DataFrame:
-    seeds = docs.sparkSession.sparkContext.broadcast(Seeds(items, n, most_items))
+    # long chains of places are taken apart, so that a passage is never much longer than its item
+    fresh = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(origin) > sizes[item[1:]])])
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    part = (origin - origin[head]) // np.maximum(8, sizes[item])
+    starts = np.flatnonzero(fresh | np.concatenate([[True], np.diff(part) != 0]))
+    stops = np.append(starts[1:], len(doc))
+    doc, item, low, high = doc[starts], item[starts], origin[starts], origin[stops - 1]
+    # a leak of ``threshold`` has no more errors than this
+    pad = np.ceil(2 * (1 - threshold) * sizes[item]).astype(np.int64) + 1
+    low = np.maximum(ends[doc] - lengths[doc], low - pad)
+    high = np.minimum(ends[doc], high + sizes[item] + pad)
+    seen = np.zeros(len(seeds.vocabulary) + 1, bool)
+    for d, i, lo, hi in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist()):
+        passage, words = ids[lo:hi], seeds.words[i]
+        seen[passage] = True
+        seen[-1] = False
+        shared = np.count_nonzero(seen[words])
+        seen[passage] = False
+        if shared >= threshold * len(words) - 1e-9:
+            yield d, i, lo - int(ends[d] - lengths[d]), passage
+
+
+def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
+    seeds = docs.sparkSession.sparkContext.broadcast(Seeds(items, threshold))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("row", pa.string())])
 
     def run(batches):
@@ -165,31 +196,32 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], n: int, most_ite
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 raw = [t.as_py() or "" for t in part.column(1)]
-                places = list(_near(s, [words_of(t) for t in raw], n))
+                places = list(_near(s, [words_of(t) for t in raw], threshold))
                 if not places:
                     continue
-                scores = align([s.words[p[1]] for p in places], [p[4] for p in places])
+                scores = align([s.words[p[1]] for p in places], [p[3] for p in places])
                 best: dict = {}
-                for (d, i, first, last, _), score in zip(places, scores):
+                for (d, i, first, passage), score in zip(places, scores):
                     share = float(score) / (MATCH * len(s.words[i]))
                     if share >= threshold and share > best.get((d, i), (0,))[0]:
-                        best[d, i] = share, first, last
+                        best[d, i] = share, first, passage
                 spans: dict = {}
                 rows = []
-                for (d, i), (share, first, last) in sorted(best.items()):
+                for (d, i), (share, at_word, passage) in sorted(best.items(), key=lambda x: x[0]):
                     if d not in spans:
                         spans = {d: [m.span() for m in WORDS.finditer(raw[d].lower())]}
-                    rows.append((part.column(0)[d].as_py(), int(s.item_ids[i]), round(share, 6), spans[d][first][0], spans[d][min(last + n, len(spans[d])) - 1][1], part.column(2)[d].as_py()))
+                    first, last = (at_word + x for x in extent(s.words[i], passage))
+                    rows.append((part.column(0)[d].as_py(), int(s.item_ids[i]), round(share, 6), spans[d][first][0], spans[d][last - 1][1], part.column(2)[d].as_py()))
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.mapInArrow(run, LEAKS)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, most_items: int = 3, threshold: float = 0.5, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col=None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col=None) -> DataFrame:
     """``(doc_id, item_id, score, start, end, row)``: documents that hold a copy of a test item.
 
-    ``start`` and ``end`` are the code points, in the lower-cased text, that the seeds of the best place span; ``row`` repeats ``row_col``.
+    ``start`` and ``end`` are the code points, in the lower-cased text, that the best alignment spans; ``row`` repeats ``row_col``.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (row_col if row_col is not None else F.lit(None)).cast("string").alias("row"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
@@ -208,7 +240,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 4, most_items: in
     done = []
     for lo, hi in blocks:
         rows = numbered.where((F.col("row_no") >= lo * 2000) & (F.col("row_no") < hi * 2000)).select("item_id", "text").collect()
-        done.append(_block_leaks(slim, [(r["item_id"], r["text"]) for r in rows], n, most_items, threshold))
+        done.append(_block_leaks(slim, [(r["item_id"], r["text"]) for r in rows], threshold))
     return functools.reduce(DataFrame.unionAll, done) if done else docs.sparkSession.createDataFrame([], LEAKS)
 
 
