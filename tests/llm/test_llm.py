@@ -195,6 +195,13 @@ def test_article():
     assert html_text.main_text(PAGE) == "Head <1>\nBold text goes on.\nSecond é par.\none\ntwo"
 
 
+def test_slugs_of_headings_rule_nothing_out():
+    page = """<body><div class="promo-box">Out</div><article><h1 id="notice-periods">Title</h1><section id="related-work"><h2 id="social-impact">Impact</h2><p id="copyright-law">One.</p></section>
+    <section id="search"><h2 id="search">Search</h2>Two.</section><div class="form-and-function">Three.</div><div class="note cookie-notice">Out</div><div id="comments">Out</div><div class="share">Out</div></article></body>"""
+    assert html_text.main_text(page).split("\n") == ["Title", "Impact", "One.", "Search", "Two.", "Three."]
+    assert html_text.main_text('<h2 id="social-impact">Impact</h2><p>Text of the page.</p>') == "Impact\nText of the page."
+
+
 def test_pages_without_marks():
     para = "A paragraph of the article with enough words in it to count. " * 3
     page = f"<div><a href=1>Home</a></div><div><a href=2>News</a></div><div></div><p>{para}</p><p>Short.</p><p>{para}</p><div><a href=3>Contact us</a></div>"

@@ -36,12 +36,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that never belong to the article; ``OUTER`` ones only outside it.
 NEVER = frozenset("nav aside footer form menu dialog button head search".split())
 OUTER = frozenset(["header"])
-#: Words of class, id and role names that tell the same; ``OUTER_NAMES`` only outside the article.
+#: Words of class, id and role names that tell the same; ``OUTER_NAMES`` only outside the article. Outside, any
+#: word of a hyphenated name counts; inside, only names that consist of such words, as slugs of headings hold any word.
 NAMES = frozenset(
     "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager popup modal overlay newsletter subscribe subscription signup login form search widget copyright disclaimer complementary contentinfo".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar toolbar".split())
 _ROOTS = frozenset("html body article main".split())
+#: Elements whose id is a slug of their text; ``_SECTIONS`` inside the article only.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
+_SECTIONS = frozenset("section details figure table blockquote pre dl ol ul".split())
 
 
 def _ruled_out(name: str, rest: str, inside: bool) -> bool:
@@ -57,6 +61,8 @@ def _ruled_out(name: str, rest: str, inside: bool) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return name not in _ROOTS
             continue
+        if key == "id" and (name in _HEADINGS or (inside and name in _SECTIONS)):
+            continue
         words = set(re.split(r"[^a-z]+", value))
         if name in ("html", "body", "main"):
             continue
@@ -64,7 +70,11 @@ def _ruled_out(name: str, rest: str, inside: bool) -> bool:
             if words & {"comment", "comments", "reply"}:
                 return True
             continue
-        if words & NAMES or (not inside and words & OUTER_NAMES and not re.fullmatch("h[1-6]", name)):
+        if inside:
+            if any(set(filter(None, re.split(r"[^a-z]+", token))) <= NAMES for token in re.findall(r"\S*[a-z]\S*", value)):
+                return True
+            continue
+        if words & NAMES or (words & OUTER_NAMES and not re.fullmatch("h[1-6]", name)):
             return True
     return False
 
