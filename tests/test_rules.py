@@ -83,6 +83,19 @@ def test_spending_in_order(spark):
     assert [r["accepted"] for r in got] == [True, False, True, False, True]
 
 
+def test_spending_of_a_long_account_is_one_row_at_a_time(spark):
+    requests = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("account"), (30_000 - F.col("id")).alias("ordinal"), (F.col("id") * 7919 % 101).cast("double").alias("cost"))
+    requests = requests.unionAll(spark.createDataFrame([("a", 0, None)], "account string, ordinal bigint, cost double"))
+    done = options.spend_in_order(requests, 5000.0)
+    assert "collect_list" not in done._jdf.queryExecution().toString()
+    left, want = {"a": 5000.0, "b": 5000.0}, []
+    for r in sorted(requests.collect(), key=lambda r: r["ordinal"]):
+        ok = None if r["cost"] is None else left[r["account"]] >= r["cost"]
+        left[r["account"]] -= r["cost"] if ok else 0
+        want.append((r["account"], r["ordinal"], ok, left[r["account"]]))
+    assert [tuple(r) for r in done.orderBy("ordinal").collect()] == want
+
+
 def test_fleet(spark):
     bots = spark.createDataFrame([("a", "active"), ("b", "active"), ("c", "paused"), ("d", "active"), ("e", "paused")], "bot string, status string")
     procs = spark.createDataFrame([("b", "errored"), ("c", "online"), ("d", "online"), ("supervisor", "online")], "name string, status string")

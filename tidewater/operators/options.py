@@ -72,19 +72,30 @@ def active_options(watchlist: DataFrame, positions: DataFrame) -> DataFrame:
 def spend_in_order(requests: DataFrame, power: float, key: str = "account", order: str = "ordinal", cost: str = "cost") -> DataFrame:
     """Accepts requests in order while the buying power lasts; a rejected one spends nothing.
 
-    A running sum would let rejected requests spend, so the list of one ``key`` is folded. Such a
-    list is one account's watchlist; accounts are folded side by side.
+    A running sum would let rejected requests spend, so requests are folded in order, with the power
+    left of one ``key`` as the only state; accounts are folded side by side, a row at a time.
     """
-    rows = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, cost))).alias("r"))
-    zero = F.struct(F.lit(float(power)).alias("left"), F.array().cast("array<struct<o:bigint,ok:boolean,left:double>>").alias("out"))
 
-    def step(acc, x):
-        ok = acc["left"] >= x[cost]
-        left = F.when(ok, acc["left"] - x[cost]).otherwise(acc["left"])
-        return F.struct(left.alias("left"), F.concat(acc["out"], F.array(F.struct(x[order].cast("bigint").alias("o"), ok.alias("ok"), left.alias("left")))).alias("out"))
-
-    done = rows.select(key, F.explode(F.aggregate("r", zero, step)["out"]).alias("x"))
-    return done.select(key, F.col("x.o").alias(order), F.col("x.ok").alias("accepted"), F.col("x.left").alias("power_left"))
+    def fold(batches):
+        import pyarrow as pa
+
+        account = left = None
+        begun = False
+        for b in batches:
+            accepted, lefts = [], []
+            for k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if not begun or k != account:
+                    account, left, begun = k, float(power), True
+                ok = None if c is None else left >= c
+                if ok:
+                    left -= c
+                accepted.append(ok)
+                lefts.append(left)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(accepted, pa.bool_()), pa.array(lefts, pa.float64())], names=[key, order, "accepted", "power_left"])
+
+    rows = requests.select(key, F.col(order).cast("bigint").alias(order), F.col(cost).cast("double").alias(cost)).repartition(key).sortWithinPartitions(key, order, cost)
+    nothing = [F.lit(None).cast(t).alias(n) for n, t in (("accepted", "boolean"), ("power_left", "double"))]
+    return rows.mapInArrow(fold, rows.select(F.nullif(F.col(key), F.col(key)).alias(key), F.nullif(F.col(order), F.col(order)).alias(order), *nothing).schema)
 
 
 def first_condor(targets: DataFrame, active: DataFrame, prices: DataFrame, feasible: DataFrame, most: int = 5) -> DataFrame:
