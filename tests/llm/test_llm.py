@@ -249,6 +249,20 @@ def test_repeated_strings(spark, shard_rows):
     assert got == dict(enumerate(brute_removed(rows, 200)))
 
 
+def test_segments_in_stretches():
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(0, 4, n).astype(np.uint8) for n in (700, 0, 90, 1500, 30, 64)]
+    x, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+
+    def anchors(most):
+        return sorted((int(f) + k, int(t), int(a)) for t, f, n, a, _ in zip(*substrings.segments(x, ends, 64, most)) for k in range(n))
+
+    whole = anchors(1 << 27)
+    assert len(whole) == sum(max(0, len(t) - 63) for t in texts)
+    for most in (1, 7, 100, 713):
+        assert anchors(most) == whole
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     x = rng.integers(97, 99, 3000).astype(np.uint8)

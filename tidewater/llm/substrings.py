@@ -54,11 +54,23 @@ def gram_hashes(x: np.ndarray) -> np.ndarray:
     return h
 
 
-def segments(x: np.ndarray, ends: np.ndarray, length: int):
+def segments(x: np.ndarray, ends: np.ndarray, length: int, most: int = 1 << 27):
     """Segments of concatenated texts: ``(text number, first window, windows, anchor hash, kind)`` arrays, windows counted in ``x``.
 
-    Segments of one kind have the same anchor, size and K bytes at either end. ``x`` holds fewer than 2**28 bytes.
+    Segments of one kind have the same anchor, size and K bytes at either end. Windows are taken in stretches
+    of about ``most`` bytes, which overlap by ``length - 1``; places in one are packed in 28 bits.
     """
+    parts = []
+    for at in range(0, max(1, len(x) - length + 1), most):
+        part = x[at : at + most + length - 1]
+        if len(part) > int(_PLACE):
+            raise ValueError(f"a stretch of {len(part)} bytes is longer than places can tell")
+        text, first, *rest = _stretch(part, np.clip(ends - at, 0, len(part)), length)
+        parts.append((text, first + at, *rest))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if len(parts) > 1 else parts[0]
+
+
+def _stretch(x: np.ndarray, ends: np.ndarray, length: int):
     if len(x) < length:
         none = np.empty(0, np.int64)
         return none, none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
