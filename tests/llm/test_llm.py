@@ -144,6 +144,8 @@ def test_connected_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 200: 100}
+    with pytest.raises(RuntimeError):
+        simhash.connected(links, rounds=2)
 
 
 def test_near_copies_leave_one(spark):

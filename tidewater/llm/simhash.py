@@ -328,7 +328,7 @@ def _cross_pairs(members: DataFrame, width: int, r: int, shard_rows: int) -> Dat
 def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``: the smallest node it reaches.
 
-    Large star, then small star, until the set of links stands still.
+    Large star, then small star, until the set of links stands still; an error if ``rounds`` do not suffice.
     """
     links = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -346,6 +346,9 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"links did not come to rest in {rounds} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
