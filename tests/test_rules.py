@@ -1,6 +1,7 @@
 """Edge cases of rules, ledger, options, grid, fleet, sources and sinks."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,18 +44,67 @@ def test_budget_and_prices(spark):
 TICKS = [20, 85, 40, 5, 30, 60, 20, 70, 90]
 
 
+def grid_ticks(spark, prices, symbol="X", first=0):
+    rows = [(symbol, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=17 * i), first + i, p) for i, p in enumerate(prices)]
+    return spark.createDataFrame(rows, "symbol string, ts timestamp, id bigint, price double")
+
+
+def grid_by_hand(prices, bottom=10.0, top=85.0, levels=6, budget=50.0):
+    """The state machine a tick at a time: the zone, what was done, the inventory."""
+    zone, held, out = -1, 0.0, []
+    for p in prices:
+        if not p:
+            continue
+        now = -1 if p < bottom else levels if p > top else int((p - bottom) / ((top - bottom) / levels))
+        done = None
+        if now != zone and zone != -1:
+            qty = budget / p
+            done = "grid_buy" if now < zone else "grid_sell" if held >= qty else "blocked"
+            held += qty if done == "grid_buy" else -qty if done == "grid_sell" else 0.0
+        zone = now
+        out.append((zone, done, held))
+    return out
+
+
 def test_grid_golden(spark):
-    rows = [("X", dt.datetime(2024, 1, 1, 0, i), i, float(p)) for i, p in enumerate(TICKS)] + [("X", dt.datetime(2024, 1, 1, 1), 99, None)]
-    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, id bigint, price double")
-    folded = [(z, a) for z, a, _, _ in grid.grid_fold(map(float, TICKS), 10, 85, 6, 50)]
-    assert folded == [(0, None), (6, "blocked"), (2, "grid_buy"), (-1, "grid_buy"), (1, None), (4, "grid_sell"), (0, "grid_buy"), (4, "grid_sell"), (6, "grid_sell")]
-    signals_ = [r["zone"] for r in grid.grid_signals(ticks, 10, 85, 6).orderBy("id").collect()]
-    assert signals_ == [z for z, _ in folded]
+    ticks = grid_ticks(spark, [*map(float, TICKS), None])
+    by_hand = grid_by_hand(TICKS)
+    assert [x[:2] for x in by_hand] == [(0, None), (6, "blocked"), (2, "grid_buy"), (-1, "grid_buy"), (1, None), (4, "grid_sell"), (0, "grid_buy"), (4, "grid_sell"), (6, "grid_sell")]
+    signals_ = grid.grid_signals(ticks, 10, 85, 6).orderBy("id").collect()
+    assert [r["zone"] for r in signals_] == [z for z, _, _ in by_hand]
+    assert [r["action"] for r in signals_] == [a and a.replace("blocked", "grid_sell") for _, a, _ in by_hand]
     end = grid.grid_inventory(ticks, 10, 85, 6).first()
     assert (end["zone"], end["buys"], end["sells"], end["blocked"]) == (6, 3, 3, 1)
     assert grid.grid_inventory(ticks.where("false"), 10, 85, 6).count() == 0
 
 
+def test_grid_price_of_zero_is_skipped(spark):
+    prices = [50.0, 0.0, 50.0, 30.0, 0.0, 60.0, 0.0]
+    ticks = grid_ticks(spark, prices)
+    got = [(r["price"], r["action"]) for r in grid.grid_signals(ticks, 10, 85, 6).orderBy("id").collect()]
+    assert got == [(50.0, None), (50.0, None), (30.0, "grid_buy"), (60.0, "grid_sell")]
+    end = grid.grid_inventory(ticks, 10, 85, 6).first()
+    assert (end["zone"], end["buys"], end["sells"], end["blocked"]) == (4, 1, 1, 0) and end["held"] == pytest.approx(50 / 30 - 50 / 60)
+    assert grid.grid_inventory(grid_ticks(spark, [0.0, None]), 10, 85, 6).count() == 0
+
+
+def test_grid_in_parts_is_the_grid_of_all(spark):
+    rng = random.Random(5)
+    prices = {s: [rng.choice([0.0, None, *(rng.uniform(1, 100) for _ in range(8))]) for _ in range(300)] for s in "AB"}
+    ticks = grid_ticks(spark, prices["A"], "A").unionAll(grid_ticks(spark, prices["B"], "B", 1000))
+    want = {s: grid_by_hand(p) for s, p in prices.items()}
+    check = {s: (w[-1][0], *(sum(x[1] == a for x in w) for a in ("grid_buy", "grid_sell", "blocked")), w[-1][2]) for s, w in want.items()}
+    whole = grid.grid_inventory(ticks, 10, 85, 6)
+    state = None
+    for part in ("id % 1000 < 100", "id % 1000 between 100 and 104 and symbol = 'A'", "(id % 1000 between 100 and 104 and symbol = 'B') or id % 1000 > 104"):
+        rows = grid.grid_inventory(ticks.where(part), 10, 85, 6, before=state).collect()
+        state = spark.createDataFrame(rows, grid.INVENTORY)
+    for got in (whole, state):
+        for r in got.collect():
+            assert (r["zone"], r["buys"], r["sells"], r["blocked"]) == check[r["symbol"]][:4] and r["held"] == pytest.approx(check[r["symbol"]][4])
+    assert {r["symbol"] for r in whole.collect()} == {"A", "B"}
+
+
 def test_realized_pnl_edges(spark):
     t = spark.createDataFrame([("trades", "BUY", 10.0, 2.0), ("trades", "sell_short", 12.0, 3.0), ("condor_trades", "open_condor", 5.0, None), ("wheel_trades", "sell_put", 5.0, None), ("x", None, 1.0, 1.0)], "bot_type string, action string, price double, qty double")
     got = {r["bot"]: r["realized_pl"] for r in ledger.realized_pnl(t).collect()}

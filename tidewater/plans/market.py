@@ -176,7 +176,7 @@ _CROSS = f"""{ROWS}, {_ema_sql(9)}, {_ema_sql(21)}, {_ADX}, j AS (SELECT rws.*,
 c AS (SELECT *, coalesce(f > s AND lag(f) OVER w <= lag(s) OVER w, false) AS bull_cross, coalesce(f < s AND lag(f) OVER w >= lag(s) OVER w, false) AS bear_cross FROM j WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
 _MOVES = f"WITH {bars_sql('1 day')}, mv AS (SELECT symbol, ts, (close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS move FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), lm AS (SELECT symbol, last(move ORDER BY ts) AS move FROM mv GROUP BY symbol)"
 _ZONE = "CASE WHEN value < 10 THEN -1 WHEN value > 85 THEN 6 ELSE trunc((value - 10.0) / 12.5)::INTEGER END"
-_GRID = f"""WITH RECURSIVE z AS (SELECT event_id AS id, value AS price, {_ZONE} AS zone, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click')"""
+_GRID = f"""WITH RECURSIVE z AS (SELECT event_id AS id, value AS price, {_ZONE} AS zone, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click' AND value <> 0)"""
 _PLAYS = ", ".join(f"('{r}', '{b}', '{v}')" for r, p in rules.PLAYBOOK.items() for b, v in p.items())
 
 SQL = {
@@ -204,18 +204,18 @@ SQL = {
   JOIN (VALUES ('crypto_grid', 'active'), ('survivor_bot', 'active'), ('wheel_bot', 'paused'), ('trend_bot', 'active'), ('moon_bag', 'paused'), ('condor_bot', 'active')) AS c(bot, status) ON c.bot = pb.bot WHERE c.status <> pb.desired""",
     "trend_signals": f"""{_CROSS}, a AS (SELECT *, CASE WHEN symbol = 'click' AND bear_cross THEN 'sell' WHEN symbol = 'view' AND bull_cross THEN 'buy_cover'
     WHEN symbol NOT IN ('click', 'view') AND symbol IN ('purchase', 'signup', 'error') AND adx > 30 AND bull_cross THEN 'buy' WHEN symbol NOT IN ('click', 'view') AND symbol IN ('purchase', 'signup', 'error') AND adx > 30 AND bear_cross THEN 'sell_short' END AS action FROM c),
-  b AS (SELECT *, CASE WHEN action = 'sell' THEN 10.0::DOUBLE WHEN action = 'buy_cover' THEN 5.0::DOUBLE WHEN action IS NOT NULL THEN trunc(100000.0::DOUBLE * 0.02 / (close * 0.02)) END AS qty FROM a)
+  b AS (SELECT *, CASE WHEN action = 'sell' THEN 10.0::DOUBLE WHEN action = 'buy_cover' THEN 5.0::DOUBLE WHEN action IS NOT NULL THEN trunc(100000.0::DOUBLE * 0.02 / nullif(close * 0.02, 0)) END AS qty FROM a)
   SELECT symbol, ts, close AS price, round(adx, 4) AS adx, action, qty FROM b WHERE action IS NOT NULL AND qty > 0""",
-    "survivor_signals": f"""{ROWS}, {_RSI}, j AS (SELECT rws.*, rsi, trunc(100000.0::DOUBLE * 0.05 / close) AS n,
+    "survivor_signals": f"""{ROWS}, {_RSI}, j AS (SELECT rws.*, rsi, trunc(100000.0::DOUBLE * 0.05 / nullif(close, 0)) AS n,
     CASE symbol WHEN 'click' THEN (close - 40.0) / 40.0 WHEN 'view' THEN (close - 60.0) / 60.0 END AS gain FROM rws LEFT JOIN rsi USING (symbol, rn)),
   a AS (SELECT *, CASE WHEN symbol IN ('click', 'view') THEN CASE WHEN rsi > 70 OR gain > 0.05 OR gain < -0.03 THEN 'sell' END WHEN rsi < 30 AND (close > coalesce(sma200, 0) OR symbol = 'purchase') AND n > 0 THEN 'buy' END AS action FROM j)
   SELECT symbol, ts, close AS price, round(rsi, 4) AS rsi, action, CASE WHEN action = 'buy' THEN n WHEN symbol = 'click' THEN 10.0::DOUBLE ELSE -5.0::DOUBLE END AS qty FROM a WHERE action IS NOT NULL""",
     "breakout_signals": f"""WITH {bars_sql('1 hour')}, j AS (SELECT *, CASE WHEN row_number() OVER w > 20 THEN max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS entry_high,
     CASE WHEN row_number() OVER w > 20 THEN min(low) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS exit_low, CASE WHEN symbol = 'click' THEN 10.0::DOUBLE ELSE 0.0 END AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-  a AS (SELECT *, CASE WHEN q = 0 AND close > entry_high AND NOT (100000.0 * 0.1 / close * close > 20000.0) THEN 'buy_breakout' WHEN q > 0 AND close < exit_low THEN 'sell_breakout' END AS action FROM j)
-  SELECT symbol, ts, close AS price, entry_high, exit_low, action, round(CASE WHEN action = 'buy_breakout' THEN 100000.0::DOUBLE * 0.1 / close ELSE q END, 4) AS qty, CASE WHEN action = 'buy_breakout' THEN round(100000.0::DOUBLE * 0.1 / close, 4) ELSE q END AS order_qty FROM a WHERE action IS NOT NULL""",
-    "position_sizing": """WITH t AS (SELECT event_type AS symbol, last(value ORDER BY ts, event_id) AS price FROM events GROUP BY 1) SELECT symbol, price, trunc(100000.0::DOUBLE * 0.02 / (price * 0.02))::BIGINT AS trend_qty, trunc(100000.0::DOUBLE * 0.05 / price)::BIGINT AS survivor_qty,
-  round(100000.0::DOUBLE * 0.1 / price, 4) AS breakout_qty, round(50.0::DOUBLE / price, 4) AS grid_qty FROM t""",
+  a AS (SELECT *, CASE WHEN q = 0 AND close > entry_high AND NOT coalesce(100000.0 * 0.1 / nullif(close, 0) * close > 20000.0, false) THEN 'buy_breakout' WHEN q > 0 AND close < exit_low THEN 'sell_breakout' END AS action FROM j)
+  SELECT symbol, ts, close AS price, entry_high, exit_low, action, round(CASE WHEN action = 'buy_breakout' THEN 100000.0::DOUBLE * 0.1 / nullif(close, 0) ELSE q END, 4) AS qty, CASE WHEN action = 'buy_breakout' THEN round(100000.0::DOUBLE * 0.1 / nullif(close, 0), 4) ELSE q END AS order_qty FROM a WHERE action IS NOT NULL""",
+    "position_sizing": """WITH t AS (SELECT event_type AS symbol, last(value ORDER BY ts, event_id) AS price FROM events GROUP BY 1) SELECT symbol, price, trunc(100000.0::DOUBLE * 0.02 / nullif(price * 0.02, 0))::BIGINT AS trend_qty, trunc(100000.0::DOUBLE * 0.05 / nullif(price, 0))::BIGINT AS survivor_qty,
+  round(100000.0::DOUBLE * 0.1 / nullif(price, 0), 4) AS breakout_qty, round(50.0::DOUBLE / nullif(price, 0), 4) AS grid_qty FROM t""",
     "grid_zones": f"SELECT event_id AS id, value AS price, {_ZONE} AS zone FROM events WHERE event_type = 'click'",
     "grid_signals": f"{_GRID}, l AS (SELECT *, lag(zone) OVER (ORDER BY rn) AS pz FROM z) SELECT id, zone, CASE WHEN zone < pz THEN 'grid_buy' ELSE 'grid_sell' END AS action, round(50.0::DOUBLE / price, 4) AS qty FROM l WHERE pz IS NOT NULL AND pz <> -1 AND zone <> pz",
     "grid_inventory": f"""{_GRID}, f(rn, zone, held, buys, sells, blocked) AS (SELECT 0::BIGINT, -1, 0.0::DOUBLE, 0::BIGINT, 0::BIGINT, 0::BIGINT UNION ALL

@@ -8,13 +8,20 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..operators.grid import INVENTORY
 from ..sources import fixtures
 from ..streaming import jobs
 
 
 def _folder(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/') if named else tempfile.mkdtemp(prefix='tidewater-')}/stream-{uuid.uuid4().hex}"
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidewater-")
+    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def replay(spark, sf_dir: str):
@@ -24,28 +31,34 @@ def replay(spark, sf_dir: str):
     return stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), F.col("value").alias("price"))
 
 
-def to_table(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream to its end and reads what it wrote; of rows per key the last batch's is kept by the caller."""
-    spark = df.sparkSession
-    top = _folder(spark)
-
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{top}/out")
-
-    query = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+def _finished(spark, writer, strategy: str, out: str, schema: str) -> DataFrame:
+    """Runs a stream to its end; what its batches wrote, with ``n``, the number of the batch."""
+    query = jobs.polled(writer, strategy, once=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{top}/out")
+    if not query.lastProgress:  # no batch at all
+        return spark.createDataFrame([], f"{schema}, n bigint")
+    return spark.read.schema(f"{schema}, n bigint").parquet(out)
 
 
 def stream_grid(spark, sf_dir):
-    out = to_table(jobs.stream_grid(replay(spark, sf_dir).where("symbol = 'click'"), **fixtures.GRID), "update")
-    last = out.groupBy("symbol").agg(F.max_by(F.struct("zone", "held", "buys", "sells", "blocked"), "batch").alias("s"))
+    top = _folder(spark)
+    ticks = replay(spark, sf_dir).where("symbol = 'click'")
+    states = _finished(spark, jobs.stream_grid(ticks, f"{top}/out", **fixtures.GRID).option("checkpointLocation", f"{top}/state"), "grid", f"{top}/out", INVENTORY)
+    last = states.groupBy("symbol").agg(F.max_by(F.struct("zone", "held", "buys", "sells", "blocked"), "n").alias("s"))
     return last.select("symbol", "s.zone", F.round("s.held", 4).alias("held"), "s.buys", "s.sells", "s.blocked")
 
 
 def stream_bars(spark, sf_dir):
-    out = to_table(jobs.stream_bars(replay(spark, sf_dir)), "update")
-    last = out.groupBy("symbol", "ts").agg(F.max_by(F.struct("open", "high", "low", "close"), "batch").alias("s"))
+    top = _folder(spark)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/out/n={n}")
+
+    bars = jobs.stream_bars(replay(spark, sf_dir))
+    writer = bars.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{top}/state")
+    # of a bar's states the last batch's counts
+    out = _finished(spark, writer, "report", f"{top}/out", schemas.BARS.replace("timestamp_ntz", "timestamp"))
+    last = out.groupBy("symbol", "ts").agg(F.max_by(F.struct("open", "high", "low", "close"), "n").alias("s"))
     return last.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "s.*")
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.grid import grid_fold
+from ..operators.grid import INVENTORY, grid_inventory
 
 #: Poll periods of the strategies, as processing-time triggers.
 TRIGGERS = {"grid": "30 seconds", "trend": "60 seconds", "survivor": "60 seconds", "report": "300 seconds", "wheel": "900 seconds", "condor": "1800 seconds", "breakout": "3600 seconds"}
-_OUT = "symbol string, zone int, held double, buys bigint, sells bigint, blocked bigint"
-_STATE = "zone int, held double, buys bigint, sells bigint, blocked bigint"
+
+
+def polled(writer: DataStreamWriter, strategy: str, once: bool = False) -> DataStreamWriter:
+    """Triggers a stream as often as ``strategy`` polls, or takes what is there and ends."""
+    return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=TRIGGERS[strategy])
 
 
 def stream_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -24,16 +24,16 @@ def stream_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours")
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close")
 
 
-def stream_grid(ticks: DataFrame, bottom: float, top: float, levels: int, budget: float = 50.0) -> DataFrame:
-    """The grid's state per symbol after each micro-batch; ticks of one batch are taken in order of ``(ts, id)``."""
+def stream_grid(ticks: DataFrame, folder: str, bottom: float, top: float, levels: int, budget: float = 50.0) -> DataStreamWriter:
+    """Writes the grid's state per symbol after micro-batch n to ``folder/n=<n>``; ticks of one batch are taken in order of ``(ts, id)``.
+
+    A batch is a table like any other, so its zone changes are found side by side and only they are folded. A batch
+    begins with the state that the one before wrote; one that is run again writes the same state again.
+    """
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        zone, held, *counts = state.get if state.exists else (-1, 0.0, 0, 0, 0)
-        ticks_ = pd.concat(list(batches)).dropna(subset=["price"]).sort_values(["ts", "id"])
-        for zone, action, _, held in grid_fold(ticks_["price"], bottom, top, levels, budget, zone, held):
-            for i, a in enumerate(("grid_buy", "grid_sell", "blocked")):
-                counts[i] += action == a
-        state.update((int(zone), float(held), *map(int, counts)))
-        yield pd.DataFrame([(key[0], zone, held, *counts)], columns=["symbol", "zone", "held", "buys", "sells", "blocked"])
+    def advance(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema(INVENTORY).parquet(f"{folder}/n={n - 1}") if n else spark.createDataFrame([], INVENTORY)
+        grid_inventory(batch, bottom, top, levels, budget, before).write.mode("overwrite").parquet(f"{folder}/n={n}")
 
-    return ticks.groupBy("symbol").applyInPandasWithState(advance, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return ticks.writeStream.foreachBatch(advance)
