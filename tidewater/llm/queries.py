@@ -79,7 +79,8 @@ def _op6_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     kinds = [(k, p.replace("(?<![0-9a-f])", "")) for k, p, _, _ in secrets.BASE] + [("entropy", secrets.CANDIDATE.partition(")")[2])]
     values = ", ".join(f"({r}, {quote(k)}, {quote(p)})" for r, (k, p) in enumerate(kinds))
-    allowed = " OR ".join(f"regexp_matches(word, {quote(a)})" for a in secrets.ALLOW)
+    one = lambda p: f"NOT regexp_matches(word, {quote(p[1:])})" if p.startswith("!") else f"regexp_matches(word, {quote(p)})"
+    allowed = " OR ".join("(" + " AND ".join(one(p) for p in ([a] if isinstance(a, str) else a)) + ")" for a in secrets.ALLOW)
     least = " ".join(f"WHEN regexp_matches(word, {quote(c)}) THEN {bits}" for c, bits in secrets.CLASSES)
     windows = "list_max(list_transform(range(1, length(word) - 18), lambda i: list_aggregate(string_split(substr(word, i, 20), ''), 'entropy')))"
     text = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank){where}, '')"
