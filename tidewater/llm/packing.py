@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import unicodedata
 import zlib
 
@@ -30,13 +31,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pretokens of the vocabulary ``word_bpe_49k.json`` (fixed by that file) in lower-cased text.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Characters in which this file's pretokens and the tokenizer's are the same, whatever version of Unicode either follows:
+#: Latin, Greek, Cyrillic and their marks, punctuation, currency, arrows and mathematics, Chinese, kana, Hangul, wide forms.
+_OTHER = re.compile("[^\x00-\x1b\x20-\u0557\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff\u3000-\u33ff\u4e00-\u9fff\uac00-\ud7a3\uff01-\uff60]")
 
 
 class CachedEncoder:
     """Ids as little-endian bytes, by way of a bounded cache from white-space-free strings.
 
     A pretoken never spans white space, so a text's ids are those of its strings in turn.
-    Texts with special strings or rare control characters go to the tokenizer as they are.
+    Texts with special strings or other characters than the usual go to the tokenizer as they are.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -86,7 +90,7 @@ class CachedEncoder:
         out: list = [None] * len(texts)
         plain, lowered = [], []
         for i, t in enumerate(texts):
-            if "<|" in t and any(x in t for x in SPECIAL) or any(x in t for x in "\x1c\x1d\x1e\x1f"):
+            if "<|" in t and any(x in t for x in SPECIAL) or _OTHER.search(t):
                 out[i] = self.whole([t])[0]
                 continue
             if not t.isascii():
