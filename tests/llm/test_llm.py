@@ -382,23 +382,41 @@ def test_urls(spark):
 
 def brute_top(rows, k, block):
     fit = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    for q, a in fit:
+    for n, (q, a) in enumerate(fit):
         if q % block == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in fit if i != q)
-            yield from ((q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k]))
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(fit) if m != n)
+            yield from ((q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k]))
 
 
-@pytest.mark.parametrize(("block", "rows"), [(4096, 2048), (3, 16)])
-def test_top_k(spark, block, rows):
+@pytest.mark.parametrize(("block", "lists"), [(32_768, 2), (3, 2), (7, 3), (100, 1)])
+def test_top_k(spark, block, lists, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS_AT_ONCE", 16)
     rng = np.random.default_rng(4)
     data = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(150)]
-    data += [(200 + i, data[7][1]) for i in range(20)] + [(300, None), (301, [float("nan")] * 8), (302, [float("inf")] + [0.0] * 7), (310, [None] * 8), (320, [])]
-    df = topk.whole_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>"))
-    got = topk.top_k(df, df.where("vec_id % 10 = 0"), block=block, rows=rows).collect()
+    data += [(200 + i, data[7][1]) for i in range(20)] + [(20, data[20][1]), (20, data[3][1]), (33, data[33][1])]
+    data += [(300, None), (301, [float("nan")] * 8), (302, [float("inf")] + [0.0] * 7), (310, [None] * 8), (320, []), (330, [9.5] * 11)]
+    df = topk.whole_vectors(spark.createDataFrame([(*r, 1, 2) for r in data], "vec_id long, embedding array<float>, uid int, vector int"))
+    got = topk.top_k(df, F.col("vec_id") % 10 == 0, block=block, lists=lists).collect()
     assert sorted(map(tuple, got)) == sorted(brute_top(data, 5, 10))
     few = df.where("vec_id < 3")
-    assert len(topk.top_k(few, few.where("vec_id = 0")).collect()) == 2
-    assert topk.top_k(few.where("false"), few.where("false")).count() == 0
+    assert len(topk.top_k(few, F.col("vec_id") == 0).collect()) == 2
+    assert topk.top_k(few.where("false"), F.lit(True)).count() == 0
+    assert topk.top_k(few, F.lit(False)).count() == 0
+
+
+def test_cutoffs_spare_entries():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 64))
+    x = np.floor(256 * (centres[rng.integers(0, 20, 2000)] + rng.normal(scale=0.3, size=(2000, 64))) / 9).astype(np.int64)
+    q = topk.Queries(np.arange(100), x[:100], 2)
+    full = x[:100] @ x.T
+    cut = np.sort(full, axis=1)[:, -6]
+    row, col, score = topk.survivors(q, x[:100], x, cut)
+    assert set(zip(row.tolist(), col.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(full >= cut[:, None])))) and (score == full[row, col]).all()
+    # of all entries few have the rest of their parts computed
+    first = x[:100][:, q.lists[0]] @ x[:, q.lists[0]].T
+    alive = first + np.outer(q.rest(x[:100], 0), q.rest(x, 0)) + 1 >= cut[:, None]
+    assert alive.mean() < 0.2
 
 
 # ---- packing

@@ -106,19 +106,18 @@ def op7_quality(spark, sf_dir):
 
 
 def op9_topk(spark, sf_dir):
-    vectors = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return topk.top_k(topk.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
 
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND list_count(list_filter(embedding, lambda x: isfinite(x::DOUBLE))) = len(embedding)),
 s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.c, v.c), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)))::BIGINT AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+  SELECT q.uid, q.vec_id AS query_id, v.vec_id, list_sum(list_transform(list_zip(q.c, v.c), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)))::BIGINT AS score
+  FROM v AS q JOIN v ON q.uid <> v.uid WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 

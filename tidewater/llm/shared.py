@@ -30,24 +30,35 @@ BATCH_ROWS = 2000
 _written: list[str] = []
 
 
+def new_table(spark: SparkSession, name: str = "tidewater") -> str:
+    """The path of a table to be written to the shared folder."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage and survives lost executors; nothing is kept on an executor.
     """
+    path = new_table(df.sparkSession)
+    append(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Adds the rows of ``df`` to the table at ``path``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewater-{uuid.uuid4().hex}"
-    _written.append(path)
     # rows of text are long: fewer of them are handed to Python workers at a time
     batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(batch)
     try:
         if not 0 < int(before) <= BATCH_ROWS:
             spark.conf.set(batch, BATCH_ROWS)
-        df.write.parquet(path)
+        df.write.mode("append").parquet(path)
     finally:
         spark.conf.set(batch, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession) -> None:

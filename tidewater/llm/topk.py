@@ -3,35 +3,40 @@
 The components of a vector are dealt to ``lists`` lists; a list ranks candidates by the
 part of the inner product that its components give.
 
-1. Every task reports, per query, the ``k`` best candidates of each of its lists with their
-   full scores. The k-th best of all of these is a cutoff no answer lies below.
-2. The cutoff t is broadcast. A score of t or more has a part of t / lists or more in some
-   list, so the entries above that in any list are sufficient.
-3. Their remaining parts are resolved exactly, and the best k of each task go on to a
-   ranking per query.
-
-Queries are taken in blocks of ``block`` rows, and only one block with its cutoffs is
-broadcast at a time, whatever the size of the table. Vectors that are null or hold a null
+1. Every task ranks its candidates per query by the first list alone and gives the full
+   scores of the ``k`` best. The k-th best of all of these is a safe cutoff t: no answer
+   lies below it.
+2. The cutoffs are broadcast. A score of t needs t / lists or more from some list. List
+   after list is computed, and an entry stays only while its parts and what the lengths of
+   the rest allow (Cauchy-Schwarz) can reach t; most are never computed in full.
+3. The remaining parts of the entries that stay are resolved exactly, and what reaches t
+   goes on to a ranking per query, at most ``k`` entries a task.
+
+Queries are taken in blocks of ``block`` rows. A block is one pass over the vectors, its
+results are written to the shared folder and what was broadcast for it is removed, so that
+no plan and no memory grows with the number of queries. Vectors that are null or hold a null
 or non-finite component take no part. Vectors of other lengths count as padded by zeros.
-Ties go to the smaller id; rows repeated under one id are candidates each but one query (of
-the smallest vector). Without enough
-candidates, all of them are returned; empty tables give an empty result.
+Ties go to the smaller id. Rows repeated under one id are candidates each, and queries each,
+with the other as candidate. Without enough candidates, all of them are returned; empty
+tables give an empty result. Columns other than id and vector are not read.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import append, new_table, settle
 from .sharding import number_rows
 
-ENTRIES = "query_id long, vec_id long, score long"
-_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+ENTRIES = "query long, vec_id long, score long"
+_SCHEMA = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_HEADS = pa.schema([("part", pa.int64()), ("scores", pa.binary())])
+#: Queries and candidates whose products are held at once, and the score of nothing.
+QUERIES_AT_ONCE, ROWS_AT_ONCE = 2048, 2048
+_NONE = -(2**62)
 
 
 def whole_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -53,102 +58,153 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.
     return out
 
 
-def _parts(queries: np.ndarray, them: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Parts of the inner products, one array (queries, candidates) a list; exact in float64 where sums stay below 2**53."""
-    top = lambda a: int(np.abs(a).max(initial=0))
-    small = top(queries) * top(them) * queries.shape[1] < 2**53
-    kind = np.float64 if small else np.int64
-    q, c = queries.astype(kind), them.astype(kind)
-    return [q[:, s] @ c[:, s].T for s in (slice(j, None, lists) for j in range(lists))]
+class Queries:
+    """A block of queries: numbers of their rows, matrix, and the lists that components are dealt to."""
+
+    def __init__(self, uid: np.ndarray, matrix: np.ndarray, lists: int):
+        self.uid, self.matrix = uid, matrix
+        self.lists = [np.arange(j, matrix.shape[1], lists) for j in range(min(lists, matrix.shape[1]))]
+        self.top = int(np.abs(matrix).max(initial=0))
+
+    def parts(self):
+        for at in range(0, len(self.uid), QUERIES_AT_ONCE):
+            yield at, self.matrix[at : at + QUERIES_AT_ONCE]
 
+    def kind(self, them: np.ndarray):
+        """Products are exact in float64 where sums stay below 2**53."""
+        return np.float64 if self.top * int(np.abs(them).max(initial=0)) * self.matrix.shape[1] < 2**53 else np.int64
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best by (score down, id up); columns come sorted by id."""
-    if scores.size <= k:
-        return np.argsort(-scores, kind="stable")
-    edge = np.partition(scores, scores.size - k)[scores.size - k]
-    over = np.flatnonzero(scores > edge)
-    level = np.flatnonzero(scores == edge)[: k - over.size]
-    return np.concatenate([over, level])
+    def rest(self, rows: np.ndarray, j: int) -> np.ndarray:
+        """Lengths of what the lists after the j-th hold, rounded up."""
+        later = [c for c in self.lists[j + 1 :]]
+        return np.sqrt((rows[:, np.concatenate(later)].astype(float) ** 2).sum(1)) * (1 + 1e-9) if later else np.zeros(len(rows))
 
 
-def _blocks(batches, width: int, rows: int):
+def _candidates(batches, width: int):
+    """``(number of the row, id, matrix)`` of bounded size, by id."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            part = b.slice(at, rows)
-            ids = part.column(0).to_numpy()
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            part = b.slice(at, ROWS_AT_ONCE)
+            ids = part.column(1).to_numpy()
             order = np.argsort(ids, kind="stable")
-            yield ids[order], _matrix(part.column(1), width)[order]
+            yield part.column(0).to_numpy()[order], ids[order], _matrix(part.column(2), width)[order]
 
 
-def _merge(best: dict, query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> None:
-    """Keeps a query's k best of what a task has seen, so that a task holds k entries a query."""
-    if query in best:
-        ids, scores = np.concatenate([best[query][0], ids]), np.concatenate([best[query][1], scores])
-    order = np.lexsort((ids, -scores))[:k]
-    best[query] = ids[order], scores[order]
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k best of each row, whatever their order; short rows are filled up with nothing."""
+    if scores.shape[1] < k:
+        scores = np.pad(scores, ((0, 0), (0, k - scores.shape[1])), constant_values=_NONE)
+    return -np.partition(-scores, k - 1, axis=1)[:, :k]
 
 
-def _told(best: dict, qids: np.ndarray):
-    if best:
-        rows = [(np.full(len(i), qids[q]), i, s) for q, (i, s) in best.items()]
-        yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*rows)], schema=_SCHEMA)
+def _told(part: int, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part]), pa.array([scores.astype("<i8").tobytes()], pa.binary())], schema=_HEADS)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, block: int = 4096, rows: int = 2048) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` from ``(vec_id, vector)`` tables; a query is no candidate of its own."""
-    spark = vectors.sparkSession
-    vectors = settle(vectors)
-    numbered = settle(number_rows(queries.groupBy("vec_id").agg(F.min("vector").alias("vector")), ["vec_id"]))
-    done = []
-    for at in range(0, numbered.count(), block):
-        table = numbered.where(F.col("row_no").between(at, at + block - 1)).select("vec_id", "vector").toArrow()
-        shared = spark.sparkContext.broadcast((table.column(0).to_numpy(), _matrix(table.column(1))))
-        done.append(_search(vectors, shared, k, lists, rows))
-    if not done:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = functools.reduce(DataFrame.unionAll, done)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _search(vectors: DataFrame, shared, k: int, lists: int, rows: int) -> DataFrame:
+def _merged(k: int):
+    """applyInArrow function: the k best scores per query of one part, from several tasks."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        best = None
+        for raw in t.column("scores"):
+            own = np.frombuffer(raw.as_py(), "<i8").reshape(-1, k)
+            best = own if best is None else _best(np.concatenate([best, own], 1), k)
+        return pa.Table.from_batches([_told(t.column("part")[0].as_py(), best)])
+
+    return merge
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, block: int = 32_768) -> DataFrame:
+    """``(query_id, rank, vec_id, score)`` from ``(vec_id, vector)`` and the rows of it that are queries; a query's own row is no candidate of it.
+
+    ``queries`` is a condition on the columns of ``vectors``, as a column.
+    """
     spark = vectors.sparkSession
+    vectors = settle(vectors.withColumn("uid", F.monotonically_increasing_id()).select("uid", "vec_id", "vector"))
+    asked = settle(number_rows(vectors.where(queries), ["vec_id", "uid"]))
+    path = new_table(spark)
+    for at in range(0, asked.count(), block):
+        table = asked.where(F.col("row_no").between(at, at + block - 1)).orderBy("row_no").select("uid", "vector").toArrow()
+        shared = spark.sparkContext.broadcast(Queries(table.column(0).to_numpy(), _matrix(table.column(1)), lists))
+        cut = spark.sparkContext.broadcast(_cutoffs(vectors, shared, k))
+        found = vectors.select("uid", "vec_id", "vector").mapInArrow(_resolve(shared, cut, k), ENTRIES)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+        append(ranked, path)
+        shared.destroy()
+        cut.destroy()
+    schema = "query long, vec_id long, score long, rank int"
+    found = spark.read.schema(schema).parquet(path) if at_least_one(asked) else spark.createDataFrame([], schema)
+    names = asked.select(F.col("uid").alias("query"), F.col("vec_id").alias("query_id"))
+    return found.join(names, "query").select("query_id", "rank", "vec_id", "score")
+
+
+def at_least_one(df: DataFrame) -> bool:
+    return bool(df.head(1))
+
+
+def _cutoffs(vectors: DataFrame, shared, k: int) -> np.ndarray:
+    """Phase 1: per query a score that k candidates reach; ``_NONE`` where there are not so many."""
 
     def heads(batches):
-        qids, q = shared.value
-        best: dict = {}
-        for ids, them in _blocks(batches, q.shape[1], rows):
-            parts = _parts(q, them, lists)
-            full = sum(parts)
-            for i in range(len(qids)):
-                other = ids != qids[i]
-                own = ids[other]
-                seen = np.unique(np.concatenate([_best(p[i][other], own, k) for p in parts]))
-                _merge(best, i, own[seen], full[i][other][seen].astype(np.int64), k)
-        yield from _told(best, qids)
-
-    gathered = vectors.mapInArrow(heads, ENTRIES)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    cut = gathered.withColumn("_r", rank).where(F.col("_r") == k).select("query_id", "score").toArrow()
-    cutoffs = spark.sparkContext.broadcast(dict(zip(cut.column(0).to_pylist(), cut.column(1).to_pylist())))  # one a query of the block
+        q: Queries = shared.value
+        best: dict[int, np.ndarray] = {}
+        for uid, _, them in _candidates(batches, q.matrix.shape[1]):
+            kind = q.kind(them)
+            for at, rows in q.parts():
+                first = rows[:, q.lists[0]].astype(kind) @ them[:, q.lists[0]].astype(kind).T
+                own = q.uid[at : at + len(rows), None] == uid[None]
+                first[own] = _NONE
+                some = min(k, len(them))
+                head = np.argpartition(-first, some - 1, axis=1)[:, :some]
+                full = np.einsum("qd,qkd->qk", rows, them[head])
+                full[np.take_along_axis(own, head, 1)] = _NONE
+                best[at] = _best(full if at not in best else np.concatenate([best[at], full], 1), k)
+        for at, scores in best.items():
+            yield _told(at // QUERIES_AT_ONCE, scores)
+
+    told = vectors.select("uid", "vec_id", "vector").mapInArrow(heads, "part long, scores binary").withColumn("_t", F.spark_partition_id() % 64)
+    some = told.groupBy("part", "_t").applyInArrow(lambda t: _merged(k)(t.drop_columns(["_t"])), "part long, scores binary")
+    out = np.full(len(shared.value.uid), _NONE, np.int64)
+    for r in some.groupBy("part").applyInArrow(_merged(k), "part long, scores binary").toLocalIterator():
+        scores = np.frombuffer(r["scores"], "<i8").reshape(-1, k)
+        out[r["part"] * QUERIES_AT_ONCE :][: len(scores)] = scores.min(1)
+    return out
+
 
+def survivors(q: Queries, rows: np.ndarray, them: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phases 2 and 3: ``(query, candidate, score)`` of the entries whose score reaches the query's cutoff."""
+    kind = q.kind(them)
+    left, right = rows.astype(kind), them.astype(kind)
+    known = left[:, q.lists[0]] @ right[:, q.lists[0]].T
+    row, col = np.nonzero(known + np.outer(q.rest(rows, 0), q.rest(them, 0)) + 1 >= cut[:, None])
+    score = known[row, col]
+    for j, own in enumerate(q.lists[1:], 1):
+        add = np.empty(len(row), kind)
+        for at in range(0, len(row), 65_536):
+            a, b = row[at : at + 65_536], col[at : at + 65_536]
+            add[at : at + 65_536] = np.einsum("nd,nd->n", left[np.ix_(a, own)], right[np.ix_(b, own)])
+        score = score + add
+        stay = score + q.rest(rows, j)[row] * q.rest(them, j)[col] + (1 if j + 1 < len(q.lists) else 0) >= cut[row]
+        row, col, score = row[stay], col[stay], score[stay]
+    return row, col, score.astype(np.int64)
+
+
+def _resolve(shared, cut, k: int):
     def resolve(batches):
-        qids, q = shared.value
-        # without k candidates anywhere there is no cutoff: all entries are sufficient
-        least = np.array([cutoffs.value.get(i, -(2**62)) for i in qids.tolist()], np.int64)
-        best: dict = {}
-        for ids, them in _blocks(batches, q.shape[1], rows):
-            parts = _parts(q, them, lists)
-            enough = functools.reduce(np.logical_or, [p * lists >= least[:, None] for p in parts])
-            row, col = np.nonzero(enough & (ids[None, :] != qids[:, None]))
-            score = sum(p[row, col] for p in parts).astype(np.int64)
-            keep = score >= least[row]
-            row, col, score = row[keep], col[keep], score[keep]
-            for at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):
-                if at.size:
-                    own = _best(score[at], ids[col[at]], k)
-                    _merge(best, int(row[at[0]]), ids[col[at[own]]], score[at[own]], k)
-        yield from _told(best, qids)
-
-    return vectors.mapInArrow(resolve, ENTRIES)
+        q: Queries = shared.value
+        best = {at: (np.empty(0, np.int64),) * 3 for at, _ in q.parts()}
+        for uid, ids, them in _candidates(batches, q.matrix.shape[1]):
+            for at, rows in q.parts():
+                row, col, score = survivors(q, rows, them, cut.value[at : at + len(rows)])
+                other = q.uid[at + row] != uid[col]
+                row, vec, score = (np.concatenate(c) for c in zip(best[at], (row[other], ids[col[other]], score[other])))
+                order = np.lexsort((vec, -score, row))
+                row, vec, score = row[order], vec[order], score[order]
+                # the place of an entry among its query's
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                best[at] = row[place < k], vec[place < k], score[place < k]
+        for at, (row, vec, score) in best.items():
+            if len(row):
+                yield pa.record_batch([pa.array(c) for c in (q.uid[at + row], vec, score)], schema=_SCHEMA)
+
+    return resolve
