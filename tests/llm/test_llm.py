@@ -373,6 +373,9 @@ def test_urls(spark):
     assert got[9][:3] == ("com", "", None) and got[10][:2] == ("a.org", "/://b.com/en/")
     assert got[12] == ("bad.org", "/2", None, "block")
     assert urls.filter_urls(pages, marks).count() == len(URLS)
+    # hosts that are broadcast are judged alike
+    plain, hot = (sorted(map(repr, urls.filter_urls(pages, marks, hot_pages=n).collect())) for n in (100, 2))
+    assert plain == hot
     assert {r["verdict"] for r in urls.filter_urls(pages.where("page_id > 10"), marks.where("false")).collect()} == {"allow"}
     assert urls.filter_urls(pages.where("false"), marks).count() == 0
 

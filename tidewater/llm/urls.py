@@ -11,6 +11,7 @@ Only DataFrame functions run here. Nulls and URLs without ``://`` have an empty
 path; no rule fits an empty host, and it shares one reputation like any other host. Pages
 without a label count in no rate. A table of outcomes without rows allows every page that
 no rule blocks. Repeated rows are judged one by one; labels count once a page and label row.
+Other columns of the tables are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: (host, path, verdict), as the contract fixes them.
 RULES = (
     ("com", "/", "allow"),
@@ -57,8 +60,8 @@ def domain_columns(host: Column) -> tuple[Column, Column]:
     return F.when(listed, F.substring_index(host, ".", -3)).otherwise(two), F.when(listed, two).otherwise(one)
 
 
-def _level(counts: DataFrame, key: str, above: str | None, least: float, most: float) -> DataFrame:
-    """Posterior mean and strength per ``key``, shrunk to the posterior mean ``_mean`` of the level above.
+def _shrunk(counts: DataFrame, key: str, least: float, most: float) -> DataFrame:
+    """``(key, mean, weight)``: posterior means of ``counts(key, _good, _all, _prior)``, shrunk to the prior, with their strengths.
 
     Moments: with rates r_i from n_i outcomes around prior means m_i, the overdispersion is
     rho = (sum((n_i r_i - n_i m_i)^2 / (m_i (1 - m_i))) - sum n_i) / sum(n_i (n_i - 1)), and the
@@ -66,45 +69,58 @@ def _level(counts: DataFrame, key: str, above: str | None, least: float, most: f
     """
     m = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("_prior")))
     excess = F.sum((F.col("_good") - F.col("_all") * m) * (F.col("_good") - F.col("_all") * m) / (m * (1 - m))) - F.sum("_all")
-    pairs = F.sum(F.col("_all") * (F.col("_all") - 1))
-    rho = F.try_divide(excess, pairs)
-    strength = F.when(rho.isNull() | (rho <= 0), F.lit(most)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), 1 / rho - 1)))
-    fitted = counts.agg(F.coalesce(strength, F.lit(most)).alias("_s"))  # one row
-    return counts.crossJoin(F.broadcast(fitted)).select(
-        key, ((F.col("_good") + F.col("_s") * F.col("_prior")) / (F.col("_all") + F.col("_s"))).alias("_mean"), (F.col("_all") + F.col("_s")).alias("_weight")
-    )
+    rho = F.try_divide(excess, F.sum(F.col("_all") * (F.col("_all") - 1)))
+    counts = settle(counts)
+    fitted = counts.agg(F.when(rho.isNull() | (rho <= 0), F.lit(most)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), 1 / rho - 1)))).first()[0]  # one number
+    s = F.lit(most if fitted is None else float(fitted))
+    return counts.select(key, ((F.col("_good") + s * F.col("_prior")) / (F.col("_all") + s)).alias("mean"), (F.col("_all") + s).alias("weight"))
 
 
 def host_reputation(hosts: DataFrame, least_strength: float = 2.0, most_strength: float = 200.0) -> DataFrame:
-    """Posterior per host from ``hosts(host, domain, suffix, n_good, n_all)``: adds ``rate`` and ``weight``."""
-    total = hosts.agg(F.coalesce(F.try_divide(F.sum("n_good"), F.sum("n_all")), F.lit(1.0)).alias("_prior"))
+    """Posterior per host from ``hosts(host, domain, suffix, n_good, n_all)``, a row a host: ``(host, rate, weight)``.
+
+    ``hosts`` is read once a level, so it should be a written table.
+    """
+    prior = hosts.agg(F.coalesce(F.try_divide(F.sum("n_good"), F.sum("n_all")), F.lit(1.0))).first()[0]  # one number
     sums = [F.sum("n_good").cast("double").alias("_good"), F.sum("n_all").cast("double").alias("_all")]
-    args = (least_strength, most_strength)
-    suffixes = _level(hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(total)), "suffix", None, *args)
-    by_domain = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", F.col("_mean").alias("_prior")), "suffix")
-    domains = _level(by_domain, "domain", "suffix", *args)
-    by_host = hosts.groupBy("host", "domain").agg(*sums).join(domains.select("domain", F.col("_mean").alias("_prior")), "domain")
-    return _level(by_host, "host", "domain", *args).select("host", F.col("_mean").alias("rate"), F.col("_weight").alias("weight"))
+    limits = (least_strength, most_strength)
+    suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("_prior", F.lit(float(prior))), "suffix", *limits)
+    above = lambda level, key: level.select(key, F.col("mean").alias("_prior"))
+    domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*sums).join(above(suffixes, "suffix"), "suffix"), "domain", *limits)
+    by_host = hosts.select("host", "domain", F.col("n_good").cast("double").alias("_good"), F.col("n_all").cast("double").alias("_all"))
+    return _shrunk(by_host.join(above(domains, "domain"), "domain"), "host", *limits).select("host", F.col("mean").alias("rate"), "weight")
 
 
 def filter_urls(
-    pages: DataFrame, outcomes: DataFrame, rules=RULES, least_rate: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url", good_col: str = "good"
+    pages: DataFrame, outcomes: DataFrame, rules=RULES, least_rate: float = 0.5, z: float = 1.645, hot_pages: int = 100_000, id_col: str = "page_id", url_col: str = "url", good_col: str = "good"
 ) -> DataFrame:
     """Verdict per page: ``(page_id, host, path, rule, verdict, rate, bound)``.
 
     ``outcomes(id_col, good_col)`` holds labelled pages, good 1 or bad 0; null labels count nowhere.
     ``bound`` is the upper end, ``z`` standard deviations above the mean, of the host's posterior rate.
+    Hosts of more than ``hot_pages`` pages, and more than one page in 10,000, of which there are fewer
+    than 10,000, are broadcast; pages of all others meet their host in a shuffle.
     """
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    marks = outcomes.select(F.col(id_col).cast("long").alias("page_id"), F.col(good_col).cast("long").alias("_g")).where("_g is not null")
+    marks = outcomes.select(F.col(id_col).cast("long").alias("page_id"), F.col(good_col).cast("long").alias("_g")).where("_g is not null and page_id is not null")
     marks = marks.groupBy("page_id").agg(F.sum("_g").alias("_g"), F.count("*").alias("_c"))
-    counted = page.select("page_id", "host").join(marks, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("_g"), F.lit(0)).alias("n_good"), F.coalesce(F.sum("_c"), F.lit(0)).alias("n_all"))
+    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
     domain, suffix = domain_columns(F.col("host"))
-    known = host_reputation(counted.withColumns({"domain": domain, "suffix": suffix}))
+    counted = page.select("page_id", "host").join(marks, "page_id", "left").groupBy("host").agg(zero("_g", "n_good"), zero("_c", "n_all"), F.count("*").alias("n_pages"))
+    counted = settle(counted.withColumns({"domain": domain, "suffix": suffix}))
     bound = F.col("rate") + z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
-    known = known.select("host", F.round("rate", 9).alias("rate"), F.round(bound, 9).alias("bound"))
-    ruled = page.withColumn("_r", rule_column(F.col("host"), F.col("path"), rules))
-    return ruled.join(known, "host", "left").select(
+    known = host_reputation(counted).select("host", F.round("rate", 9).alias("rate"), F.round(bound, 9).alias("bound"))
+    total, largest = counted.agg(F.sum("n_pages"), F.max("n_pages")).first()
+    limit = max(hot_pages, (total or 0) // 10_000)
+    if (largest or 0) > limit:
+        hot = known.join(counted.where(F.col("n_pages") > limit).select("host"), "host", "left_semi")
+        names = settle(hot)
+        cold = page.join(F.broadcast(names.select("host")), "host", "left_anti").join(known, "host", "left")
+        judged = page.join(F.broadcast(names), "host").unionByName(cold)
+    else:
+        judged = page.join(known, "host", "left")
+    judged = judged.withColumn("_r", rule_column(F.col("host"), F.col("path"), rules))
+    return judged.select(
         "page_id", "host", "path", F.col("_r.rule").alias("rule"),
         F.coalesce(F.col("_r.verdict"), F.when(F.col("bound") < least_rate, "block").otherwise("allow")).alias("verdict"), "rate", "bound",
     )
