@@ -51,10 +51,50 @@ def direct(close):
 @pytest.mark.parametrize("chunk", [64, 1024])
 def test_against_direct_definitions(spark, chunk):
     close = 100 + np.cumsum(np.random.default_rng(1).normal(size=400))
-    # a halo of 64 rows leaves a visible rest of the recurrences, one of 1024 does not
     got = ind.enrich(frame(spark, close), ind.sma(5), ind.ema(9), ind.rsi(), ind.adx(), chunk=chunk)
     for name, want in direct(close).items():
-        np.testing.assert_allclose(values(got, name), want, rtol=1e-9 if chunk == 1024 else 0.2, atol=1e-9 if chunk == 1024 else 5)
+        np.testing.assert_allclose(values(got, name), want, rtol=1e-9, atol=1e-9)
+
+
+LONG = 5000
+
+
+@pytest.fixture(scope="module")
+def long_close():
+    return 50 + np.abs(np.cumsum(np.random.default_rng(7).normal(size=LONG)))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 100, 200, 500])
+def test_ema_of_any_length(spark, long_close, n):
+    want, a = np.full(LONG, np.nan), 2 / (n + 1)
+    want[n - 1] = long_close[:n].mean()
+    for i in range(n, LONG):
+        want[i] = a * long_close[i] + (1 - a) * want[i - 1]
+    got = ind.enrich(frame(spark, long_close), ind.ema(n, into="x"), ind.sma(7))
+    np.testing.assert_allclose(values(got, "x"), want, rtol=1e-9, atol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 14, 90])
+def test_rsi_of_any_length(spark, long_close, n):
+    d = pd.Series(long_close).diff()
+    up, dn = rma(d.clip(lower=0).where(d.notna()), n), rma((-d).clip(lower=0).where(d.notna()), n)
+    got = ind.enrich(frame(spark, long_close), ind.rsi(n))
+    np.testing.assert_allclose(values(got, "rsi"), 100 * up / (up + dn), rtol=1e-9, atol=1e-9)
+
+
+def test_windows_longer_than_a_chunk(spark, long_close):
+    got = ind.enrich(frame(spark, long_close), ind.sma(1500), ind.donchian(1500, 1200), ind.ema(3), ind.lagged("close", 1100))
+    s = pd.Series(long_close)
+    np.testing.assert_allclose(values(got, "sma1500"), s.rolling(1500).mean(), rtol=1e-9)
+    full = pd.Series(np.arange(LONG) >= 1500)
+    np.testing.assert_allclose(values(got, "entry_high"), (s + 1).rolling(1500).max().shift().where(full), rtol=1e-12)
+    np.testing.assert_allclose(values(got, "exit_low"), (s - 1).rolling(1200).min().shift().where(full), rtol=1e-12)
+    np.testing.assert_allclose(values(got, "prev_close"), s.shift(1100), rtol=1e-12)
+    direct_ema = s.copy()
+    direct_ema[:2], direct_ema[2] = np.nan, s[:3].mean()
+    for i in range(3, LONG):
+        direct_ema[i] = 0.5 * s[i] + 0.5 * direct_ema[i - 1]
+    np.testing.assert_allclose(values(got, "ema3"), direct_ema, rtol=1e-9)
 
 
 def test_many_chunks_agree_with_one_series(spark):

@@ -1,15 +1,19 @@
 """Technical indicators as window expressions.
 
 Bars are dealt in chunks of consecutive rows of a symbol, each with the rows of the chunk
-before as a halo. Every indicator is a window over one chunk, so a task holds ``2 * CHUNK``
-rows however long a symbol's history is, and all of them share one exchange. Recurrences
-(exponential and Wilder averages) are sums with decaying weights; what lies beyond the halo
-weighs less than 1e-32 of the rest. Missing values are null, never NaN.
+before as a halo. Every indicator is a window over one chunk, so a task holds two chunks
+however long a symbol's history is, and all of them share one exchange. A step knows its
+``reach``, the rows before a row that bear on it, and a chunk is never shorter than the
+reaches of all steps together, so that lengths of any size are right; what a task holds grows
+with the lengths asked for, not with the data. Recurrences (exponential and Wilder averages)
+are sums with decaying weights and reach back to a weight of 1e-32. Missing values are null,
+never NaN.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,9 +44,20 @@ def over() -> Window:
     return Window.partitionBy("symbol", "_chunk").orderBy("rn")
 
 
+def _reaching(reach: int):
+    """Marks a step with the number of rows before a row that bear on it."""
+
+    def mark(step: Callable[[DataFrame], DataFrame]):
+        step.reach = reach
+        return step
+
+    return mark
+
+
 def enrich(bars: DataFrame, *steps: Callable[[DataFrame], DataFrame], chunk: int = CHUNK) -> DataFrame:
-    """Applies indicator steps to bars ``(symbol, ts, ...)``; adds their columns and ``rn``."""
-    rows = functools.reduce(lambda df, step: step(df), steps, chunked(bars, chunk))
+    """Applies indicator steps to bars ``(symbol, ts, ...)``; adds their columns and ``rn``. ``chunk`` is the least length of a chunk."""
+    reach = sum(getattr(s, "reach", 0) for s in steps)  # steps may build on each other
+    rows = functools.reduce(lambda df, step: step(df), steps, chunked(bars, max(chunk, reach)))
     return rows.where("_own").drop("_chunk", "_own", *(c for c in rows.columns if c.startswith("_")))
 
 
@@ -52,42 +67,69 @@ def _past(n: int):
 
 def sma(n: int, column: str = "close", into: str | None = None):
     """Mean of the last ``n`` rows; null for the first n - 1."""
-    return lambda df: df.withColumn(into or f"sma{n}", F.when(F.col("rn") >= n, F.avg(column).over(_past(n))))
 
+    @_reaching(n)
+    def step(df: DataFrame) -> DataFrame:
+        return df.withColumn(into or f"sma{n}", F.when(F.col("rn") >= n, F.avg(column).over(_past(n))))
+
+    return step
+
+
+def _memory(keep: float) -> int:
+    """Rows after which a weight that falls by ``keep`` a row is below 1e-32."""
+    return 1 if keep <= 0 else math.ceil(-32 * math.log(10) / math.log(keep)) + 1
+
+
+def _decayed(df: DataFrame, x: Column, keep: float, into: str) -> DataFrame:
+    """Adds ``into``, the sum of x_i * keep^(k - i) over the rows of the chunk so far; null x count nothing.
 
-def _decayed(x: Column, keep: float) -> Column:
-    """sum of x_i * keep^(k - i) over all rows of the chunk so far; null x count nothing."""
-    k = F.col("_k").cast("double")
-    running = over().rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.sum(x * F.pow(F.lit(keep), -k)).over(running), F.lit(0.0)) * F.pow(F.lit(keep), k)
+    Inside a block of rows weights keep^-k stay below 1e200; the last block's sum is carried on, the one
+    before weighs nothing.
+    """
+    if keep <= 0:
+        return df.withColumn(into, F.coalesce(x, F.lit(0.0)))
+    block = max(2, int(-200 * math.log(10) / math.log(keep)))
+    k = F.pmod(F.col("_k"), F.lit(block)).cast("double")
+    w = Window.partitionBy("symbol", "_chunk", "_block").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("_block", F.floor(F.col("_k") / block)).withColumn(into, F.coalesce(F.sum(x * F.pow(F.lit(keep), -k)).over(w), F.lit(0.0)) * F.pow(F.lit(keep), k))
+    # the sum at the last row of the block before
+    ends = F.when(F.pmod(F.col("_k"), F.lit(block)) == block - 1, F.col(into))
+    before = F.last(ends, ignorenulls=True).over(over().rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("_before", before)
+    return out.withColumn(into, F.col(into) + F.coalesce(F.pow(F.lit(keep), k + 1) * F.col("_before"), F.lit(0.0))).drop("_block", "_before")
 
 
 def ema(n: int, column: str = "close", into: str | None = None):
     """Exponential mean, weight 2 / (n + 1), begun with the mean of the first ``n`` rows; null before."""
+    a = 2.0 / (n + 1)
 
+    @_reaching(n + _memory(1 - a))
     def step(df: DataFrame) -> DataFrame:
-        a = 2.0 / (n + 1)
+        name = into or f"ema{n}"
         seeded = df.withColumn("_seed", F.when(F.col("rn") == n, F.avg(column).over(_past(n))))
         x = F.when(F.col("rn") == n, F.col("_seed")).when(F.col("rn") > n, F.col(column) * a)
-        return seeded.withColumn(into or f"ema{n}", F.when(F.col("rn") >= n, _decayed(x, 1 - a))).drop("_seed")
+        return _decayed(seeded, x, 1 - a, name).withColumn(name, F.when(F.col("rn") >= n, F.col(name))).drop("_seed")
 
     return step
 
 
-def _rma(x: Column, n: int, first: int) -> Column:
-    """Wilder mean with normalised weights (1 - 1/n)^age; x is null before row ``first``, the mean before ``n`` values."""
+def _rma(df: DataFrame, column: str, n: int, first: int, into: str | None = None) -> DataFrame:
+    """Wilder mean with normalised weights (1 - 1/n)^age; ``column`` is null before row ``first``, the mean before ``n`` values."""
     keep = 1 - 1.0 / n
-    return F.when(F.col("rn") >= first + n - 1, F.try_divide(_decayed(x, keep), _decayed(F.when(x.isNotNull(), F.lit(1.0)), keep)))
+    out = _decayed(df, F.col(column), keep, "_sum")
+    out = _decayed(out, F.when(F.col(column).isNotNull(), F.lit(1.0)), keep, "_weight")
+    return out.withColumn(into or column, F.when(F.col("rn") >= first + n - 1, F.try_divide("_sum", "_weight"))).drop("_sum", "_weight")
 
 
 def rsi(n: int = 14, column: str = "close", into: str = "rsi"):
     """100 * gains / (gains + losses) of Wilder means; null until ``n`` differences and where nothing moved."""
 
+    @_reaching(1 + _memory(1 - 1.0 / n))
     def step(df: DataFrame) -> DataFrame:
         d = df.withColumn("_d", F.when(F.col("rn") > 1, F.col(column) - F.lag(column).over(over())))
         d = d.withColumns({"_up": F.greatest(F.col("_d"), F.lit(0.0)), "_dn": F.greatest(-F.col("_d"), F.lit(0.0))})
         d = d.withColumns({c: F.when(F.col("_d").isNotNull(), F.col(c)) for c in ("_up", "_dn")})
-        d = d.withColumns({"_up": _rma(F.col("_up"), n, 2), "_dn": _rma(F.col("_dn"), n, 2)})
+        d = _rma(_rma(d, "_up", n, 2), "_dn", n, 2)
         return d.withColumn(into, F.try_divide(100 * F.col("_up"), F.col("_up") + F.col("_dn"))).drop("_d", "_up", "_dn")
 
     return step
@@ -96,15 +138,16 @@ def rsi(n: int = 14, column: str = "close", into: str = "rsi"):
 def adx(n: int = 14, into: str = "adx"):
     """Wilder mean of 100 * |P - M| / (P + M), P and M the Wilder means of upward and downward moves."""
 
+    @_reaching(1 + 2 * _memory(1 - 1.0 / n))
     def step(df: DataFrame) -> DataFrame:
         w = over()
         d = df.withColumns({"_u": F.when(F.col("rn") > 1, F.col("high") - F.lag("high").over(w)), "_v": F.when(F.col("rn") > 1, F.lag("low").over(w) - F.col("low"))})
         p = F.when(F.col("_u").isNotNull(), F.when((F.col("_u") > F.col("_v")) & (F.col("_u") > 0), F.col("_u")).otherwise(0.0))
         m = F.when(F.col("_v").isNotNull(), F.when((F.col("_v") > F.col("_u")) & (F.col("_v") > 0), F.col("_v")).otherwise(0.0))
         d = d.withColumns({"_p": p, "_m": m})
-        d = d.withColumns({"_p": _rma(F.col("_p"), n, 2), "_m": _rma(F.col("_m"), n, 2)})
+        d = _rma(_rma(d, "_p", n, 2), "_m", n, 2)
         d = d.withColumn("_x", F.try_divide(100 * F.abs(F.col("_p") - F.col("_m")), F.col("_p") + F.col("_m")))
-        return d.withColumn(into, _rma(F.col("_x"), n, n + 1)).drop("_u", "_v", "_p", "_m", "_x")
+        return _rma(d, "_x", n, n + 1, into).drop("_u", "_v", "_p", "_m", "_x")
 
     return step
 
@@ -112,6 +155,7 @@ def adx(n: int = 14, into: str = "adx"):
 def donchian(entry: int = 20, leave: int = 10):
     """Highest high and lowest low of completed bars before this one; both null without ``entry`` of them."""
 
+    @_reaching(max(entry, leave))
     def step(df: DataFrame) -> DataFrame:
         full = F.col("rn") > entry
         high = F.max("high").over(over().rowsBetween(-entry, -1))
@@ -122,12 +166,17 @@ def donchian(entry: int = 20, leave: int = 10):
 
 
 def lagged(column: str, n: int = 1, into: str | None = None):
-    return lambda df: df.withColumn(into or f"prev_{column}", F.when(F.col("rn") > n, F.lag(column, n).over(over())))
+    @_reaching(n)
+    def step(df: DataFrame) -> DataFrame:
+        return df.withColumn(into or f"prev_{column}", F.when(F.col("rn") > n, F.lag(column, n).over(over())))
+
+    return step
 
 
 def returns(column: str = "close", into: str = "move"):
     """(last - previous) / previous; null on the first bar."""
 
+    @_reaching(1)
     def step(df: DataFrame) -> DataFrame:
         prev = F.when(F.col("rn") > 1, F.lag(column).over(over()))
         return df.withColumn(into, F.try_divide(F.col(column) - prev, prev))
@@ -138,6 +187,7 @@ def returns(column: str = "close", into: str = "move"):
 def crossings(fast: str, slow: str):
     """``bull_cross`` and ``bear_cross``: this bar's order of two columns against the last one's; false while unknown."""
 
+    @_reaching(1)
     def step(df: DataFrame) -> DataFrame:
         pf, ps = (F.when(F.col("rn") > 1, F.lag(c).over(over())) for c in (fast, slow))
         bull = (F.col(fast) > F.col(slow)) & (pf <= ps)

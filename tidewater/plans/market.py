@@ -71,6 +71,14 @@ def rsi(s, d):
     return _r(ind.enrich(fixtures.bars(s, d), ind.rsi()).select("symbol", "ts", "rsi"), "rsi")
 
 
+def ema_200(s, d):
+    return _r(ind.enrich(fixtures.bars(s, d), ind.ema(200)).select("symbol", "ts", "ema200"), "ema200")
+
+
+def rsi_2(s, d):
+    return _r(ind.enrich(fixtures.bars(s, d), ind.rsi(2, into="rsi2")).select("symbol", "ts", "rsi2"), "rsi2")
+
+
 def adx(s, d):
     return _r(ind.enrich(fixtures.bars(s, d), ind.adx()).select("symbol", "ts", "adx"), "adx")
 
@@ -137,7 +145,7 @@ def grid_inventory(s, d):
 QUERIES = {
     "bars_hourly": _bars("1 hour"), "bars_daily": _bars("1 day"), "bars_15m": _bars("15 minutes"), "latest_trade": latest_trade, "latest_bar": latest_bar, "history": history,
     "history_eastern": history_eastern, "finished_bars": finished_bars, "sma": sma, "donchian": donchian, "returns": returns, "sector_hot": sector_hot, "sector_targets": sector_targets,
-    "ema": ema, "rsi": rsi, "adx": adx, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals,
+    "ema": ema, "rsi": rsi, "adx": adx, "ema_200": ema_200, "rsi_2": rsi_2, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals,
     "survivor_signals": survivor_signals, "breakout_signals": breakout_signals, "position_sizing": position_sizing, "grid_zones": grid_zones, "grid_signals": grid_signals, "grid_inventory": grid_inventory,
 }
 
@@ -160,10 +168,15 @@ def _ema_sql(n: int) -> str:
   UNION ALL SELECT r.symbol, r.rn, {a} * r.close + (1 - {a}) * e.x FROM e{n} AS e JOIN rws AS r ON r.symbol = e.symbol AND r.rn = e.rn + 1)"""
 
 
+def _rsi_sql(n: int) -> str:
+    keep = f"({n - 1}.0::DOUBLE / {n})"
+    return f"""g(symbol, rn, nu, nd) AS (SELECT symbol, rn, up, dn FROM rws WHERE rn = 2
+  UNION ALL SELECT r.symbol, r.rn, r.up + {keep} * g.nu, r.dn + {keep} * g.nd FROM g JOIN rws AS r ON r.symbol = g.symbol AND r.rn = g.rn + 1),
+rsi AS (SELECT symbol, rn, CASE WHEN rn >= {n + 1} THEN 100 * nu / nullif(nu + nd, 0) END AS rsi FROM g)"""
+
+
 _K = "(13.0::DOUBLE / 14)"
-_RSI = f"""g(symbol, rn, nu, nd) AS (SELECT symbol, rn, up, dn FROM rws WHERE rn = 2
-  UNION ALL SELECT r.symbol, r.rn, r.up + {_K} * g.nu, r.dn + {_K} * g.nd FROM g JOIN rws AS r ON r.symbol = g.symbol AND r.rn = g.rn + 1),
-rsi AS (SELECT symbol, rn, CASE WHEN rn >= 15 THEN 100 * nu / nullif(nu + nd, 0) END AS rsi FROM g)"""
+_RSI = _rsi_sql(14)
 _ADX = f"""q(symbol, rn, np, nm) AS (SELECT symbol, rn, p, m FROM rws WHERE rn = 2
   UNION ALL SELECT r.symbol, r.rn, r.p + {_K} * q.np, r.m + {_K} * q.nm FROM q JOIN rws AS r ON r.symbol = q.symbol AND r.rn = q.rn + 1),
 dx AS (SELECT symbol, rn, 100 * abs(np - nm) / nullif(np + nm, 0) AS x FROM q WHERE rn >= 15),
@@ -196,6 +209,8 @@ SQL = {
     "sector_targets": f"{_MOVES} SELECT DISTINCT s AS symbol FROM (VALUES ('click', 'AAA'), ('click', 'BBB'), ('view', 'BBB'), ('view', 'CCC'), ('purchase', 'DDD')) AS v(k, s) JOIN lm ON lm.symbol = k WHERE abs(move) >= 0.02 UNION SELECT * FROM (VALUES ('SPY'), ('QQQ'), ('IWM')) AS b(symbol)",
     "ema": f"{ROWS}, {_ema_sql(9)}, {_ema_sql(21)} SELECT symbol, ts, round(e9.x, 4) AS ema9, round(e21.x, 4) AS ema21 FROM rws LEFT JOIN e9 USING (symbol, rn) LEFT JOIN e21 USING (symbol, rn)",
     "rsi": f"{ROWS}, {_RSI} SELECT symbol, ts, round(rsi, 4) AS rsi FROM rws LEFT JOIN rsi USING (symbol, rn)",
+    "ema_200": f"{ROWS}, {_ema_sql(200)} SELECT symbol, ts, round(e200.x, 4) AS ema200 FROM rws LEFT JOIN e200 USING (symbol, rn)",
+    "rsi_2": f"{ROWS}, {_rsi_sql(2)} SELECT symbol, ts, round(rsi, 4) AS rsi2 FROM rws LEFT JOIN rsi USING (symbol, rn)",
     "adx": f"{ROWS}, {_ADX} SELECT symbol, ts, round(adx, 4) AS adx FROM rws LEFT JOIN adx USING (symbol, rn)",
     "ema_cross": f"{_CROSS} SELECT symbol, ts, bull_cross, bear_cross FROM c",
     "regime": f"{_ALL} SELECT symbol, ts, close AS price, round(sma200, 6) AS sma200, round(adx, 4) AS adx, regime FROM reg",

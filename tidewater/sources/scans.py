@@ -63,8 +63,9 @@ def latest_bar(bars: DataFrame) -> DataFrame:
 
 
 def finished(bars: DataFrame) -> DataFrame:
-    """Without the last, unfinished bar of each symbol."""
-    return bars.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where("_n > 1").drop("_n")
+    """Without the last, unfinished bar of each symbol; only its time is gathered per symbol."""
+    last = bars.groupBy("symbol").agg(F.max("ts").alias("_last"))
+    return bars.join(last, "symbol").where("ts < _last").drop("_last")
 
 
 def latest_quote(quotes: DataFrame, side: str = "bid") -> DataFrame:
