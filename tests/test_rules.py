@@ -146,12 +146,70 @@ def test_spending_of_a_long_account_is_one_row_at_a_time(spark):
     assert [tuple(r) for r in done.orderBy("ordinal").collect()] == want
 
 
+def test_wheel_guards(spark):
+    strikes = spark.createDataFrame([(f"U{i}", f"C{i}", 90.0, 100.0, i) for i in range(5)], "underlying string, symbol string, strike double, spot double, ordinal bigint")
+    quotes = spark.createDataFrame([("C0", dt.datetime(2024, 1, 1), 0.05, 0.2), ("C0", dt.datetime(2024, 1, 2), 0.3, 0.2), ("C1", dt.datetime(2024, 1, 1), 0.09, 0.2), ("C2", dt.datetime(2024, 1, 1), 0.1, 0.2), ("C3", dt.datetime(2024, 1, 1), 0.5, 0.6)], schemas.QUOTES)
+    sold = lambda side, power, budgets=None: sorted(r["symbol"] for r in options.wheel_orders(strikes, quotes, side, power, budgets).collect())
+    assert sold("CALL", 0.0) == ["C0", "C2", "C3"]  # C1 pays too little, C4 has no quote
+    assert sold("PUT", 19_000.0) == ["C0", "C2"]
+    assert sold("PUT", 18_999.0) == ["C0"]  # 9,999 are left, less than a hundred shares cost
+    budgets = lambda ok: spark.createDataFrame([("wheel_bot", ok), ("trend_bot", True)], "bot string, allowed boolean")
+    assert sold("PUT", 1e9, budgets(False)) == [] and sold("CALL", 0.0, budgets(False)) == ["C0", "C2", "C3"]
+    assert sold("PUT", 1e9, budgets(True)) == ["C0", "C2", "C3"]
+
+
+def test_closing_limits(spark):
+    rows = [("F1", "US_OPTION", -2.0, 1.0, 0.4), ("PLTR1", "US_OPTION", 1.0, 1.0, 0.5), ("X1", "US_OPTION", -1.0, 1.0, 0.1), ("X2", "US_OPTION", 1.0, 1.0, 0.1), ("X3", "US_OPTION", -1.0, 0.0, 0.1)]
+    held = spark.createDataFrame(rows, "symbol string, asset_class string, qty double, avg_entry_price double, current_price double")
+    quotes = spark.createDataFrame([("F1", dt.datetime(2024, 1, 1), 0.3, 0.45), ("PLTR1", dt.datetime(2024, 1, 1), 0.0, 0.0), ("X1", dt.datetime(2024, 1, 1), 0.1, 0.2)], schemas.QUOTES)
+    got = {r["symbol"]: (r["close_qty"], round(r["limit_price"], 4)) for r in options.close_orders(held, quotes).collect()}
+    assert got == {"F1": (2, 0.45), "PLTR1": (1, 0.525), "X1": (1, 0.21)}
+
+
+def test_budgets_gate_entries(spark):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)
+    close = [100.0 - i for i in range(40)]
+    bars = spark.createDataFrame([(s, day(i), c, c, c, c) for s in ("A", "B", "BTC/USD") for i, c in enumerate(close)], schemas.BARS)
+    account = spark.createDataFrame([(1e6, 1e6, 1e6, 1e6)], schemas.ACCOUNT)
+    held = spark.createDataFrame([("B", "long", 5.0, 10.0)], "symbol string, side string, qty double, avg_entry_price double")
+    scouted = spark.createDataFrame([("A",), ("BTC/USD",)], "symbol string")
+    def actions(ok):
+        budgets = spark.createDataFrame([("survivor_bot", ok)], "bot string, allowed boolean")
+        return {r["symbol"]: (r["action"], r["reason"]) for r in signals.survivor_signals(bars, held, account, scouted, budgets).collect()}
+    assert actions(True) == {"A": ("buy", "SCOUT PICK"), "B": ("sell", "Take Profit (+5%)")}  # crypto is never scanned
+    assert actions(False) == {"A": (None, None), "B": ("sell", "Take Profit (+5%)")}
+    trend = signals.trend_signals(bars, held, account, scouted, every=True)
+    assert {r["symbol"] for r in trend.collect()} == {"A", "B"}
+    room = lambda **o: options.first_condor(spark.createDataFrame([("U", 1)], "underlying string, ordinal int"), spark.createDataFrame([("X",), ("Y",)], "root string"), spark.createDataFrame([("U", 5.0)], "underlying string, price double"), spark.createDataFrame([("U",)], "underlying string"), **o).count()
+    assert room() == 1 and room(most=2) == 0
+    assert room(budgets=spark.createDataFrame([("condor_bot", False)], "bot string, allowed boolean")) == 0
+
+
+def test_sessions(spark):
+    calendar = spark.createDataFrame([(dt.date(2024, 1, 2), "09:30", "16:00"), (dt.date(2024, 7, 2), "09:30", "13:00")], "day date, opens string, closes string")
+    times = [dt.datetime(2024, 1, 2, 14, 29), dt.datetime(2024, 1, 2, 14, 30), dt.datetime(2024, 1, 2, 20, 59), dt.datetime(2024, 1, 2, 21, 0), dt.datetime(2024, 1, 3, 15, 0), dt.datetime(2024, 7, 2, 13, 30), dt.datetime(2024, 7, 2, 17, 0), None]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(times)], "ts timestamp_ntz, day int")
+    assert [r["day"] for r in signals.while_open(rows, calendar).orderBy("ts").collect()] == [1, 2, 5]
+
+
+def test_streams_follow_the_poll_periods():
+    from tidewater.streaming import jobs
+
+    class Writer:
+        def trigger(self, **how):
+            return how
+
+    assert jobs.polled(Writer(), "wheel") == {"processingTime": "900 seconds"} and jobs.polled(Writer(), "wheel", once=True) == {"availableNow": True}
+    assert set(jobs.TRIGGERS) == {"grid", "trend", "survivor", "report", "wheel", "condor", "breakout"}
+
+
 def test_fleet(spark):
     bots = spark.createDataFrame([("a", "active"), ("b", "active"), ("c", "paused"), ("d", "active"), ("e", "paused")], "bot string, status string")
-    procs = spark.createDataFrame([("b", "errored"), ("c", "online"), ("d", "online"), ("supervisor", "online")], "name string, status string")
+    rows = [("b", "online"), ("b", "errored"), ("c", "online"), ("d", "stopped"), ("d", "online"), ("supervisor", "online")]
+    procs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "name string, status string, ordinal int").orderBy("status")
     got = {r["bot"]: r["command"] for r in fleet.reconcile(bots, procs).collect()}
     assert got == {"a": "start", "b": "restart", "c": "stop", "d": None, "e": None}
-    assert {r["bot"] for r in fleet.emergency_stop(procs).collect()} == {"c", "d"}
+    assert {r["bot"] for r in fleet.emergency_stop(procs).collect()} == {"b", "c", "d"}
 
 
 def test_one_bar_sector_is_not_hot(spark):

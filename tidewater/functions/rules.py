@@ -93,9 +93,14 @@ def trend_action(side: Column, bull: Column, bear: Column, local_adx: Column, al
     return F.when((side == "long") & bear, "sell").when((side == "short") & bull, "buy_cover").when(entry & bull, "buy").when(entry & bear, "sell_short")
 
 
+#: The texts of reasons to sell, in order, the first with the rounded RSI in it, and to buy.
+OVERBOUGHT, TAKE_PROFIT, STOP_LOSS = ("RSI Overbought (", ")"), "Take Profit (+5%)", "Stop Loss (-3%)"
+SCOUT_PICK, CORE = "SCOUT PICK", "CORE"
+
+
 def survivor_exit(rsi: Column, gain: Column, high: float = 70.0, win: float = 0.05, loss: float = -0.03) -> Column:
     """Reason to sell, the first that holds; null if none."""
-    return F.when(rsi > high, F.concat(F.lit("RSI Overbought ("), F.bround(rsi, 0).cast("int").cast("string"), F.lit(")"))).when(gain > win, "Take Profit (+5%)").when(gain < loss, "Stop Loss (-3%)")
+    return F.when(rsi > high, F.concat(F.lit(OVERBOUGHT[0]), F.bround(rsi, 0).cast("int").cast("string"), F.lit(OVERBOUGHT[1]))).when(gain > win, TAKE_PROFIT).when(gain < loss, STOP_LOSS)
 
 
 def survivor_entry(rsi: Column, price: Column, sma: Column, scouted: Column, low: float = 30.0) -> Column:

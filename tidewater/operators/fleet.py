@@ -9,8 +9,11 @@ from ..functions import rules
 
 
 def reconcile(config_bots: DataFrame, processes: DataFrame) -> DataFrame:
-    """``(bot, desired, actual, command)``: launch, restart, stop or nothing; a process that is not listed is missing."""
-    actual = processes.groupBy(F.col("name").alias("bot")).agg(F.max("status").alias("actual"))
+    """``(bot, desired, actual, command)``: launch, restart, stop or nothing; a process that is not listed is missing.
+
+    Of processes of one name the last in the list (by ``ordinal``) counts.
+    """
+    actual = processes.groupBy(F.col("name").alias("bot")).agg(F.max_by("status", "ordinal").alias("actual"))
     rows = config_bots.select("bot", F.col("status").alias("desired")).join(actual, "bot", "left").withColumn("actual", F.coalesce("actual", F.lit("missing")))
     active, paused = F.col("desired") == "active", F.col("desired") == "paused"
     command = F.when(active & (F.col("actual") == "missing"), "start").when(active & F.col("actual").isin("stopped", "errored"), "restart").when(paused & (F.col("actual") == "online"), "stop")

@@ -45,6 +45,13 @@ def bot_performance(trades: DataFrame, positions: DataFrame, names=rules.REPORT_
     return out.select("bot", "allocation", "unrealized_pl", "realized_pl", (F.col("unrealized_pl") + F.col("realized_pl")).alias("total_pl"))
 
 
+def allowed(budgets: DataFrame | None, bot: str, spark) -> DataFrame:
+    """One row ``(allowed)``: whether the budget check ``budgets(bot, allowed)`` lets a bot enter; true where it does not know the bot."""
+    if budgets is None:
+        return spark.createDataFrame([(True,)], "allowed boolean")
+    return budgets.where(F.col("bot") == bot).agg(F.coalesce(F.bool_and("allowed"), F.lit(True)).alias("allowed"))
+
+
 def budget_check(config_bots: DataFrame, positions: DataFrame, account: DataFrame) -> DataFrame:
     """``(bot, allocation, used, allowed)``; the two crypto bots share what the grid owns."""
     used = attribute(positions, rules.BUDGET_OWNERS).groupBy(F.col("owner").alias("_owner")).agg(F.sum("market_value").alias("used"))

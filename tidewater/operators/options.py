@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources import scans
+from .ledger import allowed
 
-_CONTRACT = ("symbol", "expiration", "strike")
+#: The least premium that is sold, and the most underlyings that the condor holds.
+MIN_PREMIUM, MAX_POSITIONS = 0.10, 3
 #: The legs in order of execution: name, type, side, distance from the price.
 LEGS = (("put_long", "PUT", "BUY", -0.13), ("call_long", "CALL", "BUY", 0.13), ("put_short", "PUT", "SELL", -0.08), ("call_short", "CALL", "SELL", 0.08))
 
@@ -51,6 +54,36 @@ def take_profit(positions: DataFrame, short_only: bool = True, share: float = 0.
     return rows.select("symbol", "capture", F.abs(F.col("qty").cast("bigint")).alias("close_qty"), (F.col("current_price") * 1.05).alias("fallback_limit"))
 
 
+def close_orders(positions: DataFrame, quotes: DataFrame, share: float = 0.5, bump: float = 1.05) -> DataFrame:
+    """Orders that buy options back: ``(symbol, owner, capture, close_qty, limit_price)``.
+
+    The condor closes short legs at a bit above the latest ask; the wheel closes at the ask, or a bit above
+    the estimate where the ask is 0 or there is none.
+    """
+    ask = scans.latest_quote(quotes, "ask").select("symbol", F.col("price").alias("_ask"))
+    rows = positions.where("asset_class = 'US_OPTION'").withColumns({"owner": rules.owner(F.col("symbol"), F.col("asset_class")), "capture": rules.capture(F.col("avg_entry_price"), F.col("current_price"))})
+    rows = rows.where((F.col("capture") >= share) & ((F.col("owner") == "wheel_bot") | (F.col("qty") < 0)))
+    rows = rows.join(ask, "symbol", "left").withColumn("_ask", F.coalesce("_ask", F.lit(0.0)))
+    limit = F.when(F.col("owner") == "wheel_bot", rules.close_limit(F.col("_ask"), F.col("current_price"), bump)).otherwise(F.col("_ask") * bump)
+    return rows.select("symbol", "owner", "capture", F.abs(F.col("qty").cast("bigint")).alias("close_qty"), limit.alias("limit_price"))
+
+
+def wheel_orders(strikes: DataFrame, quotes: DataFrame, side: str, power: float, budgets: DataFrame | None = None, least_premium: float = MIN_PREMIUM) -> DataFrame:
+    """Contracts to sell: ``(underlying, symbol, limit_price)`` from ``strikes(underlying, symbol, strike, spot, ordinal)``.
+
+    The limit is the latest bid, and a premium below ``least_premium`` is skipped. Puts need room in the bot's
+    budget and buying power for a hundred shares, at the price and at the strike; it is spent in order.
+    """
+    bid = scans.latest_quote(quotes, "bid").select("symbol", F.col("price").alias("limit_price"))
+    rows = strikes.join(bid, "symbol", "left").withColumn("limit_price", F.coalesce("limit_price", F.lit(0.0))).where(F.col("limit_price") >= least_premium)
+    if side == "PUT":
+        rows = rows.crossJoin(F.broadcast(allowed(budgets, "wheel_bot", strikes.sparkSession))).where("allowed")
+        asked = rows.select(F.lit("wheel").alias("account"), "ordinal", (F.col("strike") * 100).alias("cost"), (F.col("spot") * 100).alias("need"))
+        spent = spend_in_order(asked, power, need="need").where("accepted").select("ordinal")
+        rows = rows.join(spent, "ordinal", "left_semi")
+    return rows.select("underlying", "symbol", "limit_price")
+
+
 def option_roots(positions: DataFrame) -> DataFrame:
     """Roots of held options that the condor owns, with their number of positions."""
     rows = positions.where("asset_class = 'US_OPTION'").withColumn("root", rules.option_root(F.col("symbol")))
@@ -69,9 +102,11 @@ def active_options(watchlist: DataFrame, positions: DataFrame) -> DataFrame:
     return out.withColumn("side", F.when(F.col("option").isNull(), rules.wheel_side(F.col("stock_qty"))))
 
 
-def spend_in_order(requests: DataFrame, power: float, key: str = "account", order: str = "ordinal", cost: str = "cost") -> DataFrame:
+def spend_in_order(requests: DataFrame, power: float, key: str = "account", order: str = "ordinal", cost: str = "cost", need: str | None = None) -> DataFrame:
     """Accepts requests in order while the buying power lasts; a rejected one spends nothing.
 
+    A request is accepted if the power left reaches its cost and, if ``need`` is given, that column, too.
+
     A running sum would let rejected requests spend, so requests are folded in order, with the power
     left of one ``key`` as the only state; accounts are folded side by side, a row at a time.
     """
@@ -83,23 +118,23 @@ def spend_in_order(requests: DataFrame, power: float, key: str = "account", orde
         begun = False
         for b in batches:
             accepted, lefts = [], []
-            for k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            for k, c, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 if not begun or k != account:
                     account, left, begun = k, float(power), True
-                ok = None if c is None else left >= c
+                ok = None if c is None else left >= c and left >= n
                 if ok:
                     left -= c
                 accepted.append(ok)
                 lefts.append(left)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(accepted, pa.bool_()), pa.array(lefts, pa.float64())], names=[key, order, "accepted", "power_left"])
 
-    rows = requests.select(key, F.col(order).cast("bigint").alias(order), F.col(cost).cast("double").alias(cost)).repartition(key).sortWithinPartitions(key, order, cost)
+    rows = requests.select(key, F.col(order).cast("bigint").alias(order), F.col(cost).cast("double").alias(cost), F.coalesce(F.col(need or cost).cast("double"), F.lit(0.0)).alias("_need")).repartition(key).sortWithinPartitions(key, order, cost)
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("accepted", "boolean"), ("power_left", "double"))]
     return rows.mapInArrow(fold, rows.select(F.nullif(F.col(key), F.col(key)).alias(key), F.nullif(F.col(order), F.col(order)).alias(order), *nothing).schema)
 
 
-def first_condor(targets: DataFrame, active: DataFrame, prices: DataFrame, feasible: DataFrame, most: int = 5) -> DataFrame:
-    """The one underlying to open: first in order, not active, priced, with all legs; none at ``most`` active roots."""
-    room = active.agg((F.count_distinct("root") < most).alias("_room"))
+def first_condor(targets: DataFrame, active: DataFrame, prices: DataFrame, feasible: DataFrame, most: int = MAX_POSITIONS, budgets: DataFrame | None = None) -> DataFrame:
+    """The one underlying to open: first in order, not active, priced, with all legs; none at ``most`` active roots or beyond the bot's budget."""
+    room = active.agg((F.count_distinct("root") < most).alias("_room")).crossJoin(allowed(budgets, "condor_bot", targets.sparkSession)).select((F.col("_room") & F.col("allowed")).alias("_room"))
     rows = targets.join(active.select(F.col("root").alias("underlying")).distinct(), "underlying", "left_anti").join(prices.where("price <> 0"), "underlying").join(feasible.select("underlying").distinct(), "underlying", "left_semi")
     return rows.crossJoin(F.broadcast(room)).where("_room").drop("_room").orderBy("ordinal").limit(1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indicators as ind
 from ..functions import rules
+from .ledger import allowed
 
 
 def regimes(bars: DataFrame, length: int = 200, n: int = 14) -> DataFrame:
@@ -37,19 +38,19 @@ def watch_list(*lists: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, (x.select("symbol") for x in lists)).distinct()
 
 
-def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, targets: DataFrame, market_regime: str = "UNKNOWN", allowed: bool = True, every: bool = False) -> DataFrame:
+def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, targets: DataFrame, market_regime: str = "UNKNOWN", budgets: DataFrame | None = None, every: bool = False) -> DataFrame:
     """Cross signals per symbol at its last bar, or at ``every`` bar.
 
     Held symbols may exit; the others may enter if they are targets, the regime lets them and
-    the budget (``allowed``) has room. Sizes are whole shares.
+    the bot's budget (in ``budgets(bot, allowed)``, if given) has room. Sizes are whole shares.
     """
     rows = ind.enrich(bars, ind.ema(9), ind.ema(21), ind.adx(), ind.crossings("ema9", "ema21"))
     rows = rows if every else ind.latest(rows)
     held = positions.groupBy("symbol").agg(F.max_by(F.struct("side", "qty"), "qty").alias("_p"))
     listed = targets.select("symbol").distinct().withColumn("_t", F.lit(True))
     rows = rows.where(~F.col("symbol").isin(*rules.CRYPTO_EXCLUDED)).join(held, "symbol", "left").join(listed, "symbol", "left")
-    rows = rows.crossJoin(F.broadcast(account.select("equity").limit(1)))
-    may = rules.may_trade(F.lit(market_regime), F.col("adx")) & F.coalesce("_t", F.lit(False)) & F.lit(allowed)
+    rows = rows.crossJoin(F.broadcast(account.select("equity").limit(1))).crossJoin(F.broadcast(allowed(budgets, "trend_bot", bars.sparkSession)))
+    may = rules.may_trade(F.lit(market_regime), F.col("adx")) & F.coalesce("_t", F.lit(False)) & F.col("allowed")
     size = rules.trend_shares(F.col("equity"), F.col("close"))
     rows = rows.withColumn("action", rules.trend_action(F.col("_p.side"), F.col("bull_cross"), F.col("bear_cross"), F.col("adx"), may))
     qty = F.when(F.col("action").isin("sell", "buy_cover"), F.abs("_p.qty")).when(F.col("action").isNotNull(), size.cast("double"))
@@ -57,21 +58,21 @@ def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, tar
     return out.withColumn("action", F.when(F.col("qty") > 0, F.col("action")))
 
 
-def survivor_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, scouted: DataFrame, allowed: bool = True, every: bool = False) -> DataFrame:
+def survivor_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, scouted: DataFrame, budgets: DataFrame | None = None, every: bool = False) -> DataFrame:
     """Exits of held symbols and entries on oversold ones: ``(symbol, ts, price, rsi, sma200, action, reason, qty)``."""
     rows = ind.enrich(bars, ind.rsi(), ind.sma(200))
     rows = rows if every else ind.latest(rows)
     held = positions.groupBy("symbol").agg(F.max_by(F.struct("avg_entry_price", "qty"), "qty").alias("_p"))
     picks = scouted.select("symbol").distinct().withColumn("_s", F.lit(True))
     rows = rows.where(~F.col("symbol").isin(*rules.CRYPTO_EXCLUDED)).join(held, "symbol", "left").join(picks, "symbol", "left")
-    rows = rows.crossJoin(F.broadcast(account.select("portfolio_value").limit(1)))
+    rows = rows.crossJoin(F.broadcast(account.select("portfolio_value").limit(1))).crossJoin(F.broadcast(allowed(budgets, "survivor_bot", bars.sparkSession)))
     leave = F.when(F.col("_p").isNotNull(), rules.survivor_exit(F.col("rsi"), rules.gain(F.col("close"), F.col("_p.avg_entry_price"))))
     scout = F.coalesce("_s", F.lit(False))
-    enter = F.col("_p").isNull() & F.lit(allowed) & rules.survivor_entry(F.col("rsi"), F.col("close"), F.col("sma200"), scout)
+    enter = F.col("_p").isNull() & F.col("allowed") & rules.survivor_entry(F.col("rsi"), F.col("close"), F.col("sma200"), scout)
     size = rules.survivor_shares(F.col("portfolio_value"), F.col("close"))
     action = F.when(leave.isNotNull(), "sell").when(enter & (size > 0), "buy")
     qty = F.when(action == "sell", F.col("_p.qty")).when(action == "buy", size.cast("double"))
-    why = F.when(action == "sell", leave).when(action == "buy", F.when(scout, "SCOUT PICK").otherwise("CORE"))
+    why = F.when(action == "sell", leave).when(action == "buy", F.when(scout, rules.SCOUT_PICK).otherwise(rules.CORE))
     return rows.select("symbol", "ts", F.col("close").alias("price"), "rsi", "sma200", action.alias("action"), why.alias("reason"), qty.alias("qty"))
 
 
@@ -90,6 +91,17 @@ def breakout_signals(bars: DataFrame, positions: DataFrame, account: DataFrame,
     return rows.select("symbol", "ts", price.alias("price"), "entry_high", "exit_low", action.alias("action"), qty.alias("qty"), F.when(action == "buy_breakout", F.round(size, 4)).otherwise(qty).alias("order_qty"))
 
 
+def while_open(rows: DataFrame, calendar: DataFrame, zone: str = "US/Eastern") -> DataFrame:
+    """Rows whose ``ts`` (UTC) falls into a session of ``calendar(day date, opens string, closes string)``, HH:mm in ``zone``.
+
+    A day that the calendar does not list has no session. The calendar holds a row a day and is broadcast.
+    """
+    local = F.from_utc_timestamp("ts", zone)
+    days = F.broadcast(calendar.select(F.col("day").alias("_day"), F.col("opens").alias("_opens"), F.col("closes").alias("_closes")))
+    at = F.date_format(local, "HH:mm")
+    return rows.join(days, F.col("_day") == F.to_date(local)).where((at >= F.col("_opens")) & (at < F.col("_closes"))).select(*rows.columns)
+
+
 def sizes(prices: DataFrame, account: DataFrame) -> DataFrame:
     """Order size of each strategy at a price."""
     rows = prices.crossJoin(F.broadcast(account.select("equity").limit(1)))

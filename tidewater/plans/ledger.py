@@ -131,7 +131,46 @@ def condor_candidate(s, d):
     found = options.condor_legs(_chain(s, d), fixtures.spots(s, d))
     order = fixtures.spots(s, d).select("underlying", F.regexp_extract("underlying", "([0-9]+)$", 1).cast("bigint").alias("ordinal"))
     active = s.createDataFrame([("Brand#11",), ("Brand#12",)], "root string")
-    return options.first_condor(order, active, fixtures.spots(s, d).withColumnRenamed("spot", "price"), found)
+    return options.first_condor(order, active, fixtures.spots(s, d).withColumnRenamed("spot", "price"), found, budgets=budget_check(s, d))
+
+
+def close_orders(s, d):
+    return _r(options.close_orders(fixtures.positions(s, d), fixtures.option_quotes(s, d)), "capture", "limit_price")
+
+
+def _wheel_orders(side):
+    def run(s, d):
+        found = options.wheel_strike(_chain(s, d), fixtures.spots(s, d), side).withColumn("ordinal", F.regexp_extract("underlying", "([0-9]+)$", 1).cast("bigint"))
+        return options.wheel_orders(found.withColumn("spot", F.lit(fixtures.SPOT)), fixtures.quotes(s, d), side, 400_000.0, budget_check(s, d))
+
+    return run
+
+
+def export_names(s, d):
+    days = scans.recent(scans.tagged_union(_logs(s, d, EXPORT_LOGS)), F.lit(NOW).cast("timestamp"), 7).select(F.to_date("time").alias("day")).distinct()
+    return days.select(sinks.dated("trade_history", F.col("day")).alias("file"))
+
+
+def csv_export(s, d):
+    """The exported file, read again."""
+    path = sinks.export_daily(trade_export(s, d), sinks.work_folder(s, "export"), "trade_history")
+    return s.read.option("header", True).schema("time timestamp, symbol string, action string, price double, qty double, bot_type string").csv(path)
+
+
+def log_lines(s, d):
+    """The lines that a trade log's writer appends, read again."""
+    rows = _logs(s, d, ["trades"])["trades"].select("symbol", F.lower("action").alias("action"), F.floor("price").alias("price"), F.col("qty").cast("int").alias("qty"))
+    path = sinks.work_folder(s, "lines")
+    sinks.write_lines(rows, path, "trades", ["symbol", "action"], ["price", "qty"])
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+def target_document(s, d):
+    """The list of targets as written and read again."""
+    path = sinks.work_folder(s, "targets")
+    held = fixtures.positions(s, d).where("asset_class = 'US_EQUITY'").select("symbol")
+    sinks.write_json(sinks.target_document(held, F.lit(NOW)), path)
+    return documents.read_json(s, path, schemas.TARGETS).select(F.explode("targets").alias("symbol"), "updated")
 
 
 def fleet_reconcile(s, d):
@@ -170,7 +209,8 @@ QUERIES = {
     "unrealized_by_owner": unrealized_by_owner, "bot_performance": bot_performance, "budget_check": budget_check, "position_lookup": position_lookup, "latest_quote": latest_quote,
     "contract_filter": contract_filter, "wheel_put": _wheel("PUT"), "wheel_call": _wheel("CALL"), "condor_legs": condor_legs, "leg_pricing": leg_pricing, "take_profit": take_profit, "option_root": option_root,
     "active_options": active_options, "wheel_buying_power": wheel_buying_power, "condor_candidate": condor_candidate, "fleet_reconcile": fleet_reconcile, "emergency_stop": emergency_stop,
-    "process_metrics": process_metrics, "config_bots": config_bots, "target_list": target_list, "watch_list": watch_list, "line_protocol": line_protocol,
+    "process_metrics": process_metrics, "config_bots": config_bots, "target_list": target_list, "close_orders": close_orders, "wheel_put_orders": _wheel_orders("PUT"), "wheel_call_orders": _wheel_orders("CALL"),
+    "export_names": export_names, "csv_export": csv_export, "log_lines": log_lines, "target_document": target_document, "watch_list": watch_list, "line_protocol": line_protocol,
 }
 
 _LOG = "CASE l_linenumber % 7 WHEN 1 THEN 'trades' WHEN 2 THEN 'crypto_trades' WHEN 3 THEN 'survivor_trades' WHEN 4 THEN 'wheel_trades' WHEN 5 THEN 'condor_trades' ELSE 'breakout_trades' END"
@@ -195,8 +235,11 @@ real AS (SELECT CASE bot_type WHEN 'crypto_trades' THEN 'crypto_grid' WHEN 'surv
 _UNREAL = f"""{_P}, h AS (SELECT {_OR} AS bot, sum(unrealized_pl) AS u, sum(market_value) AS a FROM p GROUP BY 1), un AS (SELECT bot, coalesce(u, 0) AS unrealized_pl, coalesce(a, 0) AS allocation FROM (VALUES {_BOTS}) AS d(bot) LEFT JOIN h USING (bot))"""
 _C = """c AS (SELECT p_brand || '-' || p_partkey AS symbol, p_brand AS underlying, CASE WHEN p_partkey % 2 = 0 THEN 'PUT' ELSE 'CALL' END AS type, (DATE '2024-01-01' + p_size::INTEGER) AS expiration,
   round((p_retailprice - 900.0::DOUBLE) * 9 + 500.0, 2) AS strike, 'active' AS status, p_size, p_partkey FROM part)"""
-_CONFIG = "cfg(bot, script, status, strategy, allocation) AS (VALUES ('crypto_grid', 'grid_job', 'active', 'neutral', 0.2::DOUBLE), ('survivor_bot', 'survivor_job', 'active', 'long_only', 0.5), ('wheel_bot', 'wheel_job', 'paused', 'conservative', 0.0), ('trend_bot', 'trend_job', 'active', 'aggressive', 9000.0), ('moon_bag', 'breakout_job', 'paused', 'breakout', 4000.0), ('condor_bot', 'condor_job', 'active', 'iron_condor', 0.0))"
-_PROC = "pr(name, status, memory, cpu, restarts, up) AS (VALUES ('crypto_grid', 'online', 1000::BIGINT, 1.5::DOUBLE, 2::BIGINT, 1700000000000), ('survivor_bot', 'stopped', 10, 0.0, 7, 1700000000000), ('wheel_bot', 'online', 0, 0.0, 0, 1700000500000), ('condor_bot', 'errored', 0, 0.0, 0, NULL), ('supervisor', 'online', 5, 0.5, 1, 1700000900000))"
+_CONFIG = """cfg(bot, script, status, strategy, allocation) AS (VALUES ('crypto_grid', NULL, 'active', NULL, 0.2::DOUBLE), ('survivor_bot', NULL, 'active', NULL, 0.5), ('wheel_bot', NULL, 'paused', 'puts on dips', 0.0),
+  ('trend_bot', NULL, 'active', NULL, 9000.0), ('moon_bag', NULL, 'paused', NULL, 4000.0), ('condor_bot', NULL, 'active', NULL, 0.0), ('event_watch', 'jobs/events', 'active', 'report bursts of clicks', 0.0))"""
+_PROC = """pr(ordinal, name, status, memory, cpu, restarts, up) AS (VALUES (0, 'crypto_grid', 'stopped', 0::BIGINT, 0.0::DOUBLE, 1::BIGINT, NULL::BIGINT), (1, 'crypto_grid', 'online', 1000, 1.5, 2, 1700000000000),
+  (2, 'survivor_bot', 'stopped', 10, 0.0, 7, 1700000000000), (3, 'wheel_bot', 'online', 0, 0.0, 0, 1700000500000), (4, 'condor_bot', 'errored', 0, 0.0, 0, NULL), (5, 'supervisor', 'online', 5, 0.5, 1, 1700000900000))"""
+_EXPORTED = f"{_T} SELECT time - INTERVAL 5 HOUR AS time, symbol, action, price, qty, bot_type FROM t WHERE bot_type IN {_names(EXPORT_LOGS)} AND time > TIMESTAMP '{NOW}' - INTERVAL 7 DAY"
 
 
 def _wheel_sql(side: str) -> str:
@@ -212,7 +255,8 @@ legs AS (SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY underlying) = 4)"""
 SQL = {
     "trades_union": f"WITH {_T} SELECT time, symbol, action, price, qty, bot_type FROM t",
     "trade_scan": f"WITH {_T} SELECT time, symbol, action, price, qty, bot_type FROM t WHERE bot_type IN {_names(REPORT_LOGS)} AND time > TIMESTAMP '{NOW}' - INTERVAL 30 DAY",
-    "trade_export": f"WITH {_T} SELECT time - INTERVAL 5 HOUR AS time, symbol, action, price, qty, bot_type FROM t WHERE bot_type IN {_names(EXPORT_LOGS)} AND time > TIMESTAMP '{NOW}' - INTERVAL 7 DAY",
+    "trade_export": f"WITH {_EXPORTED}",
+    "csv_export": f"WITH {_EXPORTED}",
     "epoch_times": "SELECT event_id AS id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events",
     "realized_pnl": f"WITH {_REAL} SELECT bot, round(realized_pl, 4) AS realized_pl FROM real",
     "owner_attribution": f"WITH {_P} SELECT DISTINCT symbol, asset_class, {_OR} AS report_owner, {_OB} AS budget_owner FROM p",
@@ -228,6 +272,22 @@ SQL = {
     "condor_legs": f"WITH {_LEGS} SELECT underlying, leg_no, leg, side, round(target, 4) AS target, symbol, strike, round(diff, 4) AS diff FROM legs",
     "leg_pricing": f"WITH {_LEGS}, q AS (SELECT *, CASE side WHEN 'BUY' THEN (p_partkey % 40) / 100.0::DOUBLE + 0.05::DOUBLE ELSE (p_partkey % 40) / 100.0::DOUBLE END AS v FROM legs) SELECT underlying, leg_no, side, symbol, CASE WHEN v <= 0.01 THEN 0.05::DOUBLE ELSE v END AS limit_price FROM q",
     "take_profit": f"WITH {_P}, k AS (SELECT *, (avg_entry_price - current_price) / avg_entry_price AS capture FROM p WHERE asset_class = 'US_OPTION' AND qty < 0 AND avg_entry_price > 0) SELECT symbol, round(capture, 4) AS capture, abs(trunc(qty)::BIGINT) AS close_qty, round(current_price * 1.05::DOUBLE, 4) AS fallback_limit FROM k WHERE capture >= 0.5",
+    "close_orders": f"""WITH {_P}, q AS (SELECT symbol, arg_max((ordinal % 4) / 10.0::DOUBLE, ordinal) AS ask FROM p WHERE asset_class = 'US_OPTION' GROUP BY 1),
+  k AS (SELECT p.*, {_OB} AS owner, (avg_entry_price - current_price) / avg_entry_price AS capture FROM p WHERE asset_class = 'US_OPTION' AND avg_entry_price > 0)
+  SELECT k.symbol, owner, round(capture, 4) AS capture, abs(trunc(qty)::BIGINT) AS close_qty, round(CASE WHEN owner = 'condor_bot' THEN coalesce(ask, 0) * 1.05::DOUBLE WHEN coalesce(ask, 0) = 0 THEN current_price * 1.05::DOUBLE ELSE ask END, 4) AS limit_price
+  FROM k LEFT JOIN q USING (symbol) WHERE capture >= 0.5 AND (owner = 'wheel_bot' OR qty < 0)""",
+    "wheel_put_orders": f"""WITH RECURSIVE {_C}, {_P}, x AS (SELECT *, abs(abs(950.0::DOUBLE - strike) / 950.0 - 0.05) AS score FROM c WHERE p_size BETWEEN 25 AND 45 AND type = 'PUT' AND strike < 950.0),
+  b AS (SELECT *, (p_partkey % 40) / 100.0::DOUBLE AS bid, regexp_extract(underlying, '([0-9]+)$', 1)::BIGINT AS ordinal FROM x WHERE score < 1.0 QUALIFY row_number() OVER (PARTITION BY underlying ORDER BY score, expiration, strike, symbol) = 1),
+  r AS (SELECT *, row_number() OVER (ORDER BY ordinal, strike) AS rn FROM b WHERE bid >= 0.1),
+  f(rn, underlying, symbol, bid, ok, power) AS (SELECT 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, false, 400000.0::DOUBLE UNION ALL
+    SELECT r.rn, r.underlying, r.symbol, r.bid, f.power >= greatest(r.strike * 100, 95000.0), CASE WHEN f.power >= greatest(r.strike * 100, 95000.0) THEN f.power - r.strike * 100 ELSE f.power END FROM f JOIN r ON r.rn = f.rn + 1)
+  SELECT underlying, symbol, bid AS limit_price FROM f WHERE ok""",
+    "wheel_call_orders": f"""WITH {_C}, x AS (SELECT *, abs(abs(950.0::DOUBLE - strike) / 950.0 - 0.05) AS score FROM c WHERE p_size BETWEEN 25 AND 45 AND type = 'CALL' AND strike > 950.0),
+  b AS (SELECT *, (p_partkey % 40) / 100.0::DOUBLE AS bid FROM x WHERE score < 1.0 QUALIFY row_number() OVER (PARTITION BY underlying ORDER BY score, expiration, strike, symbol) = 1)
+  SELECT underlying, symbol, bid AS limit_price FROM b WHERE bid >= 0.1""",
+    "export_names": f"WITH {_T} SELECT DISTINCT 'trade_history_' || strftime(time, '%Y%m%d') || '.csv' AS file FROM t WHERE bot_type IN {_names(EXPORT_LOGS)} AND time > TIMESTAMP '{NOW}' - INTERVAL 7 DAY",
+    "log_lines": f"WITH {_T} SELECT printf('trades,symbol=%s,action=%s price=%d,qty=%d', symbol, lower(action), floor(price)::BIGINT, qty::INTEGER) AS line FROM t WHERE bot_type = 'trades'",
+    "target_document": f"WITH {_P} SELECT DISTINCT symbol, '{NOW}' AS updated FROM p WHERE asset_class = 'US_EQUITY'",
     "option_root": f"WITH {_P}, r AS (SELECT regexp_extract(symbol, '^([^0-9]*)', 1) AS root FROM p WHERE asset_class = 'US_OPTION') SELECT root, count(*) AS n_positions FROM r WHERE NOT (starts_with(root, 'DIS') OR starts_with(root, 'F') OR starts_with(root, 'PLTR')) GROUP BY 1",
     "active_options": f"""WITH {_P}, o AS (SELECT ticker, arg_max(symbol, ordinal) AS option FROM (VALUES ('DIS'), ('PLTR'), ('F'), ('TSLA')) AS w(ticker) JOIN p ON asset_class = 'US_OPTION' AND starts_with(symbol, ticker) GROUP BY 1),
   k AS (SELECT symbol AS ticker, arg_max(qty, ordinal) AS q FROM p WHERE asset_class = 'US_EQUITY' GROUP BY 1)
@@ -236,11 +296,11 @@ SQL = {
   f(account, ordinal, rn, accepted, power) AS (SELECT DISTINCT account, NULL::BIGINT, 0::BIGINT, false, 300000.0::DOUBLE FROM r UNION ALL SELECT r.account, r.ordinal, r.rn, f.power >= r.cost, CASE WHEN f.power >= r.cost THEN f.power - r.cost ELSE f.power END FROM f JOIN r ON r.account = f.account AND r.rn = f.rn + 1)
   SELECT account, ordinal, accepted, round(power, 4) AS power_left FROM f WHERE rn > 0""",
     "condor_candidate": f"WITH {_LEGS} SELECT DISTINCT underlying, regexp_extract(underlying, '([0-9]+)$', 1)::BIGINT AS ordinal, 950.0::DOUBLE AS price FROM legs WHERE underlying NOT IN ('Brand#11', 'Brand#12') ORDER BY ordinal LIMIT 1",
-    "fleet_reconcile": f"""WITH {_CONFIG}, {_PROC}, j AS (SELECT bot, cfg.status AS desired, coalesce(pr.status, 'missing') AS actual FROM cfg LEFT JOIN pr ON name = bot)
+    "fleet_reconcile": f"""WITH {_CONFIG}, {_PROC}, j AS (SELECT bot, cfg.status AS desired, coalesce(pr.status, 'missing') AS actual FROM cfg LEFT JOIN (SELECT name, arg_max(status, ordinal) AS status FROM pr GROUP BY 1) AS pr ON name = bot)
   SELECT *, CASE WHEN desired = 'active' AND actual = 'missing' THEN 'start' WHEN desired = 'active' AND actual IN ('stopped', 'errored') THEN 'restart' WHEN desired = 'paused' AND actual = 'online' THEN 'stop' END AS command FROM j""",
     "emergency_stop": f"WITH {_PROC} SELECT name AS bot, 'stop' AS command FROM pr WHERE status = 'online' AND name <> 'supervisor'",
     "process_metrics": f"WITH {_PROC} SELECT 'host1' AS host, name AS bot, CASE WHEN status = 'online' THEN 1 ELSE 0 END AS status_code, memory, cpu, restarts, CASE WHEN status = 'online' THEN {fixtures.NOW_MS} - up ELSE 0 END::BIGINT AS uptime FROM pr",
-    "config_bots": f"WITH {_CONFIG} SELECT *, 'normal' AS market_condition, false AS emergency_stop FROM cfg",
+    "config_bots": f"WITH {_CONFIG} SELECT *, 'calm' AS market_condition, false AS emergency_stop FROM cfg",
     "target_list": "SELECT * FROM (VALUES ('AMD'), ('XOM')) AS t(symbol)",
     "watch_list": f"WITH {_P} SELECT symbol FROM p WHERE asset_class = 'US_EQUITY' UNION SELECT * FROM (VALUES ('AMD'), ('XOM'), ('TQQQ'), ('SQQQ'), ('SOXL'), ('SOXS'), ('FNGU'), ('UPRO')) AS v(symbol)",
     "line_protocol": f"WITH {_UNREAL} SELECT printf('bot_performance,bot=%s note=\"%.2f\",n=1', bot, round(allocation, 2)) AS line FROM un",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import indicators as ind
 from ..functions import rules
-from ..operators import fleet, grid, signals
+from ..operators import fleet, grid, ledger, signals
 from ..sources import documents, fixtures, scans
 
 R = 4
@@ -97,23 +98,25 @@ def regime_latest(s, d):
 
 
 def regime_playbook_diff(s, d):
-    return fleet.playbook_diff(signals.regimes(fixtures.bars(s, d)), documents.bots(documents.parse(fixtures.texts(s, fixtures.CONFIG), fixtures_config())))
+    return fleet.playbook_diff(signals.regimes(fixtures.bars(s, d)), documents.bots(documents.parse(fixtures.texts(s, fixtures.CONFIG), schemas.CONFIG)))
 
 
-def fixtures_config():
-    from .. import schemas
-
-    return schemas.CONFIG
+def _budgets(s, d):
+    return ledger.budget_check(documents.bots(documents.parse(fixtures.texts(s, fixtures.CONFIG), schemas.CONFIG)), fixtures.positions(s, d), fixtures.account(s))
 
 
 def trend_signals(s, d):
-    out = signals.trend_signals(fixtures.bars(s, d), fixtures.event_positions(s), fixtures.account(s), fixtures.symbols(s), "CHOP", every=True)
+    out = signals.trend_signals(fixtures.bars(s, d), fixtures.event_positions(s), fixtures.account(s), fixtures.symbols(s), "CHOP", _budgets(s, d), every=True)
     return _r(out.where("action is not null").select("symbol", "ts", "price", "adx", "action", "qty"), "adx")
 
 
 def survivor_signals(s, d):
-    out = signals.survivor_signals(fixtures.bars(s, d), fixtures.event_positions(s), fixtures.account(s), fixtures.symbols(s, ("purchase",)), every=True)
-    return _r(out.where("action is not null").select("symbol", "ts", "price", "rsi", "action", "qty"), "rsi")
+    out = signals.survivor_signals(fixtures.bars(s, d), fixtures.event_positions(s), fixtures.account(s), fixtures.symbols(s, ("purchase",)), _budgets(s, d), every=True)
+    return _r(out.where("action is not null").select("symbol", "ts", "price", "rsi", "action", "reason", "qty"), "rsi")
+
+
+def market_open(s, d):
+    return signals.while_open(fixtures.bars(s, d, "15 minutes"), fixtures.calendar(s)).select("symbol", "ts", "close")
 
 
 def breakout_signals(s, d):
@@ -146,7 +149,7 @@ QUERIES = {
     "bars_hourly": _bars("1 hour"), "bars_daily": _bars("1 day"), "bars_15m": _bars("15 minutes"), "latest_trade": latest_trade, "latest_bar": latest_bar, "history": history,
     "history_eastern": history_eastern, "finished_bars": finished_bars, "sma": sma, "donchian": donchian, "returns": returns, "sector_hot": sector_hot, "sector_targets": sector_targets,
     "ema": ema, "rsi": rsi, "adx": adx, "ema_200": ema_200, "rsi_2": rsi_2, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals,
-    "survivor_signals": survivor_signals, "breakout_signals": breakout_signals, "position_sizing": position_sizing, "grid_zones": grid_zones, "grid_signals": grid_signals, "grid_inventory": grid_inventory,
+    "survivor_signals": survivor_signals, "breakout_signals": breakout_signals, "position_sizing": position_sizing, "market_open": market_open, "grid_zones": grid_zones, "grid_signals": grid_signals, "grid_inventory": grid_inventory,
 }
 
 
@@ -190,6 +193,11 @@ c AS (SELECT *, coalesce(f > s AND lag(f) OVER w <= lag(s) OVER w, false) AS bul
 _MOVES = f"WITH {bars_sql('1 day')}, mv AS (SELECT symbol, ts, (close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS move FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), lm AS (SELECT symbol, last(move ORDER BY ts) AS move FROM mv GROUP BY symbol)"
 _ZONE = "CASE WHEN value < 10 THEN -1 WHEN value > 85 THEN 6 ELSE trunc((value - 10.0) / 12.5)::INTEGER END"
 _GRID = f"""WITH RECURSIVE z AS (SELECT event_id AS id, value AS price, {_ZONE} AS zone, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click' AND value <> 0)"""
+#: What is left of a bot's share of the equity, as budgets see it (amounts as ``fixtures`` has them).
+_SURVIVORS = ", ".join(f"'{t}'" for t in rules.BUDGET_OWNERS["survivor_bot"])
+_HELD = f"SELECT list_value({', '.join(repr(h) for h in fixtures.HELD)})[c_custkey % 10 + 1] AS symbol, c_custkey % 10 AS k, c_acctbal AS v FROM customer"
+_USED = f"""gate AS (SELECT 100000.0 * 0.5 - coalesce(sum(v) FILTER (k < 5 AND symbol IN ({_SURVIVORS}) OR k = 9 AND symbol IN ({_SURVIVORS})), 0) > 0 AS survivor,
+  100000.0 * 9000.0 - coalesce(sum(v) FILTER ((k < 5 OR k = 9) AND symbol NOT IN ({_SURVIVORS}) AND symbol NOT IN ('DIS', 'F', 'PLTR')), 0) > 0 AS trend FROM ({_HELD}))"""
 _PLAYS = ", ".join(f"('{r}', '{b}', '{v}')" for r, p in rules.PLAYBOOK.items() for b, v in p.items())
 
 SQL = {
@@ -216,15 +224,18 @@ SQL = {
     "regime": f"{_ALL} SELECT symbol, ts, close AS price, round(sma200, 6) AS sma200, round(adx, 4) AS adx, regime FROM reg",
     "regime_latest": f"{_ALL} SELECT symbol, ts, close AS price, round(sma200, 6) AS sma200, round(adx, 4) AS adx, regime FROM reg QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1",
     "regime_playbook_diff": f"""{_ALL} SELECT DISTINCT pb.regime, pb.bot, c.status, pb.desired FROM (VALUES {_PLAYS}) AS pb(regime, bot, desired) JOIN reg ON reg.regime = pb.regime
-  JOIN (VALUES ('crypto_grid', 'active'), ('survivor_bot', 'active'), ('wheel_bot', 'paused'), ('trend_bot', 'active'), ('moon_bag', 'paused'), ('condor_bot', 'active')) AS c(bot, status) ON c.bot = pb.bot WHERE c.status <> pb.desired""",
-    "trend_signals": f"""{_CROSS}, a AS (SELECT *, CASE WHEN symbol = 'click' AND bear_cross THEN 'sell' WHEN symbol = 'view' AND bull_cross THEN 'buy_cover'
-    WHEN symbol NOT IN ('click', 'view') AND symbol IN ('purchase', 'signup', 'error') AND adx > 30 AND bull_cross THEN 'buy' WHEN symbol NOT IN ('click', 'view') AND symbol IN ('purchase', 'signup', 'error') AND adx > 30 AND bear_cross THEN 'sell_short' END AS action FROM c),
+  JOIN (VALUES ('crypto_grid', 'active'), ('survivor_bot', 'active'), ('wheel_bot', 'paused'), ('trend_bot', 'active'), ('moon_bag', 'paused'), ('condor_bot', 'active'), ('event_watch', 'active')) AS c(bot, status) ON c.bot = pb.bot WHERE c.status <> pb.desired""",
+    "market_open": f"""WITH {bars_sql('15 minutes')} SELECT symbol, ts, close FROM (SELECT *, ts - INTERVAL 5 HOUR AS l FROM bars)
+  WHERE isodow(l) < 6 AND strftime(l, '%Y-%m-%d') NOT IN ('2024-01-01', '2024-01-15') AND year(l) = 2024 AND month(l) = 1 AND strftime(l, '%H:%M') >= '09:30' AND strftime(l, '%H:%M') < '16:00'""",
+    "trend_signals": f"""{_CROSS}, {_USED}, a AS (SELECT *, CASE WHEN symbol = 'click' AND bear_cross THEN 'sell' WHEN symbol = 'view' AND bull_cross THEN 'buy_cover'
+    WHEN symbol NOT IN ('click', 'view') AND symbol IN ('purchase', 'signup', 'error') AND trend AND adx > 30 AND bull_cross THEN 'buy' WHEN symbol NOT IN ('click', 'view') AND symbol IN ('purchase', 'signup', 'error') AND trend AND adx > 30 AND bear_cross THEN 'sell_short' END AS action FROM c, gate),
   b AS (SELECT *, CASE WHEN action = 'sell' THEN 10.0::DOUBLE WHEN action = 'buy_cover' THEN 5.0::DOUBLE WHEN action IS NOT NULL THEN trunc(100000.0::DOUBLE * 0.02 / nullif(close * 0.02, 0)) END AS qty FROM a)
   SELECT symbol, ts, close AS price, round(adx, 4) AS adx, action, qty FROM b WHERE action IS NOT NULL AND qty > 0""",
-    "survivor_signals": f"""{ROWS}, {_RSI}, j AS (SELECT rws.*, rsi, trunc(100000.0::DOUBLE * 0.05 / nullif(close, 0)) AS n,
+    "survivor_signals": f"""{ROWS}, {_RSI}, {_USED}, j AS (SELECT rws.*, rsi, trunc(100000.0::DOUBLE * 0.05 / nullif(close, 0)) AS n,
     CASE symbol WHEN 'click' THEN (close - 40.0) / 40.0 WHEN 'view' THEN (close - 60.0) / 60.0 END AS gain FROM rws LEFT JOIN rsi USING (symbol, rn)),
-  a AS (SELECT *, CASE WHEN symbol IN ('click', 'view') THEN CASE WHEN rsi > 70 OR gain > 0.05 OR gain < -0.03 THEN 'sell' END WHEN rsi < 30 AND (close > coalesce(sma200, 0) OR symbol = 'purchase') AND n > 0 THEN 'buy' END AS action FROM j)
-  SELECT symbol, ts, close AS price, round(rsi, 4) AS rsi, action, CASE WHEN action = 'buy' THEN n WHEN symbol = 'click' THEN 10.0::DOUBLE ELSE -5.0::DOUBLE END AS qty FROM a WHERE action IS NOT NULL""",
+  a AS (SELECT *, CASE WHEN symbol IN ('click', 'view') THEN CASE WHEN rsi > 70 OR gain > 0.05 OR gain < -0.03 THEN 'sell' END WHEN survivor AND rsi < 30 AND (close > coalesce(sma200, 0) OR symbol = 'purchase') AND n > 0 THEN 'buy' END AS action FROM j, gate)
+  SELECT symbol, ts, close AS price, round(rsi, 4) AS rsi, action, CASE WHEN action = 'buy' THEN CASE symbol WHEN 'purchase' THEN 'SCOUT PICK' ELSE 'CORE' END
+    WHEN rsi > 70 THEN 'RSI Overbought (' || round_even(rsi, 0)::INTEGER || ')' WHEN gain > 0.05 THEN 'Take Profit (+5%)' ELSE 'Stop Loss (-3%)' END AS reason, CASE WHEN action = 'buy' THEN n WHEN symbol = 'click' THEN 10.0::DOUBLE ELSE -5.0::DOUBLE END AS qty FROM a WHERE action IS NOT NULL""",
     "breakout_signals": f"""WITH {bars_sql('1 hour')}, j AS (SELECT *, CASE WHEN row_number() OVER w > 20 THEN max(high) OVER (w ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS entry_high,
     CASE WHEN row_number() OVER w > 20 THEN min(low) OVER (w ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS exit_low, CASE WHEN symbol = 'click' THEN 10.0::DOUBLE ELSE 0.0 END AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
   a AS (SELECT *, CASE WHEN q = 0 AND close > entry_high AND NOT coalesce(100000.0 * 0.1 / nullif(close, 0) * close > 20000.0, false) THEN 'buy_breakout' WHEN q > 0 AND close < exit_low THEN 'sell_breakout' END AS action FROM j)

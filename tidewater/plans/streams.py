@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.grid import INVENTORY
-from ..sources import fixtures
+from ..sources import fixtures, sinks
 from ..streaming import jobs
 
 
-def _folder(spark) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where driver and executors are one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="tidewater-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def replay(spark, sf_dir: str):
     """Events as a stream of files."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -41,7 +28,7 @@ def _finished(spark, writer, strategy: str, out: str, schema: str) -> DataFrame:
 
 
 def stream_grid(spark, sf_dir):
-    top = _folder(spark)
+    top = sinks.work_folder(spark, "stream")
     ticks = replay(spark, sf_dir).where("symbol = 'click'")
     states = _finished(spark, jobs.stream_grid(ticks, f"{top}/out", **fixtures.GRID).option("checkpointLocation", f"{top}/state"), "grid", f"{top}/out", INVENTORY)
     last = states.groupBy("symbol").agg(F.max_by(F.struct("zone", "held", "buys", "sells", "blocked"), "n").alias("s"))
@@ -49,7 +36,7 @@ def stream_grid(spark, sf_dir):
 
 
 def stream_bars(spark, sf_dir):
-    top = _folder(spark)
+    top = sinks.work_folder(spark, "stream")
 
     def keep(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{top}/out/n={n}")

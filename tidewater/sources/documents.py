@@ -34,7 +34,7 @@ def bots(config: DataFrame) -> DataFrame:
 
 
 def processes(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Rows of a process list in JSON; numbers that are missing are 0."""
-    p = texts.select(F.explode(F.from_json(column, schemas.PROCESS_LIST)).alias("p"))
+    """Rows of a process list in JSON, with their place ``ordinal`` in it; numbers that are missing are 0."""
+    p = texts.select(F.posexplode(F.from_json(column, schemas.PROCESS_LIST)).alias("ordinal", "p"))
     zero = lambda c, name: F.coalesce(F.col(f"p.pm2_env.{c}"), F.lit(0)).alias(name)
-    return p.select("p.name", F.col("p.pm2_env.status").alias("status"), zero("memory", "memory"), zero("cpu", "cpu"), zero("restart_time", "restarts"), F.col("p.pm2_env.pm_uptime").alias("pm_uptime"))
+    return p.select("p.name", F.col("p.pm2_env.status").alias("status"), zero("memory", "memory"), zero("cpu", "cpu"), zero("restart_time", "restarts"), F.col("p.pm2_env.pm_uptime").alias("pm_uptime"), "ordinal")

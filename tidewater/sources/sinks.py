@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +38,26 @@ def export_csv(df: DataFrame, path: str, order: str = "time", mode: str = "overw
     df.orderBy(F.desc(order)).write.mode(mode).option("header", True).csv(path)
 
 
-def dated(prefix: str, day: str) -> str:
-    """File name of a daily export, ``day`` as yyyymmdd."""
-    return f"{prefix}_{day}.csv"
+def dated(prefix: str, day: Column) -> Column:
+    """File name of a daily export."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(day, "yyyyMMdd"), F.lit(".csv"))
+
+
+def export_daily(df: DataFrame, folder: str, prefix: str, order: str = "time") -> str:
+    """Exports ``df`` under today's name; gives the path."""
+    name = df.sparkSession.range(1).select(dated(prefix, F.current_date())).first()[0]
+    export_csv(df, f"{folder}/{name}", order)
+    return f"{folder}/{name}"
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tidewater-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_json(df: DataFrame, path: str) -> None:
