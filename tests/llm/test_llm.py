@@ -102,7 +102,7 @@ def brute_components(n, linked):
     return label
 
 
-@pytest.mark.parametrize("limits", [{}, {"most_rows": 4, "shard_rows": 16}])
+@pytest.mark.parametrize("limits", [{}, {"most_rows": 4, "shard_rows": 16, "hot_rows": 2}, {"most_cell": 0}])
 def test_simhash_groups(docs, limits):
     rows = [(r["doc_id"], brute_fingerprint(r["text"])) for r in docs.collect()]
     near = [(i, j) for i in range(len(rows)) for j in range(i) if (rows[i][1] ^ rows[j][1]).bit_count() <= 4]
@@ -127,6 +127,28 @@ def test_vp_pairs_connect_what_is_near():
     assert got.tolist() == brute_components(len(x), near)
 
 
+def test_vp_pairs_find_every_link_of_scattered_rows():
+    rng = np.random.default_rng(13)
+    x = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    x[600:] = x[:300] ^ (np.uint64(1) << rng.integers(0, 64, (300, 4)).astype(np.uint64)).sum(1, dtype=np.uint64)
+    out = simhash.Links(len(x))
+    simhash.vp_pairs(x[:, None], np.arange(len(x)), 4, out)
+    want = {(j, i) for i in range(len(x)) for j in range(i) if int(x[i] ^ x[j]).bit_count() <= 4}
+    a, b, _ = (np.concatenate(c) for c in zip(*out.held))
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} == want
+    assert out.possible == 900 * 899 // 2 and out.compared < 0.8 * out.possible  # the bound leaves out the rest
+
+
+def test_bands_meet_every_linked_pair():
+    rng = np.random.default_rng(14)
+    for rows, sets in ((1000, 5), (10**7, 15), (10**9, 35), (10**12, 70)):
+        bands = simhash.spread_bands(rows, 64, 4)
+        assert len(bands) == sets
+        for _ in range(200):
+            differ = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(not differ & {k for lo, hi in own for k in range(lo, hi)} for own in bands)
+
+
 def test_resemblance():
     rng = random.Random(4)
     a = words(rng, 200, 5000).split()
@@ -144,6 +166,7 @@ def test_connected_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 200: 100}
+    assert {r["node"]: r["root"] for r in simhash.connected(links.unionAll(spark.createDataFrame([(3, i) for i in range(300, 340)], "a long, b long")), hub=5).collect()} == {**got, **{i: 0 for i in range(300, 340)}}
     with pytest.raises(RuntimeError):
         simhash.connected(links, rounds=2)
 
@@ -152,8 +175,9 @@ def test_near_copies_leave_one(spark):
     rng = random.Random(9)
     long = words(rng, 300, 5000).split()
     rows = [(0, " ".join(long)), (1, " ".join(long)), (2, " ".join([*long[:150], "edit", *long[151:]])), (3, words(rng, 300, 5000)), (4, words(rng, 300, 5000)), (3, None), (7, None), (None, "")]
-    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + rows[3:4]], DOCS).withColumns({"_row": F.lit("mine"), "_k": F.lit(7), "node": F.lit(1), "__row": F.lit(2)})
     kept = simhash.drop_near_copies(df)
+    assert {(r["_row"], r["_k"], r["node"]) for r in kept.collect()} == {("mine", 7, 1)} and simhash.drop_near_copies(df.where("false")).count() == 0
     assert kept.columns == df.columns
     got = kept.collect()
     # texts without words are one group

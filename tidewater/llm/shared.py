@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,5 +78,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str, total: int, how: str = "inner", least: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``known``, a row a key, whose column ``count`` tells how many of ``rows`` have the key.
+
+    Keys of more than ``least`` rows, and more than one row in 10,000, are broadcast: there are fewer than
+    10,000 of them whatever the size of the tables. All other keys meet in a shuffle, no task of which is hot.
+    """
+    limit = max(least, total // 10_000)
+    hot = known.where(F.col(count) > limit)
+    slim = known.drop(count)
+    if (known.agg(F.max(count)).first()[0] or 0) <= limit:
+        return rows.join(slim, key, how)
+    hot = settle(hot.drop(count))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(slim, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

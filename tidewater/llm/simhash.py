@@ -6,22 +6,26 @@ reach. Exact copies share a fingerprint, so that all work below is on distinct o
 
 Search. A single vantage point tells little about scattered fingerprints, whose distances
 all lie near half the width. So the outermost level deals fingerprints by bands of bits: of
-``radius + 1`` bands, a linked pair agrees on one at least (distance 0 there, hence no
-boundary), and every band's cell is a shard of that level. Shards above ``most_rows`` are
+``radius + m`` bands a linked pair agrees on m at least (distance 0 there, hence no
+boundary), and the cells of every choice of m bands are the shards of that level; m grows
+with the number of fingerprints, so that cells do not. Shards above ``most_rows`` are
 split by Spark around a vantage point: fingerprints within the median distance go inside,
 the others outside, and those of the inside that the triangle inequality cannot part from
 the outside go to both. What no vantage point parts any more is dealt in pairs of blocks.
-Inside a shard, a vantage-point tree prunes with the same bounds and finds all pairs; only
-a spanning forest of them leaves the task. Components are joined by alternating large and
-small stars, each round written to the shared folder.
+Inside a shard, a vantage-point tree orders fingerprints by distance and compares, across
+each boundary, only pairs that the triangle inequality leaves; only a spanning forest of
+the links leaves the task. Components are joined by alternating large and small stars, each
+round written to the shared folder.
 
 A text that is null or has no words has fingerprint zero and links like any other. Null ids
 are passed through; a group of null ids alone has a null component. Repeated rows are in one
-group. An empty table gives an empty result.
+group. An empty table gives an empty result. Columns of the table keep their names and values,
+whatever they are called.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import free_name, join_hot, settle
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -112,6 +116,7 @@ class Links:
 
     def __init__(self, rows: int, most: int = 500_000):
         self.rows, self.most, self.held, self.count = rows, max(most, 2 * rows), [], 0
+        self.possible = self.compared = 0  # pairs of a shard, and distances that were computed
 
     def add(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
         if len(a):
@@ -142,57 +147,63 @@ class Links:
         return self.held[0]
 
 
-def _brute(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, r: int, out: Links) -> None:
-    """All pairs within a, or between a and b, in blocks of a bounded number of cells."""
-    step = max(1, 250_000 // max(1, len(a if b is None else b)))
-    for at in range(0, len(a), step):
-        rows, them = a[at : at + step], a[at:] if b is None else b
-        d = np.zeros((len(rows), len(them)), np.uint16)
-        for lane in range(x.shape[1]):
-            d += np.bitwise_count(x[rows, lane][:, None] ^ x[them, lane][None])
-        i, j = np.nonzero(d <= r)
-        left, right = rows[i], them[j]
-        keep = left != right
-        out.add(left[keep], right[keep], d[i, j][keep].astype(np.int64))
-
-
-def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: Links, close: int | None = None, leaf: int = 96) -> None:
+def _pairs(x: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, r: int, out: Links) -> None:
+    """Links of every a[i] with b[lo[i]:hi[i]], in portions of a bounded number of pairs."""
+    many = np.maximum(hi - lo, 0)
+    total = np.concatenate([[0], np.cumsum(many)])
+    out.compared += int(total[-1])
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + 250_000, "right")) - 1)
+        left = np.repeat(np.arange(at, end), many[at:end])
+        right = lo[left] + np.arange(len(left)) - (total[left] - total[at])
+        i, j = a[left], b[right]
+        d = distance(x[i], x[j])
+        near = d <= r
+        out.add(i[near], j[near], d[near])
+        at = end
+
+
+def vp_pairs(x: np.ndarray, rows: np.ndarray, r: int, out: Links, close: int | None = None, leaf: int = 16) -> None:
     """Links of ``rows`` at distance ``r`` or less, by a vantage-point tree.
 
-    Where many rows lie within ``close`` (or ``r``) of the vantage point, they are linked through it
-    and not compared with each other.
+    A node's rows are ordered by their distance from its vantage point. Those inside the median go one
+    way, the others the other way, and only pairs across whose distances differ by ``r`` or less, as the
+    triangle inequality asks, are compared. Where many rows lie within ``close`` (or ``r``) of the vantage
+    point, they are linked through it and not compared with each other.
     """
     close = r if close is None else close
+    out.possible += len(rows) * (len(rows) - 1) // 2
     todo = [rows]
     while todo:
         rows = todo.pop()
-        if len(rows) <= leaf:
-            if len(rows) > 1:
-                _brute(x, rows, None, r, out)
+        n = len(rows)
+        if n <= leaf:
+            if n > 1:
+                _pairs(x, rows, rows, np.arange(1, n + 1), np.full(n, n), r, out)
             continue
-        vantage = rows[len(rows) // 2]
+        vantage = rows[n // 2]
         d = distance(x[rows], x[vantage])
-        dense = 8 * (d <= close).sum() >= len(rows)
-        radius = close if dense else int(np.median(d))
-        inside = d <= radius
-        if inside.all() and not dense:
-            radius -= 1
-            inside = d <= radius
-        a, b = rows[inside], rows[~inside]
-        if dense:
-            out.add(a[a != vantage], np.full(len(a) - 1, vantage), d[inside][a != vantage])
-            todo += [b]
-        elif not len(a) or not len(b):
-            _brute(x, rows, None, r, out)
-            continue
+        order = np.argsort(d, kind="stable")
+        rows, d = rows[order], d[order]
+        out.compared += n
+        within = int(np.searchsorted(d, close, "right"))
+        if 8 * within >= n:
+            own = rows[:within]
+            keep = own != vantage
+            out.add(own[keep], np.full(keep.sum(), vantage), d[:within][keep])
+            cut = within
         else:
-            todo += [a, b]
-        # a pair across the boundary lies within r of it on both sides; inner rings meet outer ones up to r further
-        near, far = d[inside] > radius - r, d[~inside] <= radius + r
-        da, db = d[inside][near], d[~inside][far]
-        na, nb = a[near], b[far]
-        for ring in np.unique(da):
-            _brute(x, na[da == ring], nb[db <= ring + r], r, out)
+            cut = int(np.searchsorted(d, np.median(d), "right"))
+            if cut == n:
+                cut = int(np.searchsorted(d, d[-1], "left"))
+            if not 0 < cut < n:  # all as far from the vantage point
+                _pairs(x, rows, rows, np.arange(1, n + 1), np.full(n, n), r, out)
+                continue
+            todo.append(rows[:cut])
+        todo.append(rows[cut:])
+        near = int(np.searchsorted(d[:cut], d[cut] - r, "left")) if cut < n else cut
+        _pairs(x, rows[near:cut], rows[cut:], np.zeros(cut - near, np.int64), np.searchsorted(d[cut:], d[near:cut] + r, "right"), r, out)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,8 +223,24 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _shard_keys(width: int, bands: list[tuple[int, int]]):
-    """mapInArrow function: one row per fingerprint and band, ``(key, node, fp)``."""
+def spread_bands(rows: int, bits: int, radius: int, most: int = 128) -> list[list[tuple[int, int]]]:
+    """Sets of bands, on one of which any two fingerprints within ``radius`` agree.
+
+    Of ``radius + m`` bands a linked pair agrees on m at least; the sets are all choices of m. m is the
+    least (up to 4) for which ``rows`` scattered fingerprints leave at most ``most`` in a cell.
+    """
+    for m in range(1, 5):
+        cuts = np.linspace(0, bits, radius + m + 1).astype(int).tolist()
+        bands = list(itertools.pairwise(cuts))
+        held = min(b - a for a, b in bands) * m
+        if m == 4 or rows <= most << held:
+            return [list(c) for c in itertools.combinations(bands, m)]
+    raise AssertionError
+
+
+def _shard_keys(width: int, bands: list[list[tuple[int, int]]]):
+    """mapInArrow function: one row per fingerprint and set of bands, ``(key, node, fp)``."""
+    columns = [np.concatenate([np.arange(lo, hi) for lo, hi in own]) for own in bands]
 
     def run(batches):
         for b in batches:
@@ -221,8 +248,8 @@ def _shard_keys(width: int, bands: list[tuple[int, int]]):
                 continue
             fps, nodes = b.column("fp"), b.column("node")
             bits = np.unpackbits(np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(-1, width), axis=1)
-            for k, (lo, hi) in enumerate(bands):
-                value = bits[:, lo:hi].astype(np.int64) @ (1 << np.arange(hi - lo, dtype=np.int64))
+            for k, own in enumerate(columns):
+                value = bits[:, own].astype(np.int64) @ (1 << np.arange(len(own), dtype=np.int64))
                 yield pa.record_batch([pa.array((value << 10) | k), nodes, fps], names=["key", "node", "fp"])
 
     return run
@@ -263,7 +290,7 @@ def _refine(members: DataFrame, width: int, r: int, most: int, levels: int = 10)
     raise AssertionError
 
 
-def _links(nodes: DataFrame, width: int, r: int, bands: list[tuple[int, int]], most: int, shard_rows: int, close: int | None = None) -> DataFrame:
+def _links(nodes: DataFrame, width: int, r: int, bands: list[list[tuple[int, int]]], most: int, shard_rows: int, close: int | None = None) -> DataFrame:
     """A spanning forest of the closest links found in every shard: ``(a, b, d, tree)``, d the distance."""
     members = settle(nodes.mapInArrow(_shard_keys(width, bands), "key long, node long, fp binary"))
     total = members.count()
@@ -325,10 +352,11 @@ def _cross_pairs(members: DataFrame, width: int, r: int, shard_rows: int) -> Dat
     return members.select("tree", "node", "fp", "root").repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long").distinct()
 
 
-def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame, rounds: int = 50, hub: int = 1000) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``: the smallest node it reaches.
 
     Large star, then small star, until the set of links stands still; an error if ``rounds`` do not suffice.
+    Nodes of more than ``hub`` links (and one link in 10,000) do not gather them in one task.
     """
     links = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -337,10 +365,10 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
         if not before[0]:
             break
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+        large = join_hot(both, low, "a", "c", before[0], least=hub).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        star = join_hot(large, small, "a", "c", before[0], least=hub).select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b")))
         links = settle(star.where("a <> b").distinct())
         after = mark(links)
         if after == before:
@@ -352,26 +380,23 @@ def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def group_documents(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, bands: int | None = None, band_bits: int | None = None, most_rows: int = 8192, shard_rows: int = 16_384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row.
+def group_documents(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, most_cell: int = 128, most_rows: int = 8192, shard_rows: int = 16_384, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for every row. No linked pair is lost, whatever the parameters.
 
-    With the default bands (``radius + 1`` over all bits) no linked pair is lost. ``bands`` of
-    ``band_bits`` bits each trade that for wide radii, where pairs that agree on no band are missed.
+    ``most_cell``: scattered fingerprints that share a cell, which sets the number of bands; ``most_rows``: rows
+    of a shard before it is split around vantage points; ``hot_rows``: rows of one fingerprint or group that
+    are joined without a shuffle.
     """
-    return _grouped(settle(with_fingerprints(docs, words, lanes, id_col, text_col)), radius, lanes, bands, band_bits, most_rows, shard_rows)
-
-
-def _grouped(marked: DataFrame, radius: int, lanes: int, bands: int | None, band_bits: int | None, most_rows: int, shard_rows: int) -> DataFrame:
-    bits, width = 64 * lanes, 8 * lanes
-    cuts = np.linspace(0, bits, (bands or radius + 1) + 1).astype(int)
-    spans = [(int(a), int(min(b, a + (band_bits or bits)))) for a, b in zip(cuts, cuts[1:])]
+    marked = settle(with_fingerprints(docs, words, lanes, id_col, text_col))
     node = F.conv(F.hex("fp"), 16, -10).cast("long") if lanes == 1 else F.xxhash64("fp")
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", node))
-    roots = connected(_links(nodes.select("node", "fp"), width, radius, spans, most_rows, shard_rows))
-    placed = nodes.join(roots, "node", "left").select("fp", "first_id", F.coalesce("root", "node").alias("root"))
-    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = placed.join(named, "root").select("fp", "component_id")
-    return marked.join(known, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).withColumn("node", node))
+    different, total = nodes.agg(F.count("*"), F.sum("copies")).first()
+    bands = spread_bands(different, 64 * lanes, radius, most_cell)
+    roots = connected(_links(nodes.select("node", "fp"), 8 * lanes, radius, bands, most_rows, shard_rows))
+    placed = settle(nodes.join(roots, "node", "left").select("fp", "first_id", "copies", F.coalesce("root", "node").alias("root")))
+    named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_members"))
+    known = settle(join_hot(placed, named, "root", "_members", different, least=hot_rows).select("fp", "copies", "component_id"))
+    return join_hot(marked, known, "fp", "copies", total or 0, least=hot_rows).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(
@@ -387,13 +412,12 @@ def drop_near_copies(
     so that every link of a shard is checked or implied by checked ones. Texts of up to ``sketch``
     shingles are compared by their sketches, others by all their shingles.
     """
-    from pyspark.sql import Window
-
+    _row = free_name(docs, "_row")
     key = lambda: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key().alias("row"))
     marked = settle(_row_marks(rows, words, lanes, sketch))
     cuts = np.linspace(0, 64 * lanes, bands + 1).astype(int)
-    spans = [(int(a), int(min(b, a + band_bits))) for a, b in zip(cuts, cuts[1:])]
+    spans = [[(int(a), int(min(b, a + band_bits)))] for a, b in zip(cuts, cuts[1:])]
     nodes = settle(marked.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
     sketches = settle(marked.groupBy(F.xxhash64("fp").alias("node")).agg(F.min(F.struct("row", "sketch")).alias("m")).select("node", "m.row", "m.sketch"))
 
@@ -411,10 +435,9 @@ def drop_near_copies(
     roots = connected(first.unionAll(hold(rest)))
     placed = nodes.select("node", "fp").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     grouped = marked.select("doc_id", "row", "fp").join(placed, "fp")
-    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row").alias("_row"))
-    kept = docs.withColumn("_row", key()).join(best, "_row", "left_semi")
-    # rows repeated in full are alike: one of them stays, found without another exchange
-    return kept.withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))).where("_k = 1").select(*docs.columns)
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row").alias(_row))
+    # rows repeated in full are alike: one of each leaves its task, so that no key is hot in the shuffle of texts
+    return docs.withColumn(_row, key()).dropDuplicates([_row]).join(best, _row, "left_semi").select(*docs.columns)
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col: str, words: int, similarity: float, k: int) -> DataFrame:

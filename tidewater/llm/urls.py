@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import join_hot, settle
 
 #: (host, path, verdict), as the contract fixes them.
 RULES = (
@@ -60,7 +60,7 @@ def domain_columns(host: Column) -> tuple[Column, Column]:
     return F.when(listed, F.substring_index(host, ".", -3)).otherwise(two), F.when(listed, two).otherwise(one)
 
 
-def _shrunk(counts: DataFrame, key: str, least: float, most: float) -> DataFrame:
+def _shrunk(counts: DataFrame, key: str, least: float, most: float, *others: str) -> DataFrame:
     """``(key, mean, weight)``: posterior means of ``counts(key, _good, _all, _prior)``, shrunk to the prior, with their strengths.
 
     Moments: with rates r_i from n_i outcomes around prior means m_i, the overdispersion is
@@ -73,11 +73,11 @@ def _shrunk(counts: DataFrame, key: str, least: float, most: float) -> DataFrame
     counts = settle(counts)
     fitted = counts.agg(F.when(rho.isNull() | (rho <= 0), F.lit(most)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), 1 / rho - 1)))).first()[0]  # one number
     s = F.lit(most if fitted is None else float(fitted))
-    return counts.select(key, ((F.col("_good") + s * F.col("_prior")) / (F.col("_all") + s)).alias("mean"), (F.col("_all") + s).alias("weight"))
+    return counts.select(key, *others, ((F.col("_good") + s * F.col("_prior")) / (F.col("_all") + s)).alias("mean"), (F.col("_all") + s).alias("weight"))
 
 
 def host_reputation(hosts: DataFrame, least_strength: float = 2.0, most_strength: float = 200.0) -> DataFrame:
-    """Posterior per host from ``hosts(host, domain, suffix, n_good, n_all)``, a row a host: ``(host, rate, weight)``.
+    """Posterior per host from ``hosts(host, domain, suffix, n_good, n_all, n_pages)``, a row a host: ``(host, n_pages, rate, weight)``.
 
     ``hosts`` is read once a level, so it should be a written table.
     """
@@ -87,8 +87,8 @@ def host_reputation(hosts: DataFrame, least_strength: float = 2.0, most_strength
     suffixes = _shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("_prior", F.lit(float(prior))), "suffix", *limits)
     above = lambda level, key: level.select(key, F.col("mean").alias("_prior"))
     domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*sums).join(above(suffixes, "suffix"), "suffix"), "domain", *limits)
-    by_host = hosts.select("host", "domain", F.col("n_good").cast("double").alias("_good"), F.col("n_all").cast("double").alias("_all"))
-    return _shrunk(by_host.join(above(domains, "domain"), "domain"), "host", *limits).select("host", F.col("mean").alias("rate"), "weight")
+    by_host = hosts.select("host", "n_pages", "domain", F.col("n_good").cast("double").alias("_good"), F.col("n_all").cast("double").alias("_all"))
+    return _shrunk(by_host.join(above(domains, "domain"), "domain"), "host", *limits, "n_pages").select("host", "n_pages", F.col("mean").alias("rate"), "weight")
 
 
 def filter_urls(
@@ -109,16 +109,8 @@ def filter_urls(
     counted = page.select("page_id", "host").join(marks, "page_id", "left").groupBy("host").agg(zero("_g", "n_good"), zero("_c", "n_all"), F.count("*").alias("n_pages"))
     counted = settle(counted.withColumns({"domain": domain, "suffix": suffix}))
     bound = F.col("rate") + z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
-    known = host_reputation(counted).select("host", F.round("rate", 9).alias("rate"), F.round(bound, 9).alias("bound"))
-    total, largest = counted.agg(F.sum("n_pages"), F.max("n_pages")).first()
-    limit = max(hot_pages, (total or 0) // 10_000)
-    if (largest or 0) > limit:
-        hot = known.join(counted.where(F.col("n_pages") > limit).select("host"), "host", "left_semi")
-        names = settle(hot)
-        cold = page.join(F.broadcast(names.select("host")), "host", "left_anti").join(known, "host", "left")
-        judged = page.join(F.broadcast(names), "host").unionByName(cold)
-    else:
-        judged = page.join(known, "host", "left")
+    known = host_reputation(counted).select("host", "n_pages", F.round("rate", 9).alias("rate"), F.round(bound, 9).alias("bound"))
+    judged = join_hot(page, known, "host", "n_pages", counted.agg(F.sum("n_pages")).first()[0] or 0, least=hot_pages)
     judged = judged.withColumn("_r", rule_column(F.col("host"), F.col("path"), rules))
     return judged.select(
         "page_id", "host", "path", F.col("_r.rule").alias("rule"),
