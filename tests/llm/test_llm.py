@@ -523,7 +523,9 @@ def test_leaks(spark, block):
     bench = spark.createDataFrame([(10, item), (11, "the answer is four"), (12, None), (13, ""), (14, words(rng, 30, 3000))], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, block_chars=block).collect())
     assert got == [(0, 10), (0, 10), (2, 10), (5, 11)]
-    clean = decontaminate.drop_leaked(df, bench)
+    df = df.withColumns({"_row": F.lit("mine"), "row": F.lit(1), "item_id": F.lit(10)})
+    clean = decontaminate.drop_leaked(df, bench, most_broadcast=block % 2)
+    assert {r["_row"] for r in clean.collect()} == {"mine"}
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 3, 4, 6]
     assert decontaminate.find_leaks(df, bench.where("false")).count() == 0
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0
@@ -550,11 +552,21 @@ def test_leaks_equal_alignment_of_all(spark, share):
     df = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(docs)], DOCS)
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
     got = decontaminate.find_leaks(df, bench).collect()
+    # several passes find what one does
+    assert sorted(map(tuple, decontaminate.find_leaks(df, bench, block_chars=500).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in got) == want
     whole = next(r for r in got if (r["doc_id"], r["item_id"]) == (0, len(items) - 1))
     assert " ".join(docs[0])[whole["start"] : whole["end"]] == " ".join(docs[0][20:35])
 
 
+def test_rarity_is_counted_over_the_whole_test_set(spark):
+    common = "the same five words again"
+    bench = spark.createDataFrame([(i, f"{common} u{i}a u{i}b u{i}c u{i}d u{i}e u{i}f") for i in range(5000)], "item_id long, text string").withColumn("row_no", F.col("item_id"))
+    places = {r["row_no"]: sorted(r["places"]) for r in decontaminate._rare_places(bench, 0.5).collect()}
+    # 11 words need 5 seeds, so that 6 places are enough; none of them begins in the words that all share, but for the last
+    assert len(places) == 5000 and set(map(tuple, places.values())) == {(4, 5, 6, 7, 8, 9)}
+
+
 # ---- shared tables
 
 

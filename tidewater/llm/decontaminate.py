@@ -6,26 +6,29 @@ document alike. An alignment of m matches and e errors leaves m - 1 - e / 2 or m
 neighbouring matches with at most one error between, so that a score of ``threshold`` in an
 item of w words takes p = threshold * w - 1 seeds from different places of the item at least.
 Of its w - 1 places all but p - 1 are thus enough to meet every leak, and those whose pairs
-the fewest items hold are taken. The passage around a seed is as wide as a leak can reach,
-and is aligned with the whole item if it holds enough of its words.
-
-The test set is taken in blocks of bounded text, one pass over the documents each, so that
-what is broadcast does not grow. Words are runs of letters and digits in lower case.
-Null and empty documents and items without words have no leaks. Items of one or two words
-are one seed. Repeated rows are reported each; an empty table gives no rows.
+the fewest items of the whole test set hold are taken. The passage around a seed is as wide
+as a leak can reach, and is aligned with the whole item if it holds enough of its words.
+
+The test set is taken in blocks of bounded text, one pass over the documents each; seeds,
+which bear on every word, are broadcast a block at a time and meet documents where these are,
+as to shuffle all pairs of words of a corpus would cost a multiple of reading it. Blocks do
+not bear on what is found. Words are runs of letters and digits in lower case. Null and empty
+documents and items without words have no leaks. Items of one or two words are one seed.
+Repeated rows are reported each; of places in a document with one score the first is told. An
+empty table gives no rows. Columns of the tables keep their names and values, whatever they
+are called.
 """
 
 from __future__ import annotations
 
-import functools
-import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import append, free_name, join_hot, new_table, settle
 from .sharding import number_rows
 
 WORDS = re.compile(r"\w+")
@@ -55,41 +58,63 @@ def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return gram_keys(np.stack([left, right], 1).ravel(), np.arange(0, 2 * len(left), 2), 2)
 
 
+def _places(items: DataFrame) -> DataFrame:
+    """``(row_no, place, words, key)``: the pairs of words that begin at each place of each item, keyed alike over all items."""
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = words_of(text)
+                h = np.array([xxh64_intdigest(w) for w in words], np.uint64)
+                if len(h) < 3:  # such items keep all places
+                    continue
+                at = np.concatenate([np.arange(len(h) - gap) for gap in (1, 2)])
+                key = np.concatenate([_pair_keys(h[:-gap], h[gap:]) for gap in (1, 2)]).view(np.int64)
+                for k in range(0, len(at), 100_000):
+                    n = len(at[k : k + 100_000])
+                    yield pa.record_batch([pa.array(np.full(n, row)), pa.array(at[k : k + n]), pa.array(np.full(n, len(h))), pa.array(key[k : k + n])], names=["row_no", "place", "words", "key"])
+
+    return items.select("row_no", "text").mapInArrow(run, "row_no long, place long, words long, key long")
+
+
+def _rare_places(items: DataFrame, threshold: float) -> DataFrame:
+    """``(row_no, places array<long>)``: as many places of each item as no leak can lack, those of the rarest pairs."""
+    places = settle(_places(items))
+    spread = places.groupBy("key").agg(F.count_distinct("row_no").alias("spread"), F.count("*").alias("_c"))
+    cost = join_hot(places, spread, "key", "_c", places.count()).groupBy("row_no", "place", "words").agg(F.sum("spread").alias("cost"))
+    rank = F.row_number().over(Window.partitionBy("row_no").orderBy("cost", "place"))
+    needed = F.greatest(F.lit(1.0), F.ceil(F.lit(threshold) * F.col("words") - 1 - 1e-9))
+    return cost.withColumn("_r", rank).where(F.col("_r") <= F.col("words") - needed).groupBy("row_no").agg(F.collect_list("place").alias("places"))
+
+
 class Seeds:
     """A block of test items: word numbers, sorted seed keys and where each seed occurs."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
-        self.item_ids = np.array([i for i, _ in items], np.int64)
-        texts = [words_of(t) for _, t in items]
+    def __init__(self, items: list[tuple[int, str, list[int] | None]]):
+        self.item_ids = np.array([i for i, _, _ in items], np.int64)
+        texts = [words_of(t) for _, t, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t], np.int32) for t in texts]
         self.single = any(len(w) == 1 for w in self.words)
         none = np.empty(0, np.int64)
         keys, item, offset = [none.astype(np.uint64)], [none], [none]
-        for i, w in enumerate(self.words):
+        for i, (w, (_, _, places)) in enumerate(zip(self.words, items)):
             if len(w) == 1:
                 parts = [(gram_keys(w, np.arange(1), 1), np.zeros(1, np.int64))]
             else:
                 parts = [(_pair_keys(w[:-gap], w[gap:]), np.arange(len(w) - gap)) for gap in (1, 2) if gap < len(w)]
             for k, at in parts:
+                if places is not None and len(w) > 2:
+                    used = np.isin(at, places)
+                    k, at = k[used], at[used]
                 keys.append(k)
                 item.append(np.full(len(at), i))
                 offset.append(at)
         keys, item, offset = map(np.concatenate, (keys, item, offset))
-        # rarity: in how many items of the test set the pairs that begin at a place occur
-        pair = np.unique(np.stack([keys, item.astype(np.uint64)]), axis=1)
-        distinct, spread = np.unique(pair[0], return_counts=True)
-        first = np.concatenate([[0], np.cumsum([len(w) for w in self.words])]).astype(np.int64)
-        cost = np.zeros(first[-1], np.int64)
-        np.add.at(cost, first[item] + offset, spread[np.searchsorted(distinct, keys)])
-        used = np.ones(first[-1], bool)
-        for i, w in enumerate(self.words):
-            if len(w) > 2:
-                needed = max(1, math.ceil(threshold * len(w) - 1 - 1e-9))
-                used[first[i] + np.argsort(cost[first[i] : first[i] + len(w) - 1], kind="stable")[len(w) - needed :]] = False
-        keep = used[first[item] + offset]
-        order = np.argsort(keys[keep], kind="stable")
-        self.keys, self.item, self.offset = keys[keep][order], item[keep][order], offset[keep][order]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item, self.offset = keys[order], item[order], offset[order]
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -186,8 +211,7 @@ def _near(seeds: Seeds, texts: list[list[str]], threshold: float):
             yield d, i, lo - int(ends[d] - lengths[d]), passage
 
 
-def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
-    seeds = docs.sparkSession.sparkContext.broadcast(Seeds(items, threshold))
+def _block_leaks(docs: DataFrame, seeds, threshold: float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("row", pa.string())])
 
     def run(batches):
@@ -218,34 +242,43 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], threshold: float
     return docs.mapInArrow(run, LEAKS)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col=None) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_chars: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", row_col=None) -> DataFrame:
     """``(doc_id, item_id, score, start, end, row)``: documents that hold a copy of a test item.
 
     ``start`` and ``end`` are the code points, in the lower-cased text, that the best alignment spans; ``row`` repeats ``row_col``.
+    ``block_chars``: characters of test items that are broadcast at a time (and one item, if that is longer).
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (row_col if row_col is not None else F.lit(None)).cast("string").alias("row"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
-    numbered = number_rows(items, ["item_id", "text"])
-    # the sizes of a few thousand items at a time give the blocks; each is fetched by itself
-    block = F.floor(F.col("row_no") / 2000)
-    blocks, at, held = [], 0, 0
-    for r in numbered.groupBy(block.alias("b")).agg(F.sum(F.char_length("text")).alias("c")).orderBy("b").toLocalIterator():
-        if held and held + r["c"] > block_chars:
-            blocks.append((at, r["b"]))
-            at, held = r["b"], 0
-        held += r["c"]
-        last = r["b"] + 1
-    if held or at:
-        blocks.append((at, last))
-    done = []
-    for lo, hi in blocks:
-        rows = numbered.where((F.col("row_no") >= lo * 2000) & (F.col("row_no") < hi * 2000)).select("item_id", "text").collect()
-        done.append(_block_leaks(slim, [(r["item_id"], r["text"]) for r in rows], threshold))
-    return functools.reduce(DataFrame.unionAll, done) if done else docs.sparkSession.createDataFrame([], LEAKS)
-
-
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without a leak, with their own columns. Rows are told apart by id and text."""
+    numbered = settle(number_rows(items, ["item_id", "text"]))
+    chosen = settle(numbered.join(_rare_places(numbered, threshold), "row_no", "left").orderBy("row_no"))
+    path = new_table(spark)
+
+    def search(block):
+        seeds = spark.sparkContext.broadcast(Seeds(block))
+        append(_block_leaks(slim, seeds, threshold), path)
+        seeds.destroy()
+
+    held, chars = [], 0
+    for r in chosen.select("item_id", "text", "places").toLocalIterator():
+        if held and chars + len(r["text"]) > block_chars:
+            search(held)
+            held, chars = [], 0
+        held.append((r["item_id"], r["text"], r["places"]))
+        chars += len(r["text"])
+    if held:
+        search(held)
+    return spark.read.schema(LEAKS).parquet(path) if held else spark.createDataFrame([], LEAKS)
+
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = 500_000, **options) -> DataFrame:
+    """The rows of ``docs`` without a leak, with their own columns. Rows are told apart by id and text.
+
+    Keys of up to ``most_broadcast`` leaking rows are broadcast; more of them meet the rows in a shuffle.
+    """
+    row = free_name(docs, "_row")
     key = lambda: F.concat_ws(":", F.xxhash64(F.col(id_col), F.col(text_col)), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, row_col=key(), **options).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", key()).join(leaks, "_row", "left_anti").select(*docs.columns)
+    leaks = settle(find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, row_col=key(), **options).select(F.col("row").alias(row)).distinct())
+    leaks = F.broadcast(leaks) if leaks.count() <= most_broadcast else leaks
+    return docs.withColumn(row, key()).join(leaks, row, "left_anti").select(*docs.columns)

@@ -85,11 +85,10 @@ def join_hot(rows: DataFrame, known: DataFrame, key: str, count: str, total: int
     10,000 of them whatever the size of the tables. All other keys meet in a shuffle, no task of which is hot.
     """
     limit = max(least, total // 10_000)
-    hot = known.where(F.col(count) > limit)
     slim = known.drop(count)
-    if (known.agg(F.max(count)).first()[0] or 0) <= limit:
+    if total <= limit or (known.agg(F.max(count)).first()[0] or 0) <= limit:
         return rows.join(slim, key, how)
-    hot = settle(hot.drop(count))
+    hot = settle(known.where(F.col(count) > limit).drop(count))
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(slim, key, how)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
