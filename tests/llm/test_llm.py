@@ -237,6 +237,35 @@ def test_pages_without_marks():
         assert isinstance(html_text.main_text(odd), str)
 
 
+def test_names_rule_out_no_content_of_an_article():
+    page = '<article><p>Intro text.</p><math><mi>x</mi><mi>y</mi></math><div class="related work">Kept one.</div><p class="alert">Kept two.</p><ul class="menu"><li>Out</ul><div class="ad banner-300">Out</div></article>'
+    assert html_text.main_text(page).split("\n") == ["Intro text.", "xy", "Kept one.", "Kept two."]
+
+
+def test_the_densest_region_decides():
+    para = "A paragraph of the article with enough words in it to count. " * 3
+    part = f"<h2>Short</h2><ul><li>one<li>two<li>three<li>four<li>five</ul><p>{para}</p>"
+    page = f"<body><div><p>Welcome to the site.</p></div><div class=x><p>Title</p><p>{para}</p>{part}{part}</div><div><p>Call us on weekdays.</p></div><div><p>{para}</p></div></body>"
+    own = ["Title", para.strip()] + ["Short", "one", "two", "three", "four", "five", para.strip()] * 2
+    assert html_text.main_text(page).split("\n") == own
+    # a marked article outweighs what is about as long outside, of several the heaviest counts
+    two = f"<article><p>{para}</p></article><article><h1>Head</h1><p>{para}</p><p>Last.</p></article><div><p>{para}</p><p>{para}</p></div>"
+    assert html_text.main_text(two).split("\n") == ["Head", para.strip(), "Last."]
+    assert html_text.main_text("<article><p><a href=1>All of it is a link</a></p></article>") == "All of it is a link"
+    weights = np.array([0, 5, 200, 100, 0, 0, 0, 90, 3, 0])
+    assert html_text.surges_and_dives(weights, np.array([0])).tolist() == [[1, 4], [7, 9]]
+    assert html_text.surges_and_dives(weights, np.array([0, 3])).tolist() == [[1, 3], [3, 4], [7, 9]]
+
+
+def test_long_pages():
+    para = "word " * 400
+    page = "<body><nav>" + "<li><a href=1>x</a>" * 20_000 + "</nav>" + f"<div class=a><p>{para}</p></div>" * 3000 + "<div>" * 30_000 + "</body>"
+    assert html_text.main_text(f"<article>{page}</article>").count("\n") == 2999
+    deep = "<div>" * 5000 + f"<p>{para}</p>" * 50
+    assert html_text.main_text(deep).count("\n") == 49
+    assert html_text.main_text("<div><p>some words here</p>" * 30_000).count("\n") > 10_000
+
+
 def test_pages_of_the_test_data(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r["page_id"]: r for r in html_text.extract_text(pages).collect()}
@@ -245,6 +274,9 @@ def test_pages_of_the_test_data(spark):
         blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split("</?(?:p|h1)>", inner.replace("<br>", " "))]
         want = "\n".join(filter(None, blocks))
         assert (got[p["page_id"]]["text"], got[p["page_id"]]["n_chars"]) == (want, len(want))
+        # the distribution of lines alone finds the same
+        assert html_text.main_text(re.sub("</?article>", "", p["html"])) == want
+        assert html_text.main_text(re.sub("<(/?)(article|nav)>", r"<\1div>", p["html"])) == want
     nulls = spark.createDataFrame([(1, None, None), (1, None, None)], "page_id long, url string, html string")
     assert [tuple(r) for r in html_text.extract_text(nulls).collect()] == [(1, None, "", 0)] * 2
 

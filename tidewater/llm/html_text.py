@@ -1,19 +1,26 @@
 """Main text of web pages by line-block distribution.
 
 Markup is cut into blocks, the lines of the method. A line weighs its characters outside
-links; lines in menus, adverts, forms and the like weigh nothing, and if the page marks an
-article, so do lines outside it. Sums over sliding windows of lines rise at the surge point
-where the article begins and fall at the dive point where it ends; the region with the most
-text is kept, without the lines that were ruled out.
+links (all of them inside a marked article); lines in menus, adverts, forms and the like are
+ruled out. Sums over sliding windows of lines rise at surge points and fall at dive points;
+what lies between is a region, and the heaviest region is the core of the article. Lines
+inside a marked article weigh four times as much, and no region crosses its border.
+
+From the core the article reaches as far as its container: to both ends of a marked article;
+on other pages over all regions in the same container, and on to its nearest lines that are
+not mostly links. Lines that were ruled out are left out of it. Inside an article only what
+is no article by its element, or a plain container by all of its name, is ruled out.
 
 Null and empty pages, and pages without text, give an empty string. Texts are read whole.
-Repeated rows are extracted each.
+Repeated rows are extracted each; of regions of one weight the first counts; an empty table
+gives an empty result. Columns other than id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +35,7 @@ _MARK = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|[\s/"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))""", re.I)
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style textarea noscript template iframe svg math object canvas audio video select title xmp noframes noembed".split())
+RAW = frozenset("script style textarea noscript template iframe svg object canvas audio video select title xmp noframes noembed".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -36,16 +43,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that never belong to the article; ``OUTER`` ones only outside it.
 NEVER = frozenset("nav aside footer form menu dialog button head search".split())
 OUTER = frozenset(["header"])
-#: Words of class, id and role names that tell the same; ``OUTER_NAMES`` only outside the article. Outside, any
-#: word of a hyphenated name counts; inside, only names that consist of such words, as slugs of headings hold any word.
-NAMES = frozenset(
-    "nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager popup modal overlay newsletter subscribe subscription signup login form search widget copyright disclaimer complementary contentinfo".split()
+#: Words of class, id and role names that tell the same; ``OUTER_NAMES`` only outside the article. Outside, any word of a
+#: hyphenated name counts. Inside, names rule out plain containers only, and one that holds a word of the first list by
+#: itself, others (which a topic may be called as well) only if there is no other name.
+SURE_NAMES = frozenset(
+    "nav navbar navigation menu footer sidebar ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo banner cookie cookies consent gdpr comments commentlist disqus share sharing social breadcrumb breadcrumbs pagination pager popup modal newsletter subscribe signup login widget".split()
+)
+NAMES = SURE_NAMES | frozenset(
+    "aside promotion notice notices alert comment respond reply replies related recommended recommendations overlay subscription form search copyright disclaimer complementary contentinfo".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar toolbar".split())
 _ROOTS = frozenset("html body article main".split())
-#: Elements whose id is a slug of their text; ``_SECTIONS`` inside the article only.
+#: Elements whose id is a slug of their text, and those whose names rule nothing out inside the article.
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
-_SECTIONS = frozenset("section details figure table blockquote pre dl ol ul".split())
+_PLAIN = frozenset("div ul ol span center".split())
+#: Elements that hold an article or a part of the page.
+CONTAINERS = frozenset("body main article section div center td".split())
 
 
 def _ruled_out(name: str, rest: str, inside: bool) -> bool:
@@ -61,7 +74,7 @@ def _ruled_out(name: str, rest: str, inside: bool) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return name not in _ROOTS
             continue
-        if key == "id" and (name in _HEADINGS or (inside and name in _SECTIONS)):
+        if key == "id" and name in _HEADINGS:
             continue
         words = set(re.split(r"[^a-z]+", value))
         if name in ("html", "body", "main"):
@@ -71,7 +84,8 @@ def _ruled_out(name: str, rest: str, inside: bool) -> bool:
                 return True
             continue
         if inside:
-            if any(set(filter(None, re.split(r"[^a-z]+", token))) <= NAMES for token in re.findall(r"\S*[a-z]\S*", value)):
+            names = [set(filter(None, re.split(r"[^a-z]+", token))) for token in re.findall(r"\S*[a-z]\S*", value)]
+            if name in _PLAIN and names and (all(n <= NAMES for n in names) or any(n <= NAMES and n & SURE_NAMES for n in names)):
                 return True
             continue
         if words & NAMES or (words & OUTER_NAMES and not re.fullmatch("h[1-6]", name)):
@@ -79,19 +93,30 @@ def _ruled_out(name: str, rest: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, bool]]:
-    """``(text, weight, article, ruled out)`` per block; ``article`` is 0 outside of any, else its number."""
-    out: list[tuple[str, int, int, bool]] = []
+class Line(NamedTuple):
+    """A block of the page: ``article`` is 0 outside of any, else its number; ``container`` is the element that holds it."""
+
+    text: str
+    linked: int
+    article: int
+    out: bool
+    container: int
+
+
+def lines(page: str) -> tuple[list[Line], list[int]]:
+    """The blocks of a page, and the parent of every container (0, the page, is its own)."""
+    out: list[Line] = []
     parts: list[str] = []
     linked = articles = current = depth = 0
     skip: list[str] = []  # the element that is ruled out and those of its name within it
     links = 0
+    parents, held = [0], [("", 0)]  # containers, and the names and numbers of those that are open
 
     def end():
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), current, bool(skip)))
+            out.append(Line(text, min(linked, len(text)), current, bool(skip), held[-1][1]))
         parts.clear()
         linked = 0
 
@@ -124,6 +149,14 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
             parts.append(" ")
         if name == "a":
             links = 0 if closing else 1
+        if name in CONTAINERS:
+            if not closing:
+                parents.append(held[-1][1])
+                held.append((name, len(parents) - 1))
+            else:
+                # an element that was not closed ends with the one around it; a stray end means nothing
+                back = next((k for k in range(1, min(len(held), 64)) if held[-k][0] == name), 0)
+                del held[len(held) - back :]
         if closing:
             if skip and name == skip[0]:
                 skip.pop()
@@ -153,49 +186,84 @@ def lines(page: str) -> list[tuple[str, int, int, bool]]:
         elif _ruled_out(name, rest, bool(depth)):
             skip.append(name)
     end()
-    return out
+    return out, parents
 
 
-def surge_and_dive(weights: np.ndarray, window: int = 3, least: int = 0) -> tuple[int, int]:
-    """First and last line of the region with the most text; (0, -1) if there is none.
+def surges_and_dives(weights: np.ndarray, borders: np.ndarray, window: int = 3, least: int = 80) -> np.ndarray:
+    """``[first line, line after the last]`` of every region, in order.
 
-    A region is a run of lines whose windows of ``window`` lines hold more than ``least``
-    characters; it begins and ends at lines that have some.
+    A region is a run of lines whose windows of ``window`` lines weigh more than ``least``, or more than a
+    quarter of the page's heaviest window if that is less. Windows and regions do not cross ``borders``, the
+    lines that begin a part of the page.
     """
-    if not weights.size or not weights.any():
-        return 0, -1
+    n = len(weights)
+    if not n:
+        return np.empty((0, 2), np.int64)
     total = np.concatenate([[0], np.cumsum(weights)])
-    here, half = np.arange(len(weights)), window // 2
-    sums = total[np.minimum(here + half + 1, len(weights))] - total[np.maximum(here - half, 0)]
-    active = np.concatenate([[False], sums > least, [False]])
-    edges = np.flatnonzero(active[1:] != active[:-1]).reshape(-1, 2)
-    if not len(edges):
-        return 0, -1
-    a, b = edges[np.argmax(total[edges[:, 1]] - total[edges[:, 0]])]
-    held = np.flatnonzero(weights[a:b]) + a
-    return (int(held[0]), int(held[-1])) if held.size else (0, -1)
+    here, half = np.arange(n), window // 2
+    part = np.searchsorted(borders, here, "right") - 1
+    begins, ends = borders[part], np.append(borders[1:], n)[part]
+    sums = total[np.minimum(here + half + 1, ends)] - total[np.maximum(here - half, begins)]
+    active = sums > min(least, int(sums.max()) // 4)
+    surge = active & ~(np.concatenate([[False], active[:-1]]) & (here > begins))
+    dive = active & ~(np.concatenate([active[1:], [False]]) & (here + 1 < ends))
+    found = np.stack([np.flatnonzero(surge), np.flatnonzero(dive) + 1], 1)
+    # lines at the rims that weigh nothing were only reached by the window
+    rims = [np.flatnonzero(weights[a:b]) + a for a, b in found]
+    return np.array([(r[0], r[-1] + 1) for r in rims if r.size], np.int64).reshape(-1, 2)
 
 
 def main_text(page: str | None, window: int = 3, least: int = 80) -> str:
     """The article of a page: its blocks in order, joined by line ends."""
-    found = lines(page or "")
-    open_ = [not x[3] for x in found]
-    articles: dict[int, int] = {}
-    for (_, weight, article, _), ok in zip(found, open_):
-        if article and ok:
-            articles[article] = articles.get(article, 0) + weight
-    if articles and max(articles.values()):
-        # the page marks it: within the largest article every gap is bridged
-        best = max(articles, key=lambda k: (articles[k], -k))
-        weights = np.array([len(x[0]) if ok and x[2] == best else 0 for x, ok in zip(found, open_)], np.int64)
-        first, last = surge_and_dive(weights, 2 * len(weights) + 1, 0)
-        open_ = [ok and x[2] == best for x, ok in zip(found, open_)]
+    every, parents = lines(page or "")
+    found = [x for x in every if not x.out]
+    article = np.array([x.article for x in found], np.int64)
+    size = np.array([len(x.text) for x in found], np.int64)
+    plain = size - np.array([x.linked for x in found], np.int64)
+    borders = np.flatnonzero(np.concatenate([[True], article[1:] != article[:-1]])) if found else np.empty(0, np.int64)
+    weights = np.where(article > 0, 4 * size, plain)
+    regions = surges_and_dives(weights, borders, window, least)
+    if not len(regions):
+        return ""
+    total = np.concatenate([[0], np.cumsum(weights)])
+    first, last = regions[np.argmax(total[regions[:, 1]] - total[regions[:, 0]])].tolist()
+    if article[first]:
+        keep = article == article[first]
     else:
-        weights = np.array([x[1] if ok else 0 for x, ok in zip(found, open_)], np.int64)
-        first, last = surge_and_dive(weights, window, least)
-        if last < first:  # a page of short lines only
-            first, last = surge_and_dive(weights, window, 0)
-    return "\n".join(x[0] for x, ok in zip(found[first : last + 1], open_[first : last + 1]) if ok)
+        first, last = _reach(first, last, regions, found, parents, weights, plain * 2 > size)
+        keep = (np.arange(len(found)) >= first) & (np.arange(len(found)) < last)
+    return "\n".join(x.text for x, k in zip(found, keep) if k)
+
+
+def _reach(first: int, last: int, regions: np.ndarray, found: list[Line], parents: list[int], weights: np.ndarray, prose: np.ndarray) -> tuple[int, int]:
+    """Brings the core, lines ``first`` to ``last``, to the container of most of the page's regions, over all of them there and the nearest lines."""
+    listed = [k for a, b in regions.tolist() for k in range(a, b) if not found[k].article]
+    held, depth = [0] * len(parents), [0] * len(parents)
+    for k in listed:
+        held[found[k].container] += int(weights[k])
+    for c in range(len(parents) - 1, 0, -1):  # a container's number is above its parent's
+        held[parents[c]] += held[c]
+    for c in range(1, len(parents)):
+        depth[c] = depth[parents[c]] + 1
+    # the innermost container that holds two thirds, and what is in it
+    top = max((c for c in range(len(parents)) if 3 * held[c] >= 2 * held[0]), key=lambda c: depth[c])
+    inside = [c == top for c in range(len(parents))]
+    for c in range(1, len(parents)):
+        inside[c] = inside[c] or inside[parents[c]]
+    core = [k for k in range(first, last) if inside[found[k].container]] or [k for k in listed if inside[found[k].container]]
+    own = {found[k].container for k in core} | {top}
+
+    def belongs(line: Line) -> bool:
+        # parts of the page itself belong together only if they hold parts of the core
+        return not line.article and (line.container in own or (depth[top] > 1 and inside[line.container]))
+
+    core += [k for k in listed if belongs(found[k])]
+    first, last = min(core), max(core) + 1
+    while first and prose[first - 1] and belongs(found[first - 1]):
+        first -= 1
+    while last < len(found) and prose[last] and belongs(found[last]):
+        last += 1
+    return first, last
 
 
 def extract_text(pages: DataFrame, window: int = 3, least: int = 80, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
