@@ -16,6 +16,38 @@ def op2_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def _op2_sql(shards: int = 40, seed: int = 20240229) -> str:
+    """The network and its cycle walking in plain arithmetic; checksums byte by byte, the table by its rule."""
+    p = sharding.PRIME
+
+    def once(source: str) -> str:
+        q = f"SELECT row_no, n, a, b, v // b AS l, v % b AS r FROM {source}"
+        for k in range(4):
+            side, other, size = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+            q = f"SELECT *, (({other} % {p}) * {sharding.ROUND_A[k]} + {seed % p} + {k}) % {p} AS t FROM ({q})"
+            q = f"SELECT * REPLACE ((xor(t, t >> 15) * {sharding.ROUND_B[k]}) % {p} AS t) FROM ({q})"
+            q = f"SELECT * EXCLUDE (t) REPLACE (({side} + xor(t, t >> 13)) % {size} AS {side}) FROM ({q})"
+        return f"SELECT row_no, n, a, b, l * b + r AS v FROM ({q})"
+
+    entry = "x"
+    for _ in range(8):
+        entry = f"(CASE WHEN ({entry}) & 1 = 1 THEN xor(({entry}) >> 1, 3988292384) ELSE ({entry}) >> 1 END)" if entry == "x" else f"list_transform([{entry}], lambda y: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)[1]"
+    return f"""
+WITH RECURSIVE crc AS (SELECT list({entry} ORDER BY x) AS entries FROM range(256) AS t(x)),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, (length(h) // 2 + 16)::BIGINT AS size,
+  xor(4294967295, list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c >> 8, entries[(xor(c, x) & 255) + 1]), 4294967295::BIGINT)) AS text_crc32 FROM d, crc),
+m AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_no, count(*) OVER () AS n FROM s),
+box AS (SELECT row_no, n, floor(sqrt(n - 1))::BIGINT + 1 AS a, row_no AS v FROM m),
+sides AS (SELECT row_no, n, a, greatest(1, (n + a - 1) // a) AS b, v FROM box),
+w AS ({once("sides")} UNION ALL {once("(SELECT * FROM w WHERE v >= n)")})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (v % {shards})::INTEGER AS shard, v // {shards} AS slot, NULL::INTEGER AS grown_shard, m.row_no FROM m JOIN w ON w.row_no = m.row_no AND w.v < w.n
+"""
+
+
+OP2_SQL = _op2_sql()
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.group_documents(table(spark, sf_dir, "documents"))
 
@@ -147,4 +179,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op2_sharding": OP2_SQL, "op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL}

@@ -62,11 +62,18 @@ def append(df: DataFrame, path: str) -> None:
         spark.conf.set(batch, before)
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes the tables that :func:`settle` has written; frames that read them can't be used afterwards."""
+def written() -> int:
+    """How many tables this driver has written and not removed; what is written later can be told apart by it."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Removes the tables written since :func:`written` gave ``since``, except ``but``; frames that read them can't be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        at = path(_written.pop())
+    gone = [p for p in _written[since:] if p != but]
+    _written[since:] = [p for p in _written[since:] if p == but]
+    for name in gone:
+        at = path(name)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -18,7 +18,8 @@ distinct windows are merged by key afterwards: each is looked up among those of
 shards by binary search, in ranges of keys.
 
 Texts are UTF-8 bytes, null texts empty; matches never cross documents. Repeated rows are
-places of their own. Shorter texts stay as they are. An empty table gives no rows.
+places of their own. Shorter texts stay as they are. An empty table gives no rows. Columns other
+than id and text are not read.
 """
 
 from __future__ import annotations
@@ -304,7 +305,7 @@ def _merge_windows(t: pa.Table) -> pa.Table:
     return pa.table({"g": t.column("g").take(pa.array(hit)), "a": pa.array(o, pa.int32()), "b": pa.array(o + 1, pa.int32())})
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, most_hot: int = 4_000_000, text_col: str = "text") -> DataFrame:
     """``(t, spans)``: per text with repeats, ``t`` the MD5 of its bytes, the spans ``struct(a, b)`` of windows that repeat."""
     from xxhash import xxh3_128_digest
 
@@ -326,10 +327,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, i
     kinds, total = often.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
     filter_ = Bloom(kinds)
     known = sc.broadcast(filter_.build(often, "h"))
-    # anchors of many different segments are dealt to several shards; there are at most total / limit of them
-    limit = max(shard_rows // 4, total // 200_000)
-    hot = sc.broadcast({r["h"]: -(-r["d"] // limit) for r in often.where(F.col("d") > limit).toLocalIterator()})
+    # anchors of many different segments are dealt to several shards; there are at most total / limit of them, ``most_hot``
+    limit = max(shard_rows // 4, total // most_hot)
+    wide = often.where(F.col("d") > limit).select("h", F.ceil(F.col("d") / limit).cast("int").alias("n")).orderBy("h").toArrow()
+    hot = sc.broadcast((wide.column(0).to_numpy(), wide.column(1).to_numpy()))
     shards = max(1, -(-total // shard_rows))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16))
 
     def suspects(batches, each):
         bitmap = np.frombuffer(known.value, np.uint8)
@@ -350,14 +353,18 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, i
                     held[g][1] += counts[t]
                 else:
                     held[g] = [a, counts[t], part]
-            salts = hot.value
-            rows = [(a, (int.from_bytes(g[:4], "big") % salts[a]) if a in salts else 0, a in salts, g, c, p) for g, (a, c, p) in held.items()]
+            names, salts = hot.value
+            own = np.array([a for a, _, _ in held.values()], np.int64)
+            at = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
+            split = names[at] == own if len(names) else np.zeros(len(own), bool)
+            dealt = np.where(split, salts[at], 1) if len(names) else np.ones(len(own), np.int64)
+            rows = [(a, int.from_bytes(g[:4], "big") % n, s, g, c, p) for (g, (a, c, p)), n, s in zip(held.items(), dealt.tolist(), split.tolist())]
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()))], names=["h", "salt", "split", "g", "c", "bytes"])
 
         return suspects(batches, each)
 
     sent = texts.mapInArrow(send, "h long, salt long, split boolean, g binary, c long, bytes binary").withColumn("shard", F.pmod(F.xxhash64("h", "salt"), F.lit(shards)))
-    found = settle(sent.groupBy("shard").applyInArrow(_scan_shard(length), _FOUND))
+    found = settle(sent.repartition(tasks, "shard").groupBy("shard").applyInArrow(_scan_shard(length), _FOUND))
     local = found.where("a is not null").select("g", F.explode(F.arrays_zip("a", "b")).alias("s")).select("g", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     # windows of frequent anchors: those that another shard holds, too
     told = found.where("w is not null").select("w", "g", "o")
@@ -377,9 +384,13 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, i
     return spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, shard_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; ``kept`` are the remaining bytes."""
-    spans = settle(repeated_spans(docs, length, shard_rows, id_col, text_col))
+def remove_repeats(docs: DataFrame, length: int = 200, shard_rows: int = 8000, most_hot: int = 4_000_000, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; ``kept`` are the remaining bytes.
+
+    ``most_hot``: the most anchors whose segments are dealt to several shards, 12 bytes of a broadcast each. Spans of texts
+    that more than ``hot_rows`` rows hold, and more than one row in 10,000, are broadcast.
+    """
+    spans = settle(repeated_spans(docs, length, shard_rows, most_hot, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = rows.withColumn("t", F.unhex(F.md5("text")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -405,4 +416,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, shard_rows: int = 8000, i
             if out:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return rows.join(spans, "t", "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    total = docs.count()
+    limit = max(hot_rows, total // 10_000)
+    met = rows.join(spans, "t", "left")
+    if total > limit:
+        hot = settle(rows.groupBy("t").count().where(F.col("count") > limit).select("t").join(spans, "t", "left"))
+        if hot.head(1):
+            met = rows.join(F.broadcast(hot.select("t")), "t", "left_anti").join(spans, "t", "left").unionByName(rows.join(F.broadcast(hot), "t"))
+    return met.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
