@@ -517,7 +517,7 @@ def brute_top(rows, k, block):
             yield from ((q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k]))
 
 
-@pytest.mark.parametrize(("block", "lists"), [(32_768, 2), (3, 2), (7, 3), (100, 1)])
+@pytest.mark.parametrize(("block", "lists"), [(32_768, 4), (3, 2), (7, 3), (100, 1)])
 def test_top_k(spark, block, lists, monkeypatch):
     monkeypatch.setattr(topk, "ROWS_AT_ONCE", 16)
     rng = np.random.default_rng(4)
@@ -537,15 +537,14 @@ def test_cutoffs_spare_entries():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 64))
     x = np.floor(256 * (centres[rng.integers(0, 20, 2000)] + rng.normal(scale=0.3, size=(2000, 64))) / 9).astype(np.int64)
-    q = topk.Queries(np.arange(100), x[:100], 2)
+    q = topk.Queries(np.arange(100), x[:100], 4)
     full = x[:100] @ x.T
-    cut = np.sort(full, axis=1)[:, -6]
-    row, col, score = topk.survivors(q, x[:100], x, cut)
-    assert set(zip(row.tolist(), col.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(full >= cut[:, None])))) and (score == full[row, col]).all()
-    # of all entries few have the rest of their parts computed
-    first = x[:100][:, q.lists[0]] @ x[:, q.lists[0]].T
-    alive = first + np.outer(q.rest(x[:100], 0), q.rest(x, 0)) + 1 >= cut[:, None]
-    assert alive.mean() < 0.2
+    for place in (-6, -600):
+        cut = np.sort(full, axis=1)[:, place]
+        row, col, score = topk.resolved(q, x[:100], x, cut)
+        assert set(zip(row.tolist(), col.tolist())) == set(zip(*(c.tolist() for c in np.nonzero(full >= cut[:, None])))) and (score == full[row, col]).all()
+    # of few entries the rest is computed
+    assert topk.sufficient(q, x[:100], x, np.sort(full, axis=1)[:, -6])[1].mean() < 0.1
 
 
 # ---- packing

@@ -3,14 +3,13 @@
 The components of a vector are dealt to ``lists`` lists; a list ranks candidates by the
 part of the inner product that its components give.
 
-1. Every task ranks its candidates per query by the first list alone and gives the full
-   scores of the ``k`` best. The k-th best of all of these is a safe cutoff t: no answer
-   lies below it.
-2. The cutoffs are broadcast. A score of t needs t / lists or more from some list. List
-   after list is computed, and an entry stays only while its parts and what the lengths of
-   the rest allow (Cauchy-Schwarz) can reach t; most are never computed in full.
-3. The remaining parts of the entries that stay are resolved exactly, and what reaches t
-   goes on to a ranking per query, at most ``k`` entries a task.
+1. Every task ranks its candidates per query by all lists but the last and gives the full
+   scores of the best of each of ``k`` shares of them. The k-th best of all of these is a
+   safe cutoff t: no answer lies below it.
+2. The cutoffs are broadcast. An entry is sufficient if its parts in the lists seen and the
+   most that the lengths of the rest allow (Cauchy-Schwarz) reach t; others are left out.
+3. The remaining parts of sufficient entries are resolved exactly, and what reaches t goes
+   on to a ranking per query, at most ``k`` entries a task.
 
 Queries are taken in blocks of ``block`` rows. A block is one pass over the vectors, its
 results are written to the shared folder and what was broadcast for it is removed, so that
@@ -59,11 +58,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.
 
 
 class Queries:
-    """A block of queries: numbers of their rows, matrix, and the lists that components are dealt to."""
+    """A block of queries: numbers of their rows, matrix, and the components that the first lists and the last one hold."""
 
     def __init__(self, uid: np.ndarray, matrix: np.ndarray, lists: int):
         self.uid, self.matrix = uid, matrix
-        self.lists = [np.arange(j, matrix.shape[1], lists) for j in range(min(lists, matrix.shape[1]))]
+        number = np.arange(matrix.shape[1]) % max(1, min(lists, matrix.shape[1]))
+        last = (number == number.max()) & (number > 0)
+        self.lead, self.last = np.flatnonzero(~last), np.flatnonzero(last)
         self.top = int(np.abs(matrix).max(initial=0))
 
     def parts(self):
@@ -74,20 +75,21 @@ class Queries:
         """Products are exact in float64 where sums stay below 2**53."""
         return np.float64 if self.top * int(np.abs(them).max(initial=0)) * self.matrix.shape[1] < 2**53 else np.int64
 
-    def rest(self, rows: np.ndarray, j: int) -> np.ndarray:
-        """Lengths of what the lists after the j-th hold, rounded up."""
-        later = [c for c in self.lists[j + 1 :]]
-        return np.sqrt((rows[:, np.concatenate(later)].astype(float) ** 2).sum(1)) * (1 + 1e-9) if later else np.zeros(len(rows))
+    def leading(self, rows: np.ndarray, them: np.ndarray) -> np.ndarray:
+        kind = self.kind(them)
+        return rows[:, self.lead].astype(kind) @ them[:, self.lead].astype(kind).T
+
+    def rest(self, rows: np.ndarray) -> np.ndarray:
+        """Lengths of what the last list holds, rounded up."""
+        return np.sqrt((rows[:, self.last].astype(float) ** 2).sum(1)) * (1 + 1e-9)
 
 
 def _candidates(batches, width: int):
-    """``(number of the row, id, matrix)`` of bounded size, by id."""
+    """``(number of the row, id, matrix)`` of bounded size."""
     for b in batches:
         for at in range(0, b.num_rows, ROWS_AT_ONCE):
             part = b.slice(at, ROWS_AT_ONCE)
-            ids = part.column(1).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            yield part.column(0).to_numpy()[order], ids[order], _matrix(part.column(2), width)[order]
+            yield part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), width)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -114,7 +116,7 @@ def _merged(k: int):
     return merge
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 2, block: int = 32_768) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, lists: int = 4, block: int = 32_768) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` from ``(vec_id, vector)`` and the rows of it that are queries; a query's own row is no candidate of it.
 
     ``queries`` is a condition on the columns of ``vectors``, as a column.
@@ -149,15 +151,14 @@ def _cutoffs(vectors: DataFrame, shared, k: int) -> np.ndarray:
         q: Queries = shared.value
         best: dict[int, np.ndarray] = {}
         for uid, _, them in _candidates(batches, q.matrix.shape[1]):
-            kind = q.kind(them)
+            shares = np.linspace(0, len(them), min(k, len(them)) + 1).astype(int)
             for at, rows in q.parts():
-                first = rows[:, q.lists[0]].astype(kind) @ them[:, q.lists[0]].astype(kind).T
-                own = q.uid[at : at + len(rows), None] == uid[None]
+                first = q.leading(rows, them)
+                own = np.nonzero(q.uid[at : at + len(rows), None] == uid[None])
                 first[own] = _NONE
-                some = min(k, len(them))
-                head = np.argpartition(-first, some - 1, axis=1)[:, :some]
+                head = np.stack([a + first[:, a:b].argmax(1) for a, b in zip(shares, shares[1:])], 1)
                 full = np.einsum("qd,qkd->qk", rows, them[head])
-                full[np.take_along_axis(own, head, 1)] = _NONE
+                full[np.take_along_axis(first, head, 1) == _NONE] = _NONE
                 best[at] = _best(full if at not in best else np.concatenate([best[at], full], 1), k)
         for at, scores in best.items():
             yield _told(at // QUERIES_AT_ONCE, scores)
@@ -171,22 +172,34 @@ def _cutoffs(vectors: DataFrame, shared, k: int) -> np.ndarray:
     return out
 
 
-def survivors(q: Queries, rows: np.ndarray, them: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phases 2 and 3: ``(query, candidate, score)`` of the entries whose score reaches the query's cutoff."""
-    kind = q.kind(them)
-    left, right = rows.astype(kind), them.astype(kind)
-    known = left[:, q.lists[0]] @ right[:, q.lists[0]].T
-    row, col = np.nonzero(known + np.outer(q.rest(rows, 0), q.rest(them, 0)) + 1 >= cut[:, None])
+def sufficient(q: Queries, rows: np.ndarray, them: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phase 2: the parts that the first lists give, and which entries may reach the cutoff of their query.
+
+    Bounds are taken for 128 neighbouring candidates at once, so candidates had better come by the length of their rest.
+    """
+    known = q.leading(rows, them)
+    own, rest = q.rest(rows), q.rest(them)
+    enough = np.empty(known.shape, bool)
+    for at in range(0, len(them), 128):
+        reach = np.ceil(own * rest[at : at + 128].max()) + 1
+        np.greater_equal(known[:, at : at + 128], (cut - reach)[:, None], out=enough[:, at : at + 128])
+    return known, enough
+
+
+def resolved(q: Queries, rows: np.ndarray, them: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phase 3: ``(query, candidate, score)`` of the entries whose score reaches the query's cutoff."""
+    known, enough = sufficient(q, rows, them, cut)
+    left, right = rows[:, q.last].astype(known.dtype), them[:, q.last].astype(known.dtype)
+    if 10 * np.count_nonzero(enough) > enough.size:  # of most entries: one product is less work than many lookups
+        known += left @ right.T
+        row, col = np.nonzero(known >= cut[:, None])
+        return row, col, known[row, col].astype(np.int64)
+    row, col = np.nonzero(enough)
     score = known[row, col]
-    for j, own in enumerate(q.lists[1:], 1):
-        add = np.empty(len(row), kind)
-        for at in range(0, len(row), 65_536):
-            a, b = row[at : at + 65_536], col[at : at + 65_536]
-            add[at : at + 65_536] = np.einsum("nd,nd->n", left[np.ix_(a, own)], right[np.ix_(b, own)])
-        score = score + add
-        stay = score + q.rest(rows, j)[row] * q.rest(them, j)[col] + (1 if j + 1 < len(q.lists) else 0) >= cut[row]
-        row, col, score = row[stay], col[stay], score[stay]
-    return row, col, score.astype(np.int64)
+    for at in range(0, len(row), 65_536):
+        score[at : at + 65_536] += np.einsum("nd,nd->n", left[row[at : at + 65_536]], right[col[at : at + 65_536]])
+    reach = score >= cut[row]
+    return row[reach], col[reach], score[reach].astype(np.int64)
 
 
 def _resolve(shared, cut, k: int):
@@ -194,8 +207,10 @@ def _resolve(shared, cut, k: int):
         q: Queries = shared.value
         best = {at: (np.empty(0, np.int64),) * 3 for at, _ in q.parts()}
         for uid, ids, them in _candidates(batches, q.matrix.shape[1]):
+            order = np.argsort(q.rest(them), kind="stable")
+            uid, ids, them = uid[order], ids[order], them[order]
             for at, rows in q.parts():
-                row, col, score = survivors(q, rows, them, cut.value[at : at + len(rows)])
+                row, col, score = resolved(q, rows, them, cut.value[at : at + len(rows)])
                 other = q.uid[at + row] != uid[col]
                 row, vec, score = (np.concatenate(c) for c in zip(best[at], (row[other], ids[col[other]], score[other])))
                 order = np.lexsort((vec, -score, row))
