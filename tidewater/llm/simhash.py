@@ -412,7 +412,6 @@ def drop_near_copies(
     so that every link of a shard is checked or implied by checked ones. Texts of up to ``sketch``
     shingles are compared by their sketches, others by all their shingles.
     """
-    _row = free_name(docs, "_row")
     key = lambda: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key().alias("row"))
     marked = settle(_row_marks(rows, words, lanes, sketch))
@@ -435,9 +434,13 @@ def drop_near_copies(
     roots = connected(first.unionAll(hold(rest)))
     placed = nodes.select("node", "fp").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     grouped = marked.select("doc_id", "row", "fp").join(placed, "fp")
-    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row").alias(_row))
-    # rows repeated in full are alike: one of each leaves its task, so that no key is hot in the shuffle of texts
-    return docs.withColumn(_row, key()).dropDuplicates([_row]).join(best, _row, "left_semi").select(*docs.columns)
+    h, c = free_name(docs, "_h"), free_name(docs, "_c")
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row.h").alias(h), F.col("m.row.c").alias(c))
+    rows = docs.withColumns({h: key()["h"], c: key()["c"]})
+    if marked.groupBy("row").count().where("count > 1").head(1):
+        # rows repeated in full are alike: one of each leaves its task, so that no key is hot in the shuffle of texts
+        rows = rows.dropDuplicates([h, c])
+    return rows.join(best, [h, c], "left_semi").select(*docs.columns)
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col: str, words: int, similarity: float, k: int) -> DataFrame:
