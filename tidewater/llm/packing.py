@@ -43,7 +43,7 @@ class CachedEncoder:
     Texts with special strings or other characters than the usual go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -72,8 +72,9 @@ class CachedEncoder:
             own = (s[:-1], s[-1]) if s[-1] in ".,;:!?" and s[:-1].isalpha() else self.find(s)
             parts.append((s, own))
             fresh.update(own)
-        fresh = list(fresh.difference(known))
-        if fresh:
+        every = list(fresh.difference(known))
+        for at in range(0, len(every), 4096):  # an encoding holds far more than its ids
+            fresh = every[at : at + 4096]
             ids = np.array(self.split.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             raw = ids.tobytes()
@@ -121,7 +122,7 @@ class CachedEncoder:
 _encoders: dict[str, CachedEncoder] = {}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2_000_000) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 1_000_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: one row a piece of at most ``capacity`` ids.
 
     ``at_once``: characters that are encoded together, which bounds a task's memory.
