@@ -191,6 +191,27 @@ def test_forest_takes_the_closest_links_of_both_ends():
     assert sorted(zip(*(c.tolist() for c in out.shrink()))) == [(0, 2, 20), (1, 2, 30)]
 
 
+@pytest.mark.parametrize("k", [256, 64])
+def test_pairs_of_sketches_miss_no_similar_pair(k):
+    rng = random.Random(21)
+    sets = []
+    for _ in range(6):
+        centre = [rng.randrange(2**32) for _ in range(rng.randint(90, 200))]
+        for _ in range(25):
+            sets.append({x if rng.random() > rng.choice([0.02, 0.08, 0.12, 0.2]) else rng.randrange(2**32) for x in centre})
+    sketches = [np.array(sorted(x)[:k], "<u4").tobytes() for x in sets]
+    n = len(sets)
+    found = simhash.sketch_pairs(np.arange(n), sketches, k, 0.8)
+    near = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    if k == 256:  # whole sets: what is told is similar, and connects what is
+        assert all(sure and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 for i, j, sure in found)
+        assert brute_components(n, [(i, j) for i, j, _ in found]) == brute_components(n, near)
+    else:
+        assert not any(sure for *_, sure in found)
+        told = {(min(i, j), max(i, j)) for i, j, _ in found}
+        assert sum((min(p), max(p)) in told for p in near) >= 0.995 * len(near)
+
+
 def test_near_copies_equal_brute_force(spark):
     rng = random.Random(12)
     rows = []

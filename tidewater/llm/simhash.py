@@ -313,20 +313,69 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[list[tuple[int, int
     return dealt.groupBy("_g").applyInArrow(search, "a long, b long, d long, tree long")
 
 
-def _cross_pairs(members: DataFrame, width: int, r: int, shard_rows: int) -> DataFrame:
-    """``(a, b)``, a < b: all pairs of ``members(tree, node, fp, root)`` of one tree within ``r`` whose roots differ."""
-
-    def pairs(node: np.ndarray, x: np.ndarray, root: np.ndarray):
-        step = max(1, 250_000 // len(node))
-        for at in range(0, len(node) if (root != root[0]).any() else 0, step):
-            d = np.zeros((len(node[at : at + step]), len(node) - at), np.uint16)
-            for lane in range(x.shape[1]):
-                d += np.bitwise_count(x[at : at + step, lane][:, None] ^ x[at:, lane][None])
-            i, j = np.nonzero((d <= r) & (root[at : at + step][:, None] != root[at:][None]))
-            keep = i < j
-            a, b = node[at + i[keep]], node[at + j[keep]]
-            for k in range(0, len(a), 50_000):
-                yield pa.record_batch([pa.array(np.minimum(a, b)[k : k + 50_000]), pa.array(np.maximum(a, b)[k : k + 50_000])], names=["a", "b"])
+def sketch_pairs(label: np.ndarray, sketches: list[bytes], k: int, similarity: float) -> list[tuple[int, int, bool]]:
+    """``(i, j, sure)``: which sketches of different labels are, or may be, of similar texts.
+
+    Two sets of that similarity share one of the rarest of their hashes, as many as the rest of a set could lack
+    (prefix filter), so only such pairs are compared, not all of a dense group. Where a sketch is cut at ``k`` hashes
+    its share is an estimate: such pairs count as doubtful from four standard errors below on. Labels grow together
+    with every sure pair, and pairs of one label are left out.
+    """
+    n, sizes = len(sketches), np.array([len(s) // 4 for s in sketches])
+    cut = bool((sizes >= k).any())
+    values = np.frombuffer(b"".join(sketches), "<u4")
+    owner = np.repeat(np.arange(n), sizes)
+    _, token, spread = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.lexsort((token, spread[token], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # the hashes that two cut sketches share are two thirds of both at a similarity of 0.8, give or take 3 %
+    share = 0.69 * similarity if cut else similarity
+    kept = order[place < (sizes - np.ceil(share * sizes - 1e-9) + 1)[owner]]
+    token, owner = token[kept], owner[kept]
+    label = label.copy()
+    order = np.lexsort((label[owner], token))
+    token, owner = token[order], owner[order]
+    # partners: those after the last of one's own label under the same hash
+    fresh = np.concatenate([[True], token[1:] != token[:-1]])
+    other = fresh | np.concatenate([[True], label[owner[1:]] != label[owner[:-1]]])
+    ends = lambda first: np.append(np.flatnonzero(first)[1:], len(token))[np.cumsum(first) - 1]
+    lo, hi = ends(other), ends(fresh)
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    codes, at = np.empty(0, np.int64), 0
+    while at < len(token):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + 2_000_000, "right")) - 1)
+        left = np.repeat(np.arange(at, end), (hi - lo)[at:end])
+        right = lo[left] + np.arange(len(left)) - (total[left] - total[at])
+        i, j = owner[left], owner[right]
+        codes = np.union1d(codes, np.minimum(i, j) * n + np.maximum(i, j))
+        at = end
+    found = []
+    error = 4 * (similarity * (1 - similarity) / k) ** 0.5
+    for i, j in zip((codes // n).tolist(), (codes % n).tolist()):
+        if label[i] == label[j]:
+            continue
+        estimate = sizes[i] >= k or sizes[j] >= k
+        if resemblance(sketches[i], sketches[j], k) >= similarity - (error if estimate else 0.0):
+            found.append((i, j, not estimate))
+            if not estimate:
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _cross_pairs(members: DataFrame, k: int, similarity: float, shard_rows: int) -> DataFrame:
+    """``(a, b, sure)``, a < b: pairs of ``members(tree, node, root, sketch)`` of one tree and of different roots that are, or may be, similar.
+
+    A tree is part of a shard, so that it is never larger.
+    """
+
+    def whole(held: list[pa.Table]):
+        t = pa.concat_tables(held)
+        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
+        if (root != root[0]).any():
+            found = sketch_pairs(np.unique(root, return_inverse=True)[1], t.column("sketch").to_pylist(), k, similarity)
+            if found:
+                i, j, sure = (np.array(c) for c in zip(*found))
+                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(sure)], names=["a", "b", "sure"])
 
     def run(batches):
         held: list[pa.Table] = []
@@ -344,12 +393,8 @@ def _cross_pairs(members: DataFrame, width: int, r: int, shard_rows: int) -> Dat
         if held:
             yield from whole(held)
 
-    def whole(held: list[pa.Table]):
-        t = pa.concat_tables(held)
-        return pairs(t.column("node").to_numpy(), _lanes(t.column("fp"), width), t.column("root").to_numpy())
-
     tasks = max(1, -(-members.count() // shard_rows))
-    return members.select("tree", "node", "fp", "root").repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long").distinct()
+    return members.select("tree", "node", "root", "sketch").repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def connected(links: DataFrame, rounds: int = 50, hub: int = 1000) -> DataFrame:
@@ -409,8 +454,9 @@ def drop_near_copies(
     48; bands of 12 bits meet such a pair in one of 21 with a chance of 0.96, closer pairs with more.
     No link holds by its bits. First the links of a spanning forest of each shard are checked; what
     holds is merged, and in trees where one failed all pairs of different components are checked, too,
-    so that every link of a shard is checked or implied by checked ones. Texts of up to ``sketch``
-    shingles are compared by their sketches, others by all their shingles.
+    that share one of their rarest shingles, as similar ones must, so that every link of a shard is checked
+    or implied by checked ones. Texts of up to ``sketch`` shingles are compared by their sketches, others by
+    all their shingles.
     """
     key = lambda: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key().alias("row"))
@@ -428,10 +474,11 @@ def drop_near_copies(
     first = hold(found.select("a", "b").distinct())
     # a tree all of whose links hold is one component; the others are searched for what their failed links stood for
     broken = found.join(first, ["a", "b"], "left_anti").select("tree").distinct()
-    members = found.join(broken, "tree", "left_semi").select("tree", F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    members = settle(members.join(connected(first), "node", "left").select("tree", "node", "fp", F.coalesce("root", "node").alias("root")))
-    rest = _cross_pairs(members, 8 * lanes, radius, 16_384).join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    roots = connected(first.unionAll(hold(rest)))
+    members = found.join(broken, "tree", "left_semi").select("tree", F.explode(F.array("a", "b")).alias("node")).distinct()
+    members = members.join(connected(first), "node", "left").select("tree", "node", F.coalesce("root", "node").alias("root"))
+    rest = settle(_cross_pairs(settle(members.join(sketches.select("node", "sketch"), "node")), sketch, similarity, 16_384))
+    doubt = rest.where("not sure").select("a", "b").join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    roots = connected(first.unionAll(rest.where("sure").select("a", "b")).unionAll(hold(doubt)))
     placed = nodes.select("node", "fp").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
     grouped = marked.select("doc_id", "row", "fp").join(placed, "fp")
     h, c = free_name(docs, "_h"), free_name(docs, "_c")
@@ -443,6 +490,11 @@ def drop_near_copies(
     return rows.join(best, [h, c], "left_semi").select(*docs.columns)
 
 
+def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of short rows, to be broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col: str, words: int, similarity: float, k: int) -> DataFrame:
     """Those of ``pairs(a, b)`` that are similar: by ``sketches(node, row, sketch)`` where both are whole, else by all shingles."""
 
@@ -457,8 +509,8 @@ def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col
                 yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), words) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     pairs = settle(pairs)
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = settle(sketches.join(asked, "node", "left_semi"))
+    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    known = settle(sketches.join(_small(asked), "node", "left_semi"))
     whole = F.octet_length("sketch") < 4 * k
     long = known.where(~whole).select("node")
     ends = lambda t, value, name: t.select(F.col("node").alias(name), F.col(value).alias(f"_{name}"))
@@ -466,7 +518,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col
     by_sketch = pairs.join(ends(short, "sketch", "a"), "a").join(ends(short, "sketch", "b"), "b").where(same("_a", "_b")).select("a", "b")
     doubt = settle(pairs.join(long.withColumnRenamed("node", "a"), "a", "left_semi").unionAll(pairs.join(long.withColumnRenamed("node", "b"), "b", "left_semi")).distinct())
     wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node").select("node", F.col("row").alias("_row"))
-    texts = docs.select(key.alias("_row"), F.col(text_col).cast("string").alias("_text")).join(wanted, "_row").groupBy("node").agg(F.first("_text").alias("_text"))
+    texts = docs.select(key.alias("_row"), F.col(text_col).cast("string").alias("_text")).join(_small(settle(wanted)), "_row").groupBy("node").agg(F.first("_text").alias("_text"))
     sets_ = settle(texts.mapInArrow(sets, "node long, shingles array<long>"))
     both = doubt.join(ends(sets_, "shingles", "a"), "a").join(ends(sets_, "shingles", "b"), "b")
     both = both.withColumn("_i", F.size(F.array_intersect("_a", "_b")))
