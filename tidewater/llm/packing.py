@@ -43,7 +43,7 @@ class CachedEncoder:
     Texts with special strings or other characters than the usual go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -119,13 +119,13 @@ class CachedEncoder:
         return out
 
 
-_encoders: dict[str, CachedEncoder] = {}
+_encoders: dict[tuple[str, int], CachedEncoder] = {}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 1_000_000) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2_000_000, cache: int = 400_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: one row a piece of at most ``capacity`` ids.
 
-    ``at_once``: characters that are encoded together, which bounds a task's memory.
+    ``at_once``: characters that are encoded together, and ``cache``: strings whose ids are kept, which bound a task's memory.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
@@ -142,9 +142,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
         yield held
 
     def run(batches):
-        encoder = _encoders.get(tokenizer_path)
+        encoder = _encoders.get((tokenizer_path, cache))
         if encoder is None:
-            encoder = _encoders[tokenizer_path] = CachedEncoder(tokenizer_path)
+            encoder = _encoders[tokenizer_path, cache] = CachedEncoder(tokenizer_path, cache)
         for batch in batches:
             for held in portions(batch):
                 rows = []
@@ -222,12 +222,12 @@ def _packed(pieces: DataFrame, groups: int, salt: int, capacity: int) -> DataFra
     return dealt.groupBy("_g").applyInArrow(pack, out)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_pieces: int = 16_384, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, group_pieces: int = 16_384, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text", **encoding) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: one row a piece.
 
-    ``group_pieces`` pieces are packed in one task on average, whatever the number of rows.
+    ``group_pieces`` pieces are packed in one task on average, whatever the number of rows; ``encoding`` goes to :func:`tokenize_pieces`.
     """
-    pieces = settle(tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()))
+    pieces = settle(tokenize_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, **encoding).withColumn("rid", F.monotonically_increasing_id()))
     columns = ["rid", "doc_id", "piece", "start", "length", "ids_crc32"]
     histogram = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # one row a length, capacity at most

@@ -313,52 +313,52 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[list[tuple[int, int
     return dealt.groupBy("_g").applyInArrow(search, "a long, b long, d long, tree long")
 
 
-def sketch_pairs(label: np.ndarray, sketches: list[bytes], k: int, similarity: float) -> list[tuple[int, int, bool]]:
+def _common(token: np.ndarray, owner: np.ndarray, rows: range, n: int, width: int = 2048) -> np.ndarray:
+    """How many hashes each of ``rows`` shares with each of all ``n`` sets, by products of 0/1 matrices of ``width`` hashes at a time."""
+    out = np.zeros((len(rows), n), np.float32)
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+        lo, hi = np.searchsorted(token, [at, at + width])
+        them = np.zeros((n, width), np.float32)
+        them[owner[lo:hi], token[lo:hi] - at] = 1
+        out += them[rows.start : rows.stop] @ them.T
+    return out
+
+
+def sketch_pairs(label: np.ndarray, sketches: list[bytes], k: int, similarity: float, step: int = 512) -> list[tuple[int, int, bool]]:
     """``(i, j, sure)``: which sketches of different labels are, or may be, of similar texts.
 
-    Two sets of that similarity share one of the rarest of their hashes, as many as the rest of a set could lack
-    (prefix filter), so only such pairs are compared, not all of a dense group. Where a sketch is cut at ``k`` hashes
-    its share is an estimate: such pairs count as doubtful from four standard errors below on. Labels grow together
-    with every sure pair, and pairs of one label are left out.
+    What all sets share is counted ``step`` sets at a time. Where a sketch is cut at ``k`` hashes its
+    resemblance is an estimate: such pairs count as doubtful from four standard errors below on. Labels grow
+    together with every sure pair, and pairs of one label are left out.
     """
     n, sizes = len(sketches), np.array([len(s) // 4 for s in sketches])
     cut = bool((sizes >= k).any())
-    values = np.frombuffer(b"".join(sketches), "<u4")
     owner = np.repeat(np.arange(n), sizes)
-    _, token, spread = np.unique(values, return_inverse=True, return_counts=True)
-    order = np.lexsort((token, spread[token], owner))
-    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    # the hashes that two cut sketches share are two thirds of both at a similarity of 0.8, give or take 3 %
-    share = 0.69 * similarity if cut else similarity
-    kept = order[place < (sizes - np.ceil(share * sizes - 1e-9) + 1)[owner]]
-    token, owner = token[kept], owner[kept]
-    label = label.copy()
-    order = np.lexsort((label[owner], token))
+    _, token, spread = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True, return_counts=True)
+    # a hash of one set is shared by none; the others are numbered anew
+    number = np.cumsum(spread > 1) - 1
+    held = spread[token] > 1
+    token, owner = number[token[held]], owner[held]
+    order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
-    # partners: those after the last of one's own label under the same hash
-    fresh = np.concatenate([[True], token[1:] != token[:-1]])
-    other = fresh | np.concatenate([[True], label[owner[1:]] != label[owner[:-1]]])
-    ends = lambda first: np.append(np.flatnonzero(first)[1:], len(token))[np.cumsum(first) - 1]
-    lo, hi = ends(other), ends(fresh)
-    total = np.concatenate([[0], np.cumsum(hi - lo)])
-    codes, at = np.empty(0, np.int64), 0
-    while at < len(token):
-        end = max(at + 1, int(np.searchsorted(total, total[at] + 2_000_000, "right")) - 1)
-        left = np.repeat(np.arange(at, end), (hi - lo)[at:end])
-        right = lo[left] + np.arange(len(left)) - (total[left] - total[at])
-        i, j = owner[left], owner[right]
-        codes = np.union1d(codes, np.minimum(i, j) * n + np.maximum(i, j))
-        at = end
-    found = []
-    error = 4 * (similarity * (1 - similarity) / k) ** 0.5
-    for i, j in zip((codes // n).tolist(), (codes % n).tolist()):
-        if label[i] == label[j]:
-            continue
-        estimate = sizes[i] >= k or sizes[j] >= k
-        if resemblance(sketches[i], sketches[j], k) >= similarity - (error if estimate else 0.0):
-            found.append((i, j, not estimate))
-            if not estimate:
-                label[label == label[j]] = label[i]
+    # the hashes that two cut sketches share are two thirds of both at a similarity of 0.8, give or take 3 %
+    share, error = (0.69 * similarity if cut else similarity), 4 * (similarity * (1 - similarity) / k) ** 0.5
+    found, label = [], label.copy()
+    for at in range(0, n, step):
+        rows = range(at, min(n, at + step))
+        common = _common(token, owner, rows, n)
+        near = common >= share * (sizes[at : rows.stop, None] + sizes[None] - common) - 1e-3
+        near &= label[at : rows.stop, None] != label[None]
+        near &= np.arange(at, rows.stop)[:, None] > np.arange(n)[None]
+        for i, j in zip(*(c.tolist() for c in np.nonzero(near))):
+            i += at
+            if label[i] == label[j]:
+                continue
+            estimate = sizes[i] >= k or sizes[j] >= k
+            if resemblance(sketches[i], sketches[j], k) >= similarity - (error if estimate else 0.0):
+                found.append((i, j, not estimate))
+                if not estimate:
+                    label[label == label[j]] = label[i]
     return found
 
 
@@ -454,8 +454,7 @@ def drop_near_copies(
     48; bands of 12 bits meet such a pair in one of 21 with a chance of 0.96, closer pairs with more.
     No link holds by its bits. First the links of a spanning forest of each shard are checked; what
     holds is merged, and in trees where one failed all pairs of different components are checked, too,
-    that share one of their rarest shingles, as similar ones must, so that every link of a shard is checked
-    or implied by checked ones. Texts of up to ``sketch`` shingles are compared by their sketches, others by
+    so that every link of a shard is checked or implied by checked ones. Texts of up to ``sketch`` shingles are compared by their sketches, others by
     all their shingles.
     """
     key = lambda: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
