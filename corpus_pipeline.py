@@ -39,7 +39,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into sequences of 2048 tokens; a null or empty text is its end token, and repeated rows are packed each."""
-    return packing.pack_documents(docs, word_tokenizer())
+    return packing.pack_documents(docs, word_tokenizer(), at_once=500_000, cache=200_000)
 
 
 STAGES = [
