@@ -36,6 +36,16 @@ SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 _OTHER = re.compile("[^\x00-\x1b\x20-\u0557\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u23ff\u3000-\u33ff\u4e00-\u9fff\uac00-\ud7a3\uff01-\uff60]")
 
 
+def _usual(t: str) -> bool:
+    """Whether all characters are usual ones; those of Latin-1 are, but for four."""
+    try:
+        if not t.isascii():
+            t.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _OTHER.search(t)
+    return not any(x in t for x in "\x1c\x1d\x1e\x1f")
+
+
 class CachedEncoder:
     """Ids as little-endian bytes, by way of a bounded cache from white-space-free strings.
 
@@ -43,7 +53,7 @@ class CachedEncoder:
     Texts with special strings or other characters than the usual go to the tokenizer as they are.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -91,7 +101,7 @@ class CachedEncoder:
         out: list = [None] * len(texts)
         plain, lowered = [], []
         for i, t in enumerate(texts):
-            if "<|" in t and any(x in t for x in SPECIAL) or _OTHER.search(t):
+            if "<|" in t and any(x in t for x in SPECIAL) or not _usual(t):
                 out[i] = self.whole([t])[0]
                 continue
             if not t.isascii():
@@ -122,7 +132,7 @@ class CachedEncoder:
 _encoders: dict[tuple[str, int], CachedEncoder] = {}
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2_000_000, cache: int = 400_000) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", at_once: int = 2_000_000, cache: int = 600_000) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: one row a piece of at most ``capacity`` ids.
 
     ``at_once``: characters that are encoded together, and ``cache``: strings whose ids are kept, which bound a task's memory.
