@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, secrets, sharding, simhash, substrings, topk, urls
+from . import decontaminate, html_text, packing, quality, secrets, sharding, simhash, substrings, topk, urls, word_queries
 from .shared import table
 
 
@@ -175,8 +175,9 @@ def queries():
         "op8_url_filter": op8_url_filter,
         "op9_topk": op9_topk,
         "op10_packing": op10_packing,
+        **word_queries.QUERIES,
     }
 
 
 def oracle_sql():
-    return {"op2_sharding": OP2_SQL, "op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL}
+    return {"op2_sharding": OP2_SQL, "op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL, **word_queries.SQL}
