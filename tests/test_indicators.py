@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewater.functions import indicators as ind
 
@@ -127,3 +128,78 @@ def test_bounds(spark, close):
         assert r["rsi"] is None or -1e-6 <= r["rsi"] <= 100 + 1e-6
         assert r["ema9"] is None or min(close) - 1e-6 <= r["ema9"] <= max(close) + 1e-6
         assert r["entry_high"] is None or r["entry_high"] >= r["exit_low"]
+
+
+def test_average_longer_than_all_chunks(spark):
+    n, length = 100_000, 120_000
+    close = 50 + np.abs(np.cumsum(np.random.default_rng(3).normal(size=length)))
+    rows = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=length, freq="min"), "close": close}))
+    got = ind.enrich(rows, ind.ema(n, into="x")).select("rn", "x").toPandas().sort_values("rn")["x"].to_numpy(float)
+    a, want = 2 / (n + 1), np.full(length, np.nan)
+    want[n - 1] = close[:n].mean()
+    for i in range(n, length):
+        want[i] = a * close[i] + (1 - a) * want[i - 1]
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 64])
+def test_sliding_windows(n):
+    x = np.random.default_rng(n).normal(size=50)
+    x[[3, 17, 18]] = np.nan
+    for op, nothing, direct_op in ((np.add, 0.0, np.nansum), (np.maximum, -np.inf, lambda v: np.nanmax(v, initial=-np.inf))):
+        want = [direct_op(x[max(0, i - n + 1) : i + 1]) for i in range(50)]
+        np.testing.assert_allclose(ind.sliding(op, x, n, nothing), want, atol=1e-12)
+
+
+def test_composed_maps():
+    rng = np.random.default_rng(1)
+    a, b, s, want = rng.uniform(0, 1, 77), rng.normal(size=77), 3.0, []
+    for p, q in zip(a, b):
+        s = p * s + q
+        want.append(s)
+    p, q = ind.composed(a, b)
+    np.testing.assert_allclose(p * 3.0 + q, want, rtol=1e-12)
+
+
+def test_scans_over_scans_and_windows_over_scans(spark):
+    close = 50 + np.abs(np.cumsum(np.random.default_rng(9).normal(size=700)))
+    got = ind.enrich(frame(spark, close), ind.ema(9), ind.sma(30, "ema9", into="mean"), ind.lagged("ema9", 40, into="far"), ind.adx(), chunk=150)
+    e = pd.Series(direct(close)["ema9"])
+    np.testing.assert_allclose(values(got, "far"), e.shift(40), rtol=1e-9)
+    np.testing.assert_allclose(values(got, "mean")[60:], e.rolling(30).mean()[60:], rtol=1e-9)
+    np.testing.assert_allclose(values(got, "adx"), direct(close)["adx"], rtol=1e-9)
+
+
+def test_columns_of_the_user_and_rows_without_a_place(spark):
+    rows = frame(spark, range(10, 60)).selectExpr("*", "'mine' as _own", "array(1) as _rows", "map('a', 1) as m", "7 as _z")
+    odd = rows.limit(1).selectExpr("cast(null as string) as symbol", "ts", "open", "high", "low", "close", "_own", "_rows", "m", "_z")
+    odd = odd.unionByName(rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz")))
+    got = ind.enrich(rows.unionByName(odd), ind.sma(5), ind.crossings("close", "sma5"), chunk=8)
+    assert got.columns == [*rows.columns, "rn", "sma5", "bull_cross", "bear_cross"]
+    assert {(r["_own"], tuple(r["_rows"]), r["m"]["a"], r["_z"]) for r in got.collect()} == {("mine", (1,), 1, 7)} and got.count() == 50
+
+
+def test_missing_prices_count_nothing(spark):
+    close = [float(v) for v in range(1, 41)]
+    close[10] = close[25] = float("nan")
+    rows = frame(spark, close)
+    rows = rows.withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+    got = ind.enrich(rows, ind.sma(3), ind.ema(3), chunk=7)
+    s = pd.Series(close)
+    np.testing.assert_allclose(values(got, "sma3"), s.rolling(3, min_periods=1).mean().where(np.arange(40) >= 2))
+    total = weight = 0.0
+    want = []
+    for i, v in enumerate(close):
+        keep, w = (1.0, 1.0) if i < 3 else (0.5, 1.5)
+        held = v == v
+        total, weight = keep * total + (w * v if held else 0), keep * weight + (w if held else 0)
+        want.append(total / weight if i >= 2 else np.nan)
+    np.testing.assert_allclose(values(got, "ema3"), want, rtol=1e-12)
+
+
+def test_few_sorts(spark):
+    """One to number the rows, one for each fold; the rows themselves are exchanged once for all passes."""
+    rows = ind.enrich(frame(spark, range(50)), ind.adx())
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") <= 3 and plan.count("ReusedExchange") >= 2, plan

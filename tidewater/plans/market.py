@@ -15,7 +15,7 @@ R = 4
 
 def _r(df, *cols):
     """Rounded for comparison; means of 200 prices in cents have ties at four places, so they keep six."""
-    return df.withColumns({c: F.round(c, 6 if c == "sma200" else R) for c in cols})
+    return df.withColumns({c: F.round(c, 6 if c in ("sma200", "ema200", "ema500") else R) for c in cols})
 
 
 def _bars(width):
@@ -76,6 +76,16 @@ def ema_200(s, d):
     return _r(ind.enrich(fixtures.bars(s, d), ind.ema(200)).select("symbol", "ts", "ema200"), "ema200")
 
 
+def ema_500(s, d):
+    return _r(ind.enrich(fixtures.bars(s, d), ind.ema(500), chunk=64).select("symbol", "ts", "ema500"), "ema500")
+
+
+def channel_400(s, d):
+    """Windows of many chunks: mean and extremes of the last 400 hours."""
+    rows = ind.enrich(fixtures.bars(s, d), ind.sma(400), ind.donchian(400, 300))
+    return rows.select("symbol", "ts", F.round("sma400", 6).alias("sma400"), "entry_high", "exit_low")
+
+
 def rsi_2(s, d):
     return _r(ind.enrich(fixtures.bars(s, d), ind.rsi(2, into="rsi2")).select("symbol", "ts", "rsi2"), "rsi2")
 
@@ -148,7 +158,7 @@ def grid_inventory(s, d):
 QUERIES = {
     "bars_hourly": _bars("1 hour"), "bars_daily": _bars("1 day"), "bars_15m": _bars("15 minutes"), "latest_trade": latest_trade, "latest_bar": latest_bar, "history": history,
     "history_eastern": history_eastern, "finished_bars": finished_bars, "sma": sma, "donchian": donchian, "returns": returns, "sector_hot": sector_hot, "sector_targets": sector_targets,
-    "ema": ema, "rsi": rsi, "adx": adx, "ema_200": ema_200, "rsi_2": rsi_2, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals,
+    "ema": ema, "rsi": rsi, "adx": adx, "ema_200": ema_200, "ema_500": ema_500, "channel_400": channel_400, "rsi_2": rsi_2, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals,
     "survivor_signals": survivor_signals, "breakout_signals": breakout_signals, "position_sizing": position_sizing, "market_open": market_open, "grid_zones": grid_zones, "grid_signals": grid_signals, "grid_inventory": grid_inventory,
 }
 
@@ -217,7 +227,11 @@ SQL = {
     "sector_targets": f"{_MOVES} SELECT DISTINCT s AS symbol FROM (VALUES ('click', 'AAA'), ('click', 'BBB'), ('view', 'BBB'), ('view', 'CCC'), ('purchase', 'DDD')) AS v(k, s) JOIN lm ON lm.symbol = k WHERE abs(move) >= 0.02 UNION SELECT * FROM (VALUES ('SPY'), ('QQQ'), ('IWM')) AS b(symbol)",
     "ema": f"{ROWS}, {_ema_sql(9)}, {_ema_sql(21)} SELECT symbol, ts, round(e9.x, 4) AS ema9, round(e21.x, 4) AS ema21 FROM rws LEFT JOIN e9 USING (symbol, rn) LEFT JOIN e21 USING (symbol, rn)",
     "rsi": f"{ROWS}, {_RSI} SELECT symbol, ts, round(rsi, 4) AS rsi FROM rws LEFT JOIN rsi USING (symbol, rn)",
-    "ema_200": f"{ROWS}, {_ema_sql(200)} SELECT symbol, ts, round(e200.x, 4) AS ema200 FROM rws LEFT JOIN e200 USING (symbol, rn)",
+    "ema_200": f"{ROWS}, {_ema_sql(200)} SELECT symbol, ts, round(e200.x, 6) AS ema200 FROM rws LEFT JOIN e200 USING (symbol, rn)",
+    "ema_500": f"{ROWS}, {_ema_sql(500)} SELECT symbol, ts, round(e500.x, 6) AS ema500 FROM rws LEFT JOIN e500 USING (symbol, rn)",
+    "channel_400": f"""WITH {bars_sql('1 hour')} SELECT symbol, ts, CASE WHEN row_number() OVER w >= 400 THEN round(avg(close) OVER (w ROWS BETWEEN 399 PRECEDING AND CURRENT ROW), 6) END AS sma400,
+  CASE WHEN row_number() OVER w > 400 THEN max(high) OVER (w ROWS BETWEEN 400 PRECEDING AND 1 PRECEDING) END AS entry_high,
+  CASE WHEN row_number() OVER w > 400 THEN min(low) OVER (w ROWS BETWEEN 300 PRECEDING AND 1 PRECEDING) END AS exit_low FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
     "rsi_2": f"{ROWS}, {_rsi_sql(2)} SELECT symbol, ts, round(rsi, 4) AS rsi2 FROM rws LEFT JOIN rsi USING (symbol, rn)",
     "adx": f"{ROWS}, {_ADX} SELECT symbol, ts, round(adx, 4) AS adx FROM rws LEFT JOIN adx USING (symbol, rn)",
     "ema_cross": f"{_CROSS} SELECT symbol, ts, bull_cross, bear_cross FROM c",
