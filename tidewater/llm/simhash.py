@@ -40,8 +40,22 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def fingerprint(text: str | None, words: int = 4, lanes: int = 1, seed: int = 42) -> bytes:
-    """Majority bits over the hashes of ``words``-word shingles; 8 bytes a lane, lane i hashed with ``seed + i``."""
-    return fingerprint_and_sketch(text, words, lanes, seed)[0]
+    """Majority bits over the hashes of ``words``-word shingles; 8 bytes a lane, the lanes after the first by mixing its hashes."""
+    from xxhash import xxh64_intdigest
+
+    shingles = _shingles(text, words)
+    if not shingles:
+        return bytes(8 * lanes)
+    h, out = np.array([xxh64_intdigest(s, seed) for s in shingles], np.uint64), b""
+    for lane in range(lanes):
+        if lane:
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        raw = h.astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones = sum(np.unpackbits(raw[at : at + 65536], axis=1).sum(0, dtype=np.int64) for at in range(0, len(raw), 65536))
+        out += np.packbits(2 * ones > len(shingles)).tobytes()
+    return out
 
 
 def _shingles(text: str | None, words: int) -> list[bytes]:
@@ -53,43 +67,6 @@ def _shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
 
 
-def shingle_set(text: str | None, words: int, seed: int = 42) -> np.ndarray:
-    """The different 64-bit hashes of all shingles."""
-    from xxhash import xxh64_intdigest
-
-    return np.unique(np.array([xxh64_intdigest(s, seed) for s in _shingles(text, words)], np.uint64)).view(np.int64)
-
-
-def fingerprint_and_sketch(text: str | None, words: int, lanes: int, seed: int = 42, k: int = 0) -> tuple[bytes, bytes]:
-    """The fingerprint, and the ``k`` smallest different shingle hashes: all of them for texts of up to k shingles."""
-    from xxhash import xxh64_intdigest
-
-    shingles = _shingles(text, words)
-    if not shingles:
-        return bytes(8 * lanes), b""
-    half, out, sketch = len(shingles), b"", b""
-    for lane in range(lanes):
-        h = np.array([xxh64_intdigest(s, seed + lane) for s in shingles], ">u8")
-        if k and not lane:
-            sketch = np.unique((h.astype(np.uint64) >> np.uint64(32)).astype("<u4"))[:k].tobytes()
-        h = h.view(np.uint8).reshape(-1, 8)
-        ones = sum(np.unpackbits(h[at : at + 65536], axis=1).sum(0, dtype=np.int64) for at in range(0, len(h), 65536))
-        out += np.packbits(2 * ones > half).tobytes()
-    return out, sketch
-
-
-def resemblance(a: bytes, b: bytes, k: int) -> float:
-    """Jaccard similarity from two sketches of the ``k`` smallest hashes; exact if both texts have up to k shingles.
-
-    Among the k smallest hashes of the union, the share that both hold; its error is sqrt(j (1 - j) / k).
-    """
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    either = np.union1d(x, y)
-    if len(x) == k or len(y) == k:
-        either = either[:k]
-    return float(np.isin(either, np.intersect1d(x, y)).mean()) if len(either) else 1.0
-
-
 def with_fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp binary)`` for every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary())])
@@ -292,7 +269,7 @@ def _refine(members: DataFrame, width: int, r: int, most: int, levels: int = 10)
 
 
 def _links(nodes: DataFrame, width: int, r: int, bands: list[list[tuple[int, int]]], most: int, shard_rows: int, close: int | None = None) -> DataFrame:
-    """A spanning forest of the closest links found in every shard: ``(a, b, d, tree)``, d the distance."""
+    """A spanning forest of the closest links found in every shard: ``(a, b)``."""
     members = settle(nodes.mapInArrow(_shard_keys(width, bands), "key long, node long, fp binary"))
     total = members.count()
     members = _refine(members, width, r, most)
@@ -306,96 +283,11 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[list[tuple[int, int
         for rows in np.split(np.arange(len(key)), np.flatnonzero(np.diff(key)) + 1):
             if len(rows) > 1:
                 vp_pairs(x, rows, r, out, close)
-        a, b, d = out.shrink()
-        root = _forest(len(key), a, b)[a]
-        return pa.table({"a": node[a], "b": node[b], "d": d, "tree": node[root] ^ (key[root] * np.int64(0x5851F42D4C957F2D))})
+        a, b, _ = out.shrink()
+        return pa.table({"a": node[a], "b": node[b]})
 
     dealt = members.withColumn("_g", F.pmod(F.xxhash64("key"), F.lit(tasks)))
-    return dealt.groupBy("_g").applyInArrow(search, "a long, b long, d long, tree long")
-
-
-def _common(token: np.ndarray, owner: np.ndarray, rows: range, n: int, width: int = 2048) -> np.ndarray:
-    """How many hashes each of ``rows`` shares with each of all ``n`` sets, by products of 0/1 matrices of ``width`` hashes at a time."""
-    out = np.zeros((len(rows), n), np.float32)
-    for at in range(0, int(token[-1]) + 1 if len(token) else 0, width):
-        lo, hi = np.searchsorted(token, [at, at + width])
-        them = np.zeros((n, width), np.float32)
-        them[owner[lo:hi], token[lo:hi] - at] = 1
-        out += them[rows.start : rows.stop] @ them.T
-    return out
-
-
-def sketch_pairs(label: np.ndarray, sketches: list[bytes], k: int, similarity: float, step: int = 512) -> list[tuple[int, int, bool]]:
-    """``(i, j, sure)``: which sketches of different labels are, or may be, of similar texts.
-
-    What all sets share is counted ``step`` sets at a time. Where a sketch is cut at ``k`` hashes its
-    resemblance is an estimate: such pairs count as doubtful from four standard errors below on. Labels grow
-    together with every sure pair, and pairs of one label are left out.
-    """
-    n, sizes = len(sketches), np.array([len(s) // 4 for s in sketches])
-    cut = bool((sizes >= k).any())
-    owner = np.repeat(np.arange(n), sizes)
-    _, token, spread = np.unique(np.frombuffer(b"".join(sketches), "<u4"), return_inverse=True, return_counts=True)
-    # a hash of one set is shared by none; the others are numbered anew
-    number = np.cumsum(spread > 1) - 1
-    held = spread[token] > 1
-    token, owner = number[token[held]], owner[held]
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    # the hashes that two cut sketches share are two thirds of both at a similarity of 0.8, give or take 3 %
-    share, error = (0.69 * similarity if cut else similarity), 4 * (similarity * (1 - similarity) / k) ** 0.5
-    found, label = [], label.copy()
-    for at in range(0, n, step):
-        rows = range(at, min(n, at + step))
-        common = _common(token, owner, rows, n)
-        near = common >= share * (sizes[at : rows.stop, None] + sizes[None] - common) - 1e-3
-        near &= label[at : rows.stop, None] != label[None]
-        near &= np.arange(at, rows.stop)[:, None] > np.arange(n)[None]
-        for i, j in zip(*(c.tolist() for c in np.nonzero(near))):
-            i += at
-            if label[i] == label[j]:
-                continue
-            estimate = sizes[i] >= k or sizes[j] >= k
-            if resemblance(sketches[i], sketches[j], k) >= similarity - (error if estimate else 0.0):
-                found.append((i, j, not estimate))
-                if not estimate:
-                    label[label == label[j]] = label[i]
-    return found
-
-
-def _cross_pairs(members: DataFrame, k: int, similarity: float, shard_rows: int) -> DataFrame:
-    """``(a, b, sure)``, a < b: pairs of ``members(tree, node, root, sketch)`` of one tree and of different roots that are, or may be, similar.
-
-    A tree is part of a shard, so that it is never larger.
-    """
-
-    def whole(held: list[pa.Table]):
-        t = pa.concat_tables(held)
-        node, root = t.column("node").to_numpy(), t.column("root").to_numpy()
-        if (root != root[0]).any():
-            found = sketch_pairs(np.unique(root, return_inverse=True)[1], t.column("sketch").to_pylist(), k, similarity)
-            if found:
-                i, j, sure = (np.array(c) for c in zip(*found))
-                yield pa.record_batch([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(sure)], names=["a", "b", "sure"])
-
-    def run(batches):
-        held: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            cuts = [0, *(np.flatnonzero(np.diff(t.column("tree").to_numpy())) + 1).tolist(), t.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                part = t.slice(a, b - a)
-                if held and held[0].column("tree")[0] != part.column("tree")[0]:
-                    yield from whole(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from whole(held)
-
-    tasks = max(1, -(-members.count() // shard_rows))
-    return members.select("tree", "node", "root", "sketch").repartition(tasks, "tree").sortWithinPartitions("tree").mapInArrow(run, "a long, b long, sure boolean").distinct()
+    return dealt.groupBy("_g").applyInArrow(search, "a long, b long")
 
 
 def group_documents(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, most_cell: int = 128, most_rows: int = 8192, shard_rows: int = 16_384, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,97 +309,54 @@ def group_documents(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int
     return join_hot(marked, known, "fp", "copies", total or 0, least=hot_rows).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def wide_bands(bits: int, bands: int, width: int) -> list[list[tuple[int, int]]]:
+    """``bands`` spans of ``width`` bits each, dealt evenly over a ring of ``bits``."""
+    out = []
+    for k in range(bands):
+        lo = k * bits // bands
+        out.append([(lo, min(bits, lo + width)), *([(0, lo + width - bits)] if lo + width > bits else [])])
+    return out
+
+
 def drop_near_copies(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 48, close: int = 26, bands: int = 21, band_bits: int = 12, sketch: int = 256, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, lanes: int = 4, radius: int = 54, close: int = 26, bands: int = 32, band_bits: int = 12, most_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row of each group stays, that of the smallest id (and, among rows of one id, the smallest hash).
 
-    Near means a similarity of ``similarity`` or more on ``words``-word shingles. At a resemblance of
-    0.8 the angle between two texts makes 15 % of 256 bits differ, 38 give or take 6, so links reach to
-    48; bands of 12 bits meet such a pair in one of 21 with a chance of 0.96, closer pairs with more.
-    No link holds by its bits. First the links of a spanning forest of each shard are checked; what
-    holds is merged, and in trees where one failed all pairs of different components are checked, too,
-    so that every link of a shard is checked or implied by checked ones. Texts of up to ``sketch`` shingles are compared by their sketches, others by
-    all their shingles.
+    Near means a similarity of ``percent`` or more in a hundred on ``words``-word shingles. At 0.8 the angle
+    between two texts makes 15 % of 256 bits differ, 38 give or take 6, so links reach to 54; one of 32 bands of
+    12 bits is met by such a pair with a chance of 0.99, by closer pairs with more. No link holds by its bits:
+    links are candidates, and all texts that they connect are compared by their full sets of shingles
+    (:mod:`.setjoin`), so that a candidate that fails loses none of the pairs it stood for.
     """
-    key = lambda: F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key().alias("row"))
-    marked = settle(_row_marks(rows, words, lanes, sketch))
-    cuts = np.linspace(0, 64 * lanes, bands + 1).astype(int)
-    spans = [[(int(a), int(min(b, a + band_bits)))] for a, b in zip(cuts, cuts[1:])]
-    nodes = settle(marked.select("fp").distinct().withColumn("node", F.xxhash64("fp")))
-    sketches = settle(marked.groupBy(F.xxhash64("fp").alias("node")).agg(F.min(F.struct("row", "sketch")).alias("m")).select("node", "m.row", "m.sketch"))
-
-    def hold(pairs: DataFrame) -> DataFrame:
-        return settle(_alike(pairs, sketches, docs, key(), text_col, words, similarity, sketch))
-
-    found = _links(nodes.select("node", "fp"), 8 * lanes, radius, spans, 8192, 16_384, close)
-    found = settle(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree"))
-    first = hold(found.select("a", "b").distinct())
-    # a tree all of whose links hold is one component; the others are searched for what their failed links stood for
-    broken = found.join(first, ["a", "b"], "left_anti").select("tree").distinct()
-    members = found.join(broken, "tree", "left_semi").select("tree", F.explode(F.array("a", "b")).alias("node")).distinct()
-    members = members.join(connected(first), "node", "left").select("tree", "node", F.coalesce("root", "node").alias("root"))
-    rest = settle(_cross_pairs(settle(members.join(sketches.select("node", "sketch"), "node")), sketch, similarity, 16_384))
-    doubt = rest.where("not sure").select("a", "b").join(found.select("a", "b").distinct(), ["a", "b"], "left_anti")
-    roots = connected(first.unionAll(rest.where("sure").select("a", "b")).unionAll(hold(doubt)))
-    placed = nodes.select("node", "fp").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
-    grouped = marked.select("doc_id", "row", "fp").join(placed, "fp")
+    from .setjoin import confirm
+
+    key = F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("c"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("row"))
+    marked = settle(_row_marks(rows, words, lanes))
+    nodes = settle(marked.groupBy("fp").agg(F.min("row").alias("row")).withColumn("node", F.monotonically_increasing_id()))
+    found = _links(nodes.select("node", "fp"), 8 * lanes, radius, wide_bands(64 * lanes, bands, band_bits), 8192, 16_384, close)
+    links = confirm(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), nodes.select("node", "row"), docs, key, text_col, words, percent, most_tokens)
+    placed = nodes.select("node", "fp").join(connected(links), "node", "left").select("fp", F.coalesce("root", "node").alias("component"))
+    grouped = marked.join(placed, "fp")
     h, c = free_name(docs, "_h"), free_name(docs, "_c")
     best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("m")).select(F.col("m.row.h").alias(h), F.col("m.row.c").alias(c))
-    rows = docs.withColumns({h: key()["h"], c: key()["c"]})
+    rows = docs.withColumns({h: key["h"], c: key["c"]})
     if marked.groupBy("row").count().where("count > 1").head(1):
         # rows repeated in full are alike: one of each leaves its task, so that no key is hot in the shuffle of texts
         rows = rows.dropDuplicates([h, c])
     return rows.join(best, [h, c], "left_semi").select(*docs.columns)
 
 
-def _small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A written table of short rows, to be broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _alike(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, key, text_col: str, words: int, similarity: float, k: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that are similar: by ``sketches(node, row, sketch)`` where both are whole, else by all shingles."""
-
-    @F.pandas_udf("boolean")
-    def same(x, y):
-        return x.combine(y, lambda p, q: resemblance(p, q, k) >= similarity).astype(bool)
-
-    def sets(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                yield pa.record_batch([part.column(0), pa.array([shingle_set(t.as_py(), words) for t in part.column(1)], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    pairs = settle(pairs)
-    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    known = settle(sketches.join(_small(asked), "node", "left_semi"))
-    whole = F.octet_length("sketch") < 4 * k
-    long = known.where(~whole).select("node")
-    ends = lambda t, value, name: t.select(F.col("node").alias(name), F.col(value).alias(f"_{name}"))
-    short = known.where(whole)
-    by_sketch = pairs.join(ends(short, "sketch", "a"), "a").join(ends(short, "sketch", "b"), "b").where(same("_a", "_b")).select("a", "b")
-    doubt = settle(pairs.join(long.withColumnRenamed("node", "a"), "a", "left_semi").unionAll(pairs.join(long.withColumnRenamed("node", "b"), "b", "left_semi")).distinct())
-    wanted = doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node").select("node", F.col("row").alias("_row"))
-    texts = docs.select(key.alias("_row"), F.col(text_col).cast("string").alias("_text")).join(_small(settle(wanted)), "_row").groupBy("node").agg(F.first("_text").alias("_text"))
-    sets_ = settle(texts.mapInArrow(sets, "node long, shingles array<long>"))
-    both = doubt.join(ends(sets_, "shingles", "a"), "a").join(ends(sets_, "shingles", "b"), "b")
-    both = both.withColumn("_i", F.size(F.array_intersect("_a", "_b")))
-    by_sets = both.where(F.col("_i") / (F.size("_a") + F.size("_b") - F.col("_i")) >= similarity).select("a", "b")
-    return by_sketch.unionAll(by_sets)
-
-
-def _row_marks(rows: DataFrame, words: int, lanes: int, sketch: int) -> DataFrame:
-    """``(doc_id, row, fp, sketch)`` from ``(doc_id, text, row struct<h, c>)``."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("fp", pa.binary()), ("sketch", pa.binary())])
+def _row_marks(rows: DataFrame, words: int, lanes: int) -> DataFrame:
+    """``(doc_id, row, fp)`` from ``(doc_id, text, row struct<h, c>)``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("c", pa.int64()), ("fp", pa.binary())])
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                found = [fingerprint_and_sketch(t.as_py(), words, lanes, k=sketch) for t in part.column(1)]
-                yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array([f for f, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], schema=schema)
+                yield pa.record_batch([part.column(0), part.column(2), part.column(3), pa.array([fingerprint(t.as_py(), words, lanes) for t in part.column(1)], pa.binary())], schema=schema)
 
-    flat = rows.select("doc_id", "text", "row.h", "row.c").mapInArrow(run, "doc_id long, h long, c long, fp binary, sketch binary")
-    return flat.select("doc_id", F.struct("h", "c").alias("row"), "fp", "sketch")
+    flat = rows.select("doc_id", "text", "row.h", "row.c").mapInArrow(run, "doc_id long, h long, c long, fp binary")
+    return flat.select("doc_id", F.struct("h", "c").alias("row"), "fp")
