@@ -6,7 +6,7 @@ from conftest import DATA, rows_of
 from tidewater.plans import ledger, market, streams
 
 QUERIES = {**market.QUERIES, **ledger.QUERIES, **streams.QUERIES}
-SQL = {**market.SQL, **ledger.SQL, "stream_grid": market.SQL["grid_inventory"], "stream_bars": market.SQL["bars_hourly"]}
+SQL = {**market.SQL, **ledger.SQL, **streams.SQL}
 
 
 def test_every_query_has_sql():

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import rules
 
 
-def realized_pnl(trades: DataFrame) -> DataFrame:
-    """``(bot, realized_pl)``: sold value less average cost of what was sold, per log.
+def log_pnl(trades: DataFrame) -> DataFrame:
+    """``(bot_type, pl)``: sold value less average cost of what was sold, per log.
 
-    0 unless something was bought and something sold. Logs without quantities have 0. Where several
-    logs belong to one bot, the last by name counts.
+    0 unless something was bought and something sold. Logs without quantities have 0.
     """
     value = F.col("price") * F.col("qty")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
@@ -21,7 +20,17 @@ def realized_pnl(trades: DataFrame) -> DataFrame:
         zero(F.when(buy, value)).alias("bv"), zero(F.when(sell, value)).alias("sv"), zero(F.when(buy, F.col("qty"))).alias("b"), zero(F.when(sell, F.col("qty"))).alias("s")
     )
     pl = F.when((F.col("b") > 0) & (F.col("s") > 0), F.col("sv") - F.try_divide("bv", "b") * F.col("s")).otherwise(0.0)
-    return s.select(rules.log_bot(F.col("bot_type")).alias("bot"), "bot_type", pl.alias("pl")).groupBy("bot").agg(F.max_by("pl", "bot_type").alias("realized_pl"))
+    return s.select("bot_type", pl.alias("pl"))
+
+
+def bot_pnl(logs: DataFrame) -> DataFrame:
+    """``(bot, realized_pl)`` from :func:`log_pnl`; where several logs belong to one bot, the last by name counts."""
+    return logs.select(rules.log_bot(F.col("bot_type")).alias("bot"), "bot_type", "pl").groupBy("bot").agg(F.max_by("pl", "bot_type").alias("realized_pl"))
+
+
+def realized_pnl(trades: DataFrame) -> DataFrame:
+    """``(bot, realized_pl)`` of all trades."""
+    return bot_pnl(log_pnl(trades))
 
 
 def attribute(positions: DataFrame, owners=rules.REPORT_OWNERS) -> DataFrame:

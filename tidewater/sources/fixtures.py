@@ -54,7 +54,11 @@ def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """One trade log each; options logs have no quantity."""
-    line = table(spark, sf_dir, "lineitem")
+    return split_logs(table(spark, sf_dir, "lineitem"))
+
+
+def split_logs(line: DataFrame) -> dict[str, DataFrame]:
+    """The logs that a table, or a stream, of order lines stands for."""
     action = F.when(F.col("l_returnflag") == "A", "buy").when(F.col("l_returnflag") == "N", "Grid_SELL").otherwise("startup")
     base = [F.col("l_shipdate").alias("time"), F.concat(F.lit("SYM"), (F.col("l_suppkey") % 10).cast("string")).alias("symbol"), action.alias("action"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")]
     out = {}
