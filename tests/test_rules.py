@@ -238,3 +238,91 @@ def test_history_takes_latest_or_earliest(spark):
     bars = spark.createDataFrame([("A", dt.datetime(2024, 1, d), 1.0, 1.0, 1.0, float(d)) for d in range(1, 6)], schemas.BARS)
     assert sorted(r["close"] for r in scans.history(bars, limit=2).collect()) == [4, 5]
     assert sorted(r["close"] for r in scans.history(bars, limit=2, take="earliest").collect()) == [1, 2]
+
+
+def test_prefixes_meet_by_equality(spark):
+    from tidewater.operators.lookups import prefix_join
+
+    rows = spark.createDataFrame([(1, "FNGU24"), (2, "F24"), (3, "XYZ"), (4, None), (5, ""), (6, "FN")], "k int, symbol string")
+    listed = spark.createDataFrame([("F",), ("FNGU",), ("FN",), ("",), (None,), ("FNGU240000",)], "ticker string")
+    out = prefix_join(rows, listed, "symbol", "ticker")
+    assert sorted((r["k"], r["ticker"]) for r in out.collect()) == [(1, "F"), (1, "FN"), (1, "FNGU"), (2, "F"), (6, "F"), (6, "FN")]
+    long = spark.range(1_000_000).select(F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("ticker"))
+    held = spark.createDataFrame([("T0000007PUT", "US_OPTION", 1), ("T0999999", "US_EQUITY", 2), ("T9", "US_OPTION", 3), ("Z", "CRYPTO", 4)], "symbol string, asset_class string, ordinal int")
+    out = ledger.attribute_listed(held, long.select("ticker", F.lit("wheel_bot").alias("bot"), F.monotonically_increasing_id().alias("ordinal")))
+    assert {r["ordinal"]: r["owner"] for r in out.collect()} == {1: "wheel_bot", 2: "wheel_bot", 3: "condor_bot", 4: "crypto_grid"}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_owners_of_lists_equal_the_rule(spark):
+    symbols = ["TQQQ", "DIS", "F", "FOO", "NVDA", "DIS24P", "F24P", "TSLA24P", "ZZ24P", "BTCUSD", "COIN", "PLTR1"]
+    rows = spark.createDataFrame([(s, k) for s in symbols for k in ("CRYPTO", "US_OPTION", "US_EQUITY")], "symbol string, asset_class string")
+    out = ledger.attribute_listed(rows, ledger.listed_owners(spark)).withColumn("want", rules.owner(F.col("symbol"), F.col("asset_class")))
+    assert out.count() == len(symbols) * 3 and not out.where("owner <> want").collect()
+
+
+def test_nearest_values(spark):
+    import random
+
+    from tidewater.operators.lookups import nearest
+
+    rng = random.Random(2)
+    values = [(rng.choice("ab"), rng.choice([1.0, 2.0, 2.5, 4.0, 7.0]), rng.randrange(9)) for _ in range(40)] + [("a", None, 0), ("c", 1.0, 1)]
+    targets = [(rng.choice("abd"), rng.choice([0.0, 1.0, 1.5, 2.25, 3.0, 5.5, 9.0]), i) for i in range(30)] + [("a", None, 99)]
+    got = nearest(spark.createDataFrame(values, "k string, v double, n int"), spark.createDataFrame(targets, "k string, t double, i int"), ["k"], "v", "t", ["n"])
+    want = {}
+    for k, t, i in targets:
+        near = [(abs(v - t), n, v) for kk, v, n in values if kk == k and v is not None and t is not None]
+        if near:
+            want[i] = min(near)
+    assert {r["i"]: (r["best"]["score"], r["best"]["tie"]["n"], r["best"]["value"]) for r in got.collect()} == want
+
+
+def test_the_wheel_looks_at_its_last_option(spark):
+    rows = [("F1", "US_OPTION", -2.0, 1.0, 0.4, 1), ("F2", "US_OPTION", -3.0, 1.0, 0.3, 2), ("F3", "US_OPTION", -1.0, 0.0, 0.3, 0), ("DIS1", "US_OPTION", -1.0, 1.0, 0.9, 3), ("X1", "US_OPTION", -1.0, 1.0, 0.1, 4)]
+    held = spark.createDataFrame(rows, "symbol string, asset_class string, qty double, avg_entry_price double, current_price double, ordinal int")
+    watch = spark.createDataFrame([("F",), ("DIS",), ("F",)], "ticker string")
+    got = options.wheel_closes(watch, held, spark.createDataFrame([], schemas.QUOTES)).collect()
+    assert [(r["ticker"], r["symbol"], r["close_qty"], round(r["limit_price"], 4)) for r in got] == [("F", "F2", 3, 0.315)]
+
+
+def test_no_pass_outside_sessions(spark):
+    calendar = spark.createDataFrame([(dt.date(2024, 1, 2), "09:30", "16:00")], "day date, opens string, closes string")
+    bars = spark.createDataFrame([(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 100.0 - i, 100.0 - i, 100.0 - i, 100.0 - i) for s in "AB" for i in range(48)], schemas.BARS)
+    account = spark.createDataFrame([(1e6, 1e6, 1e6, 1e6)], schemas.ACCOUNT)
+    scouted = spark.createDataFrame([("A",), ("B",)], "symbol string")
+    held = spark.createDataFrame([], "symbol string, side string, qty double, avg_entry_price double")
+    found = lambda every: signals.survivor_signals(bars, held, account, scouted, every=every, calendar=calendar)
+    assert found(False).count() == 0  # the last bars are at 23:00
+    assert {r["ts"].hour for r in found(True).collect()} == {15, 16, 17, 18, 19, 20}
+    strikes = spark.createDataFrame([("U", "C", 90.0, 100.0, 0)], "underlying string, symbol string, strike double, spot double, ordinal bigint")
+    quotes = spark.createDataFrame([("C", dt.datetime(2024, 1, 1), 0.5, 0.6)], schemas.QUOTES)
+    sold = lambda now: options.wheel_orders(strikes, quotes, "PUT", 1e6, now=F.lit(now).cast("timestamp_ntz"), calendar=calendar).count()
+    assert (sold("2024-01-02 15:00:00"), sold("2024-01-02 22:00:00"), sold("2024-01-03 15:00:00")) == (1, 0, 0)
+
+
+def test_dated_logs_are_pruned(spark, tmp_path):
+    from tidewater.sources import sinks
+
+    days = spark.range(400).select(F.timestamp_seconds(F.col("id") * 86400 + 3600).alias("time"), F.col("id").alias("n"))
+    sinks.write_dated(days, str(tmp_path))
+    now = F.lit("1971-02-01 00:00:00").cast("timestamp")
+    out = scans.dated_scan(spark.read.parquet(str(tmp_path)), now, 7)
+    want = scans.recent(days, now, 7)
+    assert sorted(r["n"] for r in out.collect()) == sorted(r["n"] for r in want.collect()) and out.columns == days.columns
+    plan = out._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "PartitionFilters: [isnotnull(period" in text
+    scan = plan
+    while scan.children().size():
+        scan = scan.children().head()
+    assert scan.metrics().apply("numFiles").value() <= 11  # of 400
+
+
+def test_lines_can_be_parsed(spark):
+    from tidewater.sources import sinks
+
+    rows = spark.createDataFrame([("a b,c=d", 'say "hi" \\ now', 1), (None, None, 2)], "tag string, text string, n int")
+    got = [r["line"] for r in sinks.line_protocol(rows, "m", ["tag"], ["text", "n"]).collect()]
+    assert got == [r'm,tag=a\ b\,c\=d text="say \"hi\" \\ now",n=1', "m n=2"]

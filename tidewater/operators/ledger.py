@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .lookups import prefix_join
 
 
 def log_pnl(trades: DataFrame) -> DataFrame:
@@ -37,6 +38,25 @@ def attribute(positions: DataFrame, owners=rules.REPORT_OWNERS) -> DataFrame:
     return positions.withColumn("owner", rules.owner(F.col("symbol"), F.col("asset_class"), owners))
 
 
+def listed_owners(spark, owners=rules.BUDGET_OWNERS) -> DataFrame:
+    """Fixed owner lists as a table ``(ticker, bot, ordinal)`` in list order."""
+    return spark.createDataFrame([(t, b, i) for i, (b, t) in enumerate((b, t) for b, tickers in owners.items() for t in tickers)], "ticker string, bot string, ordinal int")
+
+
+def attribute_listed(positions: DataFrame, listed: DataFrame) -> DataFrame:
+    """Adds ``owner`` from a list ``(ticker, bot, ordinal)`` of any length.
+
+    Options go to the first entry of the wheel or the condor that their symbol begins with, else to the condor; shares to
+    the first entry of another bot or the wheel that they equal, else to the trend follower; crypto to the grid. Each symbol is looked up once.
+    """
+    kinds = positions.select("symbol", "asset_class").distinct()
+    options = kinds.where("asset_class = 'US_OPTION'")
+    first = prefix_join(options, listed.where(F.col("bot").isin("wheel_bot", "condor_bot")), "symbol", "ticker").groupBy("symbol", "asset_class").agg(F.min_by("bot", "ordinal").alias("_owner"))
+    shares = kinds.where("asset_class not in ('US_OPTION', 'CRYPTO')").join(listed.where("bot <> 'condor_bot'"), F.col("symbol") == F.col("ticker")).groupBy("symbol", "asset_class").agg(F.min_by("bot", "ordinal").alias("_owner"))
+    rest = F.when(F.col("asset_class") == "CRYPTO", "crypto_grid").when(F.col("asset_class") == "US_OPTION", "condor_bot").otherwise("trend_bot")
+    return positions.join(first.unionByName(shares), ["symbol", "asset_class"], "left").withColumn("owner", F.coalesce("_owner", rest)).select(*positions.columns, "owner")
+
+
 def bots(spark, names=rules.REPORT_BOTS) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "bot string")
 

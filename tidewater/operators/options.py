@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..sources import scans
 from .ledger import allowed
+from .lookups import nearest, prefix_join
+from .signals import while_open
 
 #: The least premium that is sold, and the most underlyings that the condor holds.
 MIN_PREMIUM, MAX_POSITIONS = 0.10, 3
@@ -30,13 +32,22 @@ def wheel_strike(chain: DataFrame, spots: DataFrame, side: str, target: float =
 
 def condor_legs(chain: DataFrame, spots: DataFrame, legs=LEGS) -> DataFrame:
     """Nearest contract for each of four strikes; only underlyings that have all four, legs in order."""
-    spec = F.array(*(F.struct(F.lit(i).alias("leg_no"), F.lit(n).alias("leg"), F.lit(t).alias("kind"), F.lit(s).alias("side"), F.lit(d).alias("off")) for i, (n, t, s, d) in enumerate(legs)))
-    wanted = F.broadcast(spots).select("underlying", "spot", F.explode(spec).alias("l")).select("underlying", "l.*", (F.col("spot") * (1 + F.col("l.off"))).alias("target"))
-    rows = chain.join(wanted, (chain["underlying"] == wanted["underlying"]) & (chain["type"] == F.col("kind"))).drop(chain["underlying"])
-    best = F.min(F.struct(F.abs(F.col("strike") - F.col("target")).alias("diff"), *("expiration", "strike", "symbol"))).alias("b")
-    found = rows.groupBy("underlying", "leg_no", "leg", "side", "target").agg(best)
+    offsets = [(f"{side}", i, n, t, d) for i, (n, t, side, d) in enumerate(legs)]
+    found = strike_ladder(chain, spots, offsets)
     whole = found.groupBy("underlying").agg(F.count("*").alias("n")).where(F.col("n") == len(legs)).select("underlying")
-    return found.join(whole, "underlying").select("underlying", "leg_no", "leg", "side", "target", "b.symbol", "b.strike", "b.diff")
+    return found.join(whole, "underlying").select("underlying", "leg_no", "leg", "side", "target", "symbol", "strike", "diff")
+
+
+def strike_ladder(chain: DataFrame, spots: DataFrame, offsets) -> DataFrame:
+    """Per underlying and offset ``(side, number, name, type, distance from the price)`` the contract of the nearest strike.
+
+    Ties go to the earlier expiration, the lower strike, the smaller symbol. Strikes and targets are ordered together
+    once, however many offsets there are.
+    """
+    spec = F.array(*(F.struct(F.lit(side).alias("side"), F.lit(i).alias("leg_no"), F.lit(n).alias("leg"), F.lit(t).alias("type"), F.lit(d).alias("off")) for side, i, n, t, d in offsets))
+    wanted = spots.select("underlying", "spot", F.explode(spec).alias("l")).select("underlying", "l.*", (F.col("spot") * (1 + F.col("l.off"))).alias("target"))
+    found = nearest(chain, wanted, ["underlying", "type"], "strike", "target", ["expiration", "strike", "symbol"])
+    return found.select("underlying", "leg_no", "leg", "side", "target", F.col("best.tie.symbol").alias("symbol"), F.col("best.value").alias("strike"), F.col("best.score").alias("diff"))
 
 
 def price_legs(legs: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -68,12 +79,16 @@ def close_orders(positions: DataFrame, quotes: DataFrame, share: float = 0.5, bu
     return rows.select("symbol", "owner", "capture", F.abs(F.col("qty").cast("bigint")).alias("close_qty"), limit.alias("limit_price"))
 
 
-def wheel_orders(strikes: DataFrame, quotes: DataFrame, side: str, power: float, budgets: DataFrame | None = None, least_premium: float = MIN_PREMIUM) -> DataFrame:
+def wheel_orders(strikes: DataFrame, quotes: DataFrame, side: str, power: float, budgets: DataFrame | None = None, least_premium: float = MIN_PREMIUM, now=None, calendar: DataFrame | None = None) -> DataFrame:
     """Contracts to sell: ``(underlying, symbol, limit_price)`` from ``strikes(underlying, symbol, strike, spot, ordinal)``.
 
     The limit is the latest bid, and a premium below ``least_premium`` is skipped. Puts need room in the bot's
-    budget and buying power for a hundred shares, at the price and at the strike; it is spent in order.
+    budget and buying power for a hundred shares, at the price and at the strike; it is spent in order. Nothing is
+    sold if ``now`` (UTC) is in no session of ``calendar``, where one is given.
     """
+    if calendar is not None:
+        session = while_open(strikes.sparkSession.range(1).select(now.alias("ts")), calendar).select(F.lit(True).alias("_open"))
+        strikes = strikes.join(F.broadcast(session), F.lit(True), "left_semi")
     bid = scans.latest_quote(quotes, "bid").select("symbol", F.col("price").alias("limit_price"))
     rows = strikes.join(bid, "symbol", "left").withColumn("limit_price", F.coalesce("limit_price", F.lit(0.0))).where(F.col("limit_price") >= least_premium)
     if side == "PUT":
@@ -90,13 +105,30 @@ def option_roots(positions: DataFrame) -> DataFrame:
     return rows.where(rules.owner(F.col("root"), F.lit("US_OPTION")) == "condor_bot").groupBy("root").agg(F.count("*").alias("n_positions"))
 
 
+def last_options(watchlist: DataFrame, positions: DataFrame) -> DataFrame:
+    """Per ticker its last held option, ``(ticker, <columns of positions>)``."""
+    found = prefix_join(positions.where("asset_class = 'US_OPTION'"), watchlist.select("ticker").distinct(), "symbol", "ticker")
+    return found.groupBy("ticker").agg(F.max_by(F.struct(*positions.columns), "ordinal").alias("_o")).select("ticker", "_o.*")
+
+
+def wheel_closes(watchlist: DataFrame, positions: DataFrame, quotes: DataFrame, share: float = 0.5, bump: float = 1.05) -> DataFrame:
+    """Orders that buy back the wheel's options: ``(ticker, symbol, capture, close_qty, limit_price)``.
+
+    The wheel looks at one option a ticker, the last that it holds; others of the ticker wait until that one is gone.
+    The limit is the latest ask, or a bit above the estimate where the ask is 0 or there is none.
+    """
+    ask = scans.latest_quote(quotes, "ask").select("symbol", F.col("price").alias("_ask"))
+    rows = last_options(watchlist, positions).withColumn("capture", rules.capture(F.col("avg_entry_price"), F.col("current_price"))).where(F.col("capture") >= share)
+    limit = rules.close_limit(F.coalesce("_ask", F.lit(0.0)), F.col("current_price"), bump)
+    return rows.join(ask, "symbol", "left").select("ticker", "symbol", "capture", F.abs(F.col("qty").cast("bigint")).alias("close_qty"), limit.alias("limit_price"))
+
+
 def active_options(watchlist: DataFrame, positions: DataFrame) -> DataFrame:
     """Per ticker the last held option whose symbol begins with it, and its stock quantity.
 
-    ``watchlist(ticker)`` is a short dimension; ``positions`` carry ``ordinal``, their order.
+    ``watchlist(ticker)`` may be of any length; ``positions`` carry ``ordinal``, their order.
     """
-    w = F.broadcast(watchlist.select("ticker"))
-    option = positions.where("asset_class = 'US_OPTION'").join(w, F.col("symbol").startswith(F.col("ticker"))).groupBy("ticker").agg(F.max_by("symbol", "ordinal").alias("option"))
+    option = last_options(watchlist, positions).select("ticker", F.col("symbol").alias("option"))
     stock = positions.where("asset_class = 'US_EQUITY'").groupBy(F.col("symbol").alias("ticker")).agg(F.max_by("qty", "ordinal").alias("stock_qty"))
     out = watchlist.select("ticker").join(option, "ticker", "left").join(stock, "ticker", "left").withColumn("stock_qty", F.coalesce("stock_qty", F.lit(0.0)))
     return out.withColumn("side", F.when(F.col("option").isNull(), rules.wheel_side(F.col("stock_qty"))))

@@ -38,14 +38,20 @@ def watch_list(*lists: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.union, (x.select("symbol") for x in lists)).distinct()
 
 
-def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, targets: DataFrame, market_regime: str = "UNKNOWN", budgets: DataFrame | None = None, every: bool = False) -> DataFrame:
-    """Cross signals per symbol at its last bar, or at ``every`` bar.
+def _passes(rows: DataFrame, every: bool, calendar: DataFrame | None) -> DataFrame:
+    """The bars at which a strategy looks: the last of each symbol or all; a pass outside a session is skipped as a whole."""
+    rows = rows if every else ind.latest(rows)
+    return rows if calendar is None else while_open(rows, calendar)
+
+
+def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, targets: DataFrame, market_regime: str = "UNKNOWN", budgets: DataFrame | None = None, every: bool = False, calendar: DataFrame | None = None) -> DataFrame:
+    """Cross signals per symbol at its last bar, or at ``every`` bar, in sessions of ``calendar`` only, if it is given.
 
     Held symbols may exit; the others may enter if they are targets, the regime lets them and
     the bot's budget (in ``budgets(bot, allowed)``, if given) has room. Sizes are whole shares.
     """
     rows = ind.enrich(bars, ind.ema(9), ind.ema(21), ind.adx(), ind.crossings("ema9", "ema21"))
-    rows = rows if every else ind.latest(rows)
+    rows = _passes(rows, every, calendar)
     held = positions.groupBy("symbol").agg(F.max_by(F.struct("side", "qty"), "qty").alias("_p"))
     listed = targets.select("symbol").distinct().withColumn("_t", F.lit(True))
     rows = rows.where(~F.col("symbol").isin(*rules.CRYPTO_EXCLUDED)).join(held, "symbol", "left").join(listed, "symbol", "left")
@@ -58,10 +64,10 @@ def trend_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, tar
     return out.withColumn("action", F.when(F.col("qty") > 0, F.col("action")))
 
 
-def survivor_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, scouted: DataFrame, budgets: DataFrame | None = None, every: bool = False) -> DataFrame:
-    """Exits of held symbols and entries on oversold ones: ``(symbol, ts, price, rsi, sma200, action, reason, qty)``."""
+def survivor_signals(bars: DataFrame, positions: DataFrame, account: DataFrame, scouted: DataFrame, budgets: DataFrame | None = None, every: bool = False, calendar: DataFrame | None = None) -> DataFrame:
+    """Exits of held symbols and entries on oversold ones, in sessions only if a ``calendar`` is given: ``(symbol, ts, price, rsi, sma200, action, reason, qty)``."""
     rows = ind.enrich(bars, ind.rsi(), ind.sma(200))
-    rows = rows if every else ind.latest(rows)
+    rows = _passes(rows, every, calendar)
     held = positions.groupBy("symbol").agg(F.max_by(F.struct("avg_entry_price", "qty"), "qty").alias("_p"))
     picks = scouted.select("symbol").distinct().withColumn("_s", F.lit(True))
     rows = rows.where(~F.col("symbol").isin(*rules.CRYPTO_EXCLUDED)).join(held, "symbol", "left").join(picks, "symbol", "left")

@@ -146,6 +146,41 @@ def _wheel_orders(side):
     return run
 
 
+def wheel_put_open(s, d):
+    """The wheel's puts at a moment inside a session."""
+    found = options.wheel_strike(_chain(s, d), fixtures.spots(s, d), "PUT").withColumn("ordinal", F.regexp_extract("underlying", "([0-9]+)$", 1).cast("bigint"))
+    found = found.withColumn("spot", F.lit(fixtures.SPOT))
+    now = F.lit("2024-01-02 15:00:00").cast("timestamp_ntz")
+    return options.wheel_orders(found, fixtures.quotes(s, d), "PUT", 400_000.0, budget_check(s, d), now=now, calendar=fixtures.calendar(s))
+
+
+#: Distances of the ladder from the price: 41 steps of a hundredth.
+STEPS = [k / 100 for k in range(-20, 21)]
+
+
+def strike_ladder(s, d):
+    offsets = [(kind, k, kind.lower(), kind, step) for kind in ("PUT", "CALL") for k, step in enumerate(STEPS)]
+    out = options.strike_ladder(_chain(s, d), fixtures.spots(s, d), offsets)
+    return _r(out.select("underlying", F.col("side").alias("type"), "leg_no", "target", "symbol", "strike", "diff"), "target", "diff")
+
+
+def owner_by_list(s, d):
+    p = ledger.attribute_listed(fixtures.positions(s, d).select("symbol", "asset_class", "market_value"), ledger.listed_owners(s))
+    return _r(p.groupBy("owner").agg(F.count("*").alias("n_positions"), F.sum("market_value").alias("allocation")), "allocation")
+
+
+def wheel_closes(s, d):
+    watch = s.createDataFrame([("DIS",), ("PLTR",), ("F",), ("TSLA",)], "ticker string")
+    return _r(options.wheel_closes(watch, fixtures.positions(s, d), fixtures.option_quotes(s, d), share=0.0), "capture", "limit_price")
+
+
+def trade_scan_dated(s, d):
+    """The report's scan over logs written by month and read again."""
+    path = sinks.work_folder(s, "log")
+    sinks.write_dated(scans.tagged_union(_logs(s, d, REPORT_LOGS)), path, unit="month")
+    return scans.dated_scan(s.read.parquet(path), F.lit(NOW).cast("timestamp"), 30, unit="month")
+
+
 def export_names(s, d):
     days = scans.recent(scans.tagged_union(_logs(s, d, EXPORT_LOGS)), F.lit(NOW).cast("timestamp"), 7).select(F.to_date("time").alias("day")).distinct()
     return days.select(sinks.dated("trade_history", F.col("day")).alias("file"))
@@ -208,7 +243,8 @@ QUERIES = {
     "trades_union": trades_union, "trade_scan": trade_scan, "trade_export": trade_export, "epoch_times": epoch_times, "realized_pnl": realized_pnl, "owner_attribution": owner_attribution,
     "unrealized_by_owner": unrealized_by_owner, "bot_performance": bot_performance, "budget_check": budget_check, "position_lookup": position_lookup, "latest_quote": latest_quote,
     "contract_filter": contract_filter, "wheel_put": _wheel("PUT"), "wheel_call": _wheel("CALL"), "condor_legs": condor_legs, "leg_pricing": leg_pricing, "take_profit": take_profit, "option_root": option_root,
-    "active_options": active_options, "wheel_buying_power": wheel_buying_power, "condor_candidate": condor_candidate, "fleet_reconcile": fleet_reconcile, "emergency_stop": emergency_stop,
+    "active_options": active_options, "wheel_put_open": wheel_put_open, "strike_ladder": strike_ladder, "owner_by_list": owner_by_list, "wheel_closes": wheel_closes, "trade_scan_dated": trade_scan_dated,
+    "wheel_buying_power": wheel_buying_power, "condor_candidate": condor_candidate, "fleet_reconcile": fleet_reconcile, "emergency_stop": emergency_stop,
     "process_metrics": process_metrics, "config_bots": config_bots, "target_list": target_list, "close_orders": close_orders, "wheel_put_orders": _wheel_orders("PUT"), "wheel_call_orders": _wheel_orders("CALL"),
     "export_names": export_names, "csv_export": csv_export, "log_lines": log_lines, "target_document": target_document, "watch_list": watch_list, "line_protocol": line_protocol,
 }
@@ -255,6 +291,15 @@ legs AS (SELECT * FROM x QUALIFY count(*) OVER (PARTITION BY underlying) = 4)"""
 SQL = {
     "trades_union": f"WITH {_T} SELECT time, symbol, action, price, qty, bot_type FROM t",
     "trade_scan": f"WITH {_T} SELECT time, symbol, action, price, qty, bot_type FROM t WHERE bot_type IN {_names(REPORT_LOGS)} AND time > TIMESTAMP '{NOW}' - INTERVAL 30 DAY",
+    "strike_ladder": f"""WITH {_C}, l AS (SELECT type, k AS leg_no, (k - 20) / 100.0::DOUBLE AS off FROM range(41) AS r(k), (VALUES ('PUT'), ('CALL')) AS t(type)),
+  x AS (SELECT underlying, type, leg_no::INTEGER AS leg_no, 950.0::DOUBLE * (1 + off) AS target, symbol, strike, expiration, abs(strike - 950.0::DOUBLE * (1 + off)) AS diff FROM c JOIN l USING (type) WHERE p_size BETWEEN 25 AND 45)
+  SELECT underlying, type, leg_no, round(target, 4) AS target, symbol, strike, round(diff, 4) AS diff FROM x QUALIFY row_number() OVER (PARTITION BY underlying, type, leg_no ORDER BY diff, expiration, strike, symbol) = 1""",
+    "owner_by_list": f"WITH {_P} SELECT {_OB} AS owner, count(*) AS n_positions, round(sum(market_value), 4) AS allocation FROM p GROUP BY 1",
+    "wheel_closes": f"""WITH {_P}, o AS (SELECT ticker, p.* FROM (VALUES ('DIS'), ('PLTR'), ('F'), ('TSLA')) AS w(ticker) JOIN p ON asset_class = 'US_OPTION' AND starts_with(symbol, ticker) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ordinal DESC) = 1),
+  q AS (SELECT symbol, arg_max((ordinal % 4) / 10.0::DOUBLE, ordinal) AS ask FROM p WHERE asset_class = 'US_OPTION' GROUP BY 1)
+  SELECT ticker, o.symbol, round((avg_entry_price - current_price) / avg_entry_price, 4) AS capture, abs(trunc(qty)::BIGINT) AS close_qty, round(CASE WHEN ask = 0 THEN current_price * 1.05::DOUBLE ELSE ask END, 4) AS limit_price
+  FROM o JOIN q ON q.symbol = o.symbol WHERE avg_entry_price > 0 AND (avg_entry_price - current_price) / avg_entry_price >= 0""",
+    "trade_scan_dated": f"WITH {_T} SELECT time, symbol, action, price, qty, bot_type FROM t WHERE bot_type IN {_names(REPORT_LOGS)} AND time > TIMESTAMP '{NOW}' - INTERVAL 30 DAY",
     "trade_export": f"WITH {_EXPORTED}",
     "csv_export": f"WITH {_EXPORTED}",
     "epoch_times": "SELECT event_id AS id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') AS local FROM events",
@@ -305,3 +350,4 @@ SQL = {
     "watch_list": f"WITH {_P} SELECT symbol FROM p WHERE asset_class = 'US_EQUITY' UNION SELECT * FROM (VALUES ('AMD'), ('XOM'), ('TQQQ'), ('SQQQ'), ('SOXL'), ('SOXS'), ('FNGU'), ('UPRO')) AS v(symbol)",
     "line_protocol": f"WITH {_UNREAL} SELECT printf('bot_performance,bot=%s note=\"%.2f\",n=1', bot, round(allocation, 2)) AS line FROM un",
 }
+SQL["wheel_put_open"] = SQL["wheel_put_orders"]

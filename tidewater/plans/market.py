@@ -120,6 +120,14 @@ def trend_signals(s, d):
     return _r(out.where("action is not null").select("symbol", "ts", "price", "adx", "action", "qty"), "adx")
 
 
+def trend_open(s, d):
+    """Signals on 15-minute bars inside sessions; one symbol is a crypto pair, which the trend follower leaves alone."""
+    bars = fixtures.bars(s, d, "15 minutes").withColumn("symbol", F.when(F.col("symbol") == "error", "BTC/USD").otherwise(F.col("symbol")))
+    listed = fixtures.symbols(s, ("purchase", "signup", "BTC/USD"))
+    out = signals.trend_signals(bars, fixtures.event_positions(s), fixtures.account(s), listed, "CHOP", _budgets(s, d), every=True, calendar=fixtures.calendar(s))
+    return _r(out.where("action is not null").select("symbol", "ts", "price", "adx", "action", "qty"), "adx")
+
+
 def survivor_signals(s, d):
     out = signals.survivor_signals(fixtures.bars(s, d), fixtures.event_positions(s), fixtures.account(s), fixtures.symbols(s, ("purchase",)), _budgets(s, d), every=True)
     return _r(out.where("action is not null").select("symbol", "ts", "price", "rsi", "action", "reason", "qty"), "rsi")
@@ -158,7 +166,7 @@ def grid_inventory(s, d):
 QUERIES = {
     "bars_hourly": _bars("1 hour"), "bars_daily": _bars("1 day"), "bars_15m": _bars("15 minutes"), "latest_trade": latest_trade, "latest_bar": latest_bar, "history": history,
     "history_eastern": history_eastern, "finished_bars": finished_bars, "sma": sma, "donchian": donchian, "returns": returns, "sector_hot": sector_hot, "sector_targets": sector_targets,
-    "ema": ema, "rsi": rsi, "adx": adx, "ema_200": ema_200, "ema_500": ema_500, "channel_400": channel_400, "rsi_2": rsi_2, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals,
+    "ema": ema, "rsi": rsi, "adx": adx, "ema_200": ema_200, "ema_500": ema_500, "channel_400": channel_400, "rsi_2": rsi_2, "ema_cross": ema_cross, "regime": regime, "regime_latest": regime_latest, "regime_playbook_diff": regime_playbook_diff, "trend_signals": trend_signals, "trend_open": trend_open,
     "survivor_signals": survivor_signals, "breakout_signals": breakout_signals, "position_sizing": position_sizing, "market_open": market_open, "grid_zones": grid_zones, "grid_signals": grid_signals, "grid_inventory": grid_inventory,
 }
 
@@ -264,3 +272,7 @@ SQL = {
     f.blocked + CASE WHEN f.zone <> -1 AND z.zone > f.zone AND f.held < 50.0 / z.price THEN 1 ELSE 0 END FROM f JOIN z ON z.rn = f.rn + 1)
   SELECT 'click' AS symbol, zone, round(held, 4) AS held, buys, sells, blocked FROM f ORDER BY rn DESC LIMIT 1""",
 }
+
+#: The trend follower's bars, with those outside sessions and the crypto pair left out.
+_SESSION = "isodow(l) < 6 AND strftime(l, '%Y-%m-%d') NOT IN ('2024-01-01', '2024-01-15') AND year(l) = 2024 AND month(l) = 1 AND strftime(l, '%H:%M') >= '09:30' AND strftime(l, '%H:%M') < '16:00'"
+SQL["trend_open"] = f"SELECT * EXCLUDE (l) FROM (SELECT *, ts - INTERVAL 5 HOUR AS l FROM ({SQL['trend_signals'].replace(bars_sql('1 hour'), bars_sql('15 minutes'))})) WHERE {_SESSION} AND symbol <> 'error'"

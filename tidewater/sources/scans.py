@@ -28,6 +28,12 @@ def trade_scan(sources: Mapping[str, DataFrame], now: Column, days: int = 30) ->
     return recent(tagged_union(sources), now, days)
 
 
+def dated_scan(log: DataFrame, now: Column, days: int = 30, time: str = "time", unit: str = "day") -> DataFrame:
+    """:func:`recent` rows of a log laid out by ``period``: only files of these days are read, however old the log is."""
+    first = F.to_date(F.date_trunc(unit, now - F.make_interval(days=F.lit(days))))
+    return recent(log.where(F.col("period") >= first), now, days, time).drop("period")
+
+
 def first_series(df: DataFrame, epoch: str = "time", hours: int = -5) -> DataFrame:
     """Epoch seconds to timestamps, shifted by a fixed number of hours (as the export does, daylight time or not)."""
     return df.withColumn(epoch, F.timestamp_seconds(epoch) + F.make_interval(hours=F.lit(hours)))

@@ -11,13 +11,18 @@ from pyspark.sql import types as T
 
 
 def line_protocol(df: DataFrame, measurement: str, tags: list[str], fields: list[str]) -> DataFrame:
-    """One column ``line``: ``measurement,tag=v,... field=v,...``; strings are quoted, nulls left out."""
+    """One column ``line``: ``measurement,tag=v,... field=v,...``; strings are quoted, nulls left out.
+
+    A comma, space or equals sign in a tag's value, and a quote or backslash in a string, is written behind a backslash.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
 
     def pair(name: str, quote: bool) -> Column:
         value = F.col(name).cast("string")
         if quote and isinstance(kinds[name], T.StringType):
-            value = F.concat(F.lit('"'), value, F.lit('"'))
+            value = F.concat(F.lit('"'), F.regexp_replace(value, r'(["\\])', r"\\$1"), F.lit('"'))
+        elif not quote:
+            value = F.regexp_replace(value, "([ ,=])", r"\\$1")
         return F.concat(F.lit(f"{name}="), value)  # null if the value is
 
     tag = F.concat_ws(",", F.lit(measurement), *(pair(t, False) for t in tags))
@@ -28,6 +33,14 @@ def write_lines(df: DataFrame, path: str, measurement: str, tags: list[str], fie
     line_protocol(df, measurement, tags, fields).write.mode(mode).text(path)
 
 
+def write_dated(df: DataFrame, path: str, time: str = "time", unit: str = "day", mode: str = "append") -> None:
+    """Appends to a log laid out by day (week, month, ...): ``path/period=<its first day>``.
+
+    Rows of a period are brought together, so that it is a file or, if large, a few.
+    """
+    df.withColumn("period", F.to_date(F.date_trunc(unit, time))).hint("rebalance", "period").write.partitionBy("period").mode(mode).parquet(path)
+
+
 def known_first(df: DataFrame, known=("time", "symbol", "action", "price", "qty", "bot_type")) -> DataFrame:
     """Known columns in their order, then all others."""
     return df.select(*known, *(c for c in df.columns if c not in known))
