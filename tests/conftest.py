@@ -43,6 +43,12 @@ def plain(value):
     return int(value) if hasattr(value, "__int__") and not isinstance(value, bool | str) else str(value)
 
 
+def whole(column):
+    """Integers with nulls, which one engine gives as floats and the other as nullable integers, as the latter."""
+    held = column.dropna()
+    return column.astype("Int64") if column.dtype == float and column.isna().any() and len(held) and (held == held.round()).all() else column
+
+
 def rows_of(frame):
-    frame = frame[sorted(frame)]
+    frame = frame[sorted(frame)].apply(whole)
     return sorted(repr(tuple(plain(v) for v in r)) for r in frame.astype(object).itertuples(index=False))
