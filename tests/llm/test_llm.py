@@ -711,6 +711,60 @@ def test_leaks_equal_alignment_of_all(spark, share):
     assert " ".join(docs[0])[whole["start"] : whole["end"]] == " ".join(docs[0][20:35])
 
 
+def test_items_of_one_frame_equal_alignment_of_all(spark, monkeypatch):
+    """Classes of items, places in portions of a few hits: leaks are those of the alignment of all items with all documents."""
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    rng = random.Random(8)
+    frame = "which of the following is true about".split()
+    items = [[*frame, f"t{rng.randrange(60)}", f"u{rng.randrange(60)}", *([f"v{k}"] if k % 3 else [])] for k in range(60)] + [words(rng, 12, 200).split() for _ in range(5)]
+    docs = []
+    for k in range(60):
+        copy = [w for w in items[k] if rng.random() > 0.25]
+        docs.append(words(rng, 20, 200).split() + copy + words(rng, 10, 200).split())
+    docs += [["of", "the", "is", "true"] * 5, [rng.choice([*frame, "x", "y"]) for _ in range(200)], items[62] + items[3]]
+    number: dict = {}
+    as_ids = lambda t: np.array([number.setdefault(w, len(number)) for w in t], np.int32)
+    sides = [(i, d) for d in range(len(docs)) for i in range(len(items))]
+    scores = decontaminate.align([as_ids(items[i]) for i, _ in sides], [as_ids(docs[d]) for _, d in sides])
+    want = sorted((d, i, round(float(s) / (2 * len(items[i])), 6)) for (i, d), s in zip(sides, scores) if s >= len(items[i]))
+    block = [(i, " ".join(t), None) for i, t in enumerate(items)]
+    seeds = decontaminate.Seeds(block, common=12, least=4)
+    assert len(seeds.frames) >= 2 and sum(map(len, seeds.members)) >= 55
+    best: dict = {}
+    for d, i, _, passage in decontaminate._near(seeds, docs, 0.5):
+        s = decontaminate.align([seeds.words[i]], [passage])[0] / (2 * len(seeds.words[i]))
+        best[d, i] = max(best.get((d, i), 0), s)
+    assert sorted((d, i, round(float(s), 6)) for (d, i), s in best.items() if s >= 0.5) == want
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find_leaks(df, bench).collect()) == want
+
+
+def test_templated_test_sets_take_seconds():
+    """20,000 items of one frame with all places seeded against texts full of its words: bounded time and memory."""
+    import resource
+    import time
+
+    rng = random.Random(2)
+    frame = "which of the following is true about"
+    seeds = decontaminate.Seeds([(i, f"{frame} n{rng.randrange(5000)} n{rng.randrange(5000)} n{i}", None) for i in range(20_000)])
+    common = [*frame.split(), *(f"w{k}" for k in range(60))]
+    texts = [[rng.choice(common) for _ in range(2000)] for _ in range(100)]
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    found = sum(1 for _ in decontaminate._near(seeds, texts, 0.5))
+    assert found < 20_000 and time.process_time() - began < 30
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
+
+
+def test_very_long_text_leaks(spark):
+    rng = random.Random(5)
+    item = words(rng, 30, 10**6)
+    part = " ".join(f"w{rng.randrange(10**5)}" for _ in range(700_000))
+    df = spark.createDataFrame([(1, f"{part} {item} {part}"), (2, part)], "doc_id long, text string")
+    got = decontaminate.find_leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["score"], r["start"]) for r in got] == [(1, 7, 1.0, len(part) + 1)]
+
+
 def test_rarity_is_counted_over_the_whole_test_set(spark):
     common = "the same five words again"
     bench = spark.createDataFrame([(i, f"{common} u{i}a u{i}b u{i}c u{i}d u{i}e u{i}f") for i in range(5000)], "item_id long, text string").withColumn("row_no", F.col("item_id"))

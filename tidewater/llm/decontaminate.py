@@ -11,8 +11,10 @@ as a leak can reach, and is aligned with the whole item if it holds enough of it
 
 The test set is taken in blocks of bounded text, one pass over the documents each; seeds,
 which bear on every word, are broadcast a block at a time and meet documents where these are,
-as to shuffle all pairs of words of a corpus would cost a multiple of reading it. Blocks do
-not bear on what is found. Words are runs of letters and digits in lower case. Null and empty
+as to shuffle all pairs of words of a corpus would cost a multiple of reading it. Items of one
+frame are a class that pairs of its common words point to as one, and places that seeds point
+to are gone through in portions, so that what a task holds depends on neither the number of
+items that share a pair nor the length of a text. Blocks do not bear on what is found. Words are runs of letters and digits in lower case. Null and empty
 documents and items without words have no leaks. Items of one or two words are one seed.
 Repeated rows are reported each; of places in a document with one score the first is told. An
 empty table gives no rows. Columns of the tables keep their names and values, whatever they
@@ -21,6 +23,7 @@ are called.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -89,32 +92,91 @@ def _rare_places(items: DataFrame, threshold: float) -> DataFrame:
     return cost.withColumn("_r", rank).where(F.col("_r") <= F.col("words") - needed).groupBy("row_no").agg(F.collect_list("place").alias("places"))
 
 
+#: A word of so many items of a block is common; so many items that have the same common words at the same places are a class.
+COMMON, CLASS = 32, 8
+#: Places of items that seeds point to, and passages that are aligned, at a time.
+HITS, PASSAGES = 1_000_000, 4096
+
+
 class Seeds:
-    """A block of test items: word numbers, sorted seed keys and where each seed occurs."""
+    """A block of test items: word numbers, sorted seed keys and where each seed occurs.
+
+    Items written in one frame, that have the same common words at the same places, are a class. A pair of common words
+    points to the class and not to each of its items; which of them a passage may hold is told by their other words.
+    """
 
-    def __init__(self, items: list[tuple[int, str, list[int] | None]]):
+    def __init__(self, items: list[tuple[int, str, list[int] | None]], common: int = COMMON, least: int = CLASS):
         self.item_ids = np.array([i for i, _, _ in items], np.int64)
         texts = [words_of(t) for _, t, _ in items]
         self.vocabulary: dict[str, int] = {}
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in t], np.int32) for t in texts]
         self.single = any(len(w) == 1 for w in self.words)
+        n = len(items)
+        spread = np.bincount(np.concatenate([np.empty(0, np.int32), *(np.unique(w) for w in self.words)]), minlength=len(self.vocabulary))
+        self.frames, self.members = self._classes(spread >= common, least)
+        of = np.full(n, -1)
+        for c, own in enumerate(self.members):
+            of[own] = c
         none = np.empty(0, np.int64)
-        keys, item, offset = [none.astype(np.uint64)], [none], [none]
+        keys, target, offset = [none.astype(np.uint64)], [none], [none]
         for i, (w, (_, _, places)) in enumerate(zip(self.words, items)):
             if len(w) == 1:
-                parts = [(gram_keys(w, np.arange(1), 1), np.zeros(1, np.int64))]
+                parts = [(gram_keys(w, np.arange(1), 1), np.zeros(1, np.int64), 0)]
             else:
-                parts = [(_pair_keys(w[:-gap], w[gap:]), np.arange(len(w) - gap)) for gap in (1, 2) if gap < len(w)]
-            for k, at in parts:
+                parts = [(_pair_keys(w[:-gap], w[gap:]), np.arange(len(w) - gap), gap) for gap in (1, 2) if gap < len(w)]
+            for k, at, gap in parts:
                 if places is not None and len(w) > 2:
                     used = np.isin(at, places)
                     k, at = k[used], at[used]
+                to = np.full(len(at), i)
+                if of[i] >= 0:
+                    frame = self.frames[of[i]]
+                    to[(frame[at] >= 0) & (frame[at + gap] >= 0)] = n + of[i]
                 keys.append(k)
-                item.append(np.full(len(at), i))
+                target.append(to)
                 offset.append(at)
-        keys, item, offset = map(np.concatenate, (keys, item, offset))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.offset = keys[order], item[order], offset[order]
+        keys, target, offset = map(np.concatenate, (keys, target, offset))
+        order = np.lexsort((offset, target, keys))
+        keys, target, offset = keys[order], target[order], offset[order]
+        fresh = np.concatenate([[True], (np.diff(keys) != 0) | (np.diff(target) != 0) | (np.diff(offset) != 0)]) if len(keys) else np.empty(0, bool)
+        self.keys, self.target, self.offset = keys[fresh], target[fresh], offset[fresh]
+        self.sizes = np.array([len(w) for w in [*self.words, *self.frames]], np.int64)
+        # the other words of the items of classes: by word, the item and its class
+        inside = [(self.words[i][self.frames[c] < 0], i, c) for c, own in enumerate(self.members) for i in own]
+        word, item, cls = (np.concatenate([none, *x]) for x in (([w for w, _, _ in inside], [np.full(len(w), i) for w, i, _ in inside], [np.full(len(w), c) for w, _, c in inside])))
+        order = np.lexsort((word, cls))
+        self.rest_word, self.rest_item, self.rest_class = word[order], item[order], cls[order]
+        self.rest_from = np.searchsorted(self.rest_class, np.arange(len(self.frames) + 1))
+
+    def _classes(self, common: np.ndarray, least: int) -> tuple[list[np.ndarray], list[list[int]]]:
+        """Frames (words at their places, -1 where items differ) and the items of each."""
+        found: dict[bytes, list[int]] = {}
+        for i, w in enumerate(self.words):
+            frame = np.where(common[w], w, -1).astype(np.int32) if len(w) > 1 else np.empty(0, np.int32)
+            if (frame >= 0).sum() > 1:
+                found.setdefault(frame.tobytes(), []).append(i)
+        kept = {f: own for f, own in found.items() if len(own) >= least}
+        return [np.frombuffer(f, np.int32) for f in kept], list(kept.values())
+
+    def of_class(self, c: int, seen: np.ndarray, passage: np.ndarray, threshold: float) -> list[int]:
+        """The items of a class of which a passage, whose words are marked in ``seen``, holds enough words.
+
+        Where the frame's words alone are enough, items none of whose other words are there have one score, that of
+        the frame: they count all together or not at all.
+        """
+        frame = self.frames[c]
+        missing = threshold * len(frame) - 1e-9 - np.count_nonzero(seen[frame[frame >= 0]])
+        if missing <= 0 and align([np.where(frame < 0, -2, frame)], [passage])[0] >= threshold * MATCH * len(frame) - 1e-9:
+            return self.members[c]
+        words = np.unique(passage[passage >= 0])
+        at, end = self.rest_from[c], self.rest_from[c + 1]
+        own = self.rest_word[at:end]
+        lo, hi = np.searchsorted(own, words, "left"), np.searchsorted(own, words, "right")
+        held = [self.rest_item[at + a : at + b] for a, b in zip(lo.tolist(), hi.tolist()) if b > a]
+        if not held:
+            return []
+        item, many = np.unique(np.concatenate(held), return_counts=True)
+        return item[many >= missing].tolist()
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -171,7 +233,7 @@ def _near(seeds: Seeds, texts: list[list[str]], threshold: float):
     ids = np.fromiter((get(w, -1) for t in texts for w in t), np.int32, int(lengths.sum()))
     ends = np.cumsum(lengths)
     known = np.flatnonzero(ids >= 0)
-    hits = []
+    places, docs_, los, counts = [], [], [], []
     for gap in (0, 1, 2) if seeds.single else (1, 2):
         at = known[known < len(ids) - gap]
         doc = np.searchsorted(ends, at, side="right")
@@ -180,34 +242,48 @@ def _near(seeds: Seeds, texts: list[list[str]], threshold: float):
         key = _pair_keys(ids[at], ids[at + gap]) if gap else gram_keys(ids, at, 1)
         lo, hi = np.searchsorted(seeds.keys, key, "left"), np.searchsorted(seeds.keys, key, "right")
         found = hi > lo
-        at, doc, lo, many = at[found], doc[found], lo[found], (hi - lo)[found]
-        post = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.empty(0, np.int64)
-        hits.append((np.repeat(doc, many), seeds.item[post], np.repeat(at, many) - seeds.offset[post]))
-    doc, item, origin = (np.concatenate(c) for c in zip(*hits))
-    if not len(doc):
-        return
-    order = np.lexsort((origin, item, doc))
-    doc, item, origin = doc[order], item[order], origin[order]
-    sizes = np.array([len(w) for w in seeds.words])
+        for held, x in zip((places, docs_, los, counts), (at, doc, lo, hi - lo)):
+            held.append(x[found])
+    at, doc, lo, many = (np.concatenate(x) for x in (places, docs_, los, counts))
+    order = np.argsort(at, kind="stable")
+    at, doc, lo, many = at[order], doc[order], lo[order], many[order]
+    total = np.concatenate([[0], np.cumsum(many)])
+    begin = 0
+    seen = np.zeros(len(seeds.vocabulary) + 1, bool)
+    while begin < len(at):
+        # a chain of places that is cut here is two passages, each wide enough by itself
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + HITS, "right")) - 1)
+        own, m = slice(begin, end), many[begin:end]
+        post = np.repeat(lo[own] - (total[begin:end] - total[begin]), m) + np.arange(int(m.sum()))
+        yield from _passages(seeds, ids, ends, lengths, threshold, seen, np.repeat(doc[own], m), seeds.target[post], np.repeat(at[own], m) - seeds.offset[post])
+        begin = end
+
+
+def _passages(seeds: Seeds, ids, ends, lengths, threshold: float, seen, doc, target, origin):
+    order = np.lexsort((origin, target, doc))
+    doc, target, origin = doc[order], target[order], origin[order]
+    sizes, n = seeds.sizes, len(seeds.words)
     # long chains of places are taken apart, so that a passage is never much longer than its item
-    fresh = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(origin) > sizes[item[1:]])])
+    fresh = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(target) != 0) | (np.diff(origin) > sizes[target[1:]])])
     head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    part = (origin - origin[head]) // np.maximum(8, sizes[item])
+    part = (origin - origin[head]) // np.maximum(8, sizes[target])
     starts = np.flatnonzero(fresh | np.concatenate([[True], np.diff(part) != 0]))
     stops = np.append(starts[1:], len(doc))
-    doc, item, low, high = doc[starts], item[starts], origin[starts], origin[stops - 1]
+    doc, target, low, high = doc[starts], target[starts], origin[starts], origin[stops - 1]
     # a leak of ``threshold`` has no more errors than this
-    pad = np.ceil(2 * (1 - threshold) * sizes[item]).astype(np.int64) + 1
+    pad = np.ceil(2 * (1 - threshold) * sizes[target]).astype(np.int64) + 1
     low = np.maximum(ends[doc] - lengths[doc], low - pad)
-    high = np.minimum(ends[doc], high + sizes[item] + pad)
-    seen = np.zeros(len(seeds.vocabulary) + 1, bool)
-    for d, i, lo, hi in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist()):
-        passage, words = ids[lo:hi], seeds.words[i]
+    high = np.minimum(ends[doc], high + sizes[target] + pad)
+    for d, t, lo, hi in zip(doc.tolist(), target.tolist(), low.tolist(), high.tolist()):
+        passage = ids[lo:hi]
         seen[passage] = True
         seen[-1] = False
-        shared = np.count_nonzero(seen[words])
+        if t >= n:
+            items = seeds.of_class(t - n, seen, passage, threshold)
+        else:
+            items = [t] if np.count_nonzero(seen[seeds.words[t]]) >= threshold * len(seeds.words[t]) - 1e-9 else ()
         seen[passage] = False
-        if shared >= threshold * len(words) - 1e-9:
+        for i in items:
             yield d, i, lo - int(ends[d] - lengths[d]), passage
 
 
@@ -220,15 +296,14 @@ def _block_leaks(docs: DataFrame, seeds, threshold: float) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 raw = [t.as_py() or "" for t in part.column(1)]
-                places = list(_near(s, [words_of(t) for t in raw], threshold))
-                if not places:
-                    continue
-                scores = align([s.words[p[1]] for p in places], [p[3] for p in places])
+                found = _near(s, [words_of(t) for t in raw], threshold)
                 best: dict = {}
-                for (d, i, first, passage), score in zip(places, scores):
-                    share = float(score) / (MATCH * len(s.words[i]))
-                    if share >= threshold and share > best.get((d, i), (0,))[0]:
-                        best[d, i] = share, first, passage
+                while places := list(itertools.islice(found, PASSAGES)):
+                    scores = align([s.words[p[1]] for p in places], [p[3] for p in places])
+                    for (d, i, first, passage), score in zip(places, scores):
+                        share = float(score) / (MATCH * len(s.words[i]))
+                        if share >= threshold and share > best.get((d, i), (0,))[0]:
+                            best[d, i] = share, first, passage
                 spans: dict = {}
                 rows = []
                 for (d, i), (share, at_word, passage) in sorted(best.items(), key=lambda x: x[0]):
