@@ -286,15 +286,57 @@ def test_the_densest_region_decides():
     page = f"<body><div><p>Welcome to the site.</p></div><div class=x><p>Title</p><p>{para}</p>{part}{part}</div><div><p>Call us on weekdays.</p></div><div><p>{para}</p></div></body>"
     own = ["Title", para.strip()] + ["Short", "one", "two", "three", "four", "five", para.strip()] * 2
     assert html_text.main_text(page).split("\n") == own
-    # a marked article outweighs what is about as long outside, of several the heaviest counts
+    # a marked article outweighs what is about as long outside, and articles side by side of like weight are one text
     two = f"<article><p>{para}</p></article><article><h1>Head</h1><p>{para}</p><p>Last.</p></article><div><p>{para}</p><p>{para}</p></div>"
-    assert html_text.main_text(two).split("\n") == ["Head", para.strip(), "Last."]
+    assert html_text.main_text(two).split("\n") == [para.strip(), "Head", para.strip(), "Last."]
+    # a teaser does not outweigh the text, and is no part of another article
+    teaser = f"<div><article><p>{para}</p></article></div><div><p>{para}</p><p>{para}</p><p>{para}</p></div>"
+    assert html_text.main_text(teaser).split("\n") == [para.strip()] * 3
+    cards = f"<main2><article><h1>Head</h1>{f'<p>{para}</p>' * 4}</article><article><a href=1>Card</a><p>Short one.</p></article></main2>"
+    assert html_text.main_text(cards).split("\n") == ["Head"] + [para.strip()] * 4
     assert html_text.main_text("<article><p><a href=1>All of it is a link</a></p></article>") == "All of it is a link"
     weights = np.array([0, 5, 200, 100, 0, 0, 0, 90, 3, 0])
     assert html_text.surges_and_dives(weights, np.array([0])).tolist() == [[1, 4], [7, 9]]
     assert html_text.surges_and_dives(weights, np.array([0, 3])).tolist() == [[1, 3], [3, 4], [7, 9]]
 
 
+BOXES = [
+    '<section class="comments">{}</section>', '<section id="comments">{}</section>', '<section class="related-posts">{}</section>', '<section class="newsletter signup">{}</section>', '<p class="advertisement">{}</p>', '<p class="notice">{}</p>',
+    '<div class="comment-list">{}</div>', '<div class="post-comments">{}</div>', '<div class="article-sidebar">{}</div>', '<aside>{}</aside>', '<form><p>{}</p></form>', '<div class="share-buttons">{}</div>', '<div role="search">{}</div>', '<ul class="comment-thread"><li>{}</ul>',
+]
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_boxes_inside_the_article_are_left_out(box):
+    para = "A paragraph of the article with enough words in it to count. " * 3
+    inner = box.format(f"{para} of a reader")
+    assert html_text.main_text(f"<body><article><h1>Head</h1><p>{para}</p>{inner}<p>Last words.</p></article></body>").split("\n") == ["Head", para.strip(), "Last words."]
+
+
+def test_made_up_pages_without_marks():
+    """Fifty pages without ``<article>``: what was put into the text comes out, whatever stands around and inside."""
+    rng = random.Random(44)
+    say = lambda n: " ".join(f"w{rng.randrange(999)}x" for _ in range(n)) + "."
+    for _ in range(50):
+        blocks, inner = [], []
+        for k in range(rng.randint(4, 12)):
+            kind = rng.random()
+            text = say(rng.randint(2, 5)) if kind < 0.2 and k else say(rng.randint(25, 60))
+            tag = "h2" if kind < 0.2 and k else rng.choice(["p", "p", "blockquote", "pre"])
+            blocks.append(text)
+            inner.append(f"<{tag}>{text}</{tag}>")
+            if rng.random() < 0.2:
+                inner.append(rng.choice(['<div class="ad">{}</div>', '<div class="newsletter">{}</div>', "<aside>{}</aside>"]).format(say(12)))
+        outside = [
+            f"<header><h1>{say(3)}</h1></header>", f"<nav><ul>{''.join(f'<li><a href={k}>{say(2)}</a>' for k in range(6))}</ul></nav>", f'<div class="cookie-banner"><p>{say(30)}</p></div>', f'<div id="sidebar"><p>{say(20)}</p></div>',
+            f"<div>{''.join(f'<p><a href={k}>{say(3)}</a></p>' for k in range(8))}</div>", f'<div class="comments">{"".join(f"<p>{say(25)}</p>" for _ in range(5))}</div>', f"<footer><p>{say(20)}</p></footer>",
+        ]
+        rng.shuffle(outside)
+        cut = rng.randint(0, len(outside))
+        page = f"<html><body>{''.join(outside[:cut])}<div class=\"{rng.choice(['x', 'story', 'entry-content'])}\">{''.join(inner)}</div>{''.join(outside[cut:])}</body></html>"
+        assert html_text.main_text(page).split("\n") == blocks, page
+
+
 def test_long_pages():
     para = "word " * 400
     page = "<body><nav>" + "<li><a href=1>x</a>" * 20_000 + "</nav>" + f"<div class=a><p>{para}</p></div>" * 3000 + "<div>" * 30_000 + "</body>"

@@ -3,13 +3,16 @@
 Markup is cut into blocks, the lines of the method. A line weighs its characters outside
 links (all of them inside a marked article); lines in menus, adverts, forms and the like are
 ruled out. Sums over sliding windows of lines rise at surge points and fall at dive points;
-what lies between is a region, and the heaviest region is the core of the article. Lines
-inside a marked article weigh four times as much, and no region crosses its border.
+what lies between is a region, and the heaviest region is the core of the article. No region
+crosses the border of a marked article, whose mark counts as much as its lines do: they weigh
+twice. Marked articles side by side that are of like weight are parts of one text.
 
-From the core the article reaches as far as its container: to both ends of a marked article;
-on other pages over all regions in the same container, and on to its nearest lines that are
-not mostly links. Lines that were ruled out are left out of it. Inside an article only what
-is no article by its element, or a plain container by all of its name, is ruled out.
+From the core the article reaches as far as its container: to both ends of a marked article,
+or of the first and the last of its parts; on other pages over all regions in the same
+container, and on to its nearest lines that are not mostly links. Lines that were ruled out are
+left out of it. Inside an article an element is ruled out by what it is, or by a name that
+tells a box of the page (reader comments, related posts, a newsletter, an advert, a notice):
+a name that holds such a word and else only words of layout.
 
 Null and empty pages, and pages without text, give an empty string. Texts are read whole.
 Repeated rows are extracted each; of regions of one weight the first counts; an empty table
@@ -44,19 +47,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("nav aside footer form menu dialog button head search".split())
 OUTER = frozenset(["header"])
 #: Words of class, id and role names that tell the same; ``OUTER_NAMES`` only outside the article. Outside, any word of a
-#: hyphenated name counts. Inside, names rule out plain containers only, and one that holds a word of the first list by
-#: itself, others (which a topic may be called as well) only if there is no other name.
+#: hyphenated name counts. Inside, a name counts if its other words are of ``LAYOUT``; one that holds a word of the first
+#: list by itself, others (which a topic may be called as well) only if there is no other name.
 SURE_NAMES = frozenset(
-    "nav navbar navigation menu footer sidebar ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo banner cookie cookies consent gdpr comments commentlist disqus share sharing social breadcrumb breadcrumbs pagination pager popup modal newsletter subscribe signup login widget".split()
+    "nav navbar navigation menu footer sidebar ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo banner cookie cookies consent gdpr comments commentlist disqus share sharing social breadcrumb breadcrumbs pagination pager popup modal newsletter subscribe signup login widget notice notices".split()
 )
 NAMES = SURE_NAMES | frozenset(
-    "aside promotion notice notices alert comment respond reply replies related recommended recommendations overlay subscription form search copyright disclaimer complementary contentinfo".split()
+    "aside promotion alert comment respond reply replies related recommended recommendations overlay subscription form search copyright disclaimer complementary contentinfo".split()
 )
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box button buttons card cards col column container content entry group holder icons inline inner item items left links list main module native page panel post posts right row section side single site slot stories story text thread title top unit wrap wrapper".split()
+)
+#: Words by which the id of a section, which may be a slug of its heading, rules it out.
+BOX_NAMES = frozenset("ads advert advertisement comment commentlist comments disqus newsletter respond sidebar".split())
 OUTER_NAMES = frozenset("header masthead topbar toolbar".split())
 _ROOTS = frozenset("html body article main".split())
-#: Elements whose id is a slug of their text, and those whose names rule nothing out inside the article.
+#: Elements whose id is a slug of their text, and those that hold text of the article whatever weaker names say.
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
-_PLAIN = frozenset("div ul ol span center".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre table".split())
 #: Elements that hold an article or a part of the page.
 CONTAINERS = frozenset("body main article section div center td".split())
 
@@ -85,7 +93,10 @@ def _ruled_out(name: str, rest: str, inside: bool) -> bool:
             continue
         if inside:
             names = [set(filter(None, re.split(r"[^a-z]+", token))) for token in re.findall(r"\S*[a-z]\S*", value)]
-            if name in _PLAIN and names and (all(n <= NAMES for n in names) or any(n <= NAMES and n & SURE_NAMES for n in names)):
+            boxes = [n for n in names if n & NAMES and n <= NAMES | LAYOUT]
+            if key == "id" and name == "section":
+                boxes = [n for n in boxes if n & BOX_NAMES or len(n) > 1]
+            if any(n & SURE_NAMES for n in boxes) or (boxes and len(boxes) == len(names) and name not in _TEXT):
                 return True
             continue
         if words & NAMES or (words & OUTER_NAMES and not re.fullmatch("h[1-6]", name)):
@@ -103,13 +114,14 @@ class Line(NamedTuple):
     container: int
 
 
-def lines(page: str) -> tuple[list[Line], list[int]]:
-    """The blocks of a page, and the parent of every container (0, the page, is its own)."""
+def lines(page: str) -> tuple[list[Line], list[int], list[int]]:
+    """The blocks of a page, the parent of every container (0, the page, is its own), and the container around each article."""
     out: list[Line] = []
     parts: list[str] = []
     linked = articles = current = depth = 0
     skip: list[str] = []  # the element that is ruled out and those of its name within it
     links = 0
+    around = [0]
     parents, held = [0], [("", 0)]  # containers, and the names and numbers of those that are open
 
     def end():
@@ -175,6 +187,7 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
                 skip.clear()  # what ruled out the text before was never closed
                 articles += 1
                 current = articles
+                around.append(parents[-1])
             depth += 1
         elif skip:
             if name == skip[0] and name != "p":
@@ -186,7 +199,7 @@ def lines(page: str) -> tuple[list[Line], list[int]]:
         elif _ruled_out(name, rest, bool(depth)):
             skip.append(name)
     end()
-    return out, parents
+    return out, parents, around
 
 
 def surges_and_dives(weights: np.ndarray, borders: np.ndarray, window: int = 3, least: int = 80) -> np.ndarray:
@@ -215,26 +228,47 @@ def surges_and_dives(weights: np.ndarray, borders: np.ndarray, window: int = 3,
 
 def main_text(page: str | None, window: int = 3, least: int = 80) -> str:
     """The article of a page: its blocks in order, joined by line ends."""
-    every, parents = lines(page or "")
+    every, parents, around = lines(page or "")
     found = [x for x in every if not x.out]
     article = np.array([x.article for x in found], np.int64)
     size = np.array([len(x.text) for x in found], np.int64)
     plain = size - np.array([x.linked for x in found], np.int64)
     borders = np.flatnonzero(np.concatenate([[True], article[1:] != article[:-1]])) if found else np.empty(0, np.int64)
-    weights = np.where(article > 0, 4 * size, plain)
+    weights = np.where(article > 0, 2 * size, plain)
     regions = surges_and_dives(weights, borders, window, least)
     if not len(regions):
         return ""
     total = np.concatenate([[0], np.cumsum(weights)])
-    first, last = regions[np.argmax(total[regions[:, 1]] - total[regions[:, 0]])].tolist()
+    heavy = total[regions[:, 1]] - total[regions[:, 0]]
+    parts = _parts(article, weights, plain * 2 > size, around)
+    # a region inside an article stands for all parts of its text
+    whole = np.bincount(parts[article[regions[:, 0]]], heavy, len(around))
+    heavy = np.where(article[regions[:, 0]] > 0, whole[parts[article[regions[:, 0]]]], heavy)
+    first, last = regions[np.argmax(heavy)].tolist()
     if article[first]:
-        keep = article == article[first]
+        keep = parts[article] == parts[article[first]]
     else:
         first, last = _reach(first, last, regions, found, parents, weights, plain * 2 > size)
         keep = (np.arange(len(found)) >= first) & (np.arange(len(found)) < last)
     return "\n".join(x.text for x, k in zip(found, keep) if k)
 
 
+def _parts(article: np.ndarray, weights: np.ndarray, prose: np.ndarray, around: list[int]) -> np.ndarray:
+    """For each article the first one of its text: articles in one container that weigh a third of the heaviest there, or more, and are not mostly links."""
+    weight = np.bincount(article, weights, len(around))
+    text = np.bincount(article, weights * prose, len(around))
+    out = np.arange(len(around))
+    beside: dict[int, list[int]] = {}
+    for a in range(1, len(around)):
+        beside.setdefault(around[a], []).append(a)
+    for own in beside.values():
+        most = max(weight[a] for a in own)
+        like = [a for a in own if 3 * weight[a] >= most and 2 * text[a] >= weight[a]]
+        for a in like:
+            out[a] = like[0]
+    return out
+
+
 def _reach(first: int, last: int, regions: np.ndarray, found: list[Line], parents: list[int], weights: np.ndarray, prose: np.ndarray) -> tuple[int, int]:
     """Brings the core, lines ``first`` to ``last``, to the container of most of the page's regions, over all of them there and the nearest lines."""
     listed = [k for a, b in regions.tolist() for k in range(a, b) if not found[k].article]
