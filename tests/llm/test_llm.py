@@ -585,6 +585,30 @@ def test_urls(spark):
     assert urls.filter_urls(pages.where("false"), marks).count() == 0
 
 
+def test_domains_and_suffixes(spark):
+    names = ["a.gob.mx", "b.com.mx", "x.github.io", "y.github.io", "10.1.2.3", "[::1]", "example.com", "m.example.com", "com", "", "a.b.ck", "www.ck", "deep.www.ck", "co.uk", "shop.co.uk", *[f"{h}.t{k}.host.net" for k in range(16) for h in "ab"], "z.host.net", *[f"{h}.t{k}.few.net" for k in range(15) for h in "ab"]]
+    sites = spark.createDataFrame([(n,) for n in names], "site string")
+    got = {r["site"]: (r["domain"], r["suffix"]) for r in urls.with_domains(sites).collect()}
+    assert len(got) == len(names)
+    assert got["a.gob.mx"] == ("a.gob.mx", "gob.mx") and got["b.com.mx"] == ("b.com.mx", "com.mx")
+    assert got["x.github.io"] == ("x.github.io", "github.io") and got["10.1.2.3"] == ("10.1.2.3", "") and got["[::1]"] == ("[::1]", "")
+    assert got["m.example.com"] == got["example.com"] == ("example.com", "com") and got["com"] == ("com", "com") and got[""] == ("", "")
+    # learnt from its hosts, or too few of them
+    assert got["a.t3.host.net"] == ("t3.host.net", "host.net") and got["z.host.net"] == ("z.host.net", "host.net") and got["a.t3.few.net"] == ("few.net", "net")
+    rules = spark.createDataFrame([("com",), ("*.ck",), ("!www.ck",), (" GitHub.io ",), ("uk",), ("co.uk",)], "rule string")
+    told = {r["site"]: (r["domain"], r["suffix"]) for r in urls.with_domains(sites, rules).collect()}
+    assert told["a.b.ck"] == ("a.b.ck", "b.ck") and told["www.ck"] == ("www.ck", "ck") and told["deep.www.ck"] == ("www.ck", "ck")
+    assert told["x.github.io"] == ("x.github.io", "github.io") and told["shop.co.uk"] == ("shop.co.uk", "co.uk") and told["a.gob.mx"] == got["a.gob.mx"]
+    marks = spark.createDataFrame([(1, 0)] * 80 + [(4, 1)] * 80, "page_id long, good int")
+    pages = spark.createDataFrame([(1, "http://bad.github.io/"), (2, "http://good.github.io/"), (3, "http://u:p@bad.github.io:8080/x"), (4, "http://10.1.2.3/"), (5, "http://10.9.2.3:80/")], "page_id long, url string")
+    seen = {r["page_id"]: r for r in urls.filter_urls(pages, marks).collect()}
+    # one site whatever the port; another user of the platform is not judged by it alone
+    assert seen[1]["rate"] == seen[3]["rate"] < seen[2]["rate"] and seen[3]["host"] == "u:p@bad.github.io:8080"
+    by = urls.with_domains(spark.createDataFrame([(f"h{k}.d{k % 7}.com", k % 5, 5, 1) for k in range(40)], "site string, n_good long, n_all long, n_pages long")).persist()
+    plain, hot = (sorted(map(repr, urls.host_reputation(by, hot=n).collect())) for n in (100, 2))
+    assert plain == hot and len(plain) == 40
+
+
 # ---- top-k
 
 

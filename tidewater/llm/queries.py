@@ -80,13 +80,14 @@ WITH page AS (
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
 marks AS (SELECT doc_id AS page_id, sum(quality)::BIGINT AS g, count(*) AS c FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-counted AS (SELECT host, coalesce(sum(g), 0)::DOUBLE AS n_good, coalesce(sum(c), 0)::DOUBLE AS n_all FROM page LEFT JOIN marks USING (page_id) GROUP BY host),
-parts AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM counted),
-hosts AS (
-  SELECT host, n_good, n_all,
-    CASE WHEN two IN ({two}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE two END AS domain,
-    CASE WHEN two IN ({two}) THEN two ELSE string_split(host, '.')[-1] END AS suffix
-  FROM parts),
+sited AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS site FROM page),
+counted AS (SELECT site, coalesce(sum(g), 0)::DOUBLE AS n_good, coalesce(sum(c), 0)::DOUBLE AS n_all, string_split(site, '.') AS ls FROM sited LEFT JOIN marks USING (page_id) GROUP BY site),
+parts AS (SELECT *, array_to_string(ls[-2:], '.') AS two, array_to_string(ls[-3:], '.') AS three FROM counted),
+known_takes AS (SELECT *, CASE WHEN regexp_full_match(site, '[0-9]{1,3}(\.[0-9]{1,3}){3}') OR site LIKE '[%' THEN 0
+  WHEN regexp_full_match(two, '(com|co|net|ne|org|or|gov|gob|go|edu|ac|mil|nom)\.[a-z][a-z]') OR regexp_full_match(two, '(github|gitlab)\.io|(wordpress|blogspot|herokuapp)\.com|(netlify|vercel|web)\.app|pages\.dev') THEN 2 ELSE 1 END AS k FROM parts),
+learnt AS (SELECT two FROM (SELECT two, three, count(*) AS c FROM known_takes WHERE k = 1 AND len(ls) > 2 GROUP BY two, three) GROUP BY two HAVING count(*) FILTER (c > 1) >= 16),
+takes AS (SELECT * REPLACE (CASE WHEN k = 1 AND len(ls) > 2 AND two IN (SELECT two FROM learnt) THEN 2 ELSE k END AS k) FROM known_takes),
+hosts AS (SELECT site AS host, n_good, n_all, CASE k WHEN 0 THEN site WHEN 2 THEN three ELSE two END AS domain, CASE k WHEN 0 THEN '' WHEN 2 THEN two ELSE ls[-1] END AS suffix FROM takes),
 total AS (SELECT coalesce(sum(n_good) / nullif(sum(n_all), 0), 1.0) AS prior FROM hosts),
 s0 AS (SELECT suffix, sum(n_good) AS good, sum(n_all) AS al, any_value(prior) AS prior FROM hosts, total GROUP BY suffix),
 s1 AS (SELECT {fit} AS s FROM (SELECT *, greatest(0.001, least(0.999, prior)) AS m FROM s0)),
@@ -102,8 +103,8 @@ rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'
 fits AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
   FROM (SELECT DISTINCT host, path FROM page) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
 SELECT page_id, page.host, page.path, rule, coalesce(v, CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, rate, bound
-FROM page LEFT JOIN known ON page.host = known.host LEFT JOIN fits ON page.host = fits.host AND page.path = fits.path
-""".replace("{fit}", "coalesce(CASE WHEN (sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0) > 0 THEN greatest(2.0, least(200.0, 1 / ((sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0)) - 1)) ELSE 200.0 END, 200.0)").replace("{two}", ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES))
+FROM sited AS page LEFT JOIN known ON page.site = known.host LEFT JOIN fits ON page.host = fits.host AND page.path = fits.path
+""".replace("{fit}", "coalesce(CASE WHEN (sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0) > 0 THEN greatest(2.0, least(200.0, 1 / ((sum((good - al * m) * (good - al * m) / (m * (1 - m))) - sum(al)) / nullif(sum(al * (al - 1)), 0)) - 1)) ELSE 200.0 END, 200.0)")
 
 
 def _op6_sql() -> str:
