@@ -142,7 +142,7 @@ def test_vp_pairs_find_every_link_of_scattered_rows():
 
 def test_bands_meet_every_linked_pair():
     rng = np.random.default_rng(14)
-    for rows, sets in ((1000, 5), (10**7, 15), (10**9, 35), (10**12, 70)):
+    for rows, sets in ((1000, 1), (9000, 5), (10**7, 15), (10**9, 15), (10**12, 70)):
         bands = simhash.spread_bands(rows, 64, 4)
         assert len(bands) == sets
         for _ in range(200):
@@ -150,6 +150,18 @@ def test_bands_meet_every_linked_pair():
             assert any(not differ & {k for lo, hi in own for k in range(lo, hi)} for own in bands)
 
 
+def test_trees_prune_half_of_scattered_pairs():
+    """Cells as large as they are dealt: the triangle bound leaves less than half of their pairs, and no link is lost."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**64, (1024, 1), dtype=np.uint64)
+    x[512:640] = x[:128] ^ (np.uint64(1) << rng.integers(0, 64, (128, 1)).astype(np.uint64))
+    out = simhash.Links(1024, 10**9)
+    simhash.vp_pairs(x, np.arange(1024), 4, out)
+    assert out.compared < out.possible / 2
+    a, b, _ = out.shrink()
+    assert {(k, k + 512) for k in range(128)} <= {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
+
+
 def test_connected_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.connected(links).collect()}

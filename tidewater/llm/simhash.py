@@ -7,8 +7,9 @@ reach. Exact copies share a fingerprint, so that all work below is on distinct o
 Search. A single vantage point tells little about scattered fingerprints, whose distances
 all lie near half the width. So the outermost level deals fingerprints by bands of bits: of
 ``radius + m`` bands a linked pair agrees on m at least (distance 0 there, hence no
-boundary), and the cells of every choice of m bands are the shards of that level; m grows
-with the number of fingerprints, so that cells do not. Shards above ``most_rows`` are
+boundary), and the cells of every choice of m bands are the shards of that level; m and the
+bits that count of a band grow with the number of fingerprints, so that cells do not: they
+hold about a thousand scattered fingerprints, of whose pairs a tree prunes half. Shards above ``most_rows`` are
 split by Spark around a vantage point: fingerprints within the median distance go inside,
 the others outside, and those of the inside that the triangle inequality cannot part from
 the outside go to both. What no vantage point parts any more is dealt in pairs of blocks.
@@ -26,9 +27,11 @@ whatever they are called.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -201,18 +204,23 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def spread_bands(rows: int, bits: int, radius: int, most: int = 128) -> list[list[tuple[int, int]]]:
+def spread_bands(rows: int, bits: int, radius: int, most: int = 1024) -> list[list[tuple[int, int]]]:
     """Sets of bands, on one of which any two fingerprints within ``radius`` agree.
 
     Of ``radius + m`` bands a linked pair agrees on m at least; the sets are all choices of m. m is the
-    least (up to 4) for which ``rows`` scattered fingerprints leave at most ``most`` in a cell.
+    least (up to 4) for which ``rows`` scattered fingerprints can leave at most ``most`` in a cell, and of each
+    band no more bits count than that takes, so that cells are large enough for trees to prune. Up to
+    ``most`` rows are one cell.
     """
     for m in range(1, 5):
         cuts = np.linspace(0, bits, radius + m + 1).astype(int).tolist()
         bands = list(itertools.pairwise(cuts))
         held = min(b - a for a, b in bands) * m
         if m == 4 or rows <= most << held:
-            return [list(c) for c in itertools.combinations(bands, m)]
+            width = math.ceil(math.log2(max(1, rows / max(1, most))) / m)
+            if not width:
+                return [[(0, 0)]]
+            return [[(a, min(b, a + width)) for a, b in c] for c in itertools.combinations(bands, m)]
     raise AssertionError
 
 
@@ -245,7 +253,7 @@ def _refine(members: DataFrame, width: int, r: int, most: int, levels: int = 10)
 
     @F.pandas_udf("int")
     def apart(a, b):
-        return a.map(lambda v: int.from_bytes(v, "big")).combine(b.map(lambda v: int.from_bytes(v, "big")), lambda p, q: (p ^ q).bit_count()).astype("int32")
+        return pd.Series(distance(_lanes(a.tolist(), width), _lanes(b.tolist(), width)), dtype="int32")
 
     done, last = None, None
     for level in range(levels + 1):
@@ -290,7 +298,7 @@ def _links(nodes: DataFrame, width: int, r: int, bands: list[list[tuple[int, int
     return dealt.groupBy("_g").applyInArrow(search, "a long, b long")
 
 
-def group_documents(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, most_cell: int = 128, most_rows: int = 8192, shard_rows: int = 16_384, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def group_documents(docs: DataFrame, words: int = 4, radius: int = 4, lanes: int = 1, most_cell: int = 1024, most_rows: int = 8192, shard_rows: int = 16_384, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row. No linked pair is lost, whatever the parameters.
 
     ``most_cell``: scattered fingerprints that share a cell, which sets the number of bands; ``most_rows``: rows
