@@ -398,6 +398,9 @@ def test_repeated_strings(spark, shard_rows):
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substrings.remove_repeats(df, shard_rows=shard_rows, hot_rows=1 if shard_rows < 100 else 100_000).collect()}
     assert got == dict(enumerate(brute_removed(rows, 200)))
     assert substrings.remove_repeats(df.where("false")).count() == 0
+    if shard_rows < 100:  # a filter far too small for all anchors: several passes
+        again = substrings.remove_repeats(df, shard_rows=shard_rows, filter_bits=1 << 11).collect()
+        assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in again} == got
 
 
 def test_segments_in_stretches():
@@ -866,6 +869,54 @@ def test_written_tables_are_removed(spark):
     assert not at.exists()
 
 
+def test_runs_side_by_side_keep_their_own_tables(spark):
+    import threading
+
+    from tidewater.llm import shared
+
+    shared.settle(spark.range(2))
+    seen = []
+
+    def other():
+        df = shared.settle(spark.range(4))
+        seen.append(shared.written())
+        shared.forget(spark)
+        seen.append(shared.written())
+        del df
+
+    mine = shared.settle(spark.range(3))
+    mark = shared.written()
+    t = threading.Thread(target=other)
+    t.start()
+    t.join()
+    assert seen == [1, 0] and shared.written() == mark >= 2 and mine.count() == 3
+
+
+def test_very_long_texts(spark):
+    """One text of 4 MB among short ones: fingerprints, scores, near copies and ids are those of the whole text."""
+    rng = random.Random(77)
+    long = " ".join(f"w{rng.randrange(40_000)}" for _ in range(600_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text here"), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = {r["doc_id"]: r for r in simhash.group_documents(df).collect()}
+    assert int(got[1]["fingerprint"], 16) == brute_fingerprint(long) and got[2]["component_id"] == 1
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(df).collect()) == [1, 3, 4]
+    one = quality.with_statistics(df.where("doc_id = 1")).first()
+    assert one["log_words"] == pytest.approx(math.log1p(600_000))
+    pieces = packing.pack_documents(df, word_tokenizer()).where("doc_id = 1").orderBy("piece").collect()
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(word_tokenizer()).encode(long, add_special_tokens=False).ids, 0]
+    assert sum(p["length"] for p in pieces) == len(ids)
+    assert all(p["ids_crc32"] == zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in pieces)
+
+
+def test_statistics_of_tables_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "Two words", "mine", 7, "x")], "doc_id long, text string, _t string, _n int, upper string")
+    row = quality.with_statistics(df).first()
+    assert (row["_t"], row["_n"], row["log_words"]) == ("mine", 7, pytest.approx(math.log(3))) and row["upper"] == pytest.approx(1 / 9)
+
+
 # ---- queries and pipeline
 
 

@@ -8,7 +8,8 @@ exchange their pieces and are packed again, as long as that saves sequences and
 bound over all pieces is not reached.
 
 A null text is an empty document: one piece holding the end id. Repeated rows are packed
-each by itself, null ids included. An empty table gives an empty result.
+each by itself, null ids included. An empty table gives an empty result. A text of any length
+is tokenized whole, in one task. Columns other than id and text are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -7,7 +7,10 @@ compiled into one column expression, so scoring is a projection.
 
 Only texts enter a score. Null texts count as empty; an empty text has all statistics 0
 and a score like any other. Without labelled rows of both kinds the score is the share of
-good rows (0.5 without any). Repeated rows are scored alike.
+good rows (0.5 without any). Repeated rows are scored alike. Texts are measured whole, however
+long: an array of a text's words is the most that one row needs. An empty table gives an empty
+result. Columns of the user keep their names and values, but for those that carry the name of a
+statistic, which :func:`with_statistics` replaces.
 """
 
 from __future__ import annotations
@@ -27,30 +30,30 @@ STATISTICS = ("log_words", "mean_word", "distinct_words", "short_words", "upper"
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``STATISTICS``, all doubles, computed from the whole text."""
+    """Adds ``STATISTICS``, all doubles, computed from the whole text; they replace columns of the same name."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = lambda letters: (F.col("_n") - F.char_length(F.translate("_t", letters, ""))).cast("double")
     share = lambda c, of: F.coalesce(F.try_divide(c.cast("double"), of.cast("double")), F.lit(0.0))
-    out = docs.withColumns({"_t": text, "_n": F.char_length(text)})
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in STATISTICS]
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), text.alias("_t"), F.char_length(text).alias("_n"))
     out = out.withColumns({"_w": F.filter(F.split("_t", r"\s+"), lambda x: x != ""), "_l": F.filter(F.split("_t", "\n"), lambda x: x != "")})
     out = out.withColumn("_k", F.size("_w"))
     n, k = F.col("_n"), F.col("_k")
-    return out.withColumns(
-        {
-            "log_words": F.log1p(k.cast("double")),
-            "mean_word": share(n - k + 1, k),
-            "distinct_words": share(F.size(F.array_distinct("_w")), k),
-            "short_words": share(F.size(F.filter("_w", lambda x: F.char_length(x) <= 3)), k),
-            "upper": share(count(UPPER), n),
-            "digits": share(count("0123456789"), n),
-            "symbols": share(count(SYMBOLS), n),
-            "marks": share(count("!?"), n),
-            "stops": share(count(".,;:"), n),
-            "pipes": share(count("|"), n),
-            "lines_per_word": share(F.size("_l"), k),
-            "distinct_lines": share(F.size(F.array_distinct("_l")), F.size("_l")),
-        }
-    ).drop("_t", "_n", "_w", "_l", "_k")
+    measured = {
+        "log_words": F.log1p(k.cast("double")),
+        "mean_word": share(n - k + 1, k),
+        "distinct_words": share(F.size(F.array_distinct("_w")), k),
+        "short_words": share(F.size(F.filter("_w", lambda x: F.char_length(x) <= 3)), k),
+        "upper": share(count(UPPER), n),
+        "digits": share(count("0123456789"), n),
+        "symbols": share(count(SYMBOLS), n),
+        "marks": share(count("!?"), n),
+        "stops": share(count(".,;:"), n),
+        "pipes": share(count("|"), n),
+        "lines_per_word": share(F.size("_l"), k),
+        "distinct_lines": share(F.size(F.array_distinct("_l")), F.size("_l")),
+    }
+    return out.select(*kept, *(c.alias(name) for name, c in measured.items()))
 
 
 @dataclasses.dataclass(frozen=True)

@@ -7,7 +7,8 @@ Every row gets a global row number (its rank by id), a keyed permutation of
 without reading any data.
 
 Nulls: a null text has no bytes, a null id sorts first. Rows that agree in all
-columns returned are interchangeable. An empty table gives an empty result.
+columns returned are interchangeable. An empty table gives an empty result. Of a text only its
+length and checksum are kept, whatever its length. Columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import uuid
 
@@ -27,14 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows of an Arrow batch while a table is written.
 BATCH_ROWS = 2000
-#: Tables written by this driver, until :func:`forget` removes them.
-_written: list[str] = []
+#: Tables written in this thread (or context), until :func:`forget` removes them: jobs side by side do not see each other's.
+_tables: contextvars.ContextVar[list[str]] = contextvars.ContextVar("tables")
+
+
+def _written() -> list[str]:
+    try:
+        return _tables.get()
+    except LookupError:
+        _tables.set(held := [])
+        return held
 
 
 def new_table(spark: SparkSession, name: str = "tidewater") -> str:
     """The path of a table to be written to the shared folder."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    _written().append(path)
     return path
 
 
@@ -63,15 +72,16 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def written() -> int:
-    """How many tables this driver has written and not removed; what is written later can be told apart by it."""
-    return len(_written)
+    """How many tables this thread has written and not removed; what is written later can be told apart by it."""
+    return len(_written())
 
 
 def forget(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
-    """Removes the tables written since :func:`written` gave ``since``, except ``but``; frames that read them can't be used afterwards."""
+    """Removes the tables that this thread has written since :func:`written` gave ``since``, except ``but``; frames that read them can't be used afterwards."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    gone = [p for p in _written[since:] if p != but]
-    _written[since:] = [p for p in _written[since:] if p == but]
+    held = _written()
+    gone = [p for p in held[since:] if p != but]
+    held[since:] = [p for p in held[since:] if p == but]
     for name in gone:
         at = path(name)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

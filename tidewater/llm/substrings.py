@@ -6,7 +6,9 @@ Sharding. Each window of ``length`` bytes has an anchor: its k-gram of the small
 the rightmost of several. Equal windows have equal anchors, so a run of windows with one
 anchor (a segment) travels as a whole to the shard of the anchor's hash, and equal windows
 meet there. Anchors that occur once in all documents send nothing. A Bloom filter of bounded
-size tells them apart; what it lets through by mistake costs work, not correctness.
+size tells them apart; what it lets through by mistake costs work, not correctness. Where anchors
+that repeat are more than such a filter can tell, texts are gone through several times, each
+time for a part of the anchors.
 
 Suffix arrays. A shard sorts the suffixes of its segments by Larsson-Sadakane refinement:
 by 8 bytes, then by pairs of ranks of twice the depth, only what is still tied. Common
@@ -24,6 +26,7 @@ than id and text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections import Counter
 
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import append, new_table, settle
 
 K = 32
 _PLACE = np.uint64((1 << 28) - 1)
@@ -305,12 +308,16 @@ def _merge_windows(t: pa.Table) -> pa.Table:
     return pa.table({"g": t.column("g").take(pa.array(hit)), "a": pa.array(o, pa.int32()), "b": pa.array(o + 1, pa.int32())})
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, most_hot: int = 4_000_000, text_col: str = "text") -> DataFrame:
-    """``(t, spans)``: per text with repeats, ``t`` the MD5 of its bytes, the spans ``struct(a, b)`` of windows that repeat."""
+def _with(work, known, number: int, batches):
+    return work(batches, known, number)
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, most_hot: int = 4_000_000, text_col: str = "text", filter_bits: int = 1 << 29) -> DataFrame:
+    """``(t, spans)``: per text with repeats, ``t`` the SHA-256 of its bytes, the spans ``struct(a, b)`` of windows that repeat."""
     from xxhash import xxh3_128_digest
 
     sc = docs.sparkSession.sparkContext
-    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
+    texts = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.octet_length("text") >= length)
 
     def anchors(batches):
         """Per anchor of a portion: how often it occurs, and in how many kinds of segments."""
@@ -325,8 +332,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, m
 
     often = settle(texts.mapInArrow(anchors, "h long, c long, d long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("d").alias("d")).where("c > 1"))
     kinds, total = often.agg(F.count("*"), F.coalesce(F.sum("d"), F.lit(0))).first()
-    filter_ = Bloom(kinds)
-    known = sc.broadcast(filter_.build(often, "h"))
+    passes = max(1, -(-16 * kinds // filter_bits))
+    filter_ = Bloom(-(-kinds // passes), filter_bits)
+    only = sc.broadcast(filter_.build(often, "h")) if passes == 1 else None
     # anchors of many different segments are dealt to several shards; there are at most total / limit of them, ``most_hot``
     limit = max(shard_rows // 4, total // most_hot)
     wide = often.where(F.col("d") > limit).select("h", F.ceil(F.col("d") / limit).cast("int").alias("n")).orderBy("h").toArrow()
@@ -334,16 +342,16 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, m
     shards = max(1, -(-total // shard_rows))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16))
 
-    def suspects(batches, each):
+    def suspects(batches, each, known, number):
         bitmap = np.frombuffer(known.value, np.uint8)
         for keys, counts, raw in _portions(batches):
             blob, ends, (text, first, many, h, _) = _cut(raw, length)
-            ok = np.flatnonzero(filter_.holds(bitmap, h))
+            ok = np.flatnonzero(filter_.holds(bitmap, h) & ((h >> np.uint64(13)) % np.uint64(passes) == number))
             if ok.size:
                 begin = ends - np.array([len(b) for b in raw])
                 yield from each(keys, counts, blob, begin, text[ok], first[ok], many[ok], h[ok].view(np.int64))
 
-    def send(batches):
+    def send(batches, *which):
         def each(keys, counts, blob, begin, text, first, many, h):
             held: dict = {}
             for t, s, n, a in zip(text.tolist(), first.tolist(), many.tolist(), h.tolist()):
@@ -361,9 +369,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, m
             rows = [(a, int.from_bytes(g[:4], "big") % n, s, g, c, p) for (g, (a, c, p)), n, s in zip(held.items(), dealt.tolist(), split.tolist())]
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()))], names=["h", "salt", "split", "g", "c", "bytes"])
 
-        return suspects(batches, each)
-
-    sent = texts.mapInArrow(send, "h long, salt long, split boolean, g binary, c long, bytes binary").withColumn("shard", F.pmod(F.xxhash64("h", "salt"), F.lit(shards)))
+        return suspects(batches, each, *which)
+
+    def over_texts(work, schema: str) -> DataFrame:
+        """The rows of all passes; those of several are written, a pass after the other."""
+        if only:
+            return texts.mapInArrow(functools.partial(_with, work, only, 0), schema)
+        path = new_table(docs.sparkSession)
+        for number in range(passes):
+            part = F.pmod(F.shiftrightunsigned("h", 13), F.lit(passes)) == number
+            known = sc.broadcast(filter_.build(often.where(part), "h"))
+            append(texts.mapInArrow(functools.partial(_with, work, known, number), schema), path)
+            known.destroy()
+        return docs.sparkSession.read.schema(schema).parquet(path)
+
+    sent = over_texts(send, "h long, salt long, split boolean, g binary, c long, bytes binary").withColumn("shard", F.pmod(F.xxhash64("h", "salt"), F.lit(shards)))
     found = settle(sent.repartition(tasks, "shard").groupBy("shard").applyInArrow(_scan_shard(length), _FOUND))
     local = found.where("a is not null").select("g", F.explode(F.arrays_zip("a", "b")).alias("s")).select("g", F.col("s.a").alias("a"), F.col("s.b").alias("b"))
     # windows of frequent anchors: those that another shard holds, too
@@ -372,27 +392,28 @@ def repeated_spans(docs: DataFrame, length: int = 200, shard_rows: int = 8000, m
     prefix = F.conv(F.hex(F.substring("w", 1, 4)), 16, 10).cast("long")
     across = told.withColumn("_r", F.floor(prefix * ranges / 2**32)).groupBy("_r").applyInArrow(_merge_windows, "g binary, a int, b int")
 
-    def refer(batches):
+    def refer(batches, *which):
         def each(keys, counts, blob, begin, text, first, many, h):
             gs = [xxh3_128_digest(blob[s : s + n + length - 1]) for s, n in zip(first.tolist(), many.tolist())]
             yield pa.record_batch([pa.array(gs, pa.binary()), pa.array([keys[t] for t in text.tolist()], pa.binary()), pa.array(first - begin[text])], names=["g", "t", "s"])
 
-        return suspects(batches, each)
+        return suspects(batches, each, *which)
 
-    places = texts.mapInArrow(refer, "g binary, t binary, s long")
+    places = over_texts(refer, "g binary, t binary, s long")
     spans = places.join(local.unionAll(across), "g").select("t", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") - 1 + length).alias("b")).distinct()
     return spans.groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, shard_rows: int = 8000, most_hot: int = 4_000_000, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, shard_rows: int = 8000, most_hot: int = 4_000_000, hot_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 1 << 29) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for every row; ``kept`` are the remaining bytes.
 
     ``most_hot``: the most anchors whose segments are dealt to several shards, 12 bytes of a broadcast each. Spans of texts
-    that more than ``hot_rows`` rows hold, and more than one row in 10,000, are broadcast.
+    that more than ``hot_rows`` rows hold, and more than one row in 10,000, are broadcast. ``filter_bits``: size of the
+    filter of anchors; one with more than a sixteenth as many anchors is dealt out over several passes.
     """
-    spans = settle(repeated_spans(docs, length, shard_rows, most_hot, text_col))
+    spans = settle(repeated_spans(docs, length, shard_rows, most_hot, text_col, filter_bits))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("t", F.unhex(F.md5("text")))
+    rows = rows.withColumn("t", F.unhex(F.sha2("text", 256)))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def cut(batches):
