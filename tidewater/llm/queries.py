@@ -60,6 +60,22 @@ def op5_substrings(spark, sf_dir):
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: Every string of 200 bytes, in hexadecimal digits cut from blocks of 200 bytes, and the runs that those met twice cover.
+OP5_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT *, length(h) // 2 AS n, list_transform(range(length(h) // 400 + 2), lambda j: h[400 * j + 1:400 * j + 400]) AS blocks FROM d),
+w AS (SELECT r, unnest(range(n - 199)) AS i, unnest(list_transform(range(n - 199), lambda i: md5((blocks[i // 200 + 1] || blocks[i // 200 + 2])[2 * (i % 200) + 1:2 * (i % 200) + 400]))) AS k FROM n WHERE n >= 200),
+often AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM w SEMI JOIN often USING (k)),
+marked AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS span FROM hit),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 200 AS b FROM marked GROUP BY r, span),
+told AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(1, n_spans + 2), lambda j: h[2 * (CASE WHEN j = 1 THEN 0 ELSE ends[j - 1] END) + 1:2 * (CASE WHEN j > n_spans THEN n ELSE starts[j] END)]), '') END)) AS kept_sha256
+FROM n LEFT JOIN told USING (r)
+"""
+
+
 def op6_secret_scan(spark, sf_dir):
     scanned = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     many = lambda kind: F.size(F.filter("secrets_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -181,4 +197,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_sharding": OP2_SQL, "op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL, **word_queries.SQL}
+    return {"op2_sharding": OP2_SQL, "op5_substrings": OP5_SQL, "op6_secret_scan": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_topk": OP9_SQL, **word_queries.SQL}
